@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import jsonline as js
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
-from turnloom.plans.chunks import CHUNK_BYTES, chunk_of, split_by_size
+from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, split_by_size
 from turnloom.schemas import PASS_COLUMNS
 
 # Fixed values of the format.
@@ -146,10 +146,10 @@ def _events(parsed: DataFrame, chunk_bytes: int) -> DataFrame:
         "model",
         "stop_reason",
         "pieces",
-        (~F.col("valid") & ~F.col("terminated")).alias("is_tail"),
+        aside(parsed).alias("aside"),
     )
     return rows.filter(
-        F.col("prompt_offset").isNotNull() | F.col("is_reply") | F.col("entrypoint").isNotNull() | F.col("is_tail")
+        F.col("prompt_offset").isNotNull() | F.col("is_reply") | F.col("entrypoint").isNotNull() | F.col("aside").isNotNull()
     )
 
 
@@ -196,9 +196,9 @@ def _scan_chunked(rows: DataFrame) -> DataFrame:
 def _fold(rows: DataFrame) -> DataFrame:
     """One row per turn. Repeats of a (message, text) pair count once, tokens once per message."""
     answers = F.col("turn").isNotNull() & (F.col("prompt_offset").isNotNull() | F.col("is_reply"))
-    keyed = rows.filter(answers | F.col("is_tail"))
-    # An unfinished last line travels along as a group of its own.
-    in_turn = keyed.withColumn("turn", F.when(F.col("is_tail"), F.col("byte_offset")).otherwise(F.col("turn")))
+    keyed = rows.filter(answers | F.col("aside").isNotNull())
+    # Unfinished last lines and read errors travel along as groups of their own.
+    in_turn = keyed.withColumn("turn", F.when(F.col("aside").isNotNull(), F.col("byte_offset")).otherwise(F.col("turn")))
     piece = in_turn.withColumn("piece", F.explode_outer("pieces"))
     at = F.struct("byte_offset", F.col("piece.pos"))
     shared = [
@@ -206,7 +206,7 @@ def _fold(rows: DataFrame) -> DataFrame:
         F.min("entry").alias("entry"),
         F.max("last_prompt").alias("last_prompt"),
         F.max("file_idle").alias("file_idle"),
-        F.max("is_tail").alias("is_tail"),
+        F.max("aside").alias("aside"),
     ]
     texts = piece.groupBy("path", "turn", "msg_id", F.col("piece.text").alias("text")).agg(
         F.min(at).alias("at"),
@@ -235,7 +235,7 @@ def _fold(rows: DataFrame) -> DataFrame:
 def _pass_rows(turns: DataFrame) -> DataFrame:
     finished = F.col("file_idle") & F.coalesce(F.col("stopped.stop_reason").isin(TERMINAL_STOPS), F.lit(False))
     later_prompt = F.coalesce(F.col("turn") < F.col("last_prompt"), F.lit(False))
-    settled = ~F.col("is_tail") & (later_prompt | finished)
+    settled = F.col("aside").isNull() & (later_prompt | finished)
     response = F.array_join(F.transform(F.array_sort("pieces"), lambda p: p.text), "")
     head = "prompt.head."
 
@@ -243,7 +243,7 @@ def _pass_rows(turns: DataFrame) -> DataFrame:
         return F.when(settled, value)
 
     return turns.select(
-        F.when(F.col("is_tail"), "tail").when(settled, "turn").otherwise("held").alias("row_kind"),
+        F.coalesce("aside", F.when(settled, "turn").otherwise("held")).alias("row_kind"),
         "path",
         F.col("turn").alias("prompt_offset"),
         F.lit(SOURCE_TOOL).alias("source_tool"),

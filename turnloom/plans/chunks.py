@@ -22,3 +22,9 @@ def split_by_size(df: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame
     """Rows of files inside one chunk, and rows of larger files."""
     large = spans_chunks(chunk_bytes)
     return df.filter(~large), df.filter(large)
+
+
+def aside(parsed: DataFrame) -> Column:
+    """What a line is besides content: an unfinished last line, or a range that could not be read."""
+    failed = F.col("error").isNotNull() if "error" in parsed.columns else F.lit(False)
+    return F.when(failed, "error").when(~F.col("valid") & ~F.col("terminated"), "tail")

@@ -1,0 +1,150 @@
+"""Render the ``conversations`` table as raw session-log lines, so that whole pipelines can be run
+and checked on it. Every choice is a plain function of the row."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from turnloom.functions.wire import format_wire_ts
+from turnloom.operators.ordered import with_line_positions
+
+BLOCK_ROOT = "/logs/.claude"
+ROLLOUT_ROOT = "/logs/.codex"
+SEQ_PER_TURN = 4
+SEQ_CHUNK = 4096
+
+# Models named in rendered answers and announcements.
+MODELS = ["model-a", "model-b", "<synthetic>"]
+
+
+def _mod(value: str, n: int) -> Column:
+    return F.expr(value) % n
+
+
+def _model() -> Column:
+    pick = _mod("conv_id + turn", len(MODELS))
+    out = F.lit(MODELS[-1])
+    for i, name in enumerate(MODELS[:-1]):
+        out = F.when(pick == i, name).otherwise(out)
+    return out
+
+
+def _ts() -> Column:
+    """One second per turn, one day per conversation, from 2026-01-01."""
+    return F.concat(
+        format_wire_ts(F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") * 86400 + F.col("turn"))),
+        F.lit(".250Z"),
+    )
+
+
+def _text_block(text: Column) -> Column:
+    return F.struct(F.lit("text").alias("type"), text.alias("text"))
+
+
+def block_log_lines(conversations: DataFrame) -> DataFrame:
+    """(path, seq, line): user rows as prompts, assistant rows as answers (some logged twice, as split
+    messages are), system rows as injected user lines."""
+    session = F.concat(F.lit("s"), F.col("conv_id"))
+    base = conversations.select(
+        F.concat(F.lit(f"{BLOCK_ROOT}/projects/p"), _mod("conv_id", 7), F.lit("/"), session, F.lit(".jsonl")).alias("path"),
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        _ts().alias("timestamp"),
+        session.alias("sessionId"),
+        F.concat(F.lit("/work/p"), _mod("conv_id", 7)).alias("cwd"),
+        F.when(_mod("conv_id", 3) == 0, F.lit("main")).otherwise(F.lit("")).alias("gitBranch"),
+        F.when(_mod("conv_id", 4) == 0, "cli").when(_mod("conv_id", 4) == 1, "sdk-cli").when(_mod("conv_id", 4) == 2, "claude-desktop").alias("entrypoint"),
+    )
+    head = [F.lit(False).alias("isSidechain"), "sessionId", "cwd", "gitBranch", "entrypoint", "timestamp"]
+
+    def user(content: Column) -> Column:
+        return F.to_json(F.struct(F.lit("user").alias("type"), *head, F.struct(F.lit("user").alias("role"), content.alias("content")).alias("message")))
+
+    answer = F.to_json(
+        F.struct(
+            F.lit("assistant").alias("type"),
+            *head,
+            F.struct(
+                F.concat(F.lit("m"), F.col("turn")).alias("id"),
+                F.lit("assistant").alias("role"),
+                _model().alias("model"),
+                F.array(_text_block(F.col("text"))).alias("content"),
+                F.struct(F.length("text").alias("output_tokens")).alias("usage"),
+                F.lit("end_turn").alias("stop_reason"),
+            ).alias("message"),
+        )
+    )
+    line = (
+        F.when(F.col("role") == "assistant", answer)
+        .when(F.col("role") == "system", user(F.concat(F.lit("<system-reminder>"), F.col("text"))))
+        .when(_mod("conv_id", 2) == 0, user(F.col("text")))
+        .otherwise(user(F.array(_text_block(F.col("text")))))
+    )
+    copies = F.when((F.col("role") == "assistant") & (_mod("turn", 4) == 1), F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return base.select(
+        "path",
+        "conv_id",
+        line.alias("line"),
+        F.col("turn"),
+        F.explode(copies).alias("copy"),
+    ).select("path", "conv_id", (F.col("turn") * SEQ_PER_TURN + F.col("copy")).alias("seq"), "line")
+
+
+def rollout_log_lines(conversations: DataFrame) -> DataFrame:
+    """(path, seq, line): a header, a model announcement before some prompts, messages; some answers
+    are left out so that prompts follow prompts."""
+    path = F.concat(F.lit(f"{ROLLOUT_ROOT}/sessions/2026/01/0"), _mod("conv_id", 9) + 1, F.lit("/rollout-"), F.col("conv_id"), F.lit(".jsonl"))
+    base = conversations.select("conv_id", "turn", "role", "text", path.alias("path"), _ts().alias("timestamp"))
+
+    def record(kind: str, payload: Column) -> Column:
+        return F.to_json(F.struct("timestamp", F.lit(kind).alias("type"), payload.alias("payload")))
+
+    header = record(
+        "session_meta",
+        F.struct(
+            F.concat(F.lit("r"), F.col("conv_id")).alias("id"),
+            F.concat(F.lit("/work/r"), _mod("conv_id", 5)).alias("cwd"),
+            F.lit("codex-tui").alias("originator"),
+            F.when(_mod("conv_id", 11) == 0, "exec").otherwise("cli").alias("source"),
+        ),
+    )
+    context = record("turn_context", F.struct(_model().alias("model"), F.lit("/work").alias("cwd")))
+    role = F.when(F.col("role") == "system", "developer").otherwise(F.col("role"))
+    fragment = F.struct(
+        F.when(F.col("role") == "assistant", "output_text").otherwise("input_text").alias("type"), F.col("text")
+    )
+    message = record(
+        "response_item",
+        F.struct(F.lit("message").alias("type"), role.alias("role"), F.array(fragment).alias("content")),
+    )
+    dropped = (F.col("role") == "assistant") & (_mod("conv_id", 5) == 0) & (_mod("turn", 4) == 1)
+    lines = F.filter(
+        F.array(
+            F.struct(F.lit(0).alias("k"), F.when(F.col("turn") == 0, header).alias("line")),
+            F.struct(F.lit(1).alias("k"), F.when((F.col("role") == "user") & (_mod("turn", 4) == 2), context).alias("line")),
+            F.struct(F.lit(2).alias("k"), F.when(~dropped, message).alias("line")),
+        ),
+        lambda x: x.line.isNotNull(),
+    )
+    return base.select("path", "conv_id", "turn", F.inline(lines)).select(
+        "path", "conv_id", (F.col("turn") * SEQ_PER_TURN + F.col("k")).alias("seq"), "line"
+    )
+
+
+def as_file_lines(rendered: DataFrame, idle: Column, start: Column | None = None) -> DataFrame:
+    """Give rendered lines their byte offsets and file facts, as if they had been read from files."""
+    placed = with_line_positions(rendered, ["path"], ["seq"], F.expr(f"seq div {SEQ_CHUNK}"), "line")
+    return placed.select(
+        "path",
+        "file_size",
+        (F.lit(0) if start is None else start).cast("bigint").alias("start_offset"),
+        "byte_offset",
+        "line",
+        F.lit(True).alias("terminated"),
+        idle.alias("file_idle"),
+        "conv_id",
+        "seq",
+    )

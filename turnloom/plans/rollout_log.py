@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import jsonline as js
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
-from turnloom.plans.chunks import CHUNK_BYTES, chunk_of, split_by_size
+from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, split_by_size
 from turnloom.schemas import PASS_COLUMNS
 
 # Fixed values of the format.
@@ -116,19 +116,19 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def _events(parsed: DataFrame, chunk_bytes: int) -> DataFrame:
     """Headers, models, prompts and answers only, narrowed before any exchange."""
-    is_tail = ~F.col("valid") & ~F.col("terminated")
+    beside = aside(parsed)
     return parsed.select(
         "path",
         "byte_offset",
         chunk_of(chunk_bytes).alias("chunk"),
         "file_idle",
         "start_offset",
-        F.when(is_tail, "T").otherwise(F.col("kind")).alias("kind"),
+        F.coalesce(F.when(beside == "tail", "T").when(beside == "error", "X"), F.col("kind")).alias("kind"),
         F.when(F.col("kind") == "U", F.col("ts")).alias("ts"),
         F.when(F.col("kind").isin("U", "A"), F.col("text")).alias("text"),
         "model",
         "header",
-    ).filter(F.col("kind").isin("H", "M", "U", "A", "T"))
+    ).filter(F.col("kind").isin("H", "M", "U", "A", "T", "X"))
 
 
 def _speech() -> Column:
@@ -206,7 +206,7 @@ def _scan_chunked(rows: DataFrame) -> DataFrame:
         F.coalesce("model_here", "model_before").alias("model_now"),
         F.coalesce("next.kind", "head_after.kind").alias("next_kind"),
         F.when(opens_chunk, F.col("text")).otherwise(F.col("next.text")).alias("reply"),
-    ).filter(F.col("kind").isin("U", "R", "T", "H"))
+    ).filter(F.col("kind").isin("U", "R", "T", "X", "H"))
     is_first = F.col("kind") != "R"
     paired = rows_out.groupBy("path", "pair").agg(
         *[
@@ -224,6 +224,7 @@ def _outcomes(rows: DataFrame) -> DataFrame:
     is_prompt = F.col("kind") == "U"
     row_kind = (
         F.when(F.col("kind") == "T", "tail")
+        .when(F.col("kind") == "X", "error")
         .when((F.col("kind") == "H") & (F.col("byte_offset") == meta["byte_offset"]), "header")
         .when(is_prompt & (meta.isNull() | is_exec), None)
         .when(is_prompt & (F.col("next_kind") == "U"), "lost")

@@ -26,6 +26,7 @@ EVENT_COLUMNS = [
 #   held    an unsettled prompt; the cursor must stay before `prompt_offset`
 #   lost    a prompt overwritten by the next prompt before any answer (diagnostic only)
 #   header  the file has a session header (rollout format only)
+#   error   a byte range of the file could not be read; the file is left for the next pass
 #   tail    an unfinished last line; the cursor must stay before `prompt_offset`
 PASS_COLUMNS = ["row_kind", "path", "prompt_offset", *[c for c in EVENT_COLUMNS if c != "client_version"]]
 
