@@ -45,8 +45,13 @@ def no_files(spark: SparkSession) -> DataFrame:
 
 
 def start_offset(cursor: Column, legacy_offset: Column, file_size: Column) -> Column:
-    """Where reading resumes: the cursor, else the legacy offset, else 0; 0 again after rotation."""
-    offset = F.coalesce(cursor.try_cast("bigint"), legacy_offset, F.lit(0))
+    """Where reading resumes; 0 again after rotation.
+
+    An empty cursor falls back to the legacy offset; text that is no number restarts the file.
+    """
+    number = F.when(cursor.rlike("^[+-]?[0-9]+$"), cursor.try_cast("bigint"))
+    seeded = F.when(F.coalesce(cursor, F.lit("")) == "", legacy_offset).otherwise(number)
+    offset = F.greatest(F.coalesce(seeded, F.lit(0)), F.lit(0))
     return F.when(offset > file_size, F.lit(0)).otherwise(offset).cast("bigint")
 
 
