@@ -2,80 +2,83 @@
 
 A lenient reader would accept ``{...}]``, two values on one line, or a number where text is
 expected; the log rules reject such lines, so the helpers below check the JSON type of every
-field they hand out.
+field they hand out. Everything is SQL text: the decoders are long, and one parsed text costs the
+driver far less than thousands of column calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 _END = "~end of line~"
 
-_STRICT = {
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-    "maxStringLen": str(2**31 - 1),
-    "maxNestingDepth": "10000",
-}
+_OPTIONS = (
+    "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false', "
+    "'maxStringLen', '2147483647', 'maxNestingDepth', '10000')"
+)
 
 
-def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+def compute_once(df: DataFrame, let: dict[str, str] | None = None, **columns: str) -> DataFrame:
     """Add columns through a one-row generator.
 
     A plain projection would be copied into every filter pushed below it, which parses a line once
-    per predicate. A generated column is an attribute, so it is evaluated exactly once.
+    per predicate. A generated column is an attribute, so it is evaluated exactly once. Names in
+    ``let`` are bound before the columns and can be used in them, each evaluated once as well.
     """
-    fields = [value.alias(name) for name, value in columns.items()]
-    return df.select("*", F.inline(F.array(F.struct(*fields))))
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    rows = f"array(named_struct({fields}))"
+    if let:
+        bound = ", ".join(f"'{name}', {sql}" for name, sql in let.items())
+        rows = f"transform(array(named_struct({bound})), _ -> named_struct({fields}))"
+    return df.selectExpr("*", f"inline({rows})")
 
 
-def unpack(df: DataFrame, value: Column, present: str, prefix: str, names: list[str]) -> DataFrame:
-    """Add the members of a VARIANT object as flat VARIANT columns, and whether it is an object."""
-
-    def members(o: Column) -> Column:
-        return F.struct(
-            o.isNotNull().alias(present), *[o.getField(n).alias(prefix + n) for n in names]
-        )
-
-    return df.select("*", F.inline(F.transform(F.array(fields_of(value, *names)), members)))
-
-
-def strict_value(line: Column) -> Column:
-    """The line's only JSON value as VARIANT, NULL when the line is anything else.
+def with_strict_value(df: DataFrame, line: str, out: str) -> DataFrame:
+    """Add the line's only JSON value as VARIANT, NULL when the line is anything else.
 
     The value is read as the first of two array elements; leftovers on the line would displace the
     second one.
     """
-    wrapped = F.concat(F.lit("["), F.make_valid_utf8(line), F.lit(f',"{_END}"]'))
-    pair = F.from_json(wrapped, "array<variant>", _STRICT)
-    last = F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "string")
-    return F.when(last == _END, F.try_element_at(pair, F.lit(1)))
+    pair = f"""from_json(concat('[', make_valid_utf8({line}), ',"{_END}"]'), 'array<variant>', {_OPTIONS})"""
+    value = f"if(try_variant_get(get(_.pair, 1), '$', 'string') = '{_END}', get(_.pair, 0), null)"
+    return compute_once(df, let={"pair": pair}, **{out: value})
 
 
-def fields_of(value: Column, *names: str) -> Column:
+def fields_of(value: str, *names: str) -> str:
     """Struct of the named members as VARIANT; NULL when the value is not an object."""
     ddl = ", ".join(f"{n}: variant" for n in names)
-    return F.try_variant_get(value, "$", f"struct<{ddl}>")
+    return f"try_variant_get({value}, '$', 'struct<{ddl}>')"
+
+
+def unpack(df: DataFrame, value: str, present: str, prefix: str, names: list[str]) -> DataFrame:
+    """Add the members of a VARIANT object as flat VARIANT columns, and whether it is an object."""
+    members = {prefix + n: f"_.o.{n}" for n in names}
+    return compute_once(df, let={"o": fields_of(value, *names)}, **{present: "_.o is not null"}, **members)
+
+
+def absent(value: str) -> str:
+    return f"({value} is null or is_variant_null({value}))"
 
 
-def absent(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
+def json_type(value: str) -> str:
+    return f"schema_of_variant({value})"
 
 
-def json_type(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def of_type(value: str, *types: str) -> str:
+    """The field is missing, or has one of the JSON types."""
+    names = ", ".join(f"'{t}'" for t in types)
+    return f"({value} is null or {json_type(value)} in ({names}))"
 
 
-def is_text_or_absent(value: Column) -> Column:
-    return value.isNull() | json_type(value).isin("STRING", "VOID")
+def is_text_or_absent(value: str) -> str:
+    return of_type(value, "STRING", "VOID")
 
 
-def text_of(value: Column) -> Column:
+def text_of(value: str) -> str:
     """Text of a field already known to be text; missing and null read as ''."""
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
+    return f"coalesce(try_variant_get({value}, '$', 'string'), '')"
 
 
-def text_if_string(value: Column) -> Column:
+def text_if_string(value: str) -> str:
     """Text when the field is a JSON string, else NULL."""
-    return F.when(json_type(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return f"if({json_type(value)} = 'STRING', try_variant_get({value}, '$', 'string'), null)"

@@ -8,14 +8,13 @@ folding steps spread a long turn over its messages before the last, partially ag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsonline as js
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
-from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, split_by_size
-from turnloom.schemas import PASS_COLUMNS
+from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, spans_chunks
 
 # Fixed values of the format.
 SOURCE_TOOL = "CLAUDE_CODE"
@@ -29,88 +28,61 @@ _MESSAGE_FIELDS = ["id", "role", "model", "content", "usage", "stop_reason"]
 _MESSAGE_TEXT = ["id", "role", "model", "stop_reason"]
 
 
-def _content(content: Column, wanted: Column) -> dict[str, Column]:
-    """Text blocks of ``content``; only looked at on wanted rows."""
-    blocks = F.when(
-        wanted,
-        F.transform(
-            F.try_variant_get(content, "$", "array<variant>"),
-            lambda e: F.struct(F.is_variant_null(e).alias("nil"), js.fields_of(e, "type", "text").alias("b")),
-        ),
-    )
-    return {"blocks": blocks, "scalar": F.when(wanted & blocks.isNull(), js.json_type(content))}
-
-
 def parse(lines: DataFrame) -> DataFrame:
     """Decode raw lines. ``valid`` marks lines that fit the format; fields of others are unset."""
     files = [c for c in lines.columns if c != "line"]
-    doc = js.compute_once(lines, doc=js.strict_value(F.col("line"))).drop("line")
-    line = js.unpack(doc, F.col("doc"), "is_object", "", _LINE_FIELDS).drop("doc")
-    message = js.unpack(line, F.col("message"), "has_message", "m_", _MESSAGE_FIELDS)
-    used = js.unpack(message, F.col("m_usage"), "has_usage", "u_", ["output_tokens"])
-    checks = [js.is_text_or_absent(F.col(f)) for f in _LINE_TEXT]
-    checks += [js.is_text_or_absent(F.col("m_" + f)) for f in _MESSAGE_TEXT]
-    checks += [
-        F.col("isSidechain").isNull() | js.json_type(F.col("isSidechain")).isin("BOOLEAN", "VOID"),
-        js.absent(F.col("message")) | F.col("has_message"),
-        js.absent(F.col("m_usage")) | F.col("has_usage"),
-        F.col("u_output_tokens").isNull() | js.json_type(F.col("u_output_tokens")).isin("BIGINT", "VOID"),
+    doc = js.with_strict_value(lines, "line", "doc").drop("line")
+    line = js.unpack(doc, "doc", "is_object", "", _LINE_FIELDS).drop("doc")
+    message = js.unpack(line, "message", "has_message", "m_", _MESSAGE_FIELDS)
+    used = js.unpack(message, "m_usage", "has_usage", "u_", ["output_tokens"])
+    checks = [
+        "is_object",
+        *[js.is_text_or_absent(f) for f in _LINE_TEXT],
+        *[js.is_text_or_absent("m_" + f) for f in _MESSAGE_TEXT],
+        js.of_type("isSidechain", "BOOLEAN", "VOID"),
+        js.absent("message") + " or has_message",
+        js.absent("m_usage") + " or has_usage",
+        js.of_type("u_output_tokens", "BIGINT", "VOID"),
     ]
-    fits = F.col("is_object")
-    for check in checks:
-        fits = fits & check
-    valid = js.compute_once(used, valid=fits, line_type=js.text_of(F.col("type")))
-    main = ~F.coalesce(F.try_variant_get("isSidechain", "$", "boolean"), F.lit(False))
-    roled = js.compute_once(
-        valid,
-        is_user=F.col("valid") & (F.col("line_type") == "user") & main,
-        is_reply=F.col("valid") & (F.col("line_type") == "assistant") & main,
-    )
-    with_content = js.compute_once(
-        roled, **_content(F.col("m_content"), F.col("is_user") | F.col("is_reply"))
-    )
-
-    def named(x: Column, name: str) -> Column:
-        return F.coalesce(F.try_variant_get(x.b.type, "$", "string") == name, F.lit(False))
-
-    broken = F.exists("blocks", lambda x: ~x.nil & x.b.isNull())
-    pieces = F.filter(
-        F.transform("blocks", lambda x, i: F.struct(i.alias("pos"), F.when(named(x, "text"), js.text_if_string(x.b.text)).alias("text"))),
-        lambda p: p.text != "",
-    )
-    pieced = js.compute_once(
-        with_content,
-        pieces=F.when(~broken, pieces),
-        tool_output=F.coalesce(F.exists("blocks", lambda x: named(x, "tool_result")), F.lit(False)),
-    )
-    joined = F.array_join(F.col("pieces.text"), "")
-    prompt_text = (
-        F.when(~F.col("is_user"), None)
-        .when(F.col("scalar") == "STRING", F.try_variant_get("m_content", "$", "string"))
-        .when(F.col("scalar") == "VOID", F.lit(""))
-        .when(~F.col("tool_output"), F.nullif(joined, F.lit("")))
-    )
-    return js.compute_once(pieced, user_text=prompt_text).select(
+    speaker = f"""if({" and ".join(f"({c})" for c in checks)},
+        if(coalesce(try_variant_get(isSidechain, '$', 'boolean'), false), 'side', {js.text_of("type")}), null)"""
+    spoken = js.compute_once(used, speaker=speaker)
+    blocks = f"""if(speaker in ('user', 'assistant'),
+        transform(try_variant_get(m_content, '$', 'array<variant>'),
+                  (e, i) -> named_struct('pos', i, 'nil', is_variant_null(e), 'b', {js.fields_of("e", "type", "text")})),
+        null)"""
+    named = "try_variant_get(x.b.type, '$', 'string')"
+    content = js.compute_once(spoken, blocks=blocks)
+    read = js.compute_once(
+        content,
+        scalar=f"if(speaker = 'user' and blocks is null, {js.json_type('m_content')}, null)",
+        pieces=f"""if(exists(blocks, x -> not x.nil and x.b is null), null,
+            filter(transform(filter(blocks, x -> {named} = 'text'),
+                             x -> named_struct('pos', x.pos, 'text', {js.text_if_string("x.b.text")})),
+                   p -> p.text != ''))""",
+        tool_output=f"coalesce(exists(blocks, x -> {named} = 'tool_result'), false)",
+    )
+    user_text = """case when speaker != 'user' then null
+        when scalar = 'STRING' then try_variant_get(m_content, '$', 'string')
+        when scalar = 'VOID' then ''
+        when not tool_output then nullif(array_join(pieces.text, ''), '') end"""
+
+    def reply(sql: str) -> str:
+        return f"if(speaker = 'assistant', {sql}, null)"
+
+    head = ", ".join(f"'{f}', {js.text_of(f)}" for f in ["sessionId", "cwd", "gitBranch", "timestamp"])
+    return js.compute_once(read, user_text=user_text).selectExpr(
         *files,
-        "valid",
-        "is_user",
-        "is_reply",
+        "speaker is not null as valid",
+        "speaker",
         "user_text",
-        F.when(F.col("valid"), F.nullif(js.text_of(F.col("entrypoint")), F.lit(""))).alias("entrypoint"),
-        F.struct(
-            *[js.text_of(F.col(f)).alias(f) for f in ["sessionId", "cwd", "gitBranch", "timestamp"]]
-        ).alias("head"),
-        F.when(F.col("is_reply"), F.coalesce(
-            F.nullif(js.text_of(F.col("m_id")), F.lit("")),
-            F.concat(F.lit("line:"), js.text_of(F.col("timestamp"))),
-        )).alias("msg_id"),
-        F.when(
-            F.col("is_reply") & F.col("has_usage"),
-            F.coalesce(F.try_variant_get("u_output_tokens", "$", "bigint"), F.lit(0)),
-        ).alias("tokens"),
-        F.when(F.col("is_reply"), F.nullif(F.nullif(js.text_of(F.col("m_model")), F.lit("")), F.lit(SYNTHETIC_MODEL))).alias("model"),
-        F.when(F.col("is_reply"), js.text_of(F.col("m_stop_reason"))).alias("stop_reason"),
-        F.when(F.col("is_reply"), F.col("pieces")).alias("pieces"),
+        f"if(speaker is not null, nullif({js.text_of('entrypoint')}, ''), null) as entrypoint",
+        f"named_struct({head}) as head",
+        reply(f"coalesce(nullif({js.text_of('m_id')}, ''), concat('line:', {js.text_of('timestamp')}))") + " as msg_id",
+        reply("if(has_usage, coalesce(try_variant_get(u_output_tokens, '$', 'bigint'), 0), null)") + " as tokens",
+        reply(f"nullif(nullif({js.text_of('m_model')}, ''), '{SYNTHETIC_MODEL}')") + " as model",
+        reply(js.text_of("m_stop_reason")) + " as stop_reason",
+        reply("pieces") + " as pieces",
     )
 
 
@@ -120,7 +92,7 @@ def drop_reason(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn(
         "reason",
         F.when(~F.col("valid"), "invalid")
-        .when(~F.col("is_user"), "not_user")
+        .when(F.col("speaker") != "user", "not_user")
         .when(text.isNull(), "no_text")
         .when(tx.has_block_marker(text), "marker")
         .when(tx.is_block_synthetic(text), "prefix")
@@ -130,27 +102,24 @@ def drop_reason(parsed: DataFrame) -> DataFrame:
 
 def _events(parsed: DataFrame, chunk_bytes: int) -> DataFrame:
     """Rows that matter for turns, narrowed before any exchange."""
-    human = F.col("user_text").isNotNull() & ~tx.is_block_synthetic(F.col("user_text"))
-    marked = js.compute_once(parsed, is_prompt=F.coalesce(human, F.lit(False)))
-    rows = marked.select(
+    marked = parsed.select("*", F.inline(F.array(F.struct(tx.is_block_synthetic(F.col("user_text")).alias("synthetic")))))
+    return marked.selectExpr(
         "path",
         "byte_offset",
-        chunk_of(chunk_bytes).alias("chunk"),
+        f"{chunk_of(chunk_bytes)} as chunk",
+        f"{spans_chunks(chunk_bytes)} as spans",
         "file_idle",
-        F.when(F.col("is_prompt"), F.col("byte_offset")).alias("prompt_offset"),
-        F.when(F.col("is_prompt"), F.struct("head", F.col("user_text").alias("text"))).alias("prompt"),
+        "if(not synthetic, byte_offset, null) as prompt_offset",
+        "if(not synthetic, struct(head, user_text as text), null) as prompt",
         "entrypoint",
-        "is_reply",
+        "coalesce(speaker = 'assistant', false) as is_reply",
         "msg_id",
         "tokens",
         "model",
         "stop_reason",
         "pieces",
-        aside(parsed).alias("aside"),
-    )
-    return rows.filter(
-        F.col("prompt_offset").isNotNull() | F.col("is_reply") | F.col("entrypoint").isNotNull() | F.col("aside").isNotNull()
-    )
+        f"{aside(parsed)} as aside",
+    ).filter("prompt_offset is not null or is_reply or entrypoint is not null or aside is not null")
 
 
 def _scan_whole(rows: DataFrame) -> DataFrame:
@@ -195,67 +164,58 @@ def _scan_chunked(rows: DataFrame) -> DataFrame:
 
 def _fold(rows: DataFrame) -> DataFrame:
     """One row per turn. Repeats of a (message, text) pair count once, tokens once per message."""
-    answers = F.col("turn").isNotNull() & (F.col("prompt_offset").isNotNull() | F.col("is_reply"))
-    keyed = rows.filter(answers | F.col("aside").isNotNull())
     # Unfinished last lines and read errors travel along as groups of their own.
-    in_turn = keyed.withColumn("turn", F.when(F.col("aside").isNotNull(), F.col("byte_offset")).otherwise(F.col("turn")))
-    piece = in_turn.withColumn("piece", F.explode_outer("pieces"))
-    at = F.struct("byte_offset", F.col("piece.pos"))
+    piece = rows.filter(
+        "aside is not null or (turn is not null and (prompt_offset is not null or is_reply))"
+    ).selectExpr("*", "if(aside is null, turn, byte_offset) as at_prompt", "explode_outer(pieces) as piece")
     shared = [
-        F.max("prompt").alias("prompt"),
-        F.min("entry").alias("entry"),
-        F.max("last_prompt").alias("last_prompt"),
-        F.max("file_idle").alias("file_idle"),
-        F.max("aside").alias("aside"),
+        F.expr(f"{how}({c}) as {c}")
+        for how, c in [("max", "prompt"), ("min", "entry"), ("max", "last_prompt"), ("max", "file_idle"), ("max", "aside")]
     ]
-    texts = piece.groupBy("path", "turn", "msg_id", F.col("piece.text").alias("text")).agg(
-        F.min(at).alias("at"),
-        F.min(F.when(F.col("tokens").isNotNull(), F.struct("byte_offset", "tokens"))).alias("usage"),
-        F.min(F.when(F.col("model").isNotNull(), F.struct("byte_offset", "model"))).alias("answered_by"),
-        F.max(F.when(F.col("is_reply"), F.struct("byte_offset", "stop_reason"))).alias("stopped"),
+    carried = [F.expr("min(answered_by) as answered_by"), F.expr("max(stopped) as stopped"), *shared]
+    texts = piece.groupBy("path", "at_prompt", "msg_id", F.col("piece.text").alias("text")).agg(
+        F.expr("min(struct(byte_offset, piece.pos)) as at"),
+        F.expr("min(if(tokens is null, null, struct(byte_offset, tokens))) as usage"),
+        F.expr("min(if(model is null, null, struct(byte_offset, model))) as answered_by"),
+        F.expr("max(if(is_reply, struct(byte_offset, stop_reason), null)) as stopped"),
         *shared,
     )
-    carried = [
-        F.min("answered_by").alias("answered_by"),
-        F.max("stopped").alias("stopped"),
-        *shared,
-    ]
-    messages = texts.groupBy("path", "turn", "msg_id").agg(
-        F.min("usage")["tokens"].alias("tokens"),
-        F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text"))).alias("pieces"),
+    messages = texts.groupBy("path", "at_prompt", "msg_id").agg(
+        F.expr("min(usage).tokens as tokens"),
+        F.expr("collect_list(if(text is null, null, struct(at, text))) as pieces"),
         *carried,
     )
-    return messages.groupBy("path", "turn").agg(
-        F.sum("tokens").alias("token_count"),
-        F.flatten(F.collect_list("pieces")).alias("pieces"),
-        *carried,
+    return messages.groupBy("path", "at_prompt").agg(
+        F.expr("sum(tokens) as token_count"), F.expr("flatten(collect_list(pieces)) as pieces"), *carried
     )
 
 
 def _pass_rows(turns: DataFrame) -> DataFrame:
-    finished = F.col("file_idle") & F.coalesce(F.col("stopped.stop_reason").isin(TERMINAL_STOPS), F.lit(False))
-    later_prompt = F.coalesce(F.col("turn") < F.col("last_prompt"), F.lit(False))
-    settled = F.col("aside").isNull() & (later_prompt | finished)
-    response = F.array_join(F.transform(F.array_sort("pieces"), lambda p: p.text), "")
-    head = "prompt.head."
-
-    def when_settled(value: Column) -> Column:
-        return F.when(settled, value)
-
-    return turns.select(
-        F.coalesce("aside", F.when(settled, "turn").otherwise("held")).alias("row_kind"),
+    stops = ", ".join(f"'{s}'" for s in TERMINAL_STOPS)
+    judged = turns.selectExpr(
+        "*",
+        f"""case when aside is not null then aside
+                 when at_prompt < last_prompt then 'turn'
+                 when file_idle and stopped.stop_reason in ({stops}) then 'turn'
+                 else 'held' end as row_kind""",
+    )
+    is_turn = F.col("row_kind") == "turn"
+    return judged.select(
+        "row_kind",
         "path",
-        F.col("turn").alias("prompt_offset"),
+        F.col("at_prompt").alias("prompt_offset"),
         F.lit(SOURCE_TOOL).alias("source_tool"),
-        when_settled(tx.normalize_surface(F.col("entry"))).alias("surface"),
-        when_settled(tx.empty_to_null(F.col(head + "sessionId"))).alias("session_id"),
-        when_settled(F.col("prompt.text")).alias("prompt_text"),
-        when_settled(tx.empty_to_null(response)).alias("response_text"),
-        when_settled(parse_rfc3339(F.col(head + "timestamp"))).alias("prompt_ts"),
-        when_settled(F.col("token_count")).alias("token_count"),
-        when_settled(tx.project_context(F.col(head + "cwd"), F.col(head + "gitBranch"))).alias("project_context"),
-        when_settled(F.col("answered_by.model")).alias("model"),
-    ).select(*PASS_COLUMNS)
+        F.when(is_turn, tx.normalize_surface(F.col("entry"))).alias("surface"),
+        F.expr("if(row_kind = 'turn', nullif(prompt.head.sessionId, ''), null) as session_id"),
+        F.expr("if(row_kind = 'turn', prompt.text, null) as prompt_text"),
+        F.expr(
+            "if(row_kind = 'turn', nullif(array_join(transform(array_sort(pieces), p -> p.text), ''), ''), null) as response_text"
+        ),
+        F.when(is_turn, parse_rfc3339(F.col("prompt.head.timestamp"))).alias("prompt_ts"),
+        F.expr("if(row_kind = 'turn', token_count, null) as token_count"),
+        F.when(is_turn, tx.project_context(F.col("prompt.head.cwd"), F.col("prompt.head.gitBranch"))).alias("project_context"),
+        F.expr("if(row_kind = 'turn', answered_by.model, null) as model"),
+    )
 
 
 def scan_whole_files(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -271,7 +231,9 @@ def scan_chunked_files(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Data
 def scan(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pass rows of any mix of files, each by the cheaper way that fits it.
 
-    ``lines`` has the raw-line columns plus ``file_idle``.
+    ``lines`` has the raw-line columns plus ``file_idle``. The size test is pushed below the decoding,
+    so every file is decoded on one side only.
     """
-    whole, chunked = split_by_size(lines, chunk_bytes)
-    return scan_whole_files(whole, chunk_bytes).unionByName(scan_chunked_files(chunked, chunk_bytes))
+    rows = _events(parse(lines), chunk_bytes)
+    both = [_fold(_scan_whole(rows.filter("not spans"))), _fold(_scan_chunked(rows.filter("spans")))]
+    return _pass_rows(both[0].unionByName(both[1]))

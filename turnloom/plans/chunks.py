@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 64 * 1024 * 1024
 
 
-def chunk_of(chunk_bytes: int, offset: str = "byte_offset") -> Column:
+def chunk_of(chunk_bytes: int) -> str:
     """Chunk in which a line starts; depends on the byte offset alone, never on the cluster."""
-    return F.expr(f"{offset} div {int(chunk_bytes)}")
+    return f"byte_offset div {int(chunk_bytes)}"
 
 
-def spans_chunks(chunk_bytes: int) -> Column:
+def spans_chunks(chunk_bytes: int, start: str = "start_offset") -> str:
     """The part of the file read in this pass touches more than one chunk."""
-    return F.expr(f"start_offset div {int(chunk_bytes)} < greatest(file_size - 1, 0L) div {int(chunk_bytes)}")
+    return f"{start} div {int(chunk_bytes)} < greatest(file_size - 1, 0L) div {int(chunk_bytes)}"
 
 
-def split_by_size(df: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of files inside one chunk, and rows of larger files."""
-    large = spans_chunks(chunk_bytes)
-    return df.filter(~large), df.filter(large)
-
-
-def aside(parsed: DataFrame) -> Column:
+def aside(parsed: DataFrame) -> str:
     """What a line is besides content: an unfinished last line, or a range that could not be read."""
-    failed = F.col("error").isNotNull() if "error" in parsed.columns else F.lit(False)
-    return F.when(failed, "error").when(~F.col("valid") & ~F.col("terminated"), "tail")
+    failed = "error is not null" if "error" in parsed.columns else "false"
+    return f"case when {failed} then 'error' when not valid and not terminated then 'tail' end"

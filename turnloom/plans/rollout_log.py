@@ -8,14 +8,13 @@ meets the first answer of a later one through their shared answer offset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsonline as js
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
-from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, split_by_size
-from turnloom.schemas import PASS_COLUMNS
+from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, spans_chunks
 
 # Fixed values of the format.
 SOURCE_TOOL = "CODEX"
@@ -35,245 +34,189 @@ def parse(lines: DataFrame) -> DataFrame:
     fit the format.
     """
     files = [c for c in lines.columns if c != "line"]
-    doc = js.compute_once(lines, doc=js.strict_value(F.col("line"))).drop("line")
-    line = js.unpack(doc, F.col("doc"), "is_object", "l_", ["timestamp", "type", "payload"]).drop("doc")
-    fits = F.col("is_object") & js.is_text_or_absent(F.col("l_timestamp")) & js.is_text_or_absent(F.col("l_type"))
+    doc = js.with_strict_value(lines, "line", "doc").drop("line")
+    line = js.unpack(doc, "doc", "is_object", "l_", ["timestamp", "type", "payload"]).drop("doc")
     typed = js.compute_once(
         line,
-        valid=fits,
-        ts=F.when(fits, js.text_of(F.col("l_timestamp"))),
-        record=F.when(fits, js.text_of(F.col("l_type"))),
-        payload=F.when(
-            js.text_of(F.col("l_type")).isin("session_meta", "turn_context", "response_item"), F.col("l_payload")
-        ),
-    ).drop("l_timestamp", "l_type", "l_payload", "is_object")
-    # One unpacking for all three payload kinds; `type` is only looked at for response items.
-    names = [*_HEADER, "model", "type", "role", "content"]
-    body = js.unpack(typed, F.col("payload"), "has_body", "p_", names)
-    no_body = js.absent(F.col("payload"))
-
-    def text_member(name: str) -> Column:
-        # Header members are read one by one: a mistyped one is empty, the others stay.
-        return F.coalesce(js.text_if_string(F.col("p_" + name)), F.lit(""))
-
-    fragments = F.transform(
-        F.try_variant_get("p_content", "$", "array<variant>"),
-        lambda e: F.struct(F.is_variant_null(e).alias("nil"), js.fields_of(e, "type", "text").alias("f")),
-    )
-    parts = js.compute_once(
-        body,
-        context_ok=F.col("has_body") & js.is_text_or_absent(F.col("p_model")) & js.is_text_or_absent(F.col("p_cwd")),
-        item_ok=(F.col("record") == "response_item")
-        & F.col("has_body")
-        & js.is_text_or_absent(F.col("p_type"))
-        & js.is_text_or_absent(F.col("p_role")),
-        fragments=F.when(F.col("record") == "response_item", fragments),
-    )
-    bad = F.exists(
-        "fragments",
-        lambda x: ~x.nil
-        & (x.f.isNull() | ~js.is_text_or_absent(x.f.type) | ~js.is_text_or_absent(x.f.text)),
-    )
+        record=f"if(is_object and {js.is_text_or_absent('l_timestamp')} and {js.is_text_or_absent('l_type')}, "
+        f"{js.text_of('l_type')}, null)",
+    )
+    # One unpacking for all three payload kinds.
+    payload = "if(record in ('session_meta', 'turn_context', 'response_item'), l_payload, null)"
+    body = js.unpack(typed, payload, "has_body", "p_", [*_HEADER, "model", "type", "role", "content"])
+    fragments = f"""if(record = 'response_item',
+        transform(try_variant_get(p_content, '$', 'array<variant>'),
+                  e -> named_struct('nil', is_variant_null(e), 'f', {js.fields_of("e", "type", "text")})), null)"""
+    parts = js.compute_once(body, fragments=fragments)
+    bad = f"""exists(fragments, x -> not x.nil and (x.f is null or not {js.is_text_or_absent("x.f.type")}
+                                    or not {js.is_text_or_absent("x.f.text")}))"""
     message = js.compute_once(
         parts,
-        role=F.when(
-            F.col("item_ok")
-            & F.when(F.col("fragments").isNull(), js.absent(F.col("p_content"))).otherwise(~bad)
-            & (js.text_of(F.col("p_type")) == "message"),
-            js.text_of(F.col("p_role")),
-        ),
+        role=f"""if(record = 'response_item' and has_body and {js.is_text_or_absent("p_type")}
+            and {js.is_text_or_absent("p_role")} and {js.text_of("p_type")} = 'message'
+            and if(fragments is null, {js.absent("p_content")}, not {bad}), {js.text_of("p_role")}, null)""",
     )
-    wanted = F.when(F.col("role") == "user", "input_text").when(F.col("role") == "assistant", "output_text")
-    chosen = F.filter("fragments", lambda x: F.coalesce(~x.nil & (js.text_of(x.f.type) == wanted), F.lit(False)))
+    wanted = "case role when 'user' then 'input_text' when 'assistant' then 'output_text' end"
     joined = js.compute_once(
         message,
-        text=F.when(wanted.isNotNull(), F.coalesce(F.array_join(F.transform(chosen, lambda x: js.text_of(x.f.text)), ""), F.lit(""))),
-    )
-    empty = F.col("text") == ""
-    kind = (
-        F.when(~F.col("valid") | F.col("valid").isNull(), None)
-        .when(F.col("record") == "session_meta", "H")
-        .when(F.col("record") == "compacted", "C")
-        .when(F.col("record") == "turn_context", F.when(F.col("context_ok") & (js.text_of(F.col("p_model")) != ""), "M").otherwise("O"))
-        .when(F.col("role") == "developer", "E")
-        .when(F.col("role") == "user", F.when(empty, "O").when(tx.is_rollout_synthetic(F.col("text")), "I").otherwise("U"))
-        .when(F.col("role") == "assistant", F.when(empty, "O").otherwise("A"))
-        .otherwise("O")
-    )
-    return js.compute_once(joined.drop("fragments"), kind=kind).select(
+        text=f"""if(role in ('user', 'assistant'), coalesce(array_join(transform(
+            filter(fragments, x -> not x.nil and {js.text_of("x.f.type")} = {wanted}),
+            x -> {js.text_of("x.f.text")}), ''), ''), null)""",
+    ).select("*", F.inline(F.array(F.struct(tx.is_rollout_synthetic(F.col("text")).alias("synthetic")))))
+    announced = f"""has_body and {js.is_text_or_absent("p_model")} and {js.is_text_or_absent("p_cwd")}
+        and {js.text_of("p_model")} != ''"""
+    kind = f"""case when record is null then null
+        when record = 'session_meta' then 'H'
+        when record = 'compacted' then 'C'
+        when record = 'turn_context' then if({announced}, 'M', 'O')
+        when role = 'developer' then 'E'
+        when text = '' then 'O'
+        when role = 'user' then if(synthetic, 'I', 'U')
+        when role = 'assistant' then 'A'
+        else 'O' end"""
+    # Header members are read one by one: a mistyped one is empty, the others stay.
+    header = ", ".join(f"'{n}', coalesce({js.text_if_string('p_' + n)}, '')" for n in _HEADER)
+    return js.compute_once(joined, kind=kind).selectExpr(
         *files,
         "kind",
-        F.coalesce("valid", F.lit(False)).alias("valid"),
-        "ts",
-        F.when(F.col("kind").isin("U", "A", "I", "E"), F.col("text")).alias("text"),
-        F.when(F.col("kind") == "M", js.text_of(F.col("p_model"))).alias("model"),
-        F.when(
-            F.col("kind") == "H",
-            F.struct("byte_offset", *[F.when(~no_body, text_member(n)).otherwise(F.lit("")).alias(n) for n in _HEADER]),
-        ).alias("header"),
+        "record is not null as valid",
+        f"if(kind = 'U', {js.text_of('l_timestamp')}, null) as ts",
+        "if(kind in ('U', 'A', 'I'), text, null) as text",
+        f"if(kind = 'M', {js.text_of('p_model')}, null) as model",
+        f"if(kind = 'H', named_struct('byte_offset', byte_offset, {header}), null) as header",
     )
 
 
 def _events(parsed: DataFrame, chunk_bytes: int) -> DataFrame:
     """Headers, models, prompts and answers only, narrowed before any exchange."""
-    beside = aside(parsed)
-    return parsed.select(
+    marked = js.compute_once(
+        parsed.withColumnRenamed("kind", "line_kind"),
+        kind=f"coalesce(case {aside(parsed)} when 'tail' then 'T' when 'error' then 'X' end, line_kind)",
+    )
+    return marked.selectExpr(
         "path",
         "byte_offset",
-        chunk_of(chunk_bytes).alias("chunk"),
+        f"{chunk_of(chunk_bytes)} as chunk",
+        f"{spans_chunks(chunk_bytes, '0L')} as spans",
         "file_idle",
         "start_offset",
-        F.coalesce(F.when(beside == "tail", "T").when(beside == "error", "X"), F.col("kind")).alias("kind"),
-        F.when(F.col("kind") == "U", F.col("ts")).alias("ts"),
-        F.when(F.col("kind").isin("U", "A"), F.col("text")).alias("text"),
+        "kind",
+        "ts",
+        "text",
         "model",
         "header",
-    ).filter(F.col("kind").isin("H", "M", "U", "A", "T", "X"))
+    ).filter("kind in ('H', 'M', 'U', 'A', 'T', 'X')")
 
 
-def _speech() -> Column:
-    return F.when(F.col("kind").isin("U", "A"), F.struct("byte_offset", "kind"))
+_SPEECH = "if(kind in ('U', 'A'), struct(kind, byte_offset, if(kind = 'A', text, null) as text), null)"
+_EDGE = "if(kind in ('U', 'A'), struct(byte_offset, kind), null)"
 
 
 def _scan_whole(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("path").orderBy("byte_offset")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    answer = F.when(F.col("kind").isin("U", "A"), F.struct("kind", "byte_offset", F.when(F.col("kind") == "A", F.col("text")).alias("text")))
-    scanned = rows.withColumn("speech", answer).select(
-        "*",
-        F.last("model", ignorenulls=True).over(so_far).alias("model_now"),
-        F.first("header", ignorenulls=True).over(whole).alias("meta"),
-        F.expr("lead(speech) IGNORE NULLS OVER (PARTITION BY path ORDER BY byte_offset)").alias("next"),
-    )
-    return _outcomes(
-        scanned.select(
-            "path", "byte_offset", "kind", "file_idle", "start_offset", "ts", "text", "model_now", "meta",
-            F.col("next.kind").alias("next_kind"),
-            F.col("next.text").alias("reply"),
-        )
-    )
+    """What follows each prompt, for files inside one chunk: one exchange on the path."""
+    order = "OVER (PARTITION BY path ORDER BY byte_offset"
+    return rows.selectExpr("*", f"{_SPEECH} as speech").selectExpr(
+        "path",
+        "byte_offset",
+        "kind",
+        "file_idle",
+        "start_offset",
+        "ts",
+        "text",
+        f"last(model) IGNORE NULLS {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) as model_now",
+        f"first(header) IGNORE NULLS {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) as meta",
+        f"lead(speech) IGNORE NULLS {order}) as next",
+    ).selectExpr("*", "next.kind as next_kind", "next.text as reply").drop("next")
 
 
 def _scan_chunked(rows: DataFrame) -> DataFrame:
+    """The same for files of any size: exchange on (path, chunk), summaries per chunk."""
     sums = rows.groupBy("path", "chunk").agg(
-        F.max(F.when(F.col("kind") == "M", F.struct("byte_offset", "model"))).alias("last_model"),
-        F.min("header").alias("header"),
-        F.min(_speech()).alias("head"),
-        F.max(_speech()).alias("tail"),
-    )
-    by_path = Window.partitionBy("path")
-    before = by_path.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    after = by_path.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(
+        F.expr("max(if(kind = 'M', struct(byte_offset, model), null)) as last_model"),
+        F.expr("min(header) as header"),
+        F.expr(f"min({_EDGE}) as head"),
+        F.expr(f"max({_EDGE}) as tail"),
+    )
+    before = "OVER (PARTITION BY path ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = "OVER (PARTITION BY path ORDER BY chunk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = sums.selectExpr(
         "path",
         "chunk",
-        F.last("last_model", ignorenulls=True).over(before)["model"].alias("model_before"),
-        F.last("tail", ignorenulls=True).over(before)["kind"].alias("kind_before"),
-        F.last("head", ignorenulls=True).over(after).alias("head_after"),
-        F.min("header").over(by_path).alias("meta"),
+        f"(last(last_model) IGNORE NULLS {before}).model as model_before",
+        f"(last(tail) IGNORE NULLS {before}).kind as kind_before",
+        f"last(head) IGNORE NULLS {after} as head_after",
+        "min(header) OVER (PARTITION BY path) as meta",
     )
-    order = "OVER (PARTITION BY path, chunk ORDER BY byte_offset)"
-    so_far = (
-        Window.partitionBy("path", "chunk")
-        .orderBy("byte_offset")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    answer = F.when(F.col("kind").isin("U", "A"), F.struct("kind", "byte_offset", F.when(F.col("kind") == "A", F.col("text")).alias("text")))
+    order = "OVER (PARTITION BY path, chunk ORDER BY byte_offset"
     scanned = (
-        rows.withColumn("speech", answer)
-        .select(
+        rows.selectExpr("*", f"{_SPEECH} as speech")
+        .selectExpr(
             "*",
-            F.last("model", ignorenulls=True).over(so_far).alias("model_here"),
-            F.expr(f"lead(speech) IGNORE NULLS {order}").alias("next"),
-            F.expr(f"lag(speech.kind) IGNORE NULLS {order}").alias("prev_here"),
+            f"last(model) IGNORE NULLS {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) as model_here",
+            f"lead(speech) IGNORE NULLS {order}) as next",
+            f"lag(speech.kind) IGNORE NULLS {order}) as prev_here",
         )
         .join(carry, ["path", "chunk"], "left")
     )
     # An answer that opens its chunk belongs to a prompt of an earlier chunk, if that one waits.
-    opens_chunk = (F.col("kind") == "A") & F.col("prev_here").isNull() & (F.col("kind_before") == "U")
-    crosses = (F.col("kind") == "U") & F.col("next").isNull() & (F.col("head_after.kind") == "A")
-    rows_out = scanned.select(
+    opens_chunk = "kind = 'A' and prev_here is null and kind_before = 'U'"
+    crosses = "kind = 'U' and next is null and head_after.kind = 'A'"
+    sides = scanned.selectExpr(
         "path",
-        F.when(crosses, F.col("head_after.byte_offset")).otherwise(F.col("byte_offset")).alias("pair"),
-        "byte_offset",
-        "file_idle",
-        "start_offset",
-        "meta",
-        F.when(opens_chunk, "R").otherwise(F.col("kind")).alias("kind"),
-        "ts",
-        F.when(F.col("kind") == "U", F.col("text")).alias("text"),
-        F.coalesce("model_here", "model_before").alias("model_now"),
-        F.coalesce("next.kind", "head_after.kind").alias("next_kind"),
-        F.when(opens_chunk, F.col("text")).otherwise(F.col("next.text")).alias("reply"),
-    ).filter(F.col("kind").isin("U", "R", "T", "X", "H"))
-    is_first = F.col("kind") != "R"
-    paired = rows_out.groupBy("path", "pair").agg(
-        *[
-            F.max(F.when(is_first, F.struct("byte_offset", "kind", "ts", "text", "model_now", "next_kind", "file_idle", "start_offset", "meta"))).alias("u"),
-            F.max("reply").alias("reply"),
-        ]
+        f"if({crosses}, head_after.byte_offset, byte_offset) as pair",
+        f"if({opens_chunk}, 'R', kind) as side",
+        "struct(byte_offset, kind, file_idle, start_offset, ts, text, coalesce(model_here, model_before) as model_now, "
+        "meta, coalesce(next.kind, head_after.kind) as next_kind) as row",
+        f"if({opens_chunk}, text, next.text) as reply",
+    ).filter("side in ('U', 'R', 'T', 'X', 'H')")
+    paired = sides.groupBy("path", "pair").agg(
+        F.expr("max(if(side != 'R', row, null)) as row"), F.expr("max(reply) as reply")
     )
-    return _outcomes(paired.filter(F.col("u").isNotNull()).select("path", "u.*", "reply"))
+    return paired.filter("row is not null").select("path", "row.*", "reply")
 
 
 def _outcomes(rows: DataFrame) -> DataFrame:
     """Decide what each prompt became; headers and unfinished lines pass through."""
-    meta = F.col("meta")
-    is_exec = (meta["originator"] == EXEC_ORIGINATOR) | (meta["source"] == EXEC_SOURCE)
-    is_prompt = F.col("kind") == "U"
-    row_kind = (
-        F.when(F.col("kind") == "T", "tail")
-        .when(F.col("kind") == "X", "error")
-        .when((F.col("kind") == "H") & (F.col("byte_offset") == meta["byte_offset"]), "header")
-        .when(is_prompt & (meta.isNull() | is_exec), None)
-        .when(is_prompt & (F.col("next_kind") == "U"), "lost")
-        .when(is_prompt & (F.col("next_kind").isNull() & ~F.col("file_idle")), "held")
-        # Already emitted by an earlier pass: the gate stands after pairing, never before it.
-        .when(is_prompt & (F.col("byte_offset") >= F.col("start_offset")), "turn")
-    )
-    is_turn = F.col("row_kind") == "turn"
-
-    def when_turn(value: Column) -> Column:
-        return F.when(is_turn, value)
-
-    return (
-        rows.withColumn("row_kind", row_kind)
-        .filter(F.col("row_kind").isNotNull())
-        .select(
-            "row_kind",
-            "path",
-            F.col("byte_offset").alias("prompt_offset"),
-            F.lit(SOURCE_TOOL).alias("source_tool"),
-            when_turn(F.lit(SURFACE)).alias("surface"),
-            when_turn(tx.empty_to_null(meta["id"])).alias("session_id"),
-            when_turn(F.col("text")).alias("prompt_text"),
-            when_turn(F.col("reply")).alias("response_text"),
-            when_turn(parse_rfc3339(F.col("ts"))).alias("prompt_ts"),
-            F.lit(None).cast("bigint").alias("token_count"),
-            when_turn(tx.empty_to_null(meta["cwd"])).alias("project_context"),
-            when_turn(F.col("model_now")).alias("model"),
-        )
-        .select(*PASS_COLUMNS)
+    judged = js.compute_once(
+        rows,
+        row_kind=f"""case when kind = 'T' then 'tail'
+            when kind = 'X' then 'error'
+            when kind = 'H' then if(byte_offset = meta.byte_offset, 'header', null)
+            when kind != 'U' or meta is null then null
+            when meta.originator = '{EXEC_ORIGINATOR}' or meta.source = '{EXEC_SOURCE}' then null
+            when next_kind = 'U' then 'lost'
+            when next_kind is null and not file_idle then 'held'
+            -- Emitted by an earlier pass: the gate stands after pairing, never before it.
+            when byte_offset >= start_offset then 'turn' end""",
+    ).filter("row_kind is not null")
+    return judged.select(
+        "row_kind",
+        "path",
+        F.col("byte_offset").alias("prompt_offset"),
+        F.lit(SOURCE_TOOL).alias("source_tool"),
+        F.expr(f"if(row_kind = 'turn', '{SURFACE}', null) as surface"),
+        F.expr("if(row_kind = 'turn', nullif(meta.id, ''), null) as session_id"),
+        F.expr("if(row_kind = 'turn', text, null) as prompt_text"),
+        F.expr("if(row_kind = 'turn', reply, null) as response_text"),
+        F.when(F.col("row_kind") == "turn", parse_rfc3339(F.col("ts"))).alias("prompt_ts"),
+        F.lit(None).cast("bigint").alias("token_count"),
+        F.expr("if(row_kind = 'turn', nullif(meta.cwd, ''), null) as project_context"),
+        F.expr("if(row_kind = 'turn', model_now, null) as model"),
     )
 
 
 def scan_whole_files(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pass rows of files no larger than one chunk."""
-    return _scan_whole(_events(parse(lines), chunk_bytes))
+    return _outcomes(_scan_whole(_events(parse(lines), chunk_bytes)))
 
 
 def scan_chunked_files(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pass rows of files of any size."""
-    return _scan_chunked(_events(parse(lines), chunk_bytes))
+    return _outcomes(_scan_chunked(_events(parse(lines), chunk_bytes)))
 
 
 def scan(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pass rows of any mix of files. Lines must start at byte 0: the cursor in ``start_offset`` only
     gates what is emitted, because the header stands on the first line."""
-    whole, chunked = split_by_size(lines.withColumn("gate", F.col("start_offset")).withColumn("start_offset", F.lit(0).cast("bigint")), chunk_bytes)
-
-    def gated(part: DataFrame) -> DataFrame:
-        return part.withColumn("start_offset", F.col("gate")).drop("gate")
-
-    return scan_whole_files(gated(whole), chunk_bytes).unionByName(scan_chunked_files(gated(chunked), chunk_bytes))
+    rows = _events(parse(lines), chunk_bytes)
+    return _outcomes(_scan_whole(rows.filter("not spans")).unionByName(_scan_chunked(rows.filter("spans"))))
