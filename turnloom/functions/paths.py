@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Key of the default directory's token, and the slug used when nothing is left.
 DEFAULT_TOKEN_KEY = "device-token"
 FALLBACK_SLUG = "claude"
+DEFAULT_DIR_NAME = ".claude"
 
 
 def clean_dir(path: Column) -> Column:
@@ -63,3 +64,10 @@ def owner_dir(path: Column) -> Column:
     """Config directory of a block-log file, NULL when the path has another shape."""
     plain = F.regexp_replace(path, "^file:/+", "/")
     return F.nullif(F.regexp_extract(plain, r"^(.*)/projects/[^/]+/[^/]+\.jsonl$", 1), F.lit(""))
+
+
+def home_default_dir(path: Column) -> Column:
+    """Default config directory of the home a rollout file lies in, NULL for another shape."""
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    home = F.nullif(F.regexp_extract(plain, r"^(.*)/\.codex/sessions/[^/]+/[^/]+/[^/]+/rollout-[^/]*\.jsonl$", 1), F.lit(""))
+    return F.concat(home, F.lit("/" + DEFAULT_DIR_NAME))

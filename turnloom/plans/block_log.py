@@ -8,10 +8,11 @@ folding steps spread a long turn over its messages before the last, partially ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsonline as js
+from turnloom.functions import paths as ph
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
 from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, spans_chunks
@@ -21,6 +22,8 @@ SOURCE_TOOL = "CLAUDE_CODE"
 SYNTHETIC_MODEL = "<synthetic>"
 TERMINAL_STOPS = ["end_turn", "stop_sequence"]
 FILE_GLOB = "projects/*/*.jsonl"
+READS_FROM_START = False
+NEEDS_HEADER = False
 
 _LINE_FIELDS = ["type", "isSidechain", "sessionId", "cwd", "gitBranch", "entrypoint", "timestamp", "message"]
 _LINE_TEXT = ["type", "sessionId", "cwd", "gitBranch", "entrypoint", "timestamp"]
@@ -28,6 +31,11 @@ _MESSAGE_FIELDS = ["id", "role", "model", "content", "usage", "stop_reason"]
 _MESSAGE_TEXT = ["id", "role", "model", "stop_reason"]
 
 
+def owner_dir(path: Column) -> Column:
+    """The enrolled directory a file belongs to."""
+    return ph.owner_dir(path)
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Decode raw lines. ``valid`` marks lines that fit the format; fields of others are unset."""
     files = [c for c in lines.columns if c != "line"]

@@ -1,0 +1,41 @@
+"""Write rendered lines as session files, so that file pipelines can be run on the tables.
+
+One task streams the lines of a file in order; nothing is collected. Writing a longer version of the
+same file later is how a growing log looks to a reader.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _filesystem(root: str):
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+
+
+def write_session_files(rendered: DataFrame, root: str, logical_root: str) -> int:
+    """Write (path, seq, line) below ``root`` in place of ``logical_root``; returns the file count."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _filesystem(root)
+        current, sink, count = None, None, 0
+        for batch in batches:
+            for path, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
+                if path != current:
+                    if sink:
+                        sink.close()
+                    target = base + path[len(logical_root) :]
+                    fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    current, sink, count = path, fs.open_output_stream(target), count + 1
+                sink.write(line.encode() + b"\n")
+        if sink:
+            sink.close()
+        yield pa.RecordBatch.from_pydict({"files": [count]}, schema=pa.schema([("files", pa.int64())]))
+
+    ordered = rendered.repartition("path").sortWithinPartitions("path", "seq").select("path", "line")
+    return ordered.mapInArrow(write, "files bigint").agg(F.sum("files")).first()[0] or 0

@@ -1,0 +1,171 @@
+"""One bounded pass: list, resume, assemble, mask, spool, advance cursors, deliver."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnloom.functions import paths as ph
+from turnloom.functions.text import scrub
+from turnloom.functions.wire import content_hash, to_wire
+from turnloom.operators import cursors as cur
+from turnloom.operators import events as ev
+from turnloom.operators import registry as reg
+from turnloom.plans import block_log, rollout_log
+from turnloom.plans.chunks import CHUNK_BYTES, spans_chunks
+from turnloom.schemas import EVENT_COLUMNS
+from turnloom.sources import files as fl
+from turnloom.sources import tables
+
+
+class LogFormat(Protocol):
+    """What a log format brings: a name, where its files lie and how lines become pass rows."""
+
+    SOURCE_TOOL: str
+    FILE_GLOB: str
+    READS_FROM_START: bool
+    NEEDS_HEADER: bool
+
+    def scan_whole_files(self, lines: DataFrame, chunk_bytes: int) -> DataFrame: ...
+
+    def scan_chunked_files(self, lines: DataFrame, chunk_bytes: int) -> DataFrame: ...
+
+    def owner_dir(self, path: Column) -> Column: ...
+
+
+FORMATS: list[LogFormat] = [block_log, rollout_log]
+
+
+@dataclass(frozen=True)
+class Job:
+    """Where a pass reads and keeps its tables. ``globs`` maps a format's name to file globs."""
+
+    globs: dict[str, list[str]]
+    state: str
+    client_version: str
+    chunk_bytes: int = CHUNK_BYTES
+
+    def table(self, name: str) -> str:
+        return f"{self.state}/{name}"
+
+
+def listed(spark: SparkSession, globs: list[str]) -> tuple[DataFrame, str | None]:
+    """Files behind the globs, or the reason why a format had to be left out of this pass."""
+    try:
+        return fl.list_files(spark, globs), None
+    except AnalysisException as e:
+        # Nothing matches: an empty format, not a failing one.
+        reason = None if e.getCondition() == "PATH_NOT_FOUND" else "glob"
+        return fl.no_files(spark), reason
+
+
+def assemble(files: DataFrame, fmt: LogFormat, now, chunk_bytes: int) -> DataFrame:
+    """Pass rows of ``files`` (with ``start_offset``); small and large files are read apart.
+
+    A file whose cursor stands at its end has nothing new and nothing held: it is not opened.
+    """
+    grown = files.filter("file_size > start_offset")
+    large = F.expr(spans_chunks(chunk_bytes, "0L" if fmt.READS_FROM_START else "start_offset"))
+
+    def lines(part: DataFrame) -> DataFrame:
+        return fl.read_lines(part, chunk_bytes, fmt.READS_FROM_START).withColumn("file_idle", fl.is_idle(now))
+
+    whole = fmt.scan_whole_files(lines(grown.filter(~large)), chunk_bytes)
+    return whole.unionByName(fmt.scan_chunked_files(lines(grown.filter(large)), chunk_bytes))
+
+
+def finish(rows: DataFrame, client_version: str) -> DataFrame:
+    """Mask both texts and stamp the version. Nothing is stored before this step."""
+    return (
+        rows.withColumn("prompt_text", scrub(F.col("prompt_text")))
+        .withColumn("response_text", scrub(F.col("response_text")))
+        .withColumn("client_version", F.lit(client_version))
+    )
+
+
+def collect_format(
+    spark: SparkSession, job: Job, fmt: LogFormat, registry: DataFrame, now, pass_id: str
+) -> None:
+    """Read one format's files once and stage masked rows; owners are settled per file, not per event."""
+    found, failure = listed(spark, job.globs.get(fmt.SOURCE_TOOL, []) or ["/nonexistent"])
+    owned = reg.attribute_events(found, registry, fmt.owner_dir(F.col("path")))
+    files = fl.with_cursors(owned.select("path", "file_size", "file_mtime"), tables.read_cursors(spark, job.table("cursors")))
+    stage = f"{job.table('stage')}/pass_id={pass_id}/format={fmt.SOURCE_TOOL}"
+    # One listing serves the whole pass: sizes must not move between reading and cursors.
+    files.join(owned.select("path", "queue_slug"), "path").write.mode("overwrite").parquet(f"{stage}/files")
+    pinned = spark.read.parquet(f"{stage}/files")
+    rows = finish(assemble(pinned, fmt, now, job.chunk_bytes), job.client_version)
+    rows.write.mode("overwrite").parquet(f"{stage}/rows")
+    staged = spark.read.parquet(f"{stage}/rows")
+    read_now = pinned.filter("file_size > start_offset OR file_size = 0")
+    errors = cur.file_errors(read_now, staged, fmt.SOURCE_TOOL, fmt.NEEDS_HEADER)
+    if failure:
+        errors = errors.unionByName(
+            spark.createDataFrame([("", fmt.SOURCE_TOOL, failure)], "path string, adapter string, reason string")
+        )
+    errors.write.mode("overwrite").parquet(f"{stage}/errors")
+
+
+def staged(spark: SparkSession, job: Job, pass_id: str, fmt: LogFormat, name: str) -> DataFrame:
+    return spark.read.parquet(f"{job.table('stage')}/pass_id={pass_id}/format={fmt.SOURCE_TOOL}/{name}")
+
+
+def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFrame, now, pass_id: str) -> None:
+    """One pass over all formats. ``pass_id`` must sort by time; repeating one redoes it.
+
+    The order is what keeps events safe: spool first, cursors second. A crash in between reads the
+    same lines again, which the content hash absorbs; it never skips any.
+    """
+    with_token = tokens.filter("coalesce(token, '') <> ''").select("token_key").distinct()
+    for fmt in FORMATS:
+        # Machine-wide logs are collected only for an owner that holds a token.
+        entries = registry.join(with_token, "token_key", "left_semi") if fmt.NEEDS_HEADER else registry
+        collect_format(spark, job, fmt, entries, now, pass_id)
+    spooled, moved = None, None
+    for fmt in FORMATS:
+        files, rows, errors = (staged(spark, job, pass_id, fmt, n) for n in ("files", "rows", "errors"))
+        good = rows.filter("row_kind = 'turn'").join(errors.select("path"), "path", "left_anti")
+        owned = good.join(files.select("path", "queue_slug"), "path")
+        spooled = owned if spooled is None else spooled.unionByName(owned)
+        cursors = cur.new_cursors(files, rows, errors)
+        moved = cursors if moved is None else moved.unionByName(cursors)
+    hashed = to_wire(spooled.withColumn("content_hash", content_hash()))
+    tables.write_spool(
+        hashed.select("event_json", "path", "prompt_offset", "content_hash", "queue_slug"), job.table("spool"), pass_id
+    )
+    tables.write_cursors(moved, job.table("cursors"), pass_id, now)
+
+
+def errors_of(spark: SparkSession, job: Job, pass_id: str) -> DataFrame:
+    """Files and formats a pass had to leave out."""
+    out = None
+    for fmt in FORMATS:
+        part = staged(spark, job, pass_id, fmt, "errors")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def deliver(spark: SparkSession, job: Job, run_id: str, send: Callable[[DataFrame], DataFrame]) -> None:
+    """Hand pending request bodies to ``send``, which returns (queue_slug, spool_file, batch, ok).
+
+    Files up to the first failing one of each queue are logged as delivered; the rest stays pending.
+    """
+    keys = ["queue_slug", "spool_file"]
+    spool = tables.spooled_events(spark, job.table("spool"))
+    left = ev.pending(spool, tables.read_delivered(spark, job.table("delivered")), keys)
+    readable = left.filter("source_tool IS NOT NULL")
+    batched = ev.assign_batches(readable, keys, ["path", "prompt_offset"])
+    outcomes = send(ev.build_envelopes(batched, keys))
+    ev.delivered_files(outcomes).write.mode("overwrite").parquet(f"{job.table('delivered')}/pass_id={run_id}")
+
+
+def stored_events(spark: SparkSession, job: Job, columns: list[str] | None = None) -> DataFrame:
+    """Spooled events without duplicates: the first writer of each content hash and owner."""
+    events = tables.spooled_events(spark, job.table("spool"))
+    named = events.withColumn("employee_id", F.col("queue_slug"))
+    return ev.dedup_events(named, order=["path", "prompt_offset", "pass_id"]).select(*(columns or EVENT_COLUMNS))

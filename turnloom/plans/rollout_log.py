@@ -8,10 +8,11 @@ meets the first answer of a later one through their shared answer offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsonline as js
+from turnloom.functions import paths as ph
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
 from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, spans_chunks
@@ -22,10 +23,17 @@ SURFACE = "cli"
 EXEC_ORIGINATOR = "codex_exec"
 EXEC_SOURCE = "exec"
 FILE_GLOB = "sessions/*/*/*/rollout-*.jsonl"
+READS_FROM_START = True
+NEEDS_HEADER = True
 
 _HEADER = ["id", "cwd", "originator", "source"]
 
 
+def owner_dir(path: Column) -> Column:
+    """Machine-wide logs belong to the default directory of the same home."""
+    return ph.home_default_dir(path)
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Decode raw lines into one ``kind`` each.
 

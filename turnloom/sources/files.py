@@ -75,14 +75,16 @@ def from_cursor(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("byte_offset") >= F.col("start_offset"))
 
 
-def byte_ranges(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Cut ``[start_offset, file_size)`` of every file at multiples of ``chunk_bytes``."""
-    first = F.expr(f"start_offset div {int(chunk_bytes)}")
-    last = F.expr(f"(file_size - 1) div {int(chunk_bytes)}")
+def byte_ranges(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, from_start: bool = False) -> DataFrame:
+    """Cut the bytes to read of every file at multiples of ``chunk_bytes``.
+
+    Reading begins at the cursor, or at byte 0 for formats whose first line must always be seen.
+    """
     return (
-        files.filter(F.col("file_size") > F.col("start_offset"))
-        .withColumn("chunk", F.explode(F.sequence(first, last)))
-        .withColumn("start", F.greatest(F.col("start_offset"), F.col("chunk") * chunk_bytes))
+        files.withColumn("lower", F.lit(0).cast("bigint") if from_start else F.col("start_offset"))
+        .filter("file_size > lower")
+        .selectExpr("*", f"explode(sequence(lower div {chunk_bytes}, (file_size - 1) div {chunk_bytes})) as chunk")
+        .withColumn("start", F.greatest(F.col("lower"), F.col("chunk") * chunk_bytes))
         .withColumn("end", F.least(F.col("file_size"), (F.col("chunk") + 1) * chunk_bytes))
     )
 
@@ -158,6 +160,9 @@ _LINE_SCHEMA = pa.schema(
 )
 
 
+_READ = RAW_LINES.replace("line string, terminated boolean", "raw binary, error string")
+
+
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -170,36 +175,37 @@ def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return pa.RecordBatch.from_arrays(columns, schema=_LINE_SCHEMA)
 
             try:
-                for offsets, raws in read_range(row["path"], row["start_offset"], row["start"], row["end"], row["file_size"]):
+                for offsets, raws in read_range(row["path"], row["lower"], row["start"], row["end"], row["file_size"]):
                     for i in range(0, len(raws), _BATCH_ROWS):
                         yield emit(offsets[i : i + _BATCH_ROWS], raws[i : i + _BATCH_ROWS])
             except OSError as e:
                 yield emit([-1], [None], f"{type(e).__name__}: {e}")
 
 
-def read_lines(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, tasks: int | None = None) -> DataFrame:
+def read_lines(
+    files: DataFrame, chunk_bytes: int = CHUNK_BYTES, from_start: bool = False, tasks: int | None = None
+) -> DataFrame:
     """Raw lines of ``files`` (path, file_size, file_mtime, start_offset) with byte offsets.
 
     ``error`` is set, and ``line`` NULL, on the one row standing for a range that could not be read.
     ``tasks`` spreads the ranges; by default it follows the listed bytes.
     """
-    ranges = byte_ranges(files, chunk_bytes)
+    ranges = byte_ranges(files, chunk_bytes, from_start)
     if tasks is None:
         total = ranges.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
         tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // SCAN_BYTES_PER_TASK))
     # Explicit count: adaptive execution would merge these tiny rows, and all reading, into one task.
     spread = ranges.repartition(tasks, "path", "chunk").select(
-        "path", "file_size", "file_mtime", "start_offset", "start", "end"
+        "path", "file_size", "file_mtime", "start_offset", "lower", "start", "end"
     )
-    read = spread.mapInArrow(_lines_of, RAW_LINES.replace("line string, terminated boolean", "raw binary, error string"))
-    ends_line = F.substring("raw", -1, 1) == F.lit(b"\n")
-    return read.select(
+    read = spread.mapInArrow(_lines_of, _READ)
+    return read.selectExpr(
         "path",
         "file_size",
         "file_mtime",
         "start_offset",
         "byte_offset",
-        F.col("raw").cast("string").alias("line"),
-        F.coalesce(ends_line, F.lit(True)).alias("terminated"),
+        "cast(raw as string) as line",
+        "coalesce(substring(raw, -1, 1) = X'0A', true) as terminated",
         "error",
     )
