@@ -106,6 +106,25 @@ WITH s AS (
   SELECT *, row_number() OVER (PARTITION BY queue_slug, spool_file ORDER BY o_orderkey) - 1 AS place FROM s
 )"""
 
+# With every file at rest at the end, a last prompt settles once answered (block log) or at once.
+STORED = (
+    BLOCK.replace("WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 2 = 0)", "WHERE next_user IS NOT NULL OR n > 0")
+    + ", r AS (SELECT * FROM ("
+    + ROLLOUT.replace("(next_role IS NULL AND conv_id % 2 = 0)", "next_role IS NULL")
+    + " SELECT * FROM t))"
+    + """, s AS (
+  SELECT 'CLAUDE_CODE' AS source_tool, session_id, prompt_text, response_text, token_count,
+         project_context, model, prompt_ts FROM t
+  UNION ALL
+  SELECT 'CODEX', session_id, prompt_text, response_text, NULL, project_context, model, prompt_ts FROM r
+)
+SELECT s.* REPLACE ("""
+    + _scrub("prompt_text")
+    + " AS prompt_text, "
+    + _scrub("response_text")
+    + " AS response_text), '1.0' AS client_version FROM s"
+)
+
 SQL = {
     "line_positions": """
         WITH l AS (
@@ -278,4 +297,6 @@ SQL = {
         FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""",
     "incremental_equals_full": BLOCK
     + "SELECT path, session_id, prompt_text, response_text, prompt_ts, token_count, model FROM t",
+    "run_once_events": STORED,
+    "streaming_turns": STORED,
 }

@@ -108,6 +108,12 @@ def drop_reason(parsed: DataFrame) -> DataFrame:
     )
 
 
+def prompt_marks(parsed: DataFrame) -> DataFrame:
+    """Add ``is_prompt``: the line is a person's prompt and opens a turn."""
+    synthetic = F.coalesce(tx.is_block_synthetic(F.col("user_text")), F.lit(True))
+    return parsed.withColumn("is_prompt", ~synthetic)
+
+
 def _events(parsed: DataFrame, chunk_bytes: int) -> DataFrame:
     """Rows that matter for turns, narrowed before any exchange."""
     marked = parsed.select("*", F.inline(F.array(F.struct(tx.is_block_synthetic(F.col("user_text")).alias("synthetic")))))

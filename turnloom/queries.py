@@ -6,6 +6,8 @@ turn assembly; the matching SQL in ``turnloom.oracles`` works on the table direc
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +22,11 @@ from turnloom.operators import events as ev
 from turnloom.operators import ordered
 from turnloom.operators import registry as reg
 from turnloom.operators import reports
-from turnloom.plans import block_log, render, rollout_log
-from turnloom.session import configure
+from turnloom.plans import block_log, pipeline, render, rollout_log
+from turnloom.plans.log_writer import write_session_files
+from turnloom.session import checkpointed, configure, shared_dir
 from turnloom.sources.files import from_cursor, start_offset
+from turnloom.streaming.jobs import collect_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -554,22 +558,74 @@ def merge_cursors(spark, sf_dir):
 @query
 def incremental_equals_full(spark, sf_dir):
     """Three passes over growing files, resumed by cursors, give the turns of one full pass."""
-    conversations = table(spark, sf_dir, "conversations")
-    rendered = render.block_log_lines(conversations)
+    rendered = render.block_log_lines(table(spark, sf_dir, "conversations"))
     cursors, found = None, None
     for last_turn in (2, 5, None):
         seen = rendered if last_turn is None else rendered.filter(F.col("seq") < last_turn * render.SEQ_PER_TURN)
         lines = render.as_file_lines(seen, F.expr(IDLE_CONV) if last_turn is None else F.lit(False))
+        files = lines.groupBy("path").agg(F.max("file_size").alias("file_size"))
         if cursors is not None:
-            known = cursors.select("path", F.col("cursor").alias("_cursor"))
+            known = cursors.select("path", F.col("cursor").cast("string").alias("_cursor"))
             resumed = lines.drop("start_offset").join(known, "path", "left").withColumn(
-                "start_offset", start_offset(F.col("_cursor").cast("string"), F.lit(None).cast("bigint"), F.col("file_size"))
+                "start_offset", start_offset(F.col("_cursor"), F.lit(None).cast("bigint"), F.col("file_size"))
             )
             lines = from_cursor(resumed.drop("_cursor"))
         rows = block_log.scan(lines)
-        files = lines.groupBy("path").agg(F.max("file_size").alias("file_size"))
-        moved = cur.new_cursors(files, rows, cur.file_errors(files, rows, block_log.SOURCE_TOOL, False))
-        cursors = moved if cursors is None else cur.merge_cursors(cursors, moved)
         new = turns(rows, "path", "session_id", "prompt_text", "response_text", "prompt_ts", "token_count", "model")
         found = new if found is None else found.unionByName(new)
+        if last_turn is not None:
+            moved = cur.new_cursors(files, rows, cur.file_errors(files, rows, block_log.SOURCE_TOOL, False))
+            # Cursors are tiny and feed every later pass: cut the lineage here.
+            cursors = checkpointed(moved if cursors is None else cur.merge_cursors(cursors, moved))
     return found
+
+
+# --- whole jobs over files -----------------------------------------------------------------------
+
+
+def _job(spark: SparkSession, name: str) -> tuple[pipeline.Job, str, DataFrame, DataFrame]:
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    globs = {
+        block_log.SOURCE_TOOL: [f"{root}/.claude/{block_log.FILE_GLOB}"],
+        rollout_log.SOURCE_TOOL: [f"{root}/.codex/{rollout_log.FILE_GLOB}"],
+    }
+    plain = re.sub("^file:/+", "/", root)
+    registry = spark.sql(f"select '{plain}/.claude' as config_dir, '{ph.DEFAULT_TOKEN_KEY}' as token_key")
+    tokens = spark.sql(f"select '{ph.DEFAULT_TOKEN_KEY}' as token_key, 'x' as token")
+    return pipeline.Job(globs, f"{root}/state", "1.0", 1 << 16), root, registry, tokens
+
+
+def _drop_files(spark: SparkSession, sf_dir: str, root: str, turns_so_far: int | None) -> None:
+    conversations = table(spark, sf_dir, "conversations")
+    for rendered in (render.block_log_lines(conversations), render.rollout_log_lines(conversations)):
+        seen = rendered if turns_so_far is None else rendered.filter(F.col("seq") < turns_so_far * render.SEQ_PER_TURN)
+        write_session_files(seen, root, "/logs")
+
+
+def _stored(spark: SparkSession, job: pipeline.Job) -> DataFrame:
+    events = pipeline.stored_events(spark, job)
+    return events.select(
+        "source_tool", "session_id", "prompt_text", "response_text", "token_count", "project_context", "client_version", "model",
+        format_wire_ts(F.col("prompt_ts")).alias("prompt_ts"),
+    )
+
+
+@query
+def run_once_events(spark, sf_dir):
+    """Two passes over real files that grow in between: read, resume, assemble, mask, spool, dedup."""
+    job, root, registry, tokens = _job(spark, "run")
+    _drop_files(spark, sf_dir, root, 3)
+    pipeline.run_once(spark, job, registry, tokens, "2000-01-01 00:00:00", "000001")
+    _drop_files(spark, sf_dir, root, None)
+    pipeline.run_once(spark, job, registry, tokens, "2999-01-01 00:00:00", "000002")
+    return _stored(spark, job)
+
+
+@query
+def streaming_turns(spark, sf_dir):
+    """The same as a stream: files grow between two runs, each run stops when all is read."""
+    job, root, registry, tokens = _job(spark, "stream")
+    for turns_so_far, now in ((3, "2000-01-01 00:00:00"), (None, "2999-01-01 00:00:00")):
+        _drop_files(spark, sf_dir, root, turns_so_far)
+        collect_stream(spark, job, registry, tokens, now, {"availableNow": True}).awaitTermination()
+    return _stored(spark, job)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+import turnloom
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results, so jobs pin them.
 PINNED = {
@@ -19,9 +21,19 @@ def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings; safe to call on a session someone else created."""
     for key, value in PINNED.items():
         spark.conf.set(key, value)
+    # Tasks carry the package's functions with them, so workers need no installed copy.
+    cloudpickle.register_pickle_by_value(turnloom)
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder; survives the loss of executors."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession) + "/checkpoints")
+    return df.checkpoint()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 

@@ -1,0 +1,191 @@
+"""Streaming source over growing session files.
+
+The built-in file source reads a file once; logs grow. Here the offset of a micro-batch is the number
+of a *listing* kept in the shared folder (path, size, change time), so the offset log stays one small
+number however many files there are. A line belongs to the batch in which its LF arrives, which makes
+the batches of a file meet exactly, half-written lines included.
+"""
+
+from __future__ import annotations
+
+import fnmatch
+import glob as globlib
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+
+NAME = "session_log"
+SCHEMA = "path string, file_size bigint, file_mtime timestamp, byte_offset bigint, line string"
+TASK_BYTES = 128 * 1024 * 1024
+
+_BLOCK = 4 * 1024 * 1024
+_LISTING = pa.schema([("path", pa.string()), ("file_size", pa.int64()), ("file_mtime", pa.timestamp("us", tz="UTC"))])
+_ROWS = pa.schema([*_LISTING, ("byte_offset", pa.int64()), ("line", pa.string())])
+
+
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri
+
+
+def list_glob(pattern: str) -> pa.Table:
+    """Files behind one pattern, sorted by path."""
+    fs, inner = _filesystem(pattern)
+    if isinstance(fs, pafs.LocalFileSystem):
+        infos = fs.get_file_info(sorted(globlib.glob(inner)))
+    else:
+        root = inner.split("*", 1)[0].rsplit("/", 1)[0]
+        depth = inner.count("/")
+        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        infos = [i for i in found if i.path.count("/") == depth and fnmatch.fnmatchcase(i.path, inner)]
+    files = sorted((i.path, i.size, i.mtime) for i in infos if i.is_file)
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*files) if files else [[], [], []], _LISTING)]
+    return pa.Table.from_arrays(columns, schema=_LISTING)
+
+
+def ended_lines(path: str, start: int, end: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Lines whose LF lies in ``[start, end)``, as blocks of (offsets, lines without LF)."""
+    fs, inner = _filesystem(path)
+    with fs.open_input_file(inner) as src:
+        # The first line may have begun before `start`: step back to behind the previous LF.
+        pos = start
+        while pos > 0:
+            back = max(0, pos - _BLOCK)
+            src.seek(back)
+            cut = src.read(pos - back).rfind(b"\n")
+            if cut >= 0:
+                pos = back + cut + 1
+                break
+            pos = back
+        src.seek(pos)
+        held: list[bytes] = []
+        line_at = pos
+        while pos < end:
+            data = src.read(min(_BLOCK, end - pos))
+            if not data:
+                return
+            *full, rest = data.split(b"\n")
+            if full:
+                full[0] = b"".join([*held, full[0]])
+                offsets = [line_at]
+                for piece in full[:-1]:
+                    offsets.append(offsets[-1] + len(piece) + 1)
+                yield offsets, full
+                held, line_at = [], offsets[-1] + len(full[-1]) + 1
+            if rest:
+                held.append(rest)
+            pos += len(data)
+
+
+class FileRanges(InputPartition):
+    """A task's share: (path, size, mtime, start, end) of one or many files."""
+
+    def __init__(self, ranges: list[tuple]):
+        super().__init__(None)
+        self.ranges = ranges
+
+
+def pack(ranges: list[tuple], task_bytes: int) -> list[FileRanges]:
+    """Cut large ranges and fill tasks with small ones."""
+    tasks, current, filled = [], [], 0
+    for path, size, mtime, start, end in ranges:
+        while start < end:
+            stop = min(end, start + task_bytes - filled)
+            current.append((path, size, mtime, start, stop))
+            filled += stop - start
+            start = stop
+            if filled >= task_bytes:
+                tasks.append(FileRanges(current))
+                current, filled = [], 0
+    return tasks + ([FileRanges(current)] if current else [])
+
+
+class SessionLogReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.globs = [g for g in options["globs"].split(";") if g]
+        self.listings = options["listings"].rstrip("/")
+        self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
+
+    def initialOffset(self) -> dict:
+        return {"listing": 0}
+
+    def _path(self, number: int) -> str:
+        return f"{self.listings}/{number:012d}.parquet"
+
+    def _newest(self) -> int:
+        fs, inner = _filesystem(self.listings)
+        fs.create_dir(inner, recursive=True)
+        names = [os.path.basename(i.path) for i in fs.get_file_info(pafs.FileSelector(inner))]
+        return max([int(n.split(".")[0]) for n in names if n.endswith(".parquet")], default=0)
+
+    def _load(self, number: int) -> dict[str, tuple]:
+        if number == 0:
+            return {}
+        fs, inner = _filesystem(self._path(number))
+        table = pq.read_table(inner, filesystem=fs)
+        return {p: (s, m) for p, s, m in zip(*(table.column(c).to_pylist() for c in table.column_names))}
+
+    def latestOffset(self) -> dict:
+        """Take a listing; only a listing that differs from the newest one starts a batch."""
+        newest = self._newest()
+        table = pa.concat_tables([list_glob(g) for g in self.globs])
+        now = {p: (s, m) for p, s, m in zip(*(table.column(c).to_pylist() for c in table.column_names))}
+        if {p: v[0] for p, v in now.items()} == {p: v[0] for p, v in self._load(newest).items()}:
+            return {"listing": newest}
+        fs, inner = _filesystem(self._path(newest + 1))
+        pq.write_table(table, inner + ".tmp", filesystem=fs)
+        fs.move(inner + ".tmp", inner)
+        return {"listing": newest + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        old, new = self._load(start["listing"]), self._load(end["listing"])
+        ranges = []
+        for path, (size, mtime) in new.items():
+            seen = old.get(path, (0, None))[0]
+            # A file that became shorter was replaced: read it from its start.
+            ranges.append((path, size, mtime, seen if seen <= size else 0, size))
+        return pack([r for r in ranges if r[3] < r[4]], self.task_bytes)
+
+    def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
+        for path, size, mtime, start, end in partition.ranges:
+            for offsets, lines in ended_lines(path, start, end):
+                n = len(lines)
+                text = [b.decode("utf-8", "replace") for b in lines]
+                columns = [[path] * n, [size] * n, [mtime] * n, offsets, text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, _ROWS)], schema=_ROWS
+                )
+
+    def commit(self, end: dict) -> None:
+        """Older listings are never asked for again."""
+        fs, inner = _filesystem(self.listings)
+        for info in fs.get_file_info(pafs.FileSelector(inner)):
+            name = os.path.basename(info.path).split(".")[0]
+            if name.isdigit() and int(name) < end["listing"]:
+                fs.delete_file(info.path)
+
+
+class SessionLogSource(DataSource):
+    """``readStream.format("session_log")`` with options ``globs`` (``;`` between patterns) and
+    ``listings`` (a folder in shared storage)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return NAME
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return SessionLogReader(dict(self.options))
+
+
+def stream_lines(spark, globs: list[str], listings: str):
+    """New lines of growing files as a stream."""
+    spark.dataSource.register(SessionLogSource)
+    return spark.readStream.format(NAME).option("globs", ";".join(globs)).option("listings", listings).load()
