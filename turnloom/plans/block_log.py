@@ -242,6 +242,12 @@ def scan_chunked_files(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Data
     return _pass_rows(_fold(_scan_chunked(_events(parse(lines), chunk_bytes))))
 
 
+def scan_complete_turns(lines: DataFrame) -> DataFrame:
+    """Pass rows of lines that were held until their turns settled: every turn is emitted."""
+    rows = _scan_whole(_events(parse(lines), CHUNK_BYTES))
+    return _pass_rows(_fold(rows.withColumn("last_prompt", F.lit(2**63 - 1))))
+
+
 def scan(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pass rows of any mix of files, each by the cheaper way that fits it.
 

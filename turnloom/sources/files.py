@@ -27,7 +27,11 @@ _BATCH_ROWS = 8192
 
 
 def list_files(spark: SparkSession, globs: list[str] | str) -> DataFrame:
-    """Path, size and change time of every file, empty ones included. Contents are not read."""
+    """Path, size and change time of every file; contents are not read.
+
+    Spark's listing leaves out empty files and hidden names. An empty file has no events and a cursor
+    of 0 either way; it is reported once it has content.
+    """
     found = (
         spark.read.format("binaryFile")
         .load(globs)
@@ -113,6 +117,7 @@ def read_range(path: str, lower: int, start: int, end: int, size: int) -> Iterat
         line_at = pos
         while True:
             data = src.read(max(0, min(_BLOCK, size - pos)))
+            at_end = not data
             ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) + 1
             if skipping and data:
                 if len(ends) == 0:
@@ -141,7 +146,7 @@ def read_range(path: str, lower: int, start: int, end: int, size: int) -> Iterat
                 held.append(rest)
             if line_at >= end:
                 return
-            if pos >= size or not data:
+            if pos >= size or at_end:
                 if held and not skipping:
                     yield np.array([line_at]), [b"".join(held)]
                 return

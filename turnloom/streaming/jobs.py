@@ -112,4 +112,4 @@ def turns_of_released(released: DataFrame) -> DataFrame:
         "path", "byte_offset + octet_length(line) + 1 as file_size", "0L as start_offset", "byte_offset", "line",
         "true as terminated", "true as file_idle",
     )
-    return block_log.scan_whole_files(sized).filter("row_kind = 'turn'")
+    return block_log.scan_complete_turns(sized)
