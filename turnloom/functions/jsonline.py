@@ -18,30 +18,33 @@ _OPTIONS = (
 )
 
 
-def compute_once(df: DataFrame, let: dict[str, str] | None = None, **columns: str) -> DataFrame:
+def compute_once(df: DataFrame, *steps: dict[str, str], keep: str = "*") -> DataFrame:
     """Add columns through a one-row generator.
 
     A plain projection would be copied into every filter pushed below it, which parses a line once
-    per predicate. A generated column is an attribute, so it is evaluated exactly once. Names in
-    ``let`` are bound before the columns and can be used in them, each evaluated once as well.
+    per predicate. A generated column is an attribute, so it is evaluated exactly once. Each step is
+    evaluated once too and sees the previous one as ``_``; the last step names the new columns. One
+    generator for many steps also means one row copy instead of one per step.
     """
-    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
-    rows = f"array(named_struct({fields}))"
-    if let:
-        bound = ", ".join(f"'{name}', {sql}" for name, sql in let.items())
-        rows = f"transform(array(named_struct({bound})), _ -> named_struct({fields}))"
-    return df.selectExpr("*", f"inline({rows})")
 
+    def struct(fields: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
 
-def with_strict_value(df: DataFrame, line: str, out: str) -> DataFrame:
-    """Add the line's only JSON value as VARIANT, NULL when the line is anything else.
+    rows = f"array({struct(steps[0])})"
+    for fields in steps[1:]:
+        rows = f"transform({rows}, _ -> {struct(fields)})"
+    return df.selectExpr(keep, f"inline({rows})")
+
+
+def strict_steps(line: str) -> list[dict[str, str]]:
+    """Steps that read the line's only JSON value as ``_.doc``, NULL when the line is anything else.
 
     The value is read as the first of two array elements; leftovers on the line would displace the
     second one.
     """
     pair = f"""from_json(concat('[', make_valid_utf8({line}), ',"{_END}"]'), 'array<variant>', {_OPTIONS})"""
     value = f"if(try_variant_get(get(_.pair, 1), '$', 'string') = '{_END}', get(_.pair, 0), null)"
-    return compute_once(df, let={"pair": pair}, **{out: value})
+    return [{"pair": pair}, {"doc": value}]
 
 
 def fields_of(value: str, *names: str) -> str:
@@ -50,12 +53,6 @@ def fields_of(value: str, *names: str) -> str:
     return f"try_variant_get({value}, '$', 'struct<{ddl}>')"
 
 
-def unpack(df: DataFrame, value: str, present: str, prefix: str, names: list[str]) -> DataFrame:
-    """Add the members of a VARIANT object as flat VARIANT columns, and whether it is an object."""
-    members = {prefix + n: f"_.o.{n}" for n in names}
-    return compute_once(df, let={"o": fields_of(value, *names)}, **{present: "_.o is not null"}, **members)
-
-
 def absent(value: str) -> str:
     return f"({value} is null or is_variant_null({value}))"
 

@@ -39,58 +39,69 @@ def owner_dir(path: Column) -> Column:
 def parse(lines: DataFrame) -> DataFrame:
     """Decode raw lines. ``valid`` marks lines that fit the format; fields of others are unset."""
     files = [c for c in lines.columns if c != "line"]
-    doc = js.with_strict_value(lines, "line", "doc").drop("line")
-    line = js.unpack(doc, "doc", "is_object", "", _LINE_FIELDS).drop("doc")
-    message = js.unpack(line, "message", "has_message", "m_", _MESSAGE_FIELDS)
-    used = js.unpack(message, "m_usage", "has_usage", "u_", ["output_tokens"])
     checks = [
-        "is_object",
-        *[js.is_text_or_absent(f) for f in _LINE_TEXT],
-        *[js.is_text_or_absent("m_" + f) for f in _MESSAGE_TEXT],
-        js.of_type("isSidechain", "BOOLEAN", "VOID"),
-        js.absent("message") + " or has_message",
-        js.absent("m_usage") + " or has_usage",
-        js.of_type("u_output_tokens", "BIGINT", "VOID"),
+        "_.o is not null",
+        *[js.is_text_or_absent("_.o." + f) for f in _LINE_TEXT],
+        *[js.is_text_or_absent("_.m." + f) for f in _MESSAGE_TEXT],
+        js.of_type("_.o.isSidechain", "BOOLEAN", "VOID"),
+        js.absent("_.o.message") + " or _.m is not null",
+        js.absent("_.m.usage") + " or _.u is not null",
+        js.of_type("_.u.output_tokens", "BIGINT", "VOID"),
     ]
     speaker = f"""if({" and ".join(f"({c})" for c in checks)},
-        if(coalesce(try_variant_get(isSidechain, '$', 'boolean'), false), 'side', {js.text_of("type")}), null)"""
-    spoken = js.compute_once(used, speaker=speaker)
+        if(coalesce(try_variant_get(_.o.isSidechain, '$', 'boolean'), false), 'side', {js.text_of("_.o.type")}), null)"""
+    decoded = js.compute_once(
+        lines,
+        *js.strict_steps("line"),
+        {"o": js.fields_of("_.doc", *_LINE_FIELDS)},
+        {"o": "_.o", "m": js.fields_of("_.o.message", *_MESSAGE_FIELDS)},
+        {"o": "_.o", "m": "_.m", "u": js.fields_of("_.m.usage", "output_tokens")},
+        {
+            "speaker": speaker,
+            **{f: f"_.o.{f}" for f in ["sessionId", "cwd", "gitBranch", "entrypoint", "timestamp"]},
+            **{"m_" + f: f"_.m.{f}" for f in ["id", "model", "content", "stop_reason"]},
+            "has_usage": "_.u is not null",
+            "output_tokens": "_.u.output_tokens",
+        },
+    ).drop("line")
+    named = "try_variant_get(x.b.type, '$', 'string')"
     blocks = f"""if(speaker in ('user', 'assistant'),
         transform(try_variant_get(m_content, '$', 'array<variant>'),
                   (e, i) -> named_struct('pos', i, 'nil', is_variant_null(e), 'b', {js.fields_of("e", "type", "text")})),
         null)"""
-    named = "try_variant_get(x.b.type, '$', 'string')"
-    content = js.compute_once(spoken, blocks=blocks)
+    pieces = f"""if(exists(_.blocks, x -> not x.nil and x.b is null), null,
+        filter(transform(filter(_.blocks, x -> {named} = 'text'),
+                         x -> named_struct('pos', x.pos, 'text', {js.text_if_string("x.b.text")})),
+               p -> p.text != ''))"""
+    # A plain string, a null (an empty prompt), or text blocks without any tool output among them.
+    user_text = f"""case when speaker != 'user' then null
+        when _.blocks is not null then if(exists(_.blocks, x -> {named} = 'tool_result'), null,
+                                          nullif(array_join(_.pieces.text, ''), ''))
+        when {js.json_type("m_content")} = 'STRING' then try_variant_get(m_content, '$', 'string')
+        when {js.json_type("m_content")} = 'VOID' then '' end"""
     read = js.compute_once(
-        content,
-        scalar=f"if(speaker = 'user' and blocks is null, {js.json_type('m_content')}, null)",
-        pieces=f"""if(exists(blocks, x -> not x.nil and x.b is null), null,
-            filter(transform(filter(blocks, x -> {named} = 'text'),
-                             x -> named_struct('pos', x.pos, 'text', {js.text_if_string("x.b.text")})),
-                   p -> p.text != ''))""",
-        tool_output=f"coalesce(exists(blocks, x -> {named} = 'tool_result'), false)",
+        decoded,
+        {"blocks": blocks},
+        {"blocks": "_.blocks", "pieces": pieces},
+        {"user_text": user_text, "pieces": "if(speaker = 'assistant', _.pieces, null)"},
     )
-    user_text = """case when speaker != 'user' then null
-        when scalar = 'STRING' then try_variant_get(m_content, '$', 'string')
-        when scalar = 'VOID' then ''
-        when not tool_output then nullif(array_join(pieces.text, ''), '') end"""
 
     def reply(sql: str) -> str:
         return f"if(speaker = 'assistant', {sql}, null)"
 
     head = ", ".join(f"'{f}', {js.text_of(f)}" for f in ["sessionId", "cwd", "gitBranch", "timestamp"])
-    return js.compute_once(read, user_text=user_text).selectExpr(
+    return read.selectExpr(
         *files,
         "speaker is not null as valid",
         "speaker",
         "user_text",
         f"if(speaker is not null, nullif({js.text_of('entrypoint')}, ''), null) as entrypoint",
-        f"named_struct({head}) as head",
+        f"if(user_text is not null, named_struct({head}), null) as head",
         reply(f"coalesce(nullif({js.text_of('m_id')}, ''), concat('line:', {js.text_of('timestamp')}))") + " as msg_id",
-        reply("if(has_usage, coalesce(try_variant_get(u_output_tokens, '$', 'bigint'), 0), null)") + " as tokens",
+        reply("if(has_usage, coalesce(try_variant_get(output_tokens, '$', 'bigint'), 0), null)") + " as tokens",
         reply(f"nullif(nullif({js.text_of('m_model')}, ''), '{SYNTHETIC_MODEL}')") + " as model",
         reply(js.text_of("m_stop_reason")) + " as stop_reason",
-        reply("pieces") + " as pieces",
+        "pieces",
     )
 
 

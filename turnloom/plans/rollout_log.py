@@ -42,34 +42,38 @@ def parse(lines: DataFrame) -> DataFrame:
     fit the format.
     """
     files = [c for c in lines.columns if c != "line"]
-    doc = js.with_strict_value(lines, "line", "doc").drop("line")
-    line = js.unpack(doc, "doc", "is_object", "l_", ["timestamp", "type", "payload"]).drop("doc")
-    typed = js.compute_once(
-        line,
-        record=f"if(is_object and {js.is_text_or_absent('l_timestamp')} and {js.is_text_or_absent('l_type')}, "
-        f"{js.text_of('l_type')}, null)",
-    )
+    record = f"""if(_.o is not null and {js.is_text_or_absent('_.o.timestamp')} and {js.is_text_or_absent('_.o.type')},
+        {js.text_of('_.o.type')}, null)"""
+    payload = "if(_.record in ('session_meta', 'turn_context', 'response_item'), _.payload, null)"
     # One unpacking for all three payload kinds.
-    payload = "if(record in ('session_meta', 'turn_context', 'response_item'), l_payload, null)"
-    body = js.unpack(typed, payload, "has_body", "p_", [*_HEADER, "model", "type", "role", "content"])
+    members = [*_HEADER, "model", "type", "role", "content"]
+    decoded = js.compute_once(
+        lines,
+        *js.strict_steps("line"),
+        {"o": js.fields_of("_.doc", "timestamp", "type", "payload")},
+        {"record": record, "timestamp": "_.o.timestamp", "payload": "_.o.payload"},
+        {"record": "_.record", "timestamp": "_.timestamp", "p": js.fields_of(payload, *members)},
+        {
+            "record": "_.record",
+            "l_timestamp": "_.timestamp",
+            "has_body": "_.p is not null",
+            **{"p_" + n: f"_.p.{n}" for n in members},
+        },
+    ).drop("line")
     fragments = f"""if(record = 'response_item',
         transform(try_variant_get(p_content, '$', 'array<variant>'),
                   e -> named_struct('nil', is_variant_null(e), 'f', {js.fields_of("e", "type", "text")})), null)"""
-    parts = js.compute_once(body, fragments=fragments)
-    bad = f"""exists(fragments, x -> not x.nil and (x.f is null or not {js.is_text_or_absent("x.f.type")}
+    bad = f"""exists(_.fragments, x -> not x.nil and (x.f is null or not {js.is_text_or_absent("x.f.type")}
                                     or not {js.is_text_or_absent("x.f.text")}))"""
-    message = js.compute_once(
-        parts,
-        role=f"""if(record = 'response_item' and has_body and {js.is_text_or_absent("p_type")}
-            and {js.is_text_or_absent("p_role")} and {js.text_of("p_type")} = 'message'
-            and if(fragments is null, {js.absent("p_content")}, not {bad}), {js.text_of("p_role")}, null)""",
-    )
-    wanted = "case role when 'user' then 'input_text' when 'assistant' then 'output_text' end"
+    role = f"""if(record = 'response_item' and has_body and {js.is_text_or_absent("p_type")}
+        and {js.is_text_or_absent("p_role")} and {js.text_of("p_type")} = 'message'
+        and if(_.fragments is null, {js.absent("p_content")}, not {bad}), {js.text_of("p_role")}, null)"""
+    wanted = "case _.role when 'user' then 'input_text' when 'assistant' then 'output_text' end"
+    text = f"""if(_.role in ('user', 'assistant'), coalesce(array_join(transform(
+        filter(_.fragments, x -> not x.nil and {js.text_of("x.f.type")} = {wanted}),
+        x -> {js.text_of("x.f.text")}), ''), ''), null)"""
     joined = js.compute_once(
-        message,
-        text=f"""if(role in ('user', 'assistant'), coalesce(array_join(transform(
-            filter(fragments, x -> not x.nil and {js.text_of("x.f.type")} = {wanted}),
-            x -> {js.text_of("x.f.text")}), ''), ''), null)""",
+        decoded, {"fragments": fragments}, {"fragments": "_.fragments", "role": role}, {"role": "_.role", "text": text}
     ).select("*", F.inline(F.array(F.struct(tx.is_rollout_synthetic(F.col("text")).alias("synthetic")))))
     announced = f"""has_body and {js.is_text_or_absent("p_model")} and {js.is_text_or_absent("p_cwd")}
         and {js.text_of("p_model")} != ''"""
@@ -84,7 +88,7 @@ def parse(lines: DataFrame) -> DataFrame:
         else 'O' end"""
     # Header members are read one by one: a mistyped one is empty, the others stay.
     header = ", ".join(f"'{n}', coalesce({js.text_if_string('p_' + n)}, '')" for n in _HEADER)
-    return js.compute_once(joined, kind=kind).selectExpr(
+    return js.compute_once(joined, {"kind": kind}).selectExpr(
         *files,
         "kind",
         "record is not null as valid",
@@ -99,7 +103,7 @@ def _events(parsed: DataFrame, chunk_bytes: int) -> DataFrame:
     """Headers, models, prompts and answers only, narrowed before any exchange."""
     marked = js.compute_once(
         parsed.withColumnRenamed("kind", "line_kind"),
-        kind=f"coalesce(case {aside(parsed)} when 'tail' then 'T' when 'error' then 'X' end, line_kind)",
+        {"kind": f"coalesce(case {aside(parsed)} when 'tail' then 'T' when 'error' then 'X' end, line_kind)"},
     )
     return marked.selectExpr(
         "path",
@@ -187,7 +191,7 @@ def _outcomes(rows: DataFrame) -> DataFrame:
     """Decide what each prompt became; headers and unfinished lines pass through."""
     judged = js.compute_once(
         rows,
-        row_kind=f"""case when kind = 'T' then 'tail'
+        {"row_kind": f"""case when kind = 'T' then 'tail'
             when kind = 'X' then 'error'
             when kind = 'H' then if(byte_offset = meta.byte_offset, 'header', null)
             when kind != 'U' or meta is null then null
@@ -195,7 +199,7 @@ def _outcomes(rows: DataFrame) -> DataFrame:
             when next_kind = 'U' then 'lost'
             when next_kind is null and not file_idle then 'held'
             -- Emitted by an earlier pass: the gate stands after pairing, never before it.
-            when byte_offset >= start_offset then 'turn' end""",
+            when byte_offset >= start_offset then 'turn' end"""},
     ).filter("row_kind is not null")
     return judged.select(
         "row_kind",
