@@ -134,9 +134,11 @@ def test_unfinished_line_rotation_and_delivery(spark, home, tokens):
 
         return go
 
-    pl.deliver(spark, home.job, "1", send(True))
-    pl.deliver(spark, home.job, "2", send(False))
-    pl.deliver(spark, home.job, "3", send(False))
+    since = pl.deliver(spark, home.job, "1", send(True))
+    assert since == "2"
+    since = pl.deliver(spark, home.job, "2", send(False), since)
+    assert since == "3"
+    pl.deliver(spark, home.job, "3", send(False), since)
     assert sent == [3, 2, 0]
 
 

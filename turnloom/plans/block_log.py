@@ -15,7 +15,7 @@ from turnloom.functions import jsonline as js
 from turnloom.functions import paths as ph
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
-from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, spans_chunks
+from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, exchange_chunks, spans_chunks, summarize_chunks, unpack_rows
 
 # Fixed values of the format.
 SOURCE_TOOL = "CLAUDE_CODE"
@@ -74,7 +74,7 @@ def parse(lines: DataFrame) -> DataFrame:
                          x -> named_struct('pos', x.pos, 'text', {js.text_if_string("x.b.text")})),
                p -> p.text != ''))"""
     # A plain string, a null (an empty prompt), or text blocks without any tool output among them.
-    user_text = f"""case when speaker != 'user' then null
+    user_text = f"""case when coalesce(speaker, '') != 'user' then null
         when _.blocks is not null then if(exists(_.blocks, x -> {named} = 'tool_result'), null,
                                           nullif(array_join(_.pieces.text, ''), ''))
         when {js.json_type("m_content")} = 'STRING' then try_variant_get(m_content, '$', 'string')
@@ -162,7 +162,10 @@ def _scan_whole(rows: DataFrame) -> DataFrame:
 
 def _scan_chunked(rows: DataFrame) -> DataFrame:
     """Turn of every row, for files of any size: exchange on (path, chunk), summaries per chunk."""
-    sums = rows.groupBy("path", "chunk").agg(
+    carried = ["file_idle", "prompt", "is_reply", "msg_id", "tokens", "model", "stop_reason", "pieces", "aside"]
+    together = exchange_chunks(rows, ["prompt_offset", "entrypoint"], carried)
+    sums = summarize_chunks(
+        together,
         F.max("prompt_offset").alias("chunk_prompt"),
         F.min(F.when(F.col("entrypoint").isNotNull(), F.struct("byte_offset", "entrypoint"))).alias("chunk_entry"),
     )
@@ -179,11 +182,15 @@ def _scan_chunked(rows: DataFrame) -> DataFrame:
         .orderBy("byte_offset")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = rows.withColumn("turn", F.last("prompt_offset", ignorenulls=True).over(so_far))
-    return (
-        local.join(carry, ["path", "chunk"], "left")
-        .withColumn("turn", F.coalesce("turn", "carried"))
-        .drop("carried")
+    local = unpack_rows(together.withColumn("turn", F.last("prompt_offset", ignorenulls=True).over(so_far)))
+    return local.join(carry, ["path", "chunk"], "left").select(
+        "path",
+        "byte_offset",
+        "prompt_offset",
+        *carried,
+        F.coalesce("turn", "carried").alias("turn"),
+        "last_prompt",
+        F.coalesce("entry", "entrypoint").alias("entry"),
     )
 
 

@@ -132,7 +132,9 @@ def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFra
         good = rows.filter("row_kind = 'turn'").join(errors.select("path"), "path", "left_anti")
         owned = good.join(files.select("path", "queue_slug"), "path")
         spooled = owned if spooled is None else spooled.unionByName(owned)
-        cursors = cur.new_cursors(files, rows, errors)
+        known = files.select("path", "start_offset")
+        # Only cursors that moved are written, so the log grows with activity, not with the fleet.
+        cursors = cur.new_cursors(files, rows, errors).join(known, "path").filter("cursor <> start_offset").drop("start_offset")
         moved = cursors if moved is None else moved.unionByName(cursors)
     hashed = to_wire(spooled.withColumn("content_hash", content_hash()))
     tables.write_spool(
@@ -150,18 +152,26 @@ def errors_of(spark: SparkSession, job: Job, pass_id: str) -> DataFrame:
     return out
 
 
-def deliver(spark: SparkSession, job: Job, run_id: str, send: Callable[[DataFrame], DataFrame]) -> None:
+def deliver(
+    spark: SparkSession, job: Job, run_id: str, send: Callable[[DataFrame], DataFrame], since: str = ""
+) -> str:
     """Hand pending request bodies to ``send``, which returns (queue_slug, spool_file, batch, ok).
 
     Files up to the first failing one of each queue are logged as delivered; the rest stays pending.
+    Returns the oldest pass that still has pending files: the ``since`` of the next call, so delivered
+    passes are not read again.
     """
     keys = ["queue_slug", "spool_file"]
-    spool = tables.spooled_events(spark, job.table("spool"))
+    spool = tables.spooled_events(spark, job.table("spool"), since)
     left = ev.pending(spool, tables.read_delivered(spark, job.table("delivered")), keys)
     readable = left.filter("source_tool IS NOT NULL")
     batched = ev.assign_batches(readable, keys, ["path", "prompt_offset"])
     outcomes = send(ev.build_envelopes(batched, keys))
     ev.delivered_files(outcomes).write.mode("overwrite").parquet(f"{job.table('delivered')}/pass_id={run_id}")
+    files = tables.read_spool(spark, job.table("spool"), since).select("pass_id", *keys).distinct()
+    waiting = ev.pending(files, tables.read_delivered(spark, job.table("delivered")), keys)
+    newest = files.agg(F.max("pass_id")).first()[0] or since
+    return waiting.agg(F.min("pass_id")).first()[0] or newest
 
 
 def stored_events(spark: SparkSession, job: Job, columns: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from turnloom.functions import jsonline as js
 from turnloom.functions import paths as ph
 from turnloom.functions import text as tx
 from turnloom.functions.timestamps import parse_rfc3339
-from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, spans_chunks
+from turnloom.plans.chunks import CHUNK_BYTES, aside, chunk_of, exchange_chunks, spans_chunks, summarize_chunks, unpack_rows
 
 # Fixed values of the format.
 SOURCE_TOOL = "CODEX"
@@ -143,7 +143,9 @@ def _scan_whole(rows: DataFrame) -> DataFrame:
 
 def _scan_chunked(rows: DataFrame) -> DataFrame:
     """The same for files of any size: exchange on (path, chunk), summaries per chunk."""
-    sums = rows.groupBy("path", "chunk").agg(
+    together = exchange_chunks(rows, ["kind", "model", "header"], ["file_idle", "start_offset", "ts", "text"])
+    sums = summarize_chunks(
+        together,
         F.expr("max(if(kind = 'M', struct(byte_offset, model), null)) as last_model"),
         F.expr("min(header) as header"),
         F.expr(f"min({_EDGE}) as head"),
@@ -161,7 +163,8 @@ def _scan_chunked(rows: DataFrame) -> DataFrame:
     )
     order = "OVER (PARTITION BY path, chunk ORDER BY byte_offset"
     scanned = (
-        rows.selectExpr("*", f"{_SPEECH} as speech")
+        unpack_rows(together)
+        .selectExpr("*", f"{_SPEECH} as speech")
         .selectExpr(
             "*",
             f"last(model) IGNORE NULLS {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) as model_here",
@@ -178,7 +181,7 @@ def _scan_chunked(rows: DataFrame) -> DataFrame:
         f"if({crosses}, head_after.byte_offset, byte_offset) as pair",
         f"if({opens_chunk}, 'R', kind) as side",
         "struct(byte_offset, kind, file_idle, start_offset, ts, text, coalesce(model_here, model_before) as model_now, "
-        "meta, coalesce(next.kind, head_after.kind) as next_kind) as row",
+        "coalesce(meta, header) as meta, coalesce(next.kind, head_after.kind) as next_kind) as row",
         f"if({opens_chunk}, text, next.text) as reply",
     ).filter("side in ('U', 'R', 'T', 'X', 'H')")
     paired = sides.groupBy("path", "pair").agg(

@@ -53,6 +53,11 @@ def read_cursors(spark: SparkSession, path: str) -> DataFrame:
     return log.groupBy("path").agg(latest).select("path", "c.*")
 
 
+def compact_cursors(spark: SparkSession, path: str, target: str, pass_id: str) -> None:
+    """Write the latest cursor per file as a fresh log that replaces the old one."""
+    read_cursors(spark, path).write.mode("overwrite").parquet(f"{target}/pass_id={pass_id}")
+
+
 def write_cursors(cursors: DataFrame, path: str, pass_id: str, now) -> None:
     """Advance cursors. Call only after the spool of the same pass has been written."""
     cursors.select(
@@ -66,14 +71,12 @@ def write_cursors(cursors: DataFrame, path: str, pass_id: str, now) -> None:
 def write_spool(events: DataFrame, path: str, pass_id: str) -> None:
     """Spool finished events, one folder per pass and queue, files of a bounded number of rows.
 
-    Rows are laid out by (queue, path, chunk of prompts), so one queue that owns a third of all events
-    still spreads over many tasks and files.
+    Rebalancing by queue keeps small queues in one file each and splits a queue that owns a large part
+    of all events over many tasks.
     """
-    spread = events.withColumn("_part", F.expr("prompt_offset div 67108864"))
     (
-        spread.repartition("queue_slug", "path", "_part")
+        events.hint("rebalance", "queue_slug")
         .sortWithinPartitions("queue_slug", "path", "prompt_offset")
-        .drop("_part")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", SPOOL_FILE_ROWS)
         .partitionBy("queue_slug")
@@ -81,17 +84,20 @@ def write_spool(events: DataFrame, path: str, pass_id: str) -> None:
     )
 
 
-def read_spool(spark: SparkSession, path: str) -> DataFrame:
-    """Spooled events with ``spool_file``, whose order is the order of passes and files."""
-    raw = _read(spark, path, SPOOL)
+def read_spool(spark: SparkSession, path: str, since: str = "") -> DataFrame:
+    """Spooled events with ``spool_file``, whose order is the order of passes and files.
+
+    ``since`` leaves out the folders of older passes without opening them.
+    """
+    raw = _read(spark, path, SPOOL).filter(F.col("pass_id") >= since)
     if not raw.inputFiles():
         return raw.withColumn("spool_file", F.lit("").cast("string"))
     return raw.withColumn("spool_file", F.concat_ws("/", "pass_id", "_metadata.file_name"))
 
 
-def spooled_events(spark: SparkSession, path: str) -> DataFrame:
+def spooled_events(spark: SparkSession, path: str, since: str = "") -> DataFrame:
     """Spooled events decoded; rows whose JSON does not decode have no ``source_tool``."""
-    return from_wire(read_spool(spark, path))
+    return from_wire(read_spool(spark, path, since))
 
 
 def read_delivered(spark: SparkSession, path: str) -> DataFrame:
