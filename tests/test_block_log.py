@@ -152,3 +152,11 @@ def test_surface_is_first_entrypoint(as_lines):
     for chunk in (1 << 26, 30):
         (turn,) = [r for r in block_log.scan(as_lines(files), chunk).collect() if r.row_kind == "turn"]
         assert turn.surface == "sdk-cli"
+
+
+def test_quarantine_names_places_only(as_lines):
+    from turnloom.operators.reports import quarantined
+
+    rows = quarantined(block_log.parse(as_lines({"rejects": FILES["rejects"]}))).orderBy("byte_offset").collect()
+    assert [r.byte_offset for r in rows] == [offset("rejects", n) for n in (4, 5, 6)]
+    assert rows[0].asDict().keys() == {"path", "byte_offset"}

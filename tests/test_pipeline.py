@@ -179,3 +179,34 @@ def test_stateful_stream_releases_settled_turns(spark, home):
     turns = turns_of_released(released).orderBy("prompt_offset").collect()
     assert [t.prompt_text for t in turns] == [f"use {TOKEN}", "second", "third"]
     assert [t.response_text for t in turns] == ["token = abc", "done", None]
+
+
+def test_registry_file_and_compacted_cursors(spark, tmp_path):
+    assert tables.read_registry(spark, f"{tmp_path}/none").count() == 0
+    (tmp_path / "registry.json").write_text('[{"configDir": "/h/.claude-a", "tokenKey": "k"}]')
+    registry = tables.read_registry(spark, f"{tmp_path}/registry.json")
+    tables.write_registry(registry, f"{tmp_path}/registry", "1")
+    again = tables.read_registry(spark, f"{tmp_path}/registry/version=1")
+    assert [tuple(r) for r in again.collect()] == [("/h/.claude-a", "k")]
+
+    log = f"{tmp_path}/cursors"
+    for pass_id, cursor in (("1", 5), ("2", 9)):
+        tables.write_cursors(spark.sql(f"select 'f' path, {cursor}L cursor"), log, pass_id, PAST)
+    tables.write_cursors(spark.sql("select 'g' path, 1L cursor"), log, "1b", PAST)
+    tables.compact_cursors(spark, log, f"{tmp_path}/compact", "2")
+    got = tables.read_cursors(spark, f"{tmp_path}/compact").orderBy("path").collect()
+    assert [(r.path, r.cursor, r.legacy_offset) for r in got] == [("f", "9", 9), ("g", "1", 1)]
+
+
+def test_failing_glob_leaves_out_one_format_only(spark, home, tokens, monkeypatch):
+    home.put(BLOCK, TALK)
+    real = pl.listed
+
+    def listed(session, globs):
+        files, reason = real(session, globs)
+        return (files.filter("false"), "glob") if ".codex" in globs[0] else (files, reason)
+
+    monkeypatch.setattr(pl, "listed", listed)
+    pl.run_once(spark, home.job, home.entries(spark, (".claude", "device-token")), tokens, FUTURE, "1")
+    assert len(prompts(spark, home)) == 2
+    assert [(r.adapter, r.reason) for r in pl.errors_of(spark, home.job, "1").collect()] == [("CODEX", "glob")]

@@ -40,3 +40,8 @@ def idle_keys(events: DataFrame, key: str, ts: str, now, idle: str) -> DataFrame
 def lost_prompts(rows: DataFrame) -> DataFrame:
     """Per file, prompts overwritten by the next prompt before any answer."""
     return rows.filter("row_kind = 'lost'").groupBy("path").agg(F.count(F.lit(1)).alias("n_lost"))
+
+
+def quarantined(parsed: DataFrame) -> DataFrame:
+    """Where the lines stand that fit no format. Their text is left out: it was never masked."""
+    return parsed.filter(~F.col("valid")).select("path", "byte_offset")

@@ -157,6 +157,12 @@ SQL = {
         SELECT CASE role WHEN 'assistant' THEN 'not_user' WHEN 'system' THEN 'marker' ELSE 'kept' END AS reason,
                sum(CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 2 ELSE 1 END)::BIGINT AS n_lines
         FROM conversations GROUP BY 1""",
+    "late_replies": """
+        WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS first_prompt FROM conversations WHERE turn >= 1 GROUP BY conv_id)
+        SELECT '/logs/.claude/projects/p' || (c.conv_id % 7) || '/s' || c.conv_id || '.jsonl' AS path,
+               sum(CASE WHEN turn % 4 = 1 THEN 2 ELSE 1 END)::BIGINT AS n_late
+        FROM conversations c JOIN f ON f.conv_id = c.conv_id
+        WHERE role = 'assistant' AND turn >= 1 AND (first_prompt IS NULL OR turn < first_prompt) GROUP BY 1""",
     "codex_turns": ROLLOUT
     + "SELECT path, session_id, surface, prompt_text, response_text, prompt_ts, project_context FROM t",
     "codex_turns_chunked": ROLLOUT

@@ -250,6 +250,20 @@ def _pass_rows(turns: DataFrame) -> DataFrame:
     )
 
 
+def late_replies(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Per file, answers read in this pass that belong to no prompt of it.
+
+    They were appended after their turn had been emitted from an idle file, and are dropped.
+    """
+    rows = _events(parse(lines), chunk_bytes)
+    placed = [
+        scan.select("path", "is_reply", "turn")
+        for scan in (_scan_whole(rows.filter("not spans")), _scan_chunked(rows.filter("spans")))
+    ]
+    dropped = placed[0].unionByName(placed[1]).filter("is_reply and turn is null")
+    return dropped.groupBy("path").agg(F.count(F.lit(1)).alias("n_late"))
+
+
 def scan_whole_files(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pass rows of files no larger than one chunk."""
     return _pass_rows(_fold(_scan_whole(_events(parse(lines), chunk_bytes))))

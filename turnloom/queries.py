@@ -188,6 +188,14 @@ def synthetic_filter_report(spark, sf_dir):
     return block_log.drop_reason(parsed).groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+@query
+def late_replies(spark, sf_dir):
+    """Files resumed right after their first prompt: the answers of that prompt come too late."""
+    lines = block_lines(spark, sf_dir).drop("start_offset")
+    known = lines.filter("seq >= 4").groupBy("path").agg(F.min("byte_offset").alias("start_offset"))
+    return block_log.late_replies(from_cursor(lines.join(known, "path")), SMALL_CHUNK)
+
+
 # --- rollout log ---------------------------------------------------------------------------------
 
 
