@@ -4,7 +4,7 @@ import pytest
 from helpers import context, header, reply, said, user
 from pyspark.sql import functions as F
 
-from turnloom.plans import pipeline as pl
+from turnloom.plans import collect as pl
 from turnloom.sources import tables
 from turnloom.streaming.jobs import RELEASED, collect_stream, settled_lines, turns_of_released
 from turnloom.streaming.source import stream_lines

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.errors import AnalysisException
@@ -69,14 +71,17 @@ def assemble(files: DataFrame, fmt: LogFormat, now, chunk_bytes: int) -> DataFra
 
     A file whose cursor stands at its end has nothing new and nothing held: it is not opened.
     """
-    grown = files.filter("file_size > start_offset")
-    large = F.expr(spans_chunks(chunk_bytes, "0L" if fmt.READS_FROM_START else "start_offset"))
-
-    def lines(part: DataFrame) -> DataFrame:
-        return fl.read_lines(part, chunk_bytes, fmt.READS_FROM_START).withColumn("file_idle", fl.is_idle(now))
-
-    whole = fmt.scan_whole_files(lines(grown.filter(~large)), chunk_bytes)
-    return whole.unionByName(fmt.scan_chunked_files(lines(grown.filter(large)), chunk_bytes))
+    lower = "0L" if fmt.READS_FROM_START else "start_offset"
+    grown = files.filter("file_size > start_offset").withColumn("large", F.expr(spans_chunks(chunk_bytes, lower)))
+    todo = grown.groupBy("large").agg(F.expr(f"sum(file_size - {lower})")).collect()  # at most two rows
+    parts = []
+    for large, n_bytes in todo or [(False, 0)]:
+        tasks = fl.scan_tasks(files.sparkSession, n_bytes)
+        part = grown.filter(F.col("large") == large).drop("large")
+        lines = fl.read_lines(part, chunk_bytes, fmt.READS_FROM_START, tasks).withColumn("file_idle", fl.is_idle(now))
+        scan = fmt.scan_chunked_files if large else fmt.scan_whole_files
+        parts.append(scan(lines, chunk_bytes))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def finish(rows: DataFrame, client_version: str) -> DataFrame:
@@ -122,10 +127,15 @@ def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFra
     same lines again, which the content hash absorbs; it never skips any.
     """
     with_token = tokens.filter("coalesce(token, '') <> ''").select("token_key").distinct()
-    for fmt in FORMATS:
-        # Machine-wide logs are collected only for an owner that holds a token.
-        entries = registry.join(with_token, "token_key", "left_semi") if fmt.NEEDS_HEADER else registry
-        collect_format(spark, job, fmt, entries, now, pass_id)
+    # Machine-wide logs are collected only for an owner that holds a token.
+    holders = registry.join(with_token, "token_key", "left_semi")
+    with ThreadPoolExecutor(len(FORMATS)) as pool:
+        running = [
+            pool.submit(collect_format, spark, job, fmt, holders if fmt.NEEDS_HEADER else registry, now, pass_id)
+            for fmt in FORMATS
+        ]
+        for one in running:
+            one.result()
     spooled, moved = None, None
     for fmt in FORMATS:
         files, rows, errors = (staged(spark, job, pass_id, fmt, n) for n in ("files", "rows", "errors"))

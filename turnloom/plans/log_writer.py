@@ -1,4 +1,4 @@
-"""Write rendered lines as session files, so that file pipelines can be run on the tables.
+"""Write rendered lines as session files, so that file passes can be run on the tables.
 
 One task streams the lines of a file in order; nothing is collected. Writing a longer version of the
 same file later is how a growing log looks to a reader.

@@ -1,4 +1,4 @@
-"""Render the ``conversations`` table as raw session-log lines, so that whole pipelines can be run
+"""Render the ``conversations`` table as raw session-log lines, so that whole passes can be run
 and checked on it. Every choice is a plain function of the row."""
 
 from __future__ import annotations

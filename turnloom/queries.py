@@ -22,7 +22,7 @@ from turnloom.operators import events as ev
 from turnloom.operators import ordered
 from turnloom.operators import registry as reg
 from turnloom.operators import reports
-from turnloom.plans import block_log, pipeline, render, rollout_log
+from turnloom.plans import block_log, collect, render, rollout_log
 from turnloom.plans.log_writer import write_session_files
 from turnloom.session import checkpointed, configure, shared_dir
 from turnloom.sources.files import from_cursor, start_offset
@@ -591,7 +591,7 @@ def incremental_equals_full(spark, sf_dir):
 # --- whole jobs over files -----------------------------------------------------------------------
 
 
-def _job(spark: SparkSession, name: str) -> tuple[pipeline.Job, str, DataFrame, DataFrame]:
+def _job(spark: SparkSession, name: str) -> tuple[collect.Job, str, DataFrame, DataFrame]:
     root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     globs = {
         block_log.SOURCE_TOOL: [f"{root}/.claude/{block_log.FILE_GLOB}"],
@@ -600,7 +600,7 @@ def _job(spark: SparkSession, name: str) -> tuple[pipeline.Job, str, DataFrame,
     plain = re.sub("^file:/+", "/", root)
     registry = spark.sql(f"select '{plain}/.claude' as config_dir, '{ph.DEFAULT_TOKEN_KEY}' as token_key")
     tokens = spark.sql(f"select '{ph.DEFAULT_TOKEN_KEY}' as token_key, 'x' as token")
-    return pipeline.Job(globs, f"{root}/state", "1.0", 1 << 16), root, registry, tokens
+    return collect.Job(globs, f"{root}/state", "1.0", 1 << 16), root, registry, tokens
 
 
 def _drop_files(spark: SparkSession, sf_dir: str, root: str, turns_so_far: int | None) -> None:
@@ -610,8 +610,8 @@ def _drop_files(spark: SparkSession, sf_dir: str, root: str, turns_so_far: int |
         write_session_files(seen, root, "/logs")
 
 
-def _stored(spark: SparkSession, job: pipeline.Job) -> DataFrame:
-    events = pipeline.stored_events(spark, job)
+def _stored(spark: SparkSession, job: collect.Job) -> DataFrame:
+    events = collect.stored_events(spark, job)
     return events.select(
         "source_tool", "session_id", "prompt_text", "response_text", "token_count", "project_context", "client_version", "model",
         format_wire_ts(F.col("prompt_ts")).alias("prompt_ts"),
@@ -623,9 +623,9 @@ def run_once_events(spark, sf_dir):
     """Two passes over real files that grow in between: read, resume, assemble, mask, spool, dedup."""
     job, root, registry, tokens = _job(spark, "run")
     _drop_files(spark, sf_dir, root, 3)
-    pipeline.run_once(spark, job, registry, tokens, "2000-01-01 00:00:00", "000001")
+    collect.run_once(spark, job, registry, tokens, "2000-01-01 00:00:00", "000001")
     _drop_files(spark, sf_dir, root, None)
-    pipeline.run_once(spark, job, registry, tokens, "2999-01-01 00:00:00", "000002")
+    collect.run_once(spark, job, registry, tokens, "2999-01-01 00:00:00", "000002")
     return _stored(spark, job)
 
 

@@ -187,6 +187,11 @@ def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield emit([-1], [None], f"{type(e).__name__}: {e}")
 
 
+def scan_tasks(spark: SparkSession, n_bytes: int) -> int:
+    """How many tasks should read that many bytes."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_bytes // SCAN_BYTES_PER_TASK))
+
+
 def read_lines(
     files: DataFrame, chunk_bytes: int = CHUNK_BYTES, from_start: bool = False, tasks: int | None = None
 ) -> DataFrame:
@@ -197,8 +202,7 @@ def read_lines(
     """
     ranges = byte_ranges(files, chunk_bytes, from_start)
     if tasks is None:
-        total = ranges.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
-        tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // SCAN_BYTES_PER_TASK))
+        tasks = scan_tasks(files.sparkSession, ranges.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0)
     # Explicit count: adaptive execution would merge these tiny rows, and all reading, into one task.
     spread = ranges.repartition(tasks, "path", "chunk").select(
         "path", "file_size", "file_mtime", "start_offset", "lower", "start", "end"

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnloom.plans import block_log
-from turnloom.plans.pipeline import Job, run_once
+from turnloom.plans.collect import Job, run_once
 from turnloom.streaming.source import stream_lines
 
 IDLE_MS = 10 * 60 * 1000
