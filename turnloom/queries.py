@@ -307,8 +307,8 @@ def redact_pages(spark, sf_dir):
 
 @query
 def secret_hits_by_pattern(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    hits = tx.secret_hits(with_secret(F.col("text"), F.col("doc_id")))
+    d = table(spark, sf_dir, "documents").select(with_secret(F.col("text"), F.col("doc_id")).alias("text"))
+    hits = tx.secret_hits(F.col("text"))
     counted = d.agg(*[F.count_if(hit).alias(name) for name, hit in hits.items()])
     return counted.unpivot([], list(hits), "pattern", "n_docs")
 
