@@ -12,7 +12,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.functions import paths as ph
 from turnloom.functions.text import scrub
 from turnloom.functions.wire import content_hash, to_wire
 from turnloom.operators import cursors as cur
