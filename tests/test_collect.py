@@ -87,6 +87,17 @@ def test_crash_between_spool_and_cursors_loses_nothing(spark, home, tokens, monk
     assert len(prompts(spark, home)) == 2
 
 
+def test_a_finished_pass_can_be_redone(spark, home, tokens):
+    # A stream that stops after its pass but before its own commit replays the batch.
+    home.put(BLOCK, TALK)
+    registry = home.entries(spark, (".claude", "device-token"))
+    for _ in range(2):
+        pl.run_once(spark, home.job, registry, tokens, FUTURE, "1")
+        assert tables.read_spool(spark, home.job.table("spool")).count() == 2
+    pl.run_once(spark, home.job, registry, tokens, FUTURE, "2")
+    assert tables.read_spool(spark, home.job.table("spool")).count() == 2
+
+
 def test_bad_file_does_not_harm_others(spark, home, tokens):
     home.put(ROLLOUT, CHAT)
     bad = ".codex/sessions/2026/03/01/rollout-2.jsonl"

@@ -98,7 +98,8 @@ def collect_format(
     """Read one format's files once and stage masked rows; owners are settled per file, not per event."""
     found, failure = listed(spark, job.globs.get(fmt.SOURCE_TOOL, []) or ["/nonexistent"])
     owned = reg.attribute_events(found, registry, fmt.owner_dir(F.col("path")))
-    files = fl.with_cursors(owned.select("path", "file_size", "file_mtime"), tables.read_cursors(spark, job.table("cursors")))
+    cursors = tables.read_cursors(spark, job.table("cursors"), before=pass_id)
+    files = fl.with_cursors(owned.select("path", "file_size", "file_mtime"), cursors)
     stage = f"{job.table('stage')}/pass_id={pass_id}/format={fmt.SOURCE_TOOL}"
     # One listing serves the whole pass: sizes must not move between reading and cursors.
     files.join(owned.select("path", "queue_slug"), "path").write.mode("overwrite").parquet(f"{stage}/files")

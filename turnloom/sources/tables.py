@@ -46,9 +46,15 @@ def write_registry(registry: DataFrame, path: str, version: str) -> None:
     wire.write.mode("overwrite").json(f"{path}/version={version}")
 
 
-def read_cursors(spark: SparkSession, path: str) -> DataFrame:
-    """Latest cursor per file. Passes append; pass ids sort by time, the newest wins."""
+def read_cursors(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
+    """Latest cursor per file. Passes append; pass ids sort by time, the newest wins.
+
+    ``before`` leaves out a pass and later ones: a pass that is redone must start where it first did,
+    or it would find nothing new and overwrite its spool with nothing.
+    """
     log = _read(spark, path, CURSORS + ", pass_id string")
+    if before is not None:
+        log = log.filter(F.col("pass_id") < before)
     latest = F.max_by(F.struct("cursor", "legacy_offset", "updated_at"), "pass_id").alias("c")
     return log.groupBy("path").agg(latest).select("path", "c.*")
 

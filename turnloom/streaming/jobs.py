@@ -32,7 +32,8 @@ def collect_stream(
     spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFrame, now=None, trigger: dict | None = None
 ) -> StreamingQuery:
     """Run one pass per micro-batch. A replayed batch redoes the pass of the same id, which overwrites
-    that pass's own spool folder: nothing doubles, nothing is lost."""
+    that pass's own spool folder: nothing doubles, nothing is lost. Give the stream a state folder of
+    its own, because its pass ids (batch numbers) do not sort among those of scheduled runs."""
 
     def one_pass(batch: DataFrame, batch_id: int) -> None:
         at = now or spark.sql("select string(current_timestamp())").first()[0]
