@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from turnloom.oracles import SQL
+from turnloom.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="tables are not here")
@@ -27,15 +29,19 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+def test_registered():
+    assert set(all_queries()) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query(spark, db, name):
-    df = entry.queries()[name](spark, SF)
+    df = all_queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    result = db.execute(entry.oracle_sql()[name])
+    result = db.execute(SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     want = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
