@@ -10,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from turnloom.llm import flat
 
 #: Every byte that is in no word becomes a space, A-Z become a-z.
 NORMAL = bytes(int(flat.LOWER[b]) if flat.ALNUM[flat.LOWER[b]] else 0x20 for b in range(256))
 
-FOUND = "struct<n_words: bigint, hits: array<struct<first_word: bigint, n_window: bigint, items: array<string>, first_char: bigint, end_char: bigint>>>"
 _HIT = pa.struct([("first_word", pa.int64()), ("n_window", pa.int64()), ("items", pa.list_(pa.string())), ("first_char", pa.int64()), ("end_char", pa.int64())])
-FOUND_TYPE = T.StructType.fromDDL("found " + FOUND).fields[0].dataType
 FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(_HIT))])
+FOUND = from_arrow_type(FOUND_ARROW)
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", width:
                 kept = batch.columns if first else batch.columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, column], names)
 
-        schema = T.StructType([*docs.schema.fields, T.StructField(into, FOUND_TYPE)])
+        schema = T.StructType([*docs.schema.fields, T.StructField(into, FOUND)])
         out = out.mapInArrow(step, schema)
     return out
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from turnloom.llm import flat
 from turnloom.llm.scratch import write
@@ -17,11 +18,9 @@ from turnloom.llm.supervised import adam, held_out, labelled_sample, logistic, s
 
 #: Tokens on either side of a marked word that stand in its training sequence.
 REACH = 4
-SCORED = T.StructType.fromDDL(
-    "s struct<score: double, n_tokens: bigint, toxic_tokens: double, spans: array<struct<first_char: bigint, end_char: bigint, probability: double>>>"
-).fields[0].dataType
 _SPAN = pa.struct([("first_char", pa.int64()), ("end_char", pa.int64()), ("probability", pa.float64())])
 _SCORED = pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("toxic_tokens", pa.float64()), ("spans", pa.list_(_SPAN))])
+SCORED = from_arrow_type(_SCORED)
 
 
 @dataclass
