@@ -39,7 +39,27 @@ contamination as (select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0
         coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from dw left join word_hit on word_hit.doc_id = dw.doc_id left join item_hit on item_hit.doc_id = dw.doc_id)"""
 
+QUALITY = f"""
+qw as (select doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as text, {SPACE_WORDS.format("coalesce(text, '')")} as w from documents),
+ql as (select doc_id, host, text, pos, trim(line, {SPACE}) as stripped, line from
+        (select doc_id, host, text, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from qw)),
+line_stats as (select doc_id, sum(length(stripped)) as line_chars, count(*) filter (stripped <> '') - count(distinct line) filter (stripped <> '') as n_dup_lines from ql group by doc_id),
+runs as (select doc_id, unnest(range(1, len(w) - 6)) as p0, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from qw where len(w) >= 8),
+again as (select doc_id, p0 from runs qualify count(*) over (partition by doc_id, g) > 1),
+repeat_words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(p0, p0 + 8)) as p from again) group by doc_id),
+keyed as (select *, {LOWER.format("stripped")} as key from ql where length(stripped) >= 10),
+hosts as (select host, count(*) as rows from qw group by host),
+frequent as (select k.host, key from keyed k join hosts h on h.host = k.host group by k.host, key, h.rows having count(distinct text) > 10 and count(distinct text) > 0.01 * h.rows),
+gone as (select doc_id, count(*) as n, sum(length(stripped)) as chars from keyed k join frequent f on f.host = k.host and f.key = k.key group by doc_id),
+measures as (select q.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols, s.n_dup_lines::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
+        coalesce(g.n, 0)::bigint as n_removed_lines, (s.line_chars - coalesce(g.chars, 0))::bigint as kept_chars, s.line_chars
+        from qw q join line_stats s on s.doc_id = q.doc_id left join repeat_words r on r.doc_id = q.doc_id left join gone g on g.doc_id = q.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and kept_chars >= 0.3 * line_chars as kept, n_removed_lines, kept_chars from measures"""
+
 SQL = {
+    "op4_quality_rules": f"with {QUALITY}",
     "op2_ngram_jaccard_join": f"with recursive {JACCARD.format(docs='documents')} select * from jaccard",
     "op5_line_dedup": f"with {LINE_DEDUP.format(docs='documents')} select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from line_dedup",
     "op7_benchmark_decontamination": f"with {CONTAMINATION.format(docs='documents')} select * from contamination",
