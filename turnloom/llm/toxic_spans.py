@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from turnloom.llm import flat
-from turnloom.llm.scratch import write
+from turnloom.llm.scratch import bounded, write
 from turnloom.llm.supervised import adam, held_out, labelled_sample, logistic, sigmoid
 
 #: Tokens on either side of a marked word that stand in its training sequence.
@@ -87,11 +87,12 @@ def _features(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, len(vocabulary))
 
 
-def training_sequences(sample: DataFrame, vocabulary: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token features and labels, one window of 2 * REACH + 1 tokens a row, -1 beyond a text's ends.
+def training_sequences(sample: DataFrame, vocabulary: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token features and labels, one window of 2 * REACH + 1 tokens a row (-1 beyond a text's ends), and how often it stands.
 
     Windows stand around marked words, and around every 200th token. A token is labelled toxic if it is marked and its
-    document is toxic. Of more than `most` windows those with the smallest hash are taken.
+    document is toxic. Windows look alike wherever the same marked words stand among unmarked ones, so they are counted, and
+    only different ones go to the driver: the `most` most frequent, should there be more.
     """
     width = 2 * REACH + 1
 
@@ -107,20 +108,19 @@ def training_sequences(sample: DataFrame, vocabulary: np.ndarray, most: int) ->
                 inside = (at >= w.first[doc[centre]][:, None]) & (at < w.first[doc[centre] + 1][:, None])
                 x = np.where(inside, f[np.clip(at, 0, max(0, len(f) - 1))], -1) if len(f) else np.zeros((0, width), np.int64)
                 y = (x >= 0) & (x < len(vocabulary)) & (label[rows][doc[centre]] == 1)[:, None]
-                key = flat.signed(flat.mix(h[centre] + flat.U(1) * centre.astype(flat.U)))
-                both = np.concatenate([x, y.astype(np.int64)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(list(both), pa.list_(pa.int64()))], ["key", "window"])
+                windows, n = np.unique(np.concatenate([x, y], axis=1).astype("<i4"), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in windows], pa.binary()), pa.array(n.astype(np.int64))], ["window", "n"])
 
-    found = sample.select("text", "label").mapInArrow(cut, "key long, window array<long>")
-    rows = found.orderBy("key").limit(most).collect()
-    both = np.array([r["window"] for r in rows], np.int64).reshape(-1, 2 * width)
-    return both[:, :width], both[:, width:]
+    found = sample.select("text", "label").mapInArrow(cut, "window binary, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "window").limit(most).collect()
+    both = np.frombuffer(b"".join(r["window"] for r in rows), "<i4").astype(np.int64).reshape(-1, 2 * width)
+    return both[:, :width], both[:, width:], np.array([r["n"] for r in rows], float)
 
 
 def _marginals(score: np.ndarray, change: np.ndarray, first: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over rows of equal width. score: [rows, width, 2]; tokens that aren't `there` pass states on.
 
-    Returns the marginals of the states, and the sum over places of the marginals of state pairs.
+    Returns the marginals of the states, and for each row the sum over places of the marginals of state pairs.
     """
     n, width, _ = score.shape
     lse = lambda z, axis: np.logaddexp.reduce(z, axis=axis)
@@ -139,30 +139,33 @@ def _marginals(score: np.ndarray, change: np.ndarray, first: np.ndarray, there:
     state = np.exp(state - lse(state, 2)[..., None]) * there[..., None]
     pair = ahead[:, :-1, :, None] + change + (score[:, 1:] + back[:, 1:])[:, :, None, :]
     pair = np.exp(pair - lse(lse(pair, 3), 2)[..., None, None]) * (there[:, :-1] & there[:, 1:])[..., None, None]
-    return state, pair.sum((0, 1))
+    return state, pair.sum(1)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, size: int, steps: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, steps: int = 150) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximise the likelihood of the labels; `size` words and one feature for all other tokens."""
     there = x >= 0
     f = np.where(there, x, size)
     begin = there & ~np.pad(there, ((0, 0), (1, 0)))[:, :-1]
+    each = np.broadcast_to(weight[:, None], x.shape)
     seen_pairs = np.zeros((2, 2))
     follow = there[:, :-1] & there[:, 1:]
-    np.add.at(seen_pairs, (y[:, :-1][follow], y[:, 1:][follow]), 1)
-    seen_first = np.array([(begin & (y == s)).sum() for s in (0, 1)], float)
-    seen_words = np.bincount(f[there & (y == 1)], minlength=size + 1).astype(float)
-    n = max(1, len(x))
+    np.add.at(seen_pairs, (y[:, :-1][follow], y[:, 1:][follow]), each[:, 1:][follow])
+    seen_first = np.array([each[begin & (y == s)].sum() for s in (0, 1)])
+    hit = there & (y == 1)
+    seen_words = np.bincount(f[hit], each[hit], size + 1)
+    n = max(1.0, weight.sum())
 
     def grads(params: list[np.ndarray], _: int) -> list[np.ndarray]:
         emission, change, first = params
         score = np.stack([np.zeros(f.shape), emission[f]], -1) * there[..., None]
         state, pairs = _marginals(score, change, first, there)
-        words = np.bincount(f[there], state[..., 1][there], size + 1)
-        firsts = state[begin].sum(0)
+        words = np.bincount(f[there], (state[..., 1] * each)[there], size + 1)
+        firsts = (state * each[..., None])[begin].sum(0)
+        pairs = (pairs * weight[:, None, None]).sum(0)
         return [(words - seen_words) / n + 1e-4 * emission, (pairs - seen_pairs) / n + 1e-3 * change, (firsts - seen_first) / n + 1e-3 * first]
 
-    emission, change, first = adam([np.zeros(size + 1), np.zeros((2, 2)), np.zeros(2)], grads, steps, 0.1)
+    emission, change, first = adam([np.zeros(size + 1), np.zeros((2, 2)), np.zeros(2)], grads, steps, 0.15)
     return emission, change, first
 
 
@@ -232,7 +235,7 @@ def _tagged(column: pa.Array, tagger: Tagger) -> Iterator[tuple[int, list[tuple[
             yield n, list(zip(chars[w.starts[mine] - begin].tolist(), chars[w.ends[mine] - begin].tolist(), p.tolist())), p
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_windows: int = 40_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_windows: int = 20_000) -> Model:
     """Learn from at most `per_class` toxic and as many clean labelled documents, none of fold 0.
 
     Labels are given per document, so a token counts as labelled toxic where a word that marks toxic documents stands in
@@ -275,6 +278,7 @@ def score(docs: DataFrame, model: Model, into: str = "toxicity", least: float =
     Offsets are code points of the text. A null or empty text has no tokens and gets the score of a text without marked
     words. Nothing is shuffled; rows that share a doc_id are scored each on its own.
     """
+    bounded(docs.sparkSession)
     at, names = docs.columns.index("text"), [*docs.columns, into]
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
