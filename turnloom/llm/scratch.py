@@ -13,9 +13,19 @@ from turnloom.session import shared_dir
 NO_ID = (1 << 63) - 1
 
 
+#: Bytes of rows that Python workers get at once. Some operators hold several times as much while they work on a batch.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let batches to Python workers be bounded by their size, whatever the rows: a session setting, safe to repeat."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table and read it back: cuts the lineage and survives lost executors. Returns it with its folder."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -29,9 +39,19 @@ def drop(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def identified(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Columns doc_id and text only; a null id becomes NO_ID, so all rows without id are one document."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+def identified(docs: DataFrame, **more: Column) -> DataFrame:
+    """Columns doc_id, variant, text and `more` only; a null id becomes NO_ID.
+
+    Rows of one id with the same text are one document. Should an id have several texts, `variant` (a hash of the text)
+    tells them apart; it is 0 where every id stands once, so that it costs nothing in a shuffle.
+    """
+    bounded(docs.sparkSession)
+    own = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"),
+        *(c.alias(name) for name, c in more.items()),
+    )
+    repeated = own.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return own.select("doc_id", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("variant"), "text", *more)
 
 
 def id_or_null(name: str = "doc_id") -> Column:
