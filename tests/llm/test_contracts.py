@@ -56,7 +56,7 @@ def test_decontamination(spark, as_docs, corpus):
 def test_decontamination_in_blocks(spark, as_docs, corpus):
     items = spark.createDataFrame([(k, corpus[k]) for k in range(5)], ITEMS)
     docs = as_docs({d: corpus[d] for d in range(70)}).select("doc_id", "text")
-    once, often = (decontaminate.scan(docs, items, "f", block_bytes=b) for b in (1 << 20, 300))
+    once, often = (decontaminate.scan(docs, items, "f", block_bytes=b) for b in (1 << 20, 12_000))
     columns = ["doc_id", "f.n_words", decontaminate.covered(F.col("f.hits")).alias("n_hit")]
     assert sorted(once.select(*columns).collect()) == sorted(often.select(*columns).collect())
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from turnloom.llm import flat
+from turnloom.llm.scratch import bounded, write
 
 #: Every byte that is in no word becomes a space, A-Z become a-z.
 NORMAL = bytes(int(flat.LOWER[b]) if flat.ALNUM[flat.LOWER[b]] else 0x20 for b in range(256))
@@ -54,10 +55,12 @@ def automaton(rows: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton:
     return a
 
 
-def _found(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[dict]]:
+def _found(text: str | None, machine: ahocorasick.Automaton | None) -> tuple[int, list[dict]]:
     """Number of words, and every occurrence of a window with its place in the original text."""
     if not text:
         return 0, []
+    if machine is None:
+        return len(normalised(text)), []
     raw = text.encode()
     split = [w for w in raw.translate(NORMAL).split(b" ") if w]
     plain = b" " + b" ".join(split) + b" "
@@ -88,10 +91,11 @@ def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", width:
     """docs with one more column: the number of words and every occurrence of a window. Nothing is shuffled.
 
     Offsets are code points of the text as it was: first_char:end_char is the occurrence. The automaton is broadcast, and
-    its size is checked first: items of more than `block_bytes` of windows are spread over several automata, which rows
-    pass one after the other, so no broadcast grows with the benchmark.
+    its size is checked first: items of more than `block_bytes` of windows are spread over several automata. Rows pass them
+    one after the other, written in between so that a worker holds one at a time; no broadcast grows with the benchmark.
     """
     spark = docs.sparkSession
+    bounded(spark)
     cut = windows(items, width)
     size = cut.agg(F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
@@ -101,7 +105,7 @@ def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", width:
         shared = spark.sparkContext.broadcast([(r["window"].encode(), sorted(r["items"])) for r in block.toLocalIterator()])
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
-            machine = automaton(shared.value)
+            machine = automaton(shared.value) if shared.value else None
             for batch in batches:
                 found = [_found(t, machine) for t in batch.column(at).to_pylist()]
                 so_far = [[] for _ in found] if first else [x["hits"] for x in batch.column(batch.num_columns - 1).to_pylist()]
@@ -110,7 +114,7 @@ def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", width:
                 yield pa.RecordBatch.from_arrays([*kept, column], names)
 
         schema = T.StructType([*docs.schema.fields, T.StructField(into, FOUND)])
-        out = out.mapInArrow(step, schema)
+        out = (write(out, "scanned")[0] if k else out).mapInArrow(step, schema)
     return out
 
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.scratch import bounded
+
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
@@ -391,6 +393,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(render(root) if root else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string()), pa.array(texts, pa.string())], ["page_id", "title", "text"])
 
+    bounded(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     found = own.mapInArrow(read, "page_id long, title string, text string")
     return found.withColumn("n_lines", F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(F.when(F.col("text").isNotNull(), 0)).cast("long"))

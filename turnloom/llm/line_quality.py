@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.line_dedup import SPACE, line_key
-from turnloom.llm.scratch import NO_ID, id_or_null
+from turnloom.llm.scratch import id_or_null, identified
 
 WINDOW = 8
 
@@ -27,10 +27,10 @@ def measured(docs: DataFrame) -> DataFrame:
     anew for each element otherwise.
     """
     text = F.coalesce("text", F.lit(""))
-    split = docs.select("doc_id", "host", "text", _words(text).alias("words"), F.split(text, "\n", -1).alias("lines"))
+    split = docs.select("doc_id", "variant", "host", "text", _words(text).alias("words"), F.split(text, "\n", -1).alias("lines"))
     worded = F.filter("lines", lambda line: F.btrim(line, F.lit(SPACE)) != "")
     counted = split.select(
-        "doc_id", "host", "text", "lines",
+        "doc_id", "variant", "host", "text", "lines",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -50,7 +50,7 @@ def measured(docs: DataFrame) -> DataFrame:
     # Words that repeated windows cover: each adds what lies behind the end of the one before.
     add = lambda acc, p: F.struct((acc["n"] + (p + WINDOW - F.greatest(p, acc["upto"]))).alias("n"), (p + WINDOW).alias("upto"))
     covered = F.coalesce(F.aggregate("at", start, add, lambda acc: acc["n"]), F.lit(0))
-    return found.select("doc_id", "host", "text", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    return found.select("doc_id", "variant", "host", "text", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int, share: float) -> DataFrame:
@@ -78,21 +78,19 @@ def line_quality(
     repeated 8-word windows. A line (stripped, A-Z lower-cased, at least `min_chars` code points) is removed if it stands in more than
     `min_docs` distinct documents and more than `share` of the documents of its host. `kept` is false if base_failed, or
     if the lines that stay hold less than `least_kept` of the lines' characters. Null text: no words, failed. A null
-    host is a host of its own; rows that share a doc_id lose the same lines; a null doc_id comes back null. `text` is the
+    host is a host of its own; rows that share doc_id and text
+    are judged alike; a null doc_id comes back null. `text` is the
     text without removed lines (null if it was null); it costs a shuffle of texts only where it is used.
     """
-    own = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"), F.col("text").cast("string").alias("text"),
-    )
+    own = identified(docs, host=F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
     key = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
-    numbered = own.select("doc_id", "host", F.posexplode(key).alias("pos", "key")).filter(F.char_length("key") >= min_chars)
-    hashed = numbered.select("doc_id", "host", "pos", F.xxhash64("key").alias("h"), F.char_length("key").alias("chars"))
-    gone = hashed.join(frequent_lines(own, min_chars, min_docs, share), ["host", "h"]).groupBy(F.col("doc_id").alias("_doc")).agg(
+    numbered = own.select("doc_id", "variant", "host", F.posexplode(key).alias("pos", "key")).filter(F.char_length("key") >= min_chars)
+    hashed = numbered.select("doc_id", "variant", "host", "pos", F.xxhash64("key").alias("h"), F.char_length("key").alias("chars"))
+    gone = hashed.join(frequent_lines(own, min_chars, min_docs, share), ["host", "h"]).groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(
         F.collect_set(F.struct("pos", "chars")).alias("gone")
     )
     base = measured(own).withColumn("line_chars", F.aggregate(F.transform("lines", lambda x: F.char_length(F.btrim(x, F.lit(SPACE)))), F.lit(0), lambda a, x: a + x).cast("long"))
-    joined = base.join(gone, F.col("doc_id") == F.col("_doc"), "left")
+    joined = base.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("variant") == F.col("_variant")), "left")
     removed = F.coalesce(F.aggregate(F.transform("gone", lambda x: x["chars"]), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     kept_chars = F.col("line_chars") - removed

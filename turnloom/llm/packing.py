@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) -
                     out, held = [], 0
             yield _batch(out)
 
-    return identified(docs).mapInArrow(cut, PIECES)
+    return identified(docs).select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -14,7 +14,7 @@ from turnloom.llm.scratch import id_or_null, identified
 
 SENTENCES = 3
 MIN_WORDS = 12
-RUNS = "h1 long, h2 long, doc_id long, first long, size long, settled boolean"
+RUNS = "h1 long, h2 long, doc_id long, variant long, first long, size long, settled boolean"
 _END = np.zeros(256, bool)
 _END[[0x21, 0x2E, 0x3F]] = True
 
@@ -64,22 +64,22 @@ def hashed_runs(docs: DataFrame, sentences: int, min_words: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, variants = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             parts = []
-            for rows in flat.blocks(batch.column(1)):
-                owner, *rest = runs(flat.texts(batch.column(1), rows, lower=True), sentences, min_words)
-                parts.append((ids[rows][owner], *rest))
+            for rows in flat.blocks(batch.column(2)):
+                owner, *rest = runs(flat.texts(batch.column(2), rows, lower=True), sentences, min_words)
+                parts.append((ids[rows][owner], variants[rows][owner], *rest))
             if not parts:
                 continue
-            doc, first, size, h1, h2 = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            order = np.lexsort((first, doc, h2, h1))
-            doc, first, size, h1, h2 = doc[order], first[order], size[order], h1[order], h2[order]
+            doc, variant, first, size, h1, h2 = (np.concatenate([p[i] for p in parts]) for i in range(6))
+            order = np.lexsort((first, variant, doc, h2, h1))
+            doc, variant, first, size, h1, h2 = doc[order], variant[order], first[order], size[order], h1[order], h2[order]
             same = np.zeros(len(doc), bool)
             same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc)))) if len(doc) else np.zeros(0, np.int64)
-            settled = same & ((doc != doc[head]) | (first != first[head]))
-            salt = flat.mix(doc.astype(flat.U) * flat.U(0x9E3779B97F4A7C15) + first.astype(flat.U))
-            columns = [flat.signed(np.where(settled, salt, h1)), flat.signed(np.where(settled, salt, h2)), doc, first, size, settled]
+            settled = same & ((doc != doc[head]) | (variant != variant[head]) | (first != first[head]))
+            salt = flat.mix((doc ^ variant).astype(flat.U) * flat.U(0x9E3779B97F4A7C15) + first.astype(flat.U))
+            columns = [flat.signed(np.where(settled, salt, h1)), flat.signed(np.where(settled, salt, h2)), doc, variant, first, size, settled]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in RUNS.split(", ")])
 
     return docs.mapInArrow(cut, RUNS)
@@ -92,14 +92,15 @@ def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN
     begins at every sentence: the next `sentences`, and more until it has `min_words` words. Two runs are equal if
     their words are, A-Z lower-cased (128 bits of hash). All runs but the first, by doc_id and place, are repeats, and every
     sentence of a repeat goes. Null and empty texts have no sentence; texts too short for a run keep all. A null doc_id
-    sorts last and comes back null; rows that share a doc_id stand at the same places, so one is no repeat of the other,
-    and both lose the same sentences. Other columns are not looked at.
+    sorts last and comes back null; rows that share doc_id and text are one document, so one is no repeat of the other, and
+    both lose the same sentences; other texts of a doc_id stand behind each other. Other columns are not looked at.
     """
-    own = identified(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "first"))
+    own = identified(docs).select("doc_id", "variant", F.coalesce("text", F.lit("")).alias("text"))
+    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "variant", "first"))
     repeats = hashed_runs(own, sentences, min_words).withColumn("place", place).filter("settled or place > 1")
-    per_doc = repeats.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("first", "size")).alias("runs"))
-    joined = own.join(per_doc, F.col("doc_id") == F.col("_doc"), "left").select(id_or_null(), "text", "runs")
+    per_doc = repeats.groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(F.collect_set(F.struct("first", "size")).alias("runs"))
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("variant") == F.col("_variant"))
+    joined = own.join(per_doc, same, "left").select(id_or_null(), "text", "runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

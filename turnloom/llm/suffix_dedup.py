@@ -26,8 +26,8 @@ from turnloom.llm.scratch import id_or_null, identified, write
 SPAN = 100
 GRAM = 20
 _BLOCK = 1 << 19
-CONTEXTS = "anchor long, context long, doc_id long, first long, n_windows long, settled boolean"
-RANGES = "doc_id long, first long, last long"
+CONTEXTS = "anchor long, context long, doc_id long, variant long, first long, n_windows long, settled boolean"
+RANGES = "doc_id long, variant long, first long, last long"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,38 +80,40 @@ def contexts(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, variants = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             parts = []
-            for rows in flat.blocks(batch.column(1), _BLOCK):
-                t = flat.texts(batch.column(1), rows, lower=False)
+            for rows in flat.blocks(batch.column(2), _BLOCK):
+                t = flat.texts(batch.column(2), rows, lower=False)
                 owner, *rest = contexts_of(t.data, t.starts, span, gram)
-                parts.append((ids[rows][owner], *rest))
-            doc, first, n, anchor, context = (np.concatenate([p[i] for p in parts]) for i in range(5)) if parts else (np.zeros(0, np.int64),) * 5
-            order = np.lexsort((first, doc))
-            doc, first, n, anchor, context = doc[order], first[order], n[order], anchor[order], context[order]
+                parts.append((ids[rows][owner], variants[rows][owner], *rest))
+            doc, variant, first, n, anchor, context = (np.concatenate([p[i] for p in parts]) for i in range(6)) if parts else (np.zeros(0, np.int64),) * 6
+            order = np.lexsort((first, variant, doc))
+            doc, variant, first, n, anchor, context = (v[order] for v in (doc, variant, first, n, anchor, context))
             both = flat.mix(anchor.astype(flat.U) ^ (context.astype(flat.U) * flat.U(3)))
             by_hash = np.argsort(both, kind="stable")
             same = np.zeros(len(doc), bool)
             a, b = by_hash[:-1], by_hash[1:]
             same[1:] = (both[a] == both[b]) & (anchor[a] == anchor[b]) & (context[a] == context[b])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-            later = (doc[by_hash] != doc[by_hash[head]]) | (first[by_hash] != first[by_hash[head]])
+            later = np.zeros(len(doc), bool)
+            for v in (doc, variant, first):
+                later |= v[by_hash] != v[by_hash[head]]
             settled = np.zeros(len(doc), bool)
             settled[by_hash] = same & later
             # Settled neighbours become one range.
             s = np.flatnonzero(settled)
             opens = np.ones(len(s), bool)
-            opens[1:] = (doc[s][1:] != doc[s][:-1]) | (first[s][1:] > first[s][:-1] + n[s][:-1])
+            opens[1:] = (doc[s][1:] != doc[s][:-1]) | (variant[s][1:] != variant[s][:-1]) | (first[s][1:] > first[s][:-1] + n[s][:-1])
             o = np.flatnonzero(opens)
             ends = first[s][np.append(o[1:], len(s)) - 1] + n[s][np.append(o[1:], len(s)) - 1] if len(s) else np.zeros(0, np.int64)
-            s_doc, s_first = doc[s][o], first[s][o]
-            salt = flat.mix(s_doc.astype(flat.U) * flat.U(0x9E3779B97F4A7C15) + s_first.astype(flat.U))
+            s_doc, s_variant, s_first = doc[s][o], variant[s][o], first[s][o]
+            salt = flat.mix((s_doc ^ s_variant).astype(flat.U) * flat.U(0x9E3779B97F4A7C15) + s_first.astype(flat.U))
             k = ~settled
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(flat.signed(np.concatenate([anchor[k].astype(flat.U), salt]))),
                     pa.array(flat.signed(np.concatenate([context[k].astype(flat.U), salt]))),
-                    pa.array(np.concatenate([doc[k], s_doc])), pa.array(np.concatenate([first[k], s_first])),
+                    pa.array(np.concatenate([doc[k], s_doc])), pa.array(np.concatenate([variant[k], s_variant])), pa.array(np.concatenate([first[k], s_first])),
                     pa.array(np.concatenate([n[k], ends - s_first])), pa.array(np.concatenate([np.zeros(k.sum(), bool), np.ones(len(o), bool)])),
                 ],
                 [c.split()[0] for c in CONTEXTS.split(", ")],
@@ -246,20 +248,20 @@ def later_windows(pieces: list[bytes], span: int) -> list[np.ndarray]:
 # --- the operator ----------------------------------------------------------------------------------
 
 
-def _ranges(doc: list[int], first: list[int], starts: list[np.ndarray], span: int) -> pa.RecordBatch:
-    """Repeated windows as ranges of bytes (doc_id, first, last); neighbours are joined."""
-    rows: list[tuple[int, int, int]] = []
-    for d, f, s in zip(doc, first, starts):
+def _ranges(owners: list[tuple[int, int, int]], starts: list[np.ndarray], span: int) -> pa.RecordBatch:
+    """Repeated windows of pieces (doc_id, variant, first) as ranges of bytes; neighbours are joined."""
+    rows: list[tuple[int, int, int, int]] = []
+    for (d, v, f), s in zip(owners, starts):
         if len(s):
             cut = np.flatnonzero(np.diff(s) > 1) + 1
             low, high = s[np.concatenate([[0], cut])], s[np.concatenate([cut - 1, [len(s) - 1]])]
-            rows += [(d, f + a, f + b + span - 1) for a, b in zip(low.tolist(), high.tolist())]
-    columns = list(zip(*rows)) if rows else [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "first", "last"])
+            rows += [(d, v, f + a, f + b + span) for a, b in zip(low.tolist(), high.tolist())]
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "variant", "first", "last"])
 
 
 def compared(pieces: DataFrame, span: int, cell_bytes: int = 4 << 20) -> DataFrame:
-    """Ranges repeated among pieces (anchor, doc_id, first, piece), which come sorted by anchor, doc_id and first.
+    """Ranges repeated among pieces (anchor, doc_id, variant, first, piece), which come sorted in that order.
 
     Whole anchors are gathered up to about `cell_bytes`, then one suffix array compares them.
     """
@@ -269,8 +271,8 @@ def compared(pieces: DataFrame, span: int, cell_bytes: int = 4 << 20) -> DataFra
         held = 0
 
         def done(part: list[tuple]) -> pa.RecordBatch:
-            part.sort(key=lambda r: (r[1], r[2]))
-            return _ranges([r[1] for r in part], [r[2] for r in part], later_windows([r[3] for r in part], span), span)
+            part.sort(key=lambda r: r[1:4])
+            return _ranges([r[1:4] for r in part], later_windows([r[4] for r in part], span), span)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -278,7 +280,7 @@ def compared(pieces: DataFrame, span: int, cell_bytes: int = 4 << 20) -> DataFra
                     yield done(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[3])
+                held += len(row[4])
         if rows:
             yield done(rows)
 
@@ -286,41 +288,46 @@ def compared(pieces: DataFrame, span: int, cell_bytes: int = 4 << 20) -> DataFra
 
 
 def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, large: int = 100_000, cell_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, first, last): ranges of bytes whose windows start earlier, too. docs has doc_id and text only.
+    """(doc_id, variant, first, last): ranges of bytes whose windows start earlier, too. docs is identified, see `scratch`.
 
     An anchor with more than `large` different contexts is not sorted in one task: the windows of its contexts are spread by
     their own hashes (128 bits), which finds the same repeats.
     """
     by_anchor = Window.partitionBy("anchor")
-    # rank, not row_number: contexts at one place of one doc_id, in repeated rows, are none earlier than the other.
-    place = F.rank().over(Window.partitionBy("anchor", "context").orderBy("doc_id", "first"))
+    # rank, not row_number: contexts at one place of one document, in repeated rows, are none earlier than the other.
+    where = ["doc_id", "variant", "first"]
+    place = F.rank().over(Window.partitionBy("anchor", "context").orderBy(*where))
     found = contexts(docs, span, gram).select(
         "*", place.alias("place"), F.min("context").over(by_anchor).alias("low"), F.max("context").over(by_anchor).alias("high"), F.count("*").over(by_anchor).alias("of")
     )
     again = F.col("settled") | (F.col("place") > 1)
-    found = found.filter(again | (F.col("low") != F.col("high"))).select("anchor", "doc_id", "first", "n_windows", "of", again.alias("again"))
+    found = found.filter(again | (F.col("low") != F.col("high"))).select("anchor", *where, "n_windows", "of", again.alias("again"))
     found, _ = write(found, "contexts")
-    settled = found.filter("again").select("doc_id", "first", (F.col("first") + F.col("n_windows") + span - 1).alias("last"))
+    settled = found.filter("again").select(*where, (F.col("first") + F.col("n_windows") + span - 1).alias("last"))
 
     def gather(rows: DataFrame) -> DataFrame:
-        """The bytes of the contexts: texts meet their documents' contexts once."""
-        wanted = rows.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("anchor", "first", "n_windows")).alias("wanted"))
-        both = docs.join(wanted, F.col("doc_id") == F.col("_doc")).select("doc_id", F.col("text").cast("binary").alias("raw"), F.explode("wanted").alias("w"))
+        """The bytes of the contexts: texts meet their documents' contexts once, and repeated rows give them once."""
+        wanted = rows.groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(F.collect_set(F.struct("anchor", "first", "n_windows")).alias("wanted"))
+        same = (F.col("doc_id") == F.col("_doc")) & (F.col("variant") == F.col("_variant"))
+        both = docs.join(wanted, same).select("doc_id", "variant", F.col("text").cast("binary").alias("raw"), F.explode("wanted").alias("w"))
         piece = F.substring("raw", (F.col("w.first") + 1).cast("int"), (F.col("w.n_windows") + span - 1).cast("int"))
-        return both.select("w.anchor", "doc_id", "w.first", piece.alias("piece"))
+        return both.select("w.anchor", "doc_id", "variant", "w.first", piece.alias("piece"))
+
+    def ordered(pieces: DataFrame) -> DataFrame:
+        return pieces.repartition("anchor").sortWithinPartitions("anchor", *where)
 
     open_ = found.filter(~F.col("again"))
-    pieces = gather(open_.filter(F.col("of") <= large)).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first")
-    ranges = settled.unionByName(compared(pieces, span, cell_bytes))
+    ranges = settled.unionByName(compared(ordered(gather(open_.filter(F.col("of") <= large))), span, cell_bytes))
     huge = open_.filter(F.col("of") > large)
     if huge.limit(1).count():
         raw = F.col("piece")
-        windows = gather(huge).select("doc_id", "first", raw, F.explode(F.sequence(F.lit(1), F.octet_length(raw) - span + 1)).alias("i"))
+        windows = gather(huge).select("doc_id", "variant", "first", raw, F.explode(F.sequence(F.lit(1), F.octet_length(raw) - span + 1)).alias("i"))
         window = F.substring(raw, F.col("i"), span)
-        hashed = windows.select("doc_id", (F.col("first") + F.col("i") - 1).alias("first"), F.xxhash64(window).alias("h1"), F.xxhash64(F.lit(1), window).alias("h2"))
-        place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "first"))
+        start = (F.col("first") + F.col("i") - 1).alias("first")
+        hashed = windows.select("doc_id", "variant", start, F.xxhash64(window).alias("h1"), F.xxhash64(F.lit(1), window).alias("h2"))
+        place = F.rank().over(Window.partitionBy("h1", "h2").orderBy(*where))
         later = hashed.withColumn("place", place).filter("place > 1")
-        ranges = ranges.unionByName(later.select("doc_id", "first", (F.col("first") + span).alias("last")))
+        ranges = ranges.unionByName(later.select(*where, (F.col("first") + span).alias("last")))
     return ranges
 
 
@@ -329,14 +336,15 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, large: int
 
     Texts are UTF-8 bytes; a null text is empty, one of under `span` bytes keeps all. A byte goes if a string of `span`
     bytes over it also starts earlier: in a smaller doc_id, or before in the same. Matches don't cross documents and are judged on
-    the input. A null doc_id sorts last and comes back null; rows that share a doc_id start at the same places, so
-    one is never earlier than the other, and both lose the same ranges. Cutting bytes may split characters, so `kept` is
-    binary. Other columns are not looked at.
+    the input. A null doc_id sorts last and comes back null; rows that share doc_id and text start at the same places, so
+    one is never earlier than the other, and both lose the same ranges; other texts of a doc_id stand behind each other.
+    Cutting bytes may split characters, so `kept` is binary. Other columns are not looked at.
     """
-    own = identified(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = identified(docs).select("doc_id", "variant", F.coalesce("text", F.lit("")).alias("text"))
     ranges = repeated_ranges(own, span, gram, large)
-    per_doc = ranges.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    joined = own.join(per_doc, F.col("doc_id") == F.col("_doc"), "left").select(id_or_null(), F.col("text").cast("binary").alias("raw"), "ranges")
+    per_doc = ranges.groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("variant") == F.col("_variant"))
+    joined = own.join(per_doc, same, "left").select(id_or_null(), F.col("text").cast("binary").alias("raw"), "ranges")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.struct([("first", pa.int64()), ("last", pa.int64())])
