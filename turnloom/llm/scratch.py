@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import turnloom
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ BATCH_BYTES = 16 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Let batches to Python workers be bounded by their size, whatever the rows: a session setting, safe to repeat."""
+    """Let batches to Python workers be bounded by their size, whatever the rows: a session setting, safe to repeat.
+
+    Tasks bring the package's functions along, so workers need no installed copy.
+    """
+    cloudpickle.register_pickle_by_value(turnloom)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
