@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -97,7 +97,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
             out.append(np.multiply.accumulate(p))
         return out[0], out[1]
 
-    return per_worker(("powers", size), make) if size <= 8 * BLOCK_BYTES else make()
+    return per_worker(("powers", size), make) if size <= 4 * BLOCK_BYTES else make()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ NO_ID = (1 << 63) - 1
 
 
 #: Bytes of rows that Python workers get at once. Some operators hold several times as much while they work on a batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded(spark: SparkSession) -> None:
