@@ -1,162 +1,72 @@
+"""Block log: random files against plain Python, for several chunk sizes, and the edges of a file."""
+
 import json
+import random
 
+import plain_logs
 import pytest
 from helpers import reply, user
 
+from turnloom.operators.reports import quarantined
 from turnloom.plans import block_log
 
-NEXT = user("and then?", "2026-03-01T10:09:00Z")
-
-FILES = {
-    "basic": [user("fix the bug, bitte", gitBranch="main"), reply("m1", "fixed.", tokens=10), NEXT],
-    "injected": [
-        user("<task-notification>\n done\n</task-notification>"),
-        user("<command-name>/x</command-name>"),
-        user("This session is being continued from a previous conversation that ended"),
-        user("  \tBase directory for this skill: /x"),
-        user("## Context Usage\n\n**Model:** x"),
-        user("[Request interrupted by user]"),
-        user("[Request interrupted by user for tool use]"),
-        user("a real question"),
-        reply("m2", "yes", tokens=3),
-        NEXT,
-    ],
-    "quoted": [
-        user("why does it say [Request interrupted by user] here?"),
-        user("what is ## Context Usage"),
-        user("explain 'Base directory for this skill:'"),
-        NEXT,
-    ],
-    "split": [
-        user("q"),
-        json.dumps({"type": "assistant", "message": {"id": "m3", "content": [{"type": "thinking", "thinking": "hm"}], "usage": {"output_tokens": 50}, "stop_reason": "tool_use"}}),
-        reply("m3", "final", tokens=50),
-        reply("m3", "final", tokens=50),
-        reply("m4", "final", tokens=7),
-        NEXT,
-    ],
-    "blocks": [
-        user([{"type": "text", "text": "look at "}, {"type": "image", "source": {}}, None, {"type": "text", "text": "this"}]),
-        reply("m4", "seen", tokens=4),
-        NEXT,
-    ],
-    "rejects": [
-        user([{"type": "text", "text": "x"}, {"type": "tool_result", "content": "y"}]),
-        user([{"type": "text", "text": "x"}, 5]),
-        user([{"type": "image"}]),
-        user("sub task", isSidechain=True),
-        user("number session", sessionId=5),
-        "{broken",
-        user("ok") + "]",
-        user(None),
-        reply("m5", "to the empty prompt"),
-        NEXT,
-    ],
-    "models": [
-        user("first"),
-        reply("m1", "one", tokens=10, model="<synthetic>", stop=""),
-        reply("m2", "", tokens=5, model="model-x"),
-        user("second", "2026-03-01T10:01:00Z"),
-        reply("m3", "two", tokens=8, model="model-y"),
-        NEXT,
-    ],
-    "no_usage": [user("q"), reply("m1", "a"), reply("", "b", ts="t1"), reply("", "b", ts="t2"), NEXT],
-    "string_answer": [user("q"), json.dumps({"type": "assistant", "message": {"id": "m", "content": "plain", "usage": {}}}), NEXT],
-    "interrupted": [user("run"), reply("m5", tokens=20, stop="tool_use")],
-    "finished": [user("run"), reply("m5", "done", tokens=20), reply("m6", "side", isSidechain=True, stop="tool_use")],
-    "waiting": [user("run"), reply("m5", "done", tokens=20)],
-}
-IDLE = ("interrupted", "finished")
-
-
-@pytest.fixture(scope="module", params=[1 << 26, 300, 40])
-def rows(request, as_lines):
-    return block_log.scan(as_lines(FILES, IDLE), request.param).orderBy("path", "prompt_offset").collect()
-
-
-def of(rows, path, kind="turn"):
-    return [r for r in rows if r.path == path and r.row_kind == kind]
-
-
-def offset(path, n):
-    return sum(len(line.encode()) + 1 for line in FILES[path][:n])
-
-
-def test_basic(rows):
-    (turn,) = of(rows, "basic")
-    assert (turn.prompt_text, turn.response_text, turn.token_count) == ("fix the bug, bitte", "fixed.", 10)
-    assert (turn.project_context, turn.session_id, turn.surface, turn.model) == ("/src @main", "a1", "unknown", None)
-    assert [r.prompt_offset for r in of(rows, "basic", "held")] == [offset("basic", 2)]
-
-
-def test_injected_lines_open_no_turn(rows):
-    (turn,) = of(rows, "injected")
-    assert (turn.prompt_text, turn.token_count) == ("a real question", 3)
-
-
-def test_phrases_in_the_middle_are_prompts(rows):
-    assert len(of(rows, "quoted")) == 3
-    assert all(t.response_text is None for t in of(rows, "quoted"))
-
-
-def test_tokens_once_per_message_text_once_per_pair(rows):
-    (turn,) = of(rows, "split")
-    assert (turn.response_text, turn.token_count) == ("finalfinal", 57)
-
-
-def test_blocks(rows):
-    (turn,) = of(rows, "blocks")
-    assert turn.prompt_text == "look at this"
-
-
-def test_rejected_contents_and_empty_prompt(rows):
-    (turn,) = of(rows, "rejects")
-    assert (turn.prompt_text, turn.response_text, turn.token_count) == ("", "to the empty prompt", None)
-
-
-def test_models(rows):
-    first, second = of(rows, "models")
-    assert (first.model, first.token_count, second.model, second.token_count) == ("model-x", 15, "model-y", 8)
-
-
-def test_missing_usage_is_null_and_id_falls_back_to_time(rows):
-    (turn,) = of(rows, "no_usage")
-    assert (turn.token_count, turn.response_text) == (None, "abb")
+_RNG = random.Random(11)
+FILES = {f"f{i}": plain_logs.block_file(_RNG, size) for i, size in enumerate([1, 2, 3, 5, 8, 13, 21, 34, 55, 55, 80, 120])}
+IDLE = tuple(p for i, p in enumerate(FILES) if i % 2)
+LATER = user("is the ferry late?", "2026-07-01T07:00:00Z")
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 26, 900, 60])
+def test_random_files(as_lines, chunk_bytes):
+    rows = block_log.scan(as_lines({p: [x[0] for x in f] for p, f in FILES.items()}, IDLE), chunk_bytes).collect()
+    for path, lines in FILES.items():
+        turns, held = plain_logs.block_turns(lines, path in IDLE)
+        mine = sorted((r for r in rows if r.path == path and r.row_kind == "turn"), key=lambda r: r.prompt_offset)
+        assert [(r.prompt_offset, r.prompt_text, r.response_text, r.token_count, r.model, r.session_id, r.project_context, r.surface) for r in mine] == turns
+        assert [r.prompt_offset for r in rows if r.path == path and r.row_kind == "held"] == ([] if held is None else [held])
 
 
-def test_plain_string_answer_counts_tokens_only(rows):
-    (turn,) = of(rows, "string_answer")
-    assert (turn.response_text, turn.token_count) == (None, 0)
+def test_random_files_hold_every_case():
+    kinds = [kind for f in FILES.values() for _, kind, _ in f]
+    assert {"prompt", "answer", "other", "broken"} == set(kinds) and kinds.count("prompt") > 100
 
 
-def test_settling(rows):
-    assert of(rows, "interrupted") == [] and len(of(rows, "interrupted", "held")) == 1
-    assert len(of(rows, "finished")) == 1
-    assert of(rows, "waiting") == []
+def test_answers_before_any_prompt_are_nobodys(as_lines):
+    rows = block_log.scan(as_lines({"f": [reply("r", "echo", tokens=3), LATER]}, ("f",))).collect()
+    assert [(r.row_kind, r.response_text) for r in rows] == [("held", None)]
+
+
+def test_answer_as_plain_string_counts_tokens_only(as_lines):
+    line = json.dumps({"type": "assistant", "message": {"id": "r", "content": "not blocks", "usage": {}}})
+    rows = block_log.scan(as_lines({"f": [user("tide table"), line, LATER]})).collect()
+    assert [(r.response_text, r.token_count) for r in rows if r.row_kind == "turn"] == [(None, 0)]
 
 
 def test_unfinished_line_is_kept_for_later(as_lines):
-    files = {"f": [user("q"), reply("m", "a"), NEXT, '{"type":"assis']}
-    rows = block_log.scan(as_lines(files, unfinished=("f",))).collect()
-    size = sum(len(x.encode()) + 1 for x in files["f"][:3])
-    assert {r.row_kind: r.prompt_offset for r in rows} == {"turn": 0, "held": size - len(NEXT.encode()) - 1, "tail": size}
+    lines = [user("tide table"), reply("r", "high at six"), LATER, '{"type":"assi']
+    rows = block_log.scan(as_lines({"f": lines}, unfinished=("f",))).collect()
+    at = [sum(len(x.encode()) + 1 for x in lines[:n]) for n in range(4)]
+    assert {r.row_kind: r.prompt_offset for r in rows} == {"turn": 0, "held": at[2], "tail": at[3]}
 
 
 def test_complete_line_without_newline_counts(as_lines):
-    rows = block_log.scan(as_lines({"f": [user("q"), reply("m", "a"), NEXT]}, unfinished=("f",))).collect()
+    rows = block_log.scan(as_lines({"f": [user("tide table"), LATER]}, unfinished=("f",))).collect()
     assert sorted(r.row_kind for r in rows) == ["held", "turn"]
 
 
-def test_surface_is_first_entrypoint(as_lines):
-    files = {"f": [json.dumps({"type": "summary"}), json.dumps({"entrypoint": "sdk-cli"}), user("q", entrypoint="cli"), NEXT]}
-    for chunk in (1 << 26, 30):
-        (turn,) = [r for r in block_log.scan(as_lines(files), chunk).collect() if r.row_kind == "turn"]
-        assert turn.surface == "sdk-cli"
+@pytest.mark.parametrize("chunk_bytes", [1 << 26, 30])
+def test_surface_is_that_of_the_first_line_that_names_one(as_lines, chunk_bytes):
+    lines = [json.dumps({"type": "summary"}), json.dumps({"entrypoint": "sdk-cli"}), user("tide table", entrypoint="cli"), LATER]
+    rows = block_log.scan(as_lines({"f": lines}), chunk_bytes).collect()
+    assert [r.surface for r in rows if r.row_kind == "turn"] == ["sdk-cli"]
 
 
 def test_quarantine_names_places_only(as_lines):
-    from turnloom.operators.reports import quarantined
-
-    rows = quarantined(block_log.parse(as_lines({"rejects": FILES["rejects"]}))).orderBy("byte_offset").collect()
-    assert [r.byte_offset for r in rows] == [offset("rejects", n) for n in (4, 5, 6)]
-    assert rows[0].asDict().keys() == {"path", "byte_offset"}
+    rows = quarantined(block_log.parse(as_lines({p: [x[0] for x in f] for p, f in FILES.items()}))).collect()
+    want = set()
+    for path, lines in FILES.items():
+        offset = 0
+        for line, kind, _ in lines:
+            want |= {(path, offset)} if kind == "broken" else set()
+            offset += len(line.encode()) + 1
+    assert {(r.path, r.byte_offset) for r in rows} >= want and rows[0].asDict().keys() == {"path", "byte_offset"}

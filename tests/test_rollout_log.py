@@ -1,122 +1,67 @@
-import json
+"""Rollout log: random files against plain Python, for several chunk sizes; headers, errors, cursors."""
 
+import random
+
+import plain_logs
 import pytest
 from helpers import context, header, record, said
 
 from turnloom.operators.cursors import file_errors, new_cursors
 from turnloom.plans import rollout_log
 
-FILES = {
-    "plain": [header(), said("user", "2+2?"), said("assistant", "4")],
-    "exec": [header(source="exec", originator="codex_exec"), said("user", "run")],
-    "exec_source": [header(source="exec"), said("user", "run"), said("assistant", "ok")],
-    "corrupt": ["{nope", said("user", "hi")],
-    "injected": [
-        header(),
-        said("developer", "<permissions instructions>\nx"),
-        said("user", "# AGENTS.md instructions\nx"),
-        said("user", " <environment_context>\nx"),
-        said("user", "<turn_aborted>"),
-        said("user", "<user_shell_command>\nls"),
-        said("user", "capital of France?"),
-        said("assistant", "Paris"),
-    ],
-    "compacted": [
-        header(),
-        record("compacted", {"replacement_history": [{"role": "user", "content": [{"type": "input_text", "text": "old"}]}]}),
-        said("user", "3+3?"),
-        said("assistant", "6"),
-    ],
-    "models": [
-        header(),
-        said("user", "C"), said("assistant", "c"),
-        context("m-1"), said("user", "A"), context("m-late"), said("assistant", "a"),
-        context(""), context("m-2"), said("user", "B"), said("assistant", "b"), said("assistant", "ignored"),
-    ],
-    "overwritten": [header(), said("user", "lost"), said("user", "kept"), said("assistant", ""), said("assistant", "yes")],
-    "resting": [header(), context("m"), said("user", "anyone?")],
-    "waiting": [header(), said("user", "a"), said("assistant", "b"), said("user", "anyone?")],
-    "odd": [
-        record("session_meta", {"id": 5, "cwd": "/odd", "originator": None}),
-        record("response_item", {"type": "message", "role": "user", "content": "text"}),
-        record("response_item", {"type": "message", "role": "user", "content": [{"type": "input_text", "text": 5}]}),
-        record("response_item", {"type": "reasoning", "role": "user", "content": [{"type": "input_text", "text": "no"}]}),
-        record("response_item", {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "a"}, None, {"type": "input_image"}, {"type": "input_text", "text": "b"}]}),
-        json.dumps({"timestamp": 5, "type": "response_item", "payload": {}}),
-        said("assistant", "ok"),
-    ],
-}
-IDLE = ("resting",)
-
-
-@pytest.fixture(scope="module", params=[1 << 26, 250, 20])
-def rows(request, as_lines):
-    return rollout_log.scan(as_lines(FILES, IDLE), request.param).orderBy("path", "prompt_offset").collect()
-
-
-def of(rows, path, kind="turn"):
-    return [r for r in rows if r.path == path and r.row_kind == kind]
-
-
-def pairs(rows, path):
-    return [(r.prompt_text, r.response_text) for r in of(rows, path)]
-
-
-def test_plain(rows):
-    (turn,) = of(rows, "plain")
-    assert (turn.prompt_text, turn.response_text, turn.session_id, turn.surface) == ("2+2?", "4", "sess-1", "cli")
-    assert (turn.project_context, turn.model, turn.token_count) == ("/src/x", None, None)
-    assert str(turn.prompt_ts) == "2026-03-01 10:00:00"
-
-
-def test_non_interactive_sessions_give_nothing(rows):
-    assert pairs(rows, "exec") == pairs(rows, "exec_source") == []
-    assert len(of(rows, "exec", "header")) == 1
+_RNG = random.Random(23)
+FILES = {f"r{i}": plain_logs.rollout_file(_RNG, size) for i, size in enumerate([1, 2, 3, 5, 8, 13, 21, 34, 34, 55, 55, 55, 90, 120])}
+IDLE = tuple(p for i, p in enumerate(FILES) if i % 2)
+RAW = {p: [x[0] for x in f] for p, f in FILES.items()}
 
 
-def test_injected_and_compacted(rows):
-    assert pairs(rows, "injected") == [("capital of France?", "Paris")]
-    assert pairs(rows, "compacted") == [("3+3?", "6")]
+def size_of(lines):
+    return sum(len(x.encode()) + 1 for x in lines)
 
 
-def test_model_is_the_latest_before_the_prompt(rows):
-    assert [(r.prompt_text, r.model) for r in of(rows, "models")] == [("C", None), ("A", "m-1"), ("B", "m-2")]
+@pytest.mark.parametrize("chunk_bytes", [1 << 26, 700, 40])
+def test_random_files(as_lines, chunk_bytes):
+    rows = rollout_log.scan(as_lines(RAW, IDLE), chunk_bytes).collect()
+    for path, lines in FILES.items():
+        turns, held, lost = plain_logs.rollout_turns(lines, path in IDLE)
+        of = lambda kind: sorted((r for r in rows if r.path == path and r.row_kind == kind), key=lambda r: r.prompt_offset)
+        assert [(r.prompt_offset, r.prompt_text, r.response_text, r.model) for r in of("turn")] == turns
+        assert [r.prompt_offset for r in of("held")] == ([] if held is None else [held])
+        assert [r.prompt_offset for r in of("lost")] == lost
+        assert [r.prompt_offset for r in of("header")] == [0]
+        assert {(r.session_id, r.project_context, r.surface, r.token_count) for r in of("turn")} <= {("walk", "/coast", "cli", None)}
 
 
-def test_prompt_after_prompt_is_lost(rows):
-    assert pairs(rows, "overwritten") == [("kept", "yes")]
-    assert len(of(rows, "overwritten", "lost")) == 1
+def test_random_files_hold_every_case():
+    found = [plain_logs.rollout_turns(f, p in IDLE) for p, f in FILES.items()]
+    assert any(t for t, _, _ in found) and any(h is not None for _, h, _ in found) and any(x for _, _, x in found)
+    assert {f[0][2]["silent"] for f in FILES.values()} == {True, False}
 
 
-def test_trailing_prompt(rows):
-    assert pairs(rows, "resting") == [("anyone?", None)]
-    assert pairs(rows, "waiting") == [("a", "b")] and len(of(rows, "waiting", "held")) == 1
-
-
-def test_odd_payloads(rows):
-    (turn,) = of(rows, "odd")
-    assert (turn.prompt_text, turn.session_id, turn.project_context) == ("ab", None, "/odd")
+def test_members_of_the_wrong_type_are_empty(as_lines):
+    lines = [record("session_meta", {"id": ["x"], "cwd": "/dunes", "originator": 4}), said("user", "which path?"), said("assistant", "left")]
+    (turn,) = [r for r in rollout_log.scan(as_lines({"f": lines})).collect() if r.row_kind == "turn"]
+    assert (turn.session_id, turn.project_context, turn.response_text) == (None, "/dunes", "left")
+    assert str(turn.prompt_ts) == "2026-03-01 10:00:00"
 
 
-def test_errors_and_cursors(spark, as_lines):
-    lines = as_lines(FILES, IDLE)
-    files = lines.groupBy("path").agg({"file_size": "max"}).withColumnRenamed("max(file_size)", "file_size")
+def test_errors_and_cursors(as_lines):
+    files = {**RAW, "headless": [said("user", "which path?"), said("assistant", "left")]}
+    lines = as_lines(files, IDLE)
+    listed = lines.groupBy("path").agg({"file_size": "max"}).withColumnRenamed("max(file_size)", "file_size")
     rows = rollout_log.scan(lines)
-    errors = file_errors(files, rows, rollout_log.SOURCE_TOOL, True)
-    assert [(r.path, r.reason) for r in errors.collect()] == [("corrupt", "no session header")]
-    cursors = {r.path: r.cursor for r in new_cursors(files, rows, errors).collect()}
-    size = {p: sum(len(x.encode()) + 1 for x in ls) for p, ls in FILES.items()}
-    assert "corrupt" not in cursors
-    assert cursors["waiting"] == size["waiting"] - len(FILES["waiting"][-1].encode()) - 1
-    assert cursors["resting"] == size["resting"] and cursors["exec"] == size["exec"]
-
-
-def test_append_then_resume_emits_once(as_lines):
-    first = {"f": [header(), context("m"), said("user", "q")]}
-    held = [r for r in rollout_log.scan(as_lines(first)).collect() if r.row_kind == "held"]
-    cursor = held[0].prompt_offset
-    second = {"f": [*first["f"], said("assistant", "a")]}
-    turns = [r for r in rollout_log.scan(as_lines(second, start={"f": cursor})).collect() if r.row_kind == "turn"]
-    assert [(t.prompt_text, t.response_text, t.model) for t in turns] == [("q", "a", "m")]
-    third = rollout_log.scan(as_lines(second, start={"f": cursor + 1})).collect()
-    assert not [r for r in third if r.row_kind == "turn"]
+    errors = file_errors(listed, rows, rollout_log.SOURCE_TOOL, True)
+    assert [(r.path, r.reason) for r in errors.collect()] == [("headless", "no session header")]
+    want = {}
+    for path, f in FILES.items():
+        held = plain_logs.rollout_turns(f, path in IDLE)[1]
+        want[path] = size_of(RAW[path]) if held is None else held
+    assert {r.path: r.cursor for r in new_cursors(listed, rows, errors).collect()} == want
+
+
+def test_a_turn_is_emitted_by_one_pass_only(as_lines):
+    begun = [header(), context("boots"), said("user", "which path?")]
+    (held,) = [r.prompt_offset for r in rollout_log.scan(as_lines({"f": begun})).collect() if r.row_kind == "held"]
+    grown = {"f": [*begun, said("assistant", "left")]}
+    emitted = lambda start: [(r.prompt_text, r.response_text, r.model) for r in rollout_log.scan(as_lines(grown, start={"f": start})).collect() if r.row_kind == "turn"]
+    assert emitted(held) == [("which path?", "left", "boots")] and emitted(held + 1) == []
