@@ -5,6 +5,7 @@ from helpers import context, header, reply, said, user
 from pyspark.sql import functions as F
 
 from turnloom.plans import collect as pl
+from turnloom.sources import files as fl
 from turnloom.sources import tables
 from turnloom.streaming.jobs import RELEASED, collect_stream, settled_lines, turns_of_released
 from turnloom.streaming.source import stream_lines
@@ -120,7 +121,7 @@ def test_owners(spark, home, tokens):
     spool = tables.spooled_events(spark, home.job.table("spool"))
     counts = {(r.queue_slug, r.source_tool): r["count"] for r in spool.groupBy("queue_slug", "source_tool").count().collect()}
     # No token, no machine-wide collection, and no other owner steps in.
-    assert counts == {("default", "CLAUDE_CODE"): 2, ("claude-work", "CLAUDE_CODE"): 2}
+    assert {(q.split("~")[0], t): n for (q, t), n in counts.items()} == {("default", "CLAUDE_CODE"): 2, ("claude-work", "CLAUDE_CODE"): 2}
 
 
 def test_unfinished_line_rotation_and_delivery(spark, home, tokens):
@@ -135,22 +136,44 @@ def test_unfinished_line_rotation_and_delivery(spark, home, tokens):
     pl.run_once(spark, home.job, registry, tokens, FUTURE, "3")
     assert len(prompts(spark, home)) == 3
 
-    sent = []
+    log = home.root / "received"
+    log.mkdir()
 
     def send(fails):
-        def go(bodies):
-            files = sorted({r.spool_file for r in bodies.select("spool_file").collect()})
-            sent.append(len(files))
-            return bodies.select("queue_slug", "spool_file", "batch", (~F.col("spool_file").isin(files[1:2] if fails else [])).alias("ok"))
+        def go(queue, file, batch, body):
+            with open(log / "all", "a") as f:
+                f.write(f"{file[0]}")
+            return not (fails and file.startswith("2"))
 
         return go
 
     since = pl.deliver(spark, home.job, "1", send(True))
-    assert since == "2"
-    since = pl.deliver(spark, home.job, "2", send(False), since)
-    assert since == "3"
-    pl.deliver(spark, home.job, "3", send(False), since)
-    assert sent == [3, 2, 0]
+    assert since == "2" and (log / "all").read_text() == "12"
+    for _ in range(2):  # a run that is repeated sends nothing again
+        assert pl.deliver(spark, home.job, "2", send(False), since) == "3"
+        assert (log / "all").read_text() == "1223"
+    pl.deliver(spark, home.job, "3", send(False), "3")
+    assert (log / "all").read_text() == "1223"
+
+    cursors = tables.read_cursors(spark, home.job.table("cursors")).collect()
+    pl.tidy(spark, home.job, "3")
+    assert sorted(p.name for p in (home.root / "state/spool").iterdir() if p.is_dir()) == ["pass_id=3"]
+    assert tables.read_cursors(spark, home.job.table("cursors")).collect() == cursors
+    home.put(BLOCK, [user("new file"), reply("z", "ok"), user("one more"), reply("y", "ok")])
+    pl.run_once(spark, home.job, registry, tokens, FUTURE, "4")
+    assert tables.read_spool(spark, home.job.table("spool")).count() == 2
+
+
+def test_rows_that_do_not_decode_are_set_aside(spark, home, tokens):
+    home.put(BLOCK, TALK)
+    pl.run_once(spark, home.job, home.entries(spark), tokens, FUTURE, "1")
+    bad = spark.sql("select '{no' event_json, 'p' path, 7L prompt_offset, 'h' content_hash, 'q' queue_slug")
+    tables.write_spool(bad, home.job.table("spool"), "2")
+    assert pl.deliver(spark, home.job, "1", lambda *_: True) == "2"
+    aside = spark.read.parquet(f"{home.job.table('quarantine')}/run_id=1").collect()
+    assert [(r.queue_slug, r.path, r.prompt_offset) for r in aside] == [("q", "p", 7)]
+    delivered = tables.read_delivered(spark, home.job.table("delivered"))
+    assert sorted(r.spool_file[0] for r in delivered.collect()) == ["1", "2"]
 
 
 def test_stream_of_growing_files(spark, home, tokens):
@@ -159,7 +182,9 @@ def test_stream_of_growing_files(spark, home, tokens):
     collect_stream(spark, home.job, registry, tokens, PAST, {"availableNow": True}).awaitTermination()
     home.put(BLOCK, TALK)
     home.put(ROLLOUT, CHAT)
-    for _ in range(2):
+    collect_stream(spark, home.job, registry, tokens, PAST, {"availableNow": True}).awaitTermination()
+    assert [p for _, p, _ in prompts(spark, home)] == ["use «REDACTED»", "q1"]
+    for _ in range(2):  # nothing grows, time goes by
         collect_stream(spark, home.job, registry, tokens, FUTURE, {"availableNow": True}).awaitTermination()
     assert [p for _, p, _ in prompts(spark, home)] == ["second", "use «REDACTED»", "q1", "q2"]
 
@@ -201,23 +226,66 @@ def test_registry_file_and_compacted_cursors(spark, tmp_path):
     assert [tuple(r) for r in again.collect()] == [("/h/.claude-a", "k")]
 
     log = f"{tmp_path}/cursors"
-    for pass_id, cursor in (("1", 5), ("2", 9)):
+    for pass_id, cursor in (("1", 5), ("2", 9), ("4", 11)):
         tables.write_cursors(spark.sql(f"select 'f' path, {cursor}L cursor"), log, pass_id, PAST)
     tables.write_cursors(spark.sql("select 'g' path, 1L cursor"), log, "1b", PAST)
-    tables.compact_cursors(spark, log, f"{tmp_path}/compact", "2")
-    got = tables.read_cursors(spark, f"{tmp_path}/compact").orderBy("path").collect()
-    assert [(r.path, r.cursor, r.legacy_offset) for r in got] == [("f", "9", 9), ("g", "1", 1)]
+    for _ in range(2):
+        tables.compact_cursors(spark, log)
+        assert tables.subfolders(spark, log) == ["pass_id=2+", "pass_id=4"]
+        got = tables.read_cursors(spark, log).orderBy("path").collect()
+        assert [(r.path, r.cursor, r.legacy_offset) for r in got] == [("f", "11", 11), ("g", "1", 1)]
+    before = tables.read_cursors(spark, log, before="4").orderBy("path").collect()
+    assert [(r.path, r.cursor) for r in before] == [("f", "9"), ("g", "1")]
+
+
+def test_globs_are_listed_each_on_its_own(spark, tmp_path):
+    for name in ("a/x.log", "b/x.log", "b/.hidden.log", "c/y.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("" if name == "b/x.log" else "12345")
+    names = lambda *globs: sorted((r.path.removeprefix(f"file:{tmp_path}/"), r.file_size) for r in fl.list_files(spark, [f"{tmp_path}/{g}" for g in globs]).collect())
+    assert names("*/x.log", "none*/x.log", "b/*") == [("a/x.log", 5), ("b/.hidden.log", 5), ("b/x.log", 0)]
+    assert names("{a,c}/*.*", "missing/y.txt", "c/y.txt") == [("a/x.log", 5), ("c/y.txt", 5)]
+    assert names("c/y.txt/*", "[a-b]/x.log") == [("a/x.log", 5), ("b/x.log", 0)]
 
 
-def test_failing_glob_leaves_out_one_format_only(spark, home, tokens, monkeypatch):
+def test_a_folder_that_cannot_be_listed_is_one_error(spark, home, tokens, monkeypatch):
     home.put(BLOCK, TALK)
-    real = pl.listed
+    home.put(ROLLOUT, CHAT)
+    real = fl.list_files
 
-    def listed(session, globs):
-        files, reason = real(session, globs)
-        return (files.filter("false"), "glob") if ".codex" in globs[0] else (files, reason)
+    def broken(session, globs):
+        if ".codex" not in globs[0]:
+            return real(session, globs)
+        return real(session, globs).withColumn("error", F.lit("OSError")).limit(1)
 
-    monkeypatch.setattr(pl, "listed", listed)
-    pl.run_once(spark, home.job, home.entries(spark, (".claude", "device-token")), tokens, FUTURE, "1")
+    monkeypatch.setattr(fl, "list_files", broken)
+    pl.run_once(spark, home.job, home.entries(spark), tokens, FUTURE, "1")
     assert len(prompts(spark, home)) == 2
     assert [(r.adapter, r.reason) for r in pl.errors_of(spark, home.job, "1").collect()] == [("CODEX", "glob")]
+
+
+def test_a_line_too_long_holds_its_file(spark, home, tokens, monkeypatch):
+    monkeypatch.setattr(fl, "MAX_LINE_BYTES", 400)
+    home.put(BLOCK, TALK)
+    home.put(".claude/projects/p/long.jsonl", [user("short"), user("x" * 500)])
+    pl.run_once(spark, home.job, home.entries(spark), tokens, FUTURE, "1")
+    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in pl.errors_of(spark, home.job, "1").collect()] == [("long.jsonl", "unreadable")]
+    assert len(prompts(spark, home)) == 2
+    assert [r.path.rsplit("/", 1)[1] for r in tables.read_cursors(spark, home.job.table("cursors")).collect()] == ["s1.jsonl"]
+
+
+def test_homes_with_the_same_folder_names_stay_apart(spark, tmp_path, tokens):
+    """Own queues, own tokens, and copies of an event in two homes are two events."""
+    homes = [Home(tmp_path / h) for h in ("u1", "u2")]
+    for h in homes:
+        h.put(BLOCK, TALK)
+        h.put(ROLLOUT, CHAT)
+    job = pl.Job({k: [str(tmp_path / "*") + g.removeprefix(str(homes[0].root)) for g in v] for k, v in homes[0].job.globs.items()}, f"{tmp_path}/state", "1", 128)
+    held = tokens.withColumn("config_dir", F.lit(f"{tmp_path}/u2/.claude/"))
+    nobody = spark.createDataFrame([], "config_dir string, token_key string")
+    pl.run_once(spark, job, nobody, held, FUTURE, "1")
+    events = pl.stored_events(spark, job, ["source_tool", "path", "queue_slug"]).collect()
+    assert len({r.queue_slug for r in events}) == 2
+    assert sorted((r.source_tool, r.path.split("/u")[1][0]) for r in events) == [("CLAUDE_CODE", c) for c in "1122"] + [("CODEX", "2")] * 2
+
+

@@ -60,6 +60,17 @@ def queue_slug(config_dir: Column, key: Column) -> Column:
     return F.when(key == DEFAULT_TOKEN_KEY, F.lit("default")).otherwise(slug(config_dir))
 
 
+def is_home_default(config_dir: Column) -> Column:
+    """The directory has the default name, so it is the default one of the home it lies in."""
+    return F.regexp_extract(config_dir, r"([^/]*)$", 1) == DEFAULT_DIR_NAME
+
+
+def queue_id(config_dir: Column, key: Column) -> Column:
+    """Queue of an owner: a readable name, made unique by the whole directory. Homes that share folder names share no
+    queue."""
+    return F.concat(queue_slug(config_dir, key), F.lit("~"), F.substring(F.sha2(clean_dir(config_dir), 256), 1, 12))
+
+
 def owner_dir(path: Column) -> Column:
     """Config directory of a block-log file, NULL when the path has another shape."""
     plain = F.regexp_replace(path, "^file:/+", "/")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,37 @@ def build_envelopes(batched: DataFrame, unit: list[str]) -> DataFrame:
     )
 
 
+OUTCOMES = "queue_slug string, spool_file string, batch bigint, ok boolean"
+
+
+def drained(bodies: DataFrame, send: Callable[[str, str, int, str], bool]) -> DataFrame:
+    """Send request bodies in order and report (queue_slug, spool_file, batch, ok) of each that was sent.
+
+    A queue is sent file by file and batch by batch; at its first failure (``send`` says no or raises) the rest of it is
+    left for the next run. Order within a queue is the point, so one task streams it; different queues run side by side.
+    """
+
+    def drain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = None
+        for part in batches:
+            out: list[tuple] = []
+            for queue, file, batch, payload in zip(*(c.to_pylist() for c in part.columns)):
+                if queue == failed:
+                    continue
+                try:
+                    ok = bool(send(queue, file, batch, payload))
+                except Exception:  # noqa: BLE001  a sender that breaks is a request that failed
+                    ok = False
+                out.append((queue, file, batch, ok))
+                failed = failed if ok else queue
+            columns = list(zip(*out)) if out else [[]] * 4
+            types = [pa.string(), pa.string(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["queue_slug", "spool_file", "batch", "ok"])
+
+    ordered = bodies.repartition("queue_slug").sortWithinPartitions("queue_slug", "spool_file", "batch")
+    return ordered.select("queue_slug", "spool_file", F.col("batch").cast("bigint"), "payload").mapInArrow(drain, OUTCOMES)
+
+
 def pending(spooled: DataFrame, delivered: DataFrame, keys: list[str]) -> DataFrame:
     """Spooled rows whose spool file was not delivered yet."""
     return spooled.join(delivered.select(*keys).distinct(), keys, "left_anti")

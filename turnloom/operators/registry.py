@@ -114,6 +114,49 @@ def attribute_events(events: DataFrame, registry: DataFrame, owner: Column) -> D
     return events.withColumn("config_dir", owner).join(keyed, "config_dir")
 
 
+def unique_entries(registry: DataFrame) -> DataFrame:
+    """One row per cleaned directory, with the smallest of its keys; ``conflict`` if it was given several."""
+    cleaned = registry.select(ph.clean_dir(F.col("config_dir")).alias("config_dir"), "token_key")
+    return cleaned.groupBy("config_dir").agg(
+        F.min("token_key").alias("token_key"), (F.min("token_key") != F.max("token_key")).alias("conflict")
+    )
+
+
+def held_tokens(tokens: DataFrame) -> DataFrame:
+    """Distinct (token_key, holder) of the tokens that are there. ``holder`` is the cleaned directory of a table that
+    names one, else NULL, for a table that belongs to one home."""
+    holder = ph.clean_dir(F.col("config_dir")) if "config_dir" in tokens.columns else F.lit(None).cast("string")
+    return tokens.filter("coalesce(token, '') <> ''").select("token_key", holder.alias("holder")).distinct()
+
+
+def attribute_files(files: DataFrame, entries: DataFrame, owner: Column, needs_token: DataFrame | None = None) -> DataFrame:
+    """Files with the directory, key and queue of their owner; files of nobody drop out, rows with an error stay.
+
+    The default directory of a home needs no entry. ``needs_token`` (see ``held_tokens``) keeps only owners with a token.
+    """
+    joined = files.withColumn("config_dir", owner).join(entries.select("config_dir", "token_key"), "config_dir", "left")
+    default = F.when(ph.is_home_default(F.col("config_dir")), ph.DEFAULT_TOKEN_KEY)
+    owned = joined.withColumn("token_key", F.coalesce("token_key", default))
+    if needs_token is not None:
+        held = needs_token.select(F.col("token_key").alias("_key"), F.col("holder").alias("_holder"))
+        same = (F.col("token_key") == F.col("_key")) & (F.col("_holder").isNull() | (F.col("_holder") == F.col("config_dir")))
+        owned = owned.filter("error IS NULL").join(held, same, "left_semi").unionByName(owned.filter("error IS NOT NULL"))
+    return owned.filter("token_key IS NOT NULL OR error IS NOT NULL").withColumn(
+        "queue_slug", ph.queue_id(F.col("config_dir"), F.col("token_key"))
+    )
+
+
+def attribute_to_one(events: DataFrame, owner: DataFrame) -> DataFrame:
+    """All events with the one entry that owns them; without an entry, none. The owner is a fact of the whole run, so it is
+    looked up once and no join is planned."""
+    found = owner.select(ph.clean_dir(F.col("config_dir")).alias("config_dir"), "token_key").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("more than one owner")
+    config_dir, key = (F.lit(v).cast("string") for v in (found[0] if found else (None, None)))
+    owned = events if found else events.filter("false")
+    return owned.withColumns({"config_dir": config_dir, "token_key": key, "queue_slug": ph.queue_slug(config_dir, key)})
+
+
 def primary_only(registry: DataFrame, tokens: DataFrame, default_dir: Column) -> DataFrame:
     """The one entry that owns machine-wide logs: the default one, and only while it has a token."""
     have = tokens.filter(F.coalesce("token", F.lit("")) != "").select("token_key").distinct()

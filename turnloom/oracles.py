@@ -85,9 +85,9 @@ NATION_KEY = "CASE WHEN n_nationkey = 0 THEN 'device-token' ELSE 'device-token-c
 TURN_EVENTS = f"""
 WITH e AS (
   SELECT conv_id, turn, CASE WHEN conv_id % 5 > 0 THEN 's' || conv_id END AS session_id, text AS prompt_text,
-         CASE WHEN turn % 4 <> 0 THEN 'USER' END AS response_text, {TS} AS prompt_ts,
+         CASE WHEN turn % 4 <> 0 THEN upper(role) END AS response_text, {TS} AS prompt_ts,
          CASE WHEN turn % 3 > 0 THEN turn % 2 END AS token_count, CASE WHEN conv_id % 2 = 0 THEN 'model-a' END AS model
-  FROM conversations WHERE role = 'user'
+  FROM conversations
 )
 """
 
@@ -118,11 +118,11 @@ STORED = (
   UNION ALL
   SELECT 'CODEX', session_id, prompt_text, response_text, NULL, project_context, model, prompt_ts FROM r
 )
-SELECT s.* REPLACE ("""
+, stored AS (SELECT s.* REPLACE ("""
     + _scrub("prompt_text")
     + " AS prompt_text, "
     + _scrub("response_text")
-    + " AS response_text), '1.0' AS client_version FROM s"
+    + " AS response_text), '1.0' AS client_version FROM s)"
 )
 
 SQL = {
@@ -233,7 +233,7 @@ SQL = {
         FROM events WHERE user_id % 30 IN (SELECT n_nationkey FROM nation) GROUP BY ALL""",
     "primary_machine_events": """
         SELECT event_id, '/home/u0/.claude' AS config_dir, 'device-token' AS token_key, 'default' AS queue_slug
-        FROM events WHERE event_type = 'error'""",
+        FROM events""",
     "registry_collisions": """
         SELECT 'device-token-' || replace(lower(p_brand), '#', '-') AS token_key,
                count(DISTINCT (p_size % 4) || '/' || p_brand || (p_partkey % 2)) AS n_dirs
@@ -303,6 +303,25 @@ SQL = {
         FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""",
     "incremental_equals_full": BLOCK
     + "SELECT path, session_id, prompt_text, response_text, prompt_ts, token_count, model FROM t",
-    "run_once_events": STORED,
-    "streaming_turns": STORED,
+    "run_once_events": STORED + " SELECT * FROM stored",
+    "streaming_turns": STORED + " SELECT * FROM stored",
+    # Home u1 has no token, so its rollouts are nobody's, and u1's team folder has two keys but is collected all the same.
+    "collect_edge_cases": STORED
+    + """, ev AS (
+        SELECT 'event' AS kind, source_tool, 'u' || (conv % 2) AS home, CASE WHEN source_tool = 'CLAUDE_CODE' AND conv % 4 > 1 THEN 'claude-team' ELSE 'default' END AS detail,
+               session_id, prompt_text FROM (SELECT *, substr(session_id, 2)::BIGINT AS conv FROM stored) WHERE source_tool = 'CLAUDE_CODE' OR conv % 2 = 0),
+      c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 2 = 0),
+      er AS (
+        SELECT 'error' AS kind, 'CODEX' AS source_tool, 'u0' AS home, 'no session header' AS detail, 'rollout-' || x || '-' || conv_id || '.jsonl' AS session_id, NULL AS prompt_text
+        FROM c, (SELECT unnest(['empty', 'bare']) AS x)
+        UNION ALL SELECT 'error', 'registry', 'u1', 'several token keys', '.claude-team', NULL),
+      q AS (SELECT count(DISTINCT home || detail) AS n_queues FROM ev)
+      SELECT u.*, n_queues FROM (SELECT * FROM ev UNION ALL SELECT * FROM er) u, q""",
+    "deliver_once": r"""
+      WITH s AS (SELECT lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) AS queue_slug, (o_orderkey % 3)::VARCHAR AS pass FROM orders),
+      n AS (SELECT queue_slug, pass, count(*) AS n FROM s GROUP BY ALL),
+      -- The failing run sends the first batch of the second file and no more of that queue.
+      r AS (SELECT *, queue_slug[1] IN ('1', '3') AS broken FROM n)
+      SELECT '1' AS run, queue_slug, pass, (CASE WHEN broken AND pass = '1' THEN least(n, 100) ELSE n END)::BIGINT AS n_events FROM r WHERE NOT broken OR pass < '2'
+      UNION ALL SELECT '2', queue_slug, pass, n::BIGINT FROM r WHERE broken AND pass > '0'""",
 }

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +54,6 @@ class Job:
         return f"{self.state}/{name}"
 
 
-def listed(spark: SparkSession, globs: list[str]) -> tuple[DataFrame, str | None]:
-    """Files behind the globs, or the reason why a format had to be left out of this pass."""
-    try:
-        return fl.list_files(spark, globs), None
-    except AnalysisException as e:
-        # Nothing matches: an empty format, not a failing one.
-        reason = None if e.getCondition() == "PATH_NOT_FOUND" else "glob"
-        return fl.no_files(spark), reason
-
-
 def assemble(files: DataFrame, fmt: LogFormat, now, chunk_bytes: int) -> DataFrame:
     """Pass rows of ``files`` (with ``start_offset``); small and large files are read apart.
 
@@ -93,31 +82,30 @@ def finish(rows: DataFrame, client_version: str) -> DataFrame:
 
 
 def collect_format(
-    spark: SparkSession, job: Job, fmt: LogFormat, registry: DataFrame, now, pass_id: str
+    spark: SparkSession, job: Job, fmt: LogFormat, entries: DataFrame, held: DataFrame, now, pass_id: str
 ) -> None:
     """Read one format's files once and stage masked rows; owners are settled per file, not per event."""
-    found, failure = listed(spark, job.globs.get(fmt.SOURCE_TOOL, []) or ["/nonexistent"])
-    owned = reg.attribute_events(found, registry, fmt.owner_dir(F.col("path")))
+    found = fl.list_files(spark, job.globs.get(fmt.SOURCE_TOOL, []))
+    # Machine-wide logs are collected only for an owner that holds a token.
+    owned = reg.attribute_files(found, entries, fmt.owner_dir(F.col("path")), held if fmt.NEEDS_HEADER else None)
     cursors = tables.read_cursors(spark, job.table("cursors"), before=pass_id)
-    files = fl.with_cursors(owned.select("path", "file_size", "file_mtime"), cursors)
     stage = f"{job.table('stage')}/pass_id={pass_id}/format={fmt.SOURCE_TOOL}"
     # One listing serves the whole pass: sizes must not move between reading and cursors.
-    files.join(owned.select("path", "queue_slug"), "path").write.mode("overwrite").parquet(f"{stage}/files")
-    pinned = spark.read.parquet(f"{stage}/files")
-    rows = finish(assemble(pinned, fmt, now, job.chunk_bytes), job.client_version)
+    wanted = owned.select("path", "file_size", "file_mtime", "queue_slug", "error")
+    fl.with_cursors(wanted, cursors).write.mode("overwrite").parquet(f"{stage}/listing")
+    listing = spark.read.parquet(f"{stage}/listing")
+    pinned = listing.filter("error IS NULL").drop("error")
+    rows = finish(assemble(pinned.drop("queue_slug"), fmt, now, job.chunk_bytes), job.client_version)
     rows.write.mode("overwrite").parquet(f"{stage}/rows")
     staged = spark.read.parquet(f"{stage}/rows")
     read_now = pinned.filter("file_size > start_offset OR file_size = 0")
     errors = cur.file_errors(read_now, staged, fmt.SOURCE_TOOL, fmt.NEEDS_HEADER)
-    if failure:
-        errors = errors.unionByName(
-            spark.createDataFrame([("", fmt.SOURCE_TOOL, failure)], "path string, adapter string, reason string")
-        )
-    errors.write.mode("overwrite").parquet(f"{stage}/errors")
+    unlisted = listing.filter("error IS NOT NULL").select("path", F.lit(fmt.SOURCE_TOOL).alias("adapter"), F.lit("glob").alias("reason"))
+    errors.unionByName(unlisted).write.mode("overwrite").parquet(f"{stage}/errors")
 
 
-def staged(spark: SparkSession, job: Job, pass_id: str, fmt: LogFormat, name: str) -> DataFrame:
-    return spark.read.parquet(f"{job.table('stage')}/pass_id={pass_id}/format={fmt.SOURCE_TOOL}/{name}")
+def staged(spark: SparkSession, job: Job, pass_id: str, tool: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{job.table('stage')}/pass_id={pass_id}/format={tool}/{name}")
 
 
 def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFrame, now, pass_id: str) -> None:
@@ -126,19 +114,19 @@ def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFra
     The order is what keeps events safe: spool first, cursors second. A crash in between reads the
     same lines again, which the content hash absorbs; it never skips any.
     """
-    with_token = tokens.filter("coalesce(token, '') <> ''").select("token_key").distinct()
-    # Machine-wide logs are collected only for an owner that holds a token.
-    holders = registry.join(with_token, "token_key", "left_semi")
+    entries, held = reg.unique_entries(registry), reg.held_tokens(tokens)
+    clashes = entries.filter("conflict").select(
+        F.col("config_dir").alias("path"), F.lit("registry").alias("adapter"), F.lit("several token keys").alias("reason")
+    )
+    clashes.write.mode("overwrite").parquet(f"{job.table('stage')}/pass_id={pass_id}/format=registry/errors")
     with ThreadPoolExecutor(len(FORMATS)) as pool:
-        running = [
-            pool.submit(collect_format, spark, job, fmt, holders if fmt.NEEDS_HEADER else registry, now, pass_id)
-            for fmt in FORMATS
-        ]
+        running = [pool.submit(collect_format, spark, job, fmt, entries, held, now, pass_id) for fmt in FORMATS]
         for one in running:
             one.result()
     spooled, moved = None, None
     for fmt in FORMATS:
-        files, rows, errors = (staged(spark, job, pass_id, fmt, n) for n in ("files", "rows", "errors"))
+        listing, rows, errors = (staged(spark, job, pass_id, fmt.SOURCE_TOOL, n) for n in ("listing", "rows", "errors"))
+        files = listing.filter("error IS NULL")
         good = rows.filter("row_kind = 'turn'").join(errors.select("path"), "path", "left_anti")
         owned = good.join(files.select("path", "queue_slug"), "path")
         spooled = owned if spooled is None else spooled.unionByName(owned)
@@ -154,36 +142,50 @@ def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFra
 
 
 def errors_of(spark: SparkSession, job: Job, pass_id: str) -> DataFrame:
-    """Files and formats a pass had to leave out."""
-    out = None
-    for fmt in FORMATS:
-        part = staged(spark, job, pass_id, fmt, "errors")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Files, globs and registry entries a pass had to leave out."""
+    parts = [staged(spark, job, pass_id, tool, "errors") for tool in (*(f.SOURCE_TOOL for f in FORMATS), "registry")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def deliver(
-    spark: SparkSession, job: Job, run_id: str, send: Callable[[DataFrame], DataFrame], since: str = ""
+    spark: SparkSession, job: Job, run_id: str, send: Callable[[str, str, int, str], bool], since: str = ""
 ) -> str:
-    """Hand pending request bodies to ``send``, which returns (queue_slug, spool_file, batch, ok).
+    """Hand pending request bodies to ``send(queue, spool_file, batch, body)``, which runs inside tasks.
 
-    Files up to the first failing one of each queue are logged as delivered; the rest stays pending.
-    Returns the oldest pass that still has pending files: the ``since`` of the next call, so delivered
-    passes are not read again.
+    Each queue is sent in order up to its first failure. What was sent, and how it went, is written once and everything
+    else follows from that table; a run that is repeated under its id sends nothing again. Files before the first
+    failing one of their queue are logged as delivered, the rest stays pending. Spooled rows that do not decode go to the
+    quarantine table, with their place but without their text. Returns the oldest pass that still has
+    pending files: the ``since`` of the next call, and the bound for ``tidy``.
     """
     keys = ["queue_slug", "spool_file"]
     spool = tables.spooled_events(spark, job.table("spool"), since)
     left = ev.pending(spool, tables.read_delivered(spark, job.table("delivered")), keys)
-    readable = left.filter("source_tool IS NOT NULL")
-    batched = ev.assign_batches(readable, keys, ["path", "prompt_offset"])
-    outcomes = send(ev.build_envelopes(batched, keys))
-    ev.delivered_files(outcomes).write.mode("overwrite").parquet(f"{job.table('delivered')}/pass_id={run_id}")
+    sent = f"{job.table('outcomes')}/run_id={run_id}"
+    if not tables.complete(spark, sent):
+        batched = ev.assign_batches(left.filter("source_tool IS NOT NULL"), keys, ["path", "prompt_offset"])
+        ev.drained(ev.build_envelopes(batched, keys), send).write.mode("overwrite").parquet(sent)
+    outcomes = spark.read.schema(ev.OUTCOMES).parquet(sent)
+    unreadable = left.filter("source_tool IS NULL").select(*keys, "path", "prompt_offset")
+    unreadable.write.mode("overwrite").parquet(f"{job.table('quarantine')}/run_id={run_id}")
+    # A file without a single readable row has nothing to wait for.
+    empty = left.groupBy(*keys).agg(F.max(F.col("source_tool").isNotNull()).alias("any")).filter("NOT any").select(*keys)
+    done = ev.delivered_files(outcomes).unionByName(empty)
+    done.write.mode("overwrite").parquet(f"{job.table('delivered')}/pass_id={run_id}")
     files = tables.read_spool(spark, job.table("spool"), since).select("pass_id", *keys).distinct()
     waiting = ev.pending(files, tables.read_delivered(spark, job.table("delivered")), keys)
     newest = files.agg(F.max("pass_id")).first()[0] or since
     return waiting.agg(F.min("pass_id")).first()[0] or newest
 
 
+def tidy(spark: SparkSession, job: Job, since: str) -> None:
+    """Remove staged and spooled folders of the passes before ``since`` (all delivered), and fold the cursor log."""
+    for name in ("stage", "spool"):
+        old = [p for p in tables.subfolders(spark, job.table(name)) if p.startswith("pass_id=") and p.removeprefix("pass_id=") < since]
+        tables.remove(spark, [f"{job.table(name)}/{p}" for p in old])
+    tables.compact_cursors(spark, job.table("cursors"))
+
+
 def stored_events(spark: SparkSession, job: Job, columns: list[str] | None = None) -> DataFrame:
     """Spooled events without duplicates: the first writer of each content hash and owner."""
     events = tables.spooled_events(spark, job.table("spool"))

@@ -6,6 +6,7 @@ turn assembly; the matching SQL in ``turnloom.oracles`` works on the table direc
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Callable
@@ -22,10 +23,12 @@ from turnloom.operators import events as ev
 from turnloom.operators import ordered
 from turnloom.operators import registry as reg
 from turnloom.operators import reports
-from turnloom.plans import block_log, collect, render, rollout_log
-from turnloom.plans.log_writer import write_session_files
+from turnloom.plans import block_log, collect, rollout_log
+from turnloom.samples import render
+from turnloom.samples.log_writer import write_session_files
 from turnloom.session import checkpointed, configure, shared_dir
 from turnloom.sources.files import from_cursor, start_offset
+from turnloom.sources.tables import spooled_events, subfolders, write_spool
 from turnloom.streaming.jobs import collect_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -383,12 +386,11 @@ def attribute_events(spark, sf_dir):
 def primary_machine_events(spark, sf_dir):
     """Machine-wide events go to the default entry only, and only while it has a token."""
     registry = reg.with_default(_nation_registry(spark, sf_dir).filter("n_nationkey > 0"), F.lit(DEFAULT_DIR))
-    tokens = table(spark, sf_dir, "customer").filter("c_custkey < 5").select(
+    tokens = table(spark, sf_dir, "customer").select(
         F.when(F.col("c_custkey") == 0, ph.DEFAULT_TOKEN_KEY).otherwise("other").alias("token_key"), F.col("c_name").alias("token")
     )
     owner = reg.primary_only(registry, tokens, F.lit(DEFAULT_DIR))
-    e = events_of(spark, sf_dir).filter("event_type = 'error'")
-    owned = reg.attribute_events(e, owner, F.lit(DEFAULT_DIR))
+    owned = reg.attribute_to_one(events_of(spark, sf_dir), owner)
     return owned.select("event_id", "config_dir", "token_key", "queue_slug")
 
 
@@ -453,7 +455,7 @@ def content_hashes(spark, sf_dir):
 
 
 def turns_as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    c = table(spark, sf_dir, "conversations")
     ts = F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") * 86400 + F.col("turn"))
     return c.select(
         F.lit("CLAUDE_CODE").alias("source_tool"),
@@ -629,11 +631,95 @@ def run_once_events(spark, sf_dir):
     return _stored(spark, job)
 
 
+@query
+def collect_edge_cases(spark, sf_dir):
+    """One pass over two homes that share folder names: no entry for a default folder, one folder registered twice, one
+    with two keys, a glob that matches nothing, empty and headerless files, and a token in one home only."""
+    root = f"{shared_dir(spark)}/edge-{uuid.uuid4().hex}"
+    home = F.concat(F.lit(f"{render.ROOT}/u"), F.col("conv_id") % 2)
+    conversations = table(spark, sf_dir, "conversations")
+    block = render.block_log_lines(conversations).withColumn("folder", F.when(F.col("conv_id") % 4 > 1, "/.claude-team/").otherwise("/.claude/"))
+    logs = block.withColumn("path", F.concat(home, "folder", F.regexp_extract("path", "/(projects/.*)", 1))).drop("folder")
+    rollouts = render.rollout_log_lines(conversations).withColumn("path", F.concat(home, F.lit("/.codex/"), F.regexp_extract("path", "/(sessions/.*)", 1)))
+    # Two more files for every conversation: one without a line, one without a header.
+    ids = rollouts.select("conv_id", "path").distinct()
+    odd = ids.select(F.regexp_replace("path", "rollout-", "rollout-empty-").alias("path"), "conv_id", F.lit(0).alias("seq"), F.lit(None).cast("string").alias("line")).unionByName(
+        ids.select(F.regexp_replace("path", "rollout-", "rollout-bare-").alias("path"), "conv_id", F.lit(0).alias("seq"), F.lit('{"type":"event_msg"}').alias("line"))
+    )
+    for lines in (logs, rollouts, odd):
+        write_session_files(lines, root, render.ROOT)
+    plain = re.sub("^file:/+", "/", root)
+    globs = {
+        block_log.SOURCE_TOOL: [f"{root}/nobody*/.claude/{block_log.FILE_GLOB}", f"{root}/u*/.claude*/{block_log.FILE_GLOB}"],
+        rollout_log.SOURCE_TOOL: [f"{root}/u*/.codex/{rollout_log.FILE_GLOB}", f"{root}/nobody*/.codex/{rollout_log.FILE_GLOB}"],
+    }
+    team = [("u0/.claude-team", "a"), ("u0/.claude-team/", "a"), ("u1/.claude-team", "b"), ("u1/./.claude-team", "c")]
+    registry = spark.createDataFrame([(f"{plain}/{d}", k) for d, k in team], "config_dir string, token_key string")
+    tokens = spark.createDataFrame([(ph.DEFAULT_TOKEN_KEY, "x", f"{plain}/u0/.claude")], "token_key string, token string, config_dir string")
+    job = collect.Job(globs, f"{root}/state", "1.0", 1 << 16)
+    collect.run_once(spark, job, registry, tokens, "2999-01-01 00:00:00", "1")
+    spool = spooled_events(spark, job.table("spool"))
+    place = lambda path: F.regexp_extract(path, r"/(u[01])/", 1)
+    events = spool.select(
+        F.lit("event").alias("kind"), "source_tool", place("path").alias("home"), F.split_part("queue_slug", F.lit("~"), F.lit(1)).alias("name"),
+        "session_id", "prompt_text",
+    )
+    n_queues = spool.select("queue_slug").distinct().count()
+    errors = collect.errors_of(spark, job, "1").select(
+        F.lit("error").alias("kind"), F.col("adapter").alias("source_tool"), place("path").alias("home"), "reason",
+        F.regexp_extract("path", r"/([^/]*)$", 1).alias("session_id"), F.lit(None).cast("string").alias("prompt_text"),
+    )
+    both = events.withColumnRenamed("name", "detail").unionByName(errors.withColumnRenamed("reason", "detail"))
+    return both.withColumn("n_queues", F.lit(n_queues))
+
+
+@query
+def deliver_once(spark, sf_dir):
+    """Orders as spooled events of their priorities' queues. A first run meets a failing batch in some queues, a second
+    does not; how often each batch was sent is counted where it was sent."""
+    root = f"{shared_dir(spark)}/deliver-{uuid.uuid4().hex}"
+    job = collect.Job({}, root, "1.0")
+    orders = table(spark, sf_dir, "orders").select(
+        F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "-")).alias("queue_slug"), F.col("o_orderkey").alias("prompt_offset"), F.lit("f").alias("path"),
+        F.lit("CODEX").alias("source_tool"), F.lit("cli").alias("surface"), F.lit(None).cast("string").alias("session_id"),
+        F.col("o_custkey").cast("string").alias("prompt_text"), F.lit(None).cast("string").alias("response_text"), F.col("o_orderdate").cast("timestamp").alias("prompt_ts"),
+        F.lit(None).cast("bigint").alias("token_count"), F.lit(None).cast("string").alias("project_context"), F.lit("1").alias("client_version"), F.lit(None).cast("string").alias("model"),
+    )
+    for k in range(3):  # three passes of orders, so each queue has several files in order
+        part = to_wire(orders.filter(F.col("prompt_offset") % 3 == k).withColumn("content_hash", content_hash()))
+        write_spool(part.select("event_json", "path", "prompt_offset", "content_hash", "queue_slug"), job.table("spool"), f"{k}")
+
+    def send(log: str, broken: bool):
+        def one(queue: str, file: str, batch: int, body: str) -> bool:
+            # The receiver's own record of what it got: one file for each request.
+            where = re.sub("^file:/+", "/", log)
+            os.makedirs(where, exist_ok=True)
+            with open(f"{where}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{queue}|{file[0]}|{batch}|{body.count('promptText')}")
+            return not (broken and queue.startswith(("1", "3")) and file[0] == "1")
+
+        return one
+
+    logs = [f"{root}/received/{run}" for run in ("1", "2", "3")]
+    since = collect.deliver(spark, job, "1", send(logs[0], True))
+    since = collect.deliver(spark, job, "2", send(logs[1], False), since)
+    collect.deliver(spark, job, "3", send(logs[2], False), since)
+    received = spark.createDataFrame([], "run string, value string")
+    for run, log in zip("123", logs):
+        if subfolders(spark, f"{root}/received") and run in subfolders(spark, f"{root}/received"):
+            received = received.unionByName(spark.read.text(log).select(F.lit(run).alias("run"), "value"))
+    part = F.split("value", r"\|")
+    rows = received.select("run", part[0].alias("queue_slug"), part[1].alias("pass"), part[3].cast("bigint").alias("n"))
+    return rows.groupBy("run", "queue_slug", "pass").agg(F.sum("n").alias("n_events"))
+
+
 @query
 def streaming_turns(spark, sf_dir):
     """The same as a stream: files grow between two runs, each run stops when all is read."""
     job, root, registry, tokens = _job(spark, "stream")
-    for turns_so_far, now in ((3, "2000-01-01 00:00:00"), (None, "2999-01-01 00:00:00")):
-        _drop_files(spark, sf_dir, root, turns_so_far)
+    # No file grows before the last run: only time goes by, and the turns at rest must settle all the same.
+    for turns_so_far, now in ((3, "2000-01-01 00:00:00"), (None, "2000-01-01 00:00:00"), (0, "2999-01-01 00:00:00")):
+        if turns_so_far != 0:
+            _drop_files(spark, sf_dir, root, turns_so_far)
         collect_stream(spark, job, registry, tokens, now, {"availableNow": True}).awaitTermination()
     return _stored(spark, job)

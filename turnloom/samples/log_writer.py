@@ -32,7 +32,8 @@ def write_session_files(rendered: DataFrame, root: str, logical_root: str) -> in
                     target = base + path[len(logical_root) :]
                     fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
                     current, sink, count = path, fs.open_output_stream(target), count + 1
-                sink.write(line.encode() + b"\n")
+                if line is not None:  # a file whose only line is null stays empty
+                    sink.write(line.encode() + b"\n")
         if sink:
             sink.close()
         yield pa.RecordBatch.from_pydict({"files": [count]}, schema=pa.schema([("files", pa.int64())]))

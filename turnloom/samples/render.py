@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from turnloom.functions.wire import format_wire_ts
 from turnloom.operators.ordered import with_line_positions
 
-BLOCK_ROOT = "/logs/.claude"
-ROLLOUT_ROOT = "/logs/.codex"
+ROOT = "/logs"
+BLOCK_ROOT = f"{ROOT}/.claude"
+ROLLOUT_ROOT = f"{ROOT}/.codex"
 SEQ_PER_TURN = 4
 SEQ_CHUNK = 4096
 

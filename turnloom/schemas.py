@@ -49,7 +49,6 @@ WIRE_DDL = (
     "promptTs string, tokenCount bigint, projectContext string, clientVersion string, model string"
 )
 
-FILES = "path string, file_size bigint, file_mtime timestamp"
 CURSORS = "path string, cursor string, legacy_offset bigint, updated_at timestamp"
 REGISTRY = "configDir string, tokenKey string"
 FILE_ERRORS = "path string, adapter string, reason string"

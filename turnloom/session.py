@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import turnloom
@@ -37,13 +38,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests) a fresh
-    local folder is made and remembered in the session.
+    A cluster names it in ``spark.checkpoint.dir``; without it a job on a cluster stops here. Only a local session, whose
+    tasks all run on this machine, gets a fresh local folder, which is remembered in the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

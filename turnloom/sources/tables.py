@@ -59,9 +59,42 @@ def read_cursors(spark: SparkSession, path: str, before: str | None = None) -> D
     return log.groupBy("path").agg(latest).select("path", "c.*")
 
 
-def compact_cursors(spark: SparkSession, path: str, target: str, pass_id: str) -> None:
-    """Write the latest cursor per file as a fresh log that replaces the old one."""
-    read_cursors(spark, path).write.mode("overwrite").parquet(f"{target}/pass_id={pass_id}")
+def compact_cursors(spark: SparkSession, path: str) -> None:
+    """Fold all passes but the newest into one folder that sorts where the last of them stood.
+
+    The folded log is written before the old folders go, so a crash in between leaves both, which agree. The newest
+    pass stays as it is, because it may have to be redone from what came before it.
+    """
+    folders = [p for p in subfolders(spark, path) if p.startswith("pass_id=")]
+    old = folders[:-1]
+    if len(old) < 2:
+        return
+    newest = folders[-1].removeprefix("pass_id=")
+    read_cursors(spark, path, before=newest).write.mode("overwrite").parquet(f"{path}/{old[-1]}+")
+    remove(spark, [f"{path}/{p}" for p in old])
+
+
+def _store(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names below a job's folder, sorted. One for each pass that was not tidied away, so they are few."""
+    fs, folder = _store(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()) if fs.exists(folder) else []
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """A table's write was committed."""
+    fs, marker = _store(spark, f"{path}/_SUCCESS")
+    return fs.exists(marker)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        fs, folder = _store(spark, path)
+        fs.delete(folder, True)
 
 
 def write_cursors(cursors: DataFrame, path: str, pass_id: str, now) -> None:
@@ -96,7 +129,7 @@ def read_spool(spark: SparkSession, path: str, since: str = "") -> DataFrame:
     ``since`` leaves out the folders of older passes without opening them.
     """
     raw = _read(spark, path, SPOOL).filter(F.col("pass_id") >= since)
-    if not raw.inputFiles():
+    if not subfolders(spark, path):
         return raw.withColumn("spool_file", F.lit("").cast("string"))
     return raw.withColumn("spool_file", F.concat_ws("/", "pass_id", "_metadata.file_name"))
 

@@ -1,7 +1,7 @@
 """Streaming jobs.
 
-``collect_stream`` is the default: the stream only tells *that* files grew, and each micro-batch is one
-resumable pass. State between batches is the cursor table; no raw text is kept anywhere.
+``collect_stream`` is the default: the stream is a clock, and each micro-batch is one resumable pass, whether files
+grew or only came to rest. State between batches is the cursor table; no raw text is kept anywhere.
 
 ``settled_stream`` keeps the lines of the open turn of each file in state until the turn settles. It
 answers without a second read, at the price of raw text in the state store and of one file being
@@ -10,6 +10,7 @@ handled by one task.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnloom.plans import block_log
 from turnloom.plans.collect import Job, run_once
-from turnloom.streaming.source import stream_lines
 
 IDLE_MS = 10 * 60 * 1000
 
@@ -39,11 +39,10 @@ def collect_stream(
         at = now or spark.sql("select string(current_timestamp())").first()[0]
         run_once(batch.sparkSession, job, registry, tokens, at, f"s{batch_id:012d}")
 
-    globs = [g for part in job.globs.values() for g in part]
-    lines = stream_lines(spark, globs, job.table("listings"))
+    # One row a trigger: files that rest for long enough settle their last turn without growing, so every tick counts.
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
     return (
-        lines.select("path")
-        .writeStream.foreachBatch(one_pass)
+        ticks.writeStream.foreachBatch(one_pass)
         .option("checkpointLocation", job.table("stream"))
         .trigger(**(trigger or {"processingTime": "15 minutes"}))
         .start()
@@ -82,8 +81,14 @@ def _hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
             if opened:
                 offsets.append(int(offset))
                 lines.append(line)
-    state.update((offsets, lines, opened, terminal))
-    state.setTimeoutDuration(IDLE_MS)
+    if opened:
+        state.update((offsets, lines, opened, terminal))
+        if terminal and not state.hasTimedOut:
+            # The file rests from its last change on, not from the batch that read it.
+            rested = time.time() - rows.file_mtime.max().timestamp()
+            state.setTimeoutDuration(max(1, int(IDLE_MS - 1000 * rested)))
+    elif state.exists:
+        state.remove()  # nothing is held: the next prompt begins anew
     yield pd.DataFrame(out, columns=["path", "byte_offset", "line", "complete"])
 
 
@@ -92,6 +97,7 @@ def settled_lines(lines: DataFrame) -> DataFrame:
     shaped = lines.select(
         "path",
         "file_size",
+        "file_mtime",
         F.lit(0).cast("bigint").alias("start_offset"),
         "byte_offset",
         F.col("line"),
@@ -101,7 +107,7 @@ def settled_lines(lines: DataFrame) -> DataFrame:
     )
     marks = block_log.prompt_marks(block_log.parse(shaped))
     return (
-        marks.select("path", "byte_offset", F.col("kept_line").alias("line"), "is_prompt", "stop_reason")
+        marks.select("path", "byte_offset", F.col("kept_line").alias("line"), "is_prompt", "stop_reason", "file_mtime")
         .groupBy("path")
         .applyInPandasWithState(_hold, RELEASED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
     )
