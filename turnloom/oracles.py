@@ -24,7 +24,7 @@ WITH u AS (
          's' || conv_id AS session_id, {TS} AS prompt_ts,
          CASE conv_id % 4 WHEN 0 THEN 'cli' WHEN 1 THEN 'sdk-cli' ELSE 'unknown' END AS surface,
          '/work/p' || (conv_id % 7) || CASE WHEN conv_id % 3 = 0 THEN ' @main' ELSE '' END AS project_context
-  FROM j WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 2 = 0)
+  FROM j WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 2 = 0 AND conv_id % 10 <> 4)
 )
 """
 
@@ -108,7 +108,7 @@ WITH s AS (
 
 # With every file at rest at the end, a last prompt settles once answered (block log) or at once.
 STORED = (
-    BLOCK.replace("WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 2 = 0)", "WHERE next_user IS NOT NULL OR n > 0")
+    BLOCK.replace("WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 2 = 0 AND conv_id % 10 <> 4)", "WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 10 <> 4)")
     + ", r AS (SELECT * FROM ("
     + ROLLOUT.replace("(next_role IS NULL AND conv_id % 2 = 0)", "next_role IS NULL")
     + " SELECT * FROM t))"
@@ -150,13 +150,16 @@ SQL = {
     "claude_turn_tokens": BLOCK + "SELECT session_id, prompt_ts, token_count FROM t",
     "claude_turn_model": BLOCK + "SELECT session_id, prompt_ts, model FROM t",
     "claude_held_cursors": BLOCK
-    + """, h AS (SELECT conv_id, turn FROM j WHERE next_user IS NULL AND NOT (n > 0 AND conv_id % 2 = 0))
+    + """, h AS (SELECT conv_id, turn FROM j WHERE next_user IS NULL AND NOT (n > 0 AND conv_id % 2 = 0 AND conv_id % 10 <> 4))
         SELECT c.conv_id, h.turn AS held_turn, h.turn IS NULL AS at_end
         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN h ON h.conv_id = c.conv_id""",
     "synthetic_filter_report": """
-        SELECT CASE role WHEN 'assistant' THEN 'not_user' WHEN 'system' THEN 'marker' ELSE 'kept' END AS reason,
-               sum(CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 2 ELSE 1 END)::BIGINT AS n_lines
-        FROM conversations GROUP BY 1""",
+        SELECT reason, sum(n)::BIGINT AS n_lines FROM (
+          SELECT CASE role WHEN 'assistant' THEN 'not_user' WHEN 'system' THEN 'marker' ELSE 'kept' END AS reason,
+                 CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 2 ELSE 1 END AS n
+          FROM conversations
+          UNION ALL SELECT CASE (conv_id + turn) % 9 WHEN 4 THEN 'no_text' WHEN 5 THEN 'invalid' WHEN 6 THEN 'not_user' ELSE 'prefix' END, 1
+          FROM conversations WHERE (conv_id + turn) % 9 < 7) GROUP BY 1""",
     "late_replies": """
         WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS first_prompt FROM conversations WHERE turn >= 1 GROUP BY conv_id)
         SELECT '/logs/.claude/projects/p' || (c.conv_id % 7) || '/s' || c.conv_id || '.jsonl' AS path,
@@ -182,7 +185,9 @@ SQL = {
           SELECT CASE role WHEN 'system' THEN 'E' WHEN 'user' THEN 'U' ELSE 'A' END AS kind FROM conversations
           WHERE NOT (role = 'assistant' AND conv_id % 5 = 0 AND turn % 4 = 1)
           UNION ALL SELECT 'H' FROM conversations WHERE turn = 0
-          UNION ALL SELECT 'M' FROM conversations WHERE role = 'user' AND turn % 4 = 2) GROUP BY kind""",
+          UNION ALL SELECT 'M' FROM conversations WHERE role = 'user' AND turn % 4 = 2
+          UNION ALL SELECT CASE (conv_id + turn) % 7 WHEN 0 THEN 'I' WHEN 1 THEN 'C' WHEN 2 THEN 'O' END
+          FROM conversations WHERE (conv_id + turn) % 7 < 4) GROUP BY kind""",
     "carry_forward_events": """
         SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (
           PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_signup_value

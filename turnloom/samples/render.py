@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import BLOCK_PREFIXES, ROLLOUT_PREFIXES
 from turnloom.functions.wire import format_wire_ts
 from turnloom.operators.ordered import with_line_positions
 
@@ -18,6 +19,9 @@ SEQ_CHUNK = 4096
 # Models named in rendered answers and announcements.
 MODELS = ["model-a", "model-b", "<synthetic>"]
 
+#: Rows whose (conv_id + turn) leaves one of these behind get one more line, which opens no turn and answers none.
+BLOCK_NOISE, ROLLOUT_NOISE = 9, 7
+
 
 def _mod(value: str, n: int) -> Column:
     return F.expr(value) % n
@@ -45,7 +49,7 @@ def _text_block(text: Column) -> Column:
 
 def block_log_lines(conversations: DataFrame) -> DataFrame:
     """(path, seq, line): user rows as prompts, assistant rows as answers (some logged twice, as split
-    messages are), system rows as injected user lines."""
+    messages are), system rows as injected user lines, and lines that no turn takes up."""
     session = F.concat(F.lit("s"), F.col("conv_id"))
     base = conversations.select(
         F.concat(F.lit(f"{BLOCK_ROOT}/projects/p"), _mod("conv_id", 7), F.lit("/"), session, F.lit(".jsonl")).alias("path"),
@@ -69,12 +73,12 @@ def block_log_lines(conversations: DataFrame) -> DataFrame:
             F.lit("assistant").alias("type"),
             *head,
             F.struct(
-                F.concat(F.lit("m"), F.col("turn")).alias("id"),
+                F.when(_mod("conv_id + turn", 6) < 5, F.concat(F.lit("m"), F.col("turn"))).alias("id"),
                 F.lit("assistant").alias("role"),
                 _model().alias("model"),
                 F.array(_text_block(F.col("text"))).alias("content"),
                 F.struct(F.length("text").alias("output_tokens")).alias("usage"),
-                F.lit("end_turn").alias("stop_reason"),
+                F.when(_mod("conv_id", 10) == 4, "max_tokens").when(_mod("turn", 3) == 0, "stop_sequence").otherwise("end_turn").alias("stop_reason"),
             ).alias("message"),
         )
     )
@@ -85,18 +89,23 @@ def block_log_lines(conversations: DataFrame) -> DataFrame:
         .otherwise(user(F.array(_text_block(F.col("text")))))
     )
     copies = F.when((F.col("role") == "assistant") & (_mod("turn", 4) == 1), F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return base.select(
-        "path",
-        "conv_id",
-        line.alias("line"),
-        F.col("turn"),
-        F.explode(copies).alias("copy"),
-    ).select("path", "conv_id", (F.col("turn") * SEQ_PER_TURN + F.col("copy")).alias("seq"), "line")
+    pick = _mod("conv_id + turn", BLOCK_NOISE)
+    noise = F.lit(None).cast("string")
+    for i, prefix in enumerate(BLOCK_PREFIXES):
+        noise = F.when(pick == i, user(F.concat(F.lit(f" \n{prefix} "), F.col("text")))).otherwise(noise)
+    n = len(BLOCK_PREFIXES)
+    tool = F.array(F.struct(F.lit("tool_result").alias("type"), F.col("text").alias("content")))
+    side = F.to_json(F.struct(F.lit("user").alias("type"), F.lit(True).alias("isSidechain"), F.struct(F.col("text").alias("content")).alias("message")))
+    noise = F.when(pick == n, user(tool)).when(pick == n + 1, F.concat(F.lit('{"type":"user",'), "text")).when(pick == n + 2, side).otherwise(noise)
+    lines = F.concat(F.transform(copies, lambda k: F.struct(k.alias("k"), line.alias("line"))), F.array(F.struct(F.lit(SEQ_PER_TURN - 1).alias("k"), noise.alias("line"))))
+    return base.select("path", "conv_id", "turn", F.inline(F.filter(lines, lambda x: x.line.isNotNull()))).select(
+        "path", "conv_id", (F.col("turn") * SEQ_PER_TURN + F.col("k")).alias("seq"), "line"
+    )
 
 
 def rollout_log_lines(conversations: DataFrame) -> DataFrame:
     """(path, seq, line): a header, a model announcement before some prompts, messages; some answers
-    are left out so that prompts follow prompts."""
+    are left out so that prompts follow prompts; records that are no messages of a talk."""
     path = F.concat(F.lit(f"{ROLLOUT_ROOT}/sessions/2026/01/0"), _mod("conv_id", 9) + 1, F.lit("/rollout-"), F.col("conv_id"), F.lit(".jsonl"))
     base = conversations.select("conv_id", "turn", "role", "text", path.alias("path"), _ts().alias("timestamp"))
 
@@ -114,12 +123,21 @@ def rollout_log_lines(conversations: DataFrame) -> DataFrame:
     )
     context = record("turn_context", F.struct(_model().alias("model"), F.lit("/work").alias("cwd")))
     role = F.when(F.col("role") == "system", "developer").otherwise(F.col("role"))
-    fragment = F.struct(
-        F.when(F.col("role") == "assistant", "output_text").otherwise("input_text").alias("type"), F.col("text")
-    )
+    kind = F.when(F.col("role") == "assistant", "output_text").otherwise("input_text").alias("type")
+    fragment = lambda text: F.struct(kind, text.alias("text"))
+    whole, half = F.array(fragment(F.col("text"))), F.length("text") / 2
+    halves = F.array(fragment(F.substring("text", F.lit(1), half.cast("int"))), fragment(F.substring("text", half.cast("int") + 1, F.length("text"))))
     message = record(
         "response_item",
-        F.struct(F.lit("message").alias("type"), role.alias("role"), F.array(fragment).alias("content")),
+        F.struct(F.lit("message").alias("type"), role.alias("role"), F.when(_mod("conv_id", 3) == 1, halves).otherwise(whole).alias("content")),
+    )
+    injected = F.array(F.struct(F.lit("input_text").alias("type"), F.concat(F.lit(ROLLOUT_PREFIXES[0]), "text").alias("text")))
+    pick = _mod("conv_id + turn", ROLLOUT_NOISE)
+    noise = (
+        F.when(pick == 0, record("response_item", F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), injected.alias("content"))))
+        .when(pick == 1, record("compacted", F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("replacement_history"))))
+        .when(pick == 2, record("response_item", F.struct(F.lit("reasoning").alias("type"), F.lit("user").alias("role"), whole.alias("content"))))
+        .when(pick == 3, F.concat(F.lit('{"type":"response_item",'), "text"))
     )
     dropped = (F.col("role") == "assistant") & (_mod("conv_id", 5) == 0) & (_mod("turn", 4) == 1)
     lines = F.filter(
@@ -127,6 +145,7 @@ def rollout_log_lines(conversations: DataFrame) -> DataFrame:
             F.struct(F.lit(0).alias("k"), F.when(F.col("turn") == 0, header).alias("line")),
             F.struct(F.lit(1).alias("k"), F.when((F.col("role") == "user") & (_mod("turn", 4) == 2), context).alias("line")),
             F.struct(F.lit(2).alias("k"), F.when(~dropped, message).alias("line")),
+            F.struct(F.lit(3).alias("k"), noise.alias("line")),
         ),
         lambda x: x.line.isNotNull(),
     )
