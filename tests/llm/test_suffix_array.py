@@ -28,9 +28,11 @@ def plain_order(x):
 @given(st.lists(st.text("ab", min_size=1, max_size=30) | st.text("abc\x00é", min_size=1, max_size=12), min_size=1, max_size=6))
 def test_order_and_common_prefixes(texts):
     x = flat_pieces([t.encode() for t in texts])
-    order = s.suffix_array(x)
-    assert order.tolist() == plain_order(x)
     words = s.words_at(x)
+    order = s.suffix_array(x, words)
+    assert order.tolist() == plain_order(x)
+    some = np.random.default_rng(len(x)).random(len(x)) < 0.4
+    assert s.suffix_array(x, words, some).tolist() == [i for i in plain_order(x) if some[i]]
     got = s.common_prefixes(x, order, words, 20)
 
     def common(a, b):

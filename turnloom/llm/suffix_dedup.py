@@ -127,12 +127,12 @@ def contexts(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
 
 def words_at(x: np.ndarray) -> np.ndarray:
     """Eight bytes from each place as one big-endian number; bytes behind a separator (0) count as 0."""
-    padded = np.concatenate([x, np.zeros(8, np.uint8)])
-    out, open_ = np.zeros(len(x), flat.U), np.ones(len(x), bool)
-    for i in range(8):
-        part = padded[i : i + len(x)]
-        open_ &= part > 0
-        out = (out << flat.U(8)) | np.where(open_, part, 0).astype(flat.U)
+    padded = np.concatenate([x, np.zeros(8, np.uint8)]).tobytes()
+    out = np.ndarray(len(x), ">u8", buffer=padded, strides=(1,)).astype(flat.U)
+    separators = np.flatnonzero(x == 0)
+    for before in range(8):
+        at = separators - before
+        out[at[at >= 0]] &= flat.U(0xFFFFFFFFFFFFFFFF ^ ((1 << (64 - 8 * before)) - 1))
     return out
 
 
@@ -144,15 +144,16 @@ def smaller_than_next(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, True, x[where] < x[where + 1])
 
 
-def sort_directly(x: np.ndarray, places: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Places in the order of their suffixes: by eight bytes, then ties by the next eight, until the separator."""
+def sort_directly(x: np.ndarray, places: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """Places in the order of their suffixes: by eight bytes, then ties by the next eight, until the separator or `most`
+    bytes."""
     order = places[np.argsort(words[places], kind="stable")]
     live = np.arange(len(order))
     key, opens, depth = words[order], np.ones(len(order), bool), 8
     opens[1:] = key[1:] != key[:-1]
     # A group of ties is named by the place, in order, of its first member.
     group = np.maximum.accumulate(np.where(opens, live, 0)) if len(live) else live
-    while len(live):
+    while len(live) and depth < most:
         g = group[live]
         tied = np.zeros(len(live), bool)
         tied[1:] = g[1:] == g[:-1]
@@ -173,12 +174,28 @@ def sort_directly(x: np.ndarray, places: np.ndarray, words: np.ndarray) -> np.nd
     return order
 
 
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """All places of x in the order of their suffixes. x ends in a separator; separators (0) differ, the earlier the smaller."""
+def closure(wanted: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """The wanted places and those that they are induced from: of a suffix larger than its successor, the successor too."""
+    needed = wanted.copy()
+    at = np.flatnonzero(wanted & ~small)
+    while len(at):
+        at = at + 1
+        at = at[~needed[at]]
+        needed[at] = True
+        at = at[~small[at]]
+    return needed
+
+
+def suffix_array(x: np.ndarray, words: np.ndarray, wanted: np.ndarray | None = None, most: int = 1 << 62) -> np.ndarray:
+    """Wanted places of x (all, if not told) in the order of the first `most` bytes of their suffixes.
+
+    x ends in a separator; separators (0) differ, the earlier the smaller; words is `words_at(x)`. Only what the wanted places are induced from is
+    sorted along with them.
+    """
     small = smaller_than_next(x)
-    words = words_at(x)
-    seps = np.flatnonzero(x == 0)
-    direct = sort_directly(x, np.flatnonzero(small & (x > 0)), words)
+    needed = np.ones(len(x), bool) if wanted is None else closure(wanted, small)
+    seps = np.flatnonzero((x == 0) & needed)
+    direct = sort_directly(x, np.flatnonzero(small & (x > 0) & needed), words, most)
     firsts = x[direct]
     bounds = np.searchsorted(firsts, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -189,7 +206,7 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
         rounds = [queue]
         while len(queue):  # a run of one byte induces its own bucket
             before = queue[queue > 0] - 1
-            queue = before[(x[before] == c) & ~small[before]]
+            queue = before[(x[before] == c) & ~small[before] & needed[before]]
             rounds.append(queue)
         bucket = np.concatenate([*rounds, own])
         induced[c] = []
@@ -197,7 +214,7 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[(x[before] > c) & ~small[before]]
+        before = before[(x[before] > c) & ~small[before] & needed[before]]
         if len(before):
             byte = x[before]
             by = np.argsort(byte, kind="stable")
@@ -205,7 +222,8 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
             cuts = np.flatnonzero(np.diff(byte)) + 1
             for part in np.split(before, cuts):
                 induced[x[part[0]]].append(part)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    order = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return order if wanted is None else order[wanted[order]]
 
 
 def common_prefixes(x: np.ndarray, order: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
@@ -234,8 +252,16 @@ def later_windows(pieces: list[bytes], span: int) -> list[np.ndarray]:
     begin = np.concatenate([[0], np.cumsum(sizes)])
     # UTF-8 has no byte over 0xF4, so one can be added to make room for the separator.
     x = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8) + np.uint8(1)
-    order = suffix_array(x)
-    equal = common_prefixes(x, order, words_at(x), span) >= span
+    # Only starts of whole windows are sorted; the bytes behind them are there to be compared.
+    whole = np.zeros(len(x) + 1, np.int32)
+    full = sizes > span
+    whole[begin[:-1][full]] += 1
+    whole[begin[1:][full] - span] -= 1
+    words = words_at(x)
+    order = suffix_array(x, words, np.cumsum(whole)[: len(x)] > 0, span)
+    if not len(order):
+        return [order] * len(pieces)
+    equal = common_prefixes(x, order, words, span) >= span
     # In each run of equal windows the smallest place comes first in the corpus.
     group = np.cumsum(~equal) - 1
     firsts = np.minimum.reduceat(order, np.flatnonzero(~equal))
