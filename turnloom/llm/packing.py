@@ -34,6 +34,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ranked = self._ranked(json.loads(self.tokenizer.to_str()))
+        if self.ranked:
+            self.tokenizer = None  # a worker holds one copy of the vocabulary
 
     @staticmethod
     def _ranked(file: dict) -> tiktoken.Encoding | None:
