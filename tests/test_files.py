@@ -64,7 +64,7 @@ def test_read_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_bytes("ä\r\nb\n\nlast".encode())
     (tmp_path / "empty.jsonl").write_bytes(b"")
     files = fl.list_files(spark, f"{tmp_path}/*.jsonl")
-    assert {os.path.basename(r.path): r.file_size for r in files.collect()} == {"a.jsonl": 11}
+    assert {os.path.basename(r.path): r.file_size for r in files.collect()} == {"a.jsonl": 11, "empty.jsonl": 0}
     cursors = spark.createDataFrame([], "path string, cursor string, legacy_offset bigint")
     lines = fl.read_lines(fl.with_cursors(files, cursors), 3).orderBy("byte_offset").collect()
     assert [(r.byte_offset, r.line, r.terminated) for r in lines] == [
