@@ -90,6 +90,30 @@ def test_span_dedup(as_docs, corpus):
     assert sum(len(r[1]) for r in got.values()) > 50
 
 
+PASSAGE = [f"p{i}" for i in range(51)]
+PASSAGES = {
+    "two sentences": " ".join(PASSAGE[:20]) + ". " + " ".join(PASSAGE[20:]) + ".",
+    "one sentence": " ".join(PASSAGE) + "!",
+    "a short sentence last": " ".join(PASSAGE[:48]) + ". " + " ".join(PASSAGE[48:]) + "?",
+    "a short sentence first": " ".join(PASSAGE[:3]) + ". " + " ".join(PASSAGE[3:]) + ".",
+    "quoted": '"' + " ".join(PASSAGE[:25]) + '." (' + " ".join(PASSAGE[25:40]) + "!) \u00ab" + " ".join(PASSAGE[40:]) + ".\u00bb",
+    "a list": "\n".join(" ".join(PASSAGE[i : i + 17]) for i in (0, 17, 34)),
+}
+
+
+@pytest.mark.parametrize("name", list(PASSAGES))
+def test_span_dedup_removes_planted_passages_whole(as_docs, name):
+    first = f"Begin here one.\n{PASSAGES[name]}\nEnd one."
+    later = f'He said "two." Other words.\n{PASSAGES[name]}\nThen two ends.'
+    got = rows(span_dedup.span_dedup(as_docs({1: first, 2: later}), whole=True), "text")
+    assert got == {1: (first,), 2: ('He said "two." Other words.\nThen two ends.',)}
+
+
+def test_span_dedup_removes_copies_of_short_texts_whole(as_docs):
+    docs = {1: "Only few words.", 2: "only  FEW words.", 3: "Only few words. More.", 4: "a " * 40, 5: "a " * 40, 6: " ", 7: None}
+    assert rows(span_dedup.span_dedup(as_docs(docs), whole=True), "n_removed") == {1: (0,), 2: (1,), 3: (0,), 4: (0,), 5: (1,), 6: (0,), 7: (0,)}
+
+
 def test_clashing_columns_null_ids_and_repeated_rows(spark, as_docs, corpus):
     """Extra columns named like results, rows without id, rows that come twice: defined results, no crash."""
     docs = {d: corpus[d] for d in (1, 2, 3, 60, 61, 100, 101, 110, 130, 131, 136)}

@@ -17,26 +17,54 @@ MIN_WORDS = 12
 RUNS = "h1 long, h2 long, doc_id long, variant long, first long, size long, settled boolean"
 _END = np.zeros(256, bool)
 _END[[0x21, 0x2E, 0x3F]] = True
-
-
-def sentence_starts(t: flat.Texts, w: flat.Words) -> np.ndarray:
-    """The words that begin a sentence: the first of a text, one behind a line feed, one behind a word that ends in . ! or ?"""
+#: Closing quotes and brackets: of one byte, and in UTF-8 the right-hand quotes and guillemets.
+_CLOSES = np.zeros(256, bool)
+_CLOSES[[0x22, 0x27, 0x29, 0x5D, 0x7D]] = True
+_WIDE = ["\u2019".encode(), "\u201d".encode(), "\u203a".encode(), "\u00bb".encode()]
+
+
+def _last_bytes(t: flat.Texts, w: flat.Words) -> np.ndarray:
+    """The place of each word's last byte before its closing quotes and brackets."""
+    last, open_ = w.ends - 1, np.arange(len(w.ends))
+    while len(open_):
+        at, low = last[open_], w.starts[open_]
+        step = np.where(_CLOSES[t.data[at]], 1, 0)
+        for mark in _WIDE:
+            k = len(mark)
+            fits = at - k >= low
+            for i, b in enumerate(mark):
+                fits &= t.data[np.maximum(0, at - k + 1 + i)] == b
+            step[fits] = k
+        step[at - step < low] = 0
+        last[open_] = at - step
+        open_ = open_[step > 0]
+    return last
+
+
+def sentence_starts(t: flat.Texts, w: flat.Words, closers: bool = False) -> np.ndarray:
+    """The words that begin a sentence: the first of a text, one behind a line feed, one behind a word that ends in . ! or ?
+
+    With `closers`, quotes and brackets may close behind these signs.
+    """
     n = len(w.starts)
     begins = np.zeros(n, bool)
     if n:
         feeds = np.concatenate([[0], np.cumsum(t.data == 0x0A)])
         begins[w.first[:-1][np.diff(w.first) > 0]] = True
-        begins[1:] |= _END[t.data[w.ends[:-1] - 1]] | (feeds[w.starts[1:]] > feeds[w.ends[:-1]])
+        last = _last_bytes(t, w) if closers else w.ends - 1
+        begins[1:] |= _END[t.data[last[:-1]]] | (feeds[w.starts[1:]] > feeds[w.ends[:-1]])
     return np.flatnonzero(begins)
 
 
-def runs(t: flat.Texts, sentences: int, min_words: int) -> tuple[np.ndarray, ...]:
+def runs(t: flat.Texts, sentences: int, min_words: int, whole: bool = False) -> tuple[np.ndarray, ...]:
     """(text, first sentence, sentences, hash, second hash) of the run that begins at each sentence.
 
     A run has at least `sentences` sentences and at least `min_words` words; a text too short for that has none.
+    With `whole` there is the shortest run of `min_words` words from each sentence on and the shortest up to each sentence,
+    which together cover every stretch of that many words, and a text of fewer words is one run.
     """
     w = flat.words(t, flat.NOT_SPACE)
-    starts = sentence_starts(t, w)
+    starts = sentence_starts(t, w, whole)
     n_texts = len(t.starts) - 1
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, flat.U),) * 2
@@ -45,9 +73,17 @@ def runs(t: flat.Texts, sentences: int, min_words: int) -> tuple[np.ndarray, ...
     bound = np.searchsorted(text, np.arange(n_texts + 1))  # a text's sentences are bound[i]:bound[i + 1]
     at = np.arange(len(starts))
     enough = np.searchsorted(ends, starts + min_words)
-    last = np.maximum(at + sentences - 1, enough)
-    ok = last < bound[text + 1]
-    at, last = at[ok], last[ok]
+    if whole:
+        back = np.searchsorted(starts, ends - min_words, side="right") - 1
+        ok, ok_back = enough < bound[text + 1], back >= bound[text]
+        first_word = np.append(starts, len(w.starts))[bound]
+        short = np.flatnonzero((np.diff(bound) > 0) & (np.diff(first_word) < min_words))
+        pairs = np.concatenate([np.stack([at[ok], enough[ok]]), np.stack([back[ok_back], at[ok_back]]), np.stack([bound[short], bound[short + 1] - 1])], axis=1)
+        at, last = np.unique(pairs, axis=1)
+    else:
+        last = np.maximum(at + sentences - 1, enough)
+        ok = last < bound[text + 1]
+        at, last = at[ok], last[ok]
     h = flat.word_hashes(t, w)
     out = []
     for seed in (flat.U(0), flat.U(0xC2B2AE3D27D4EB4F)):
@@ -58,7 +94,7 @@ def runs(t: flat.Texts, sentences: int, min_words: int) -> tuple[np.ndarray, ...
     return text[at], at - bound[text[at]], last - at + 1, out[0], out[1]
 
 
-def hashed_runs(docs: DataFrame, sentences: int, min_words: int) -> DataFrame:
+def hashed_runs(docs: DataFrame, sentences: int, min_words: int, whole: bool = False) -> DataFrame:
     """All runs. One that its batch shows to be a repeat is settled there and spread by a hash of its place, so that a hash
     meets once a batch, however often it stands in the corpus."""
 
@@ -67,7 +103,7 @@ def hashed_runs(docs: DataFrame, sentences: int, min_words: int) -> DataFrame:
             ids, variants = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             parts = []
             for rows in flat.blocks(batch.column(2)):
-                owner, *rest = runs(flat.texts(batch.column(2), rows, lower=True), sentences, min_words)
+                owner, *rest = runs(flat.texts(batch.column(2), rows, lower=True), sentences, min_words, whole)
                 parts.append((ids[rows][owner], variants[rows][owner], *rest))
             if not parts:
                 continue
@@ -85,7 +121,7 @@ def hashed_runs(docs: DataFrame, sentences: int, min_words: int) -> DataFrame:
     return docs.mapInArrow(cut, RUNS)
 
 
-def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_removed, text (without the repeated sentences), removed (their places).
 
     A sentence ends behind . ! or ? at a word's end, and at a line feed; it takes the white space behind it along. A run
@@ -94,10 +130,14 @@ def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN
     sentence of a repeat goes. Null and empty texts have no sentence; texts too short for a run keep all. A null doc_id
     sorts last and comes back null; rows that share doc_id and text are one document, so one is no repeat of the other, and
     both lose the same sentences; other texts of a doc_id stand behind each other. Other columns are not looked at.
+
+    With `whole`, `sentences` is not looked at: each repeated stretch of whole sentences goes that has `min_words` words
+    or more, be it a single sentence, and so does a repeated text of fewer words. Quotes and brackets may close behind
+    . ! or ?. What a repeated passage holds of a sentence that is cut off at its edge stays.
     """
     own = identified(docs).select("doc_id", "variant", F.coalesce("text", F.lit("")).alias("text"))
     place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "variant", "first"))
-    repeats = hashed_runs(own, sentences, min_words).withColumn("place", place).filter("settled or place > 1")
+    repeats = hashed_runs(own, sentences, min_words, whole).withColumn("place", place).filter("settled or place > 1")
     per_doc = repeats.groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(F.collect_set(F.struct("first", "size")).alias("runs"))
     same = (F.col("doc_id") == F.col("_doc")) & (F.col("variant") == F.col("_variant"))
     joined = own.join(per_doc, same, "left").select(id_or_null(), "text", "runs")
@@ -109,7 +149,7 @@ def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN
             for rows in flat.blocks(batch.column(1)):
                 t = flat.texts(batch.column(1), rows, lower=False)
                 w = flat.words(t, flat.NOT_SPACE)
-                starts = sentence_starts(t, w)
+                starts = sentence_starts(t, w, whole)
                 bound = np.searchsorted(starts, w.first)
                 for d in range(len(t.starts) - 1):
                     raw = t.data[t.starts[d] : t.starts[d + 1] - 1]
