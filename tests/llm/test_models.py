@@ -4,10 +4,11 @@ import itertools
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.llm import quality_model, supervised, toxic_spans
+from turnloom.llm import flat, quality_model, supervised, toxic_spans
 
 SF = "/root/testdata/sf0.1"
 LABELS = "doc_id long, quality int, toxic int"
@@ -138,3 +139,34 @@ def test_context_sums_equal_a_loop(as_docs, corpus):
                 if j != i:
                     np.add.at(want[w], dims[place[j]], signs[place[j]])
     assert np.array_equal(got, want)
+
+
+def test_every_word_has_its_own_sums(as_docs):
+    """Far more words than places: no two share a sum, and none is clipped."""
+    docs = {d: " ".join(f"x{d}y{9000 * d + i}" for i in range(9000)) for d in range(3)} | {3: "on off " * 4000}
+    got = {r["key"]: quality_model._unpacked(pa.array([r["sums"]], pa.binary()))[0] for r in quality_model.word_sums(as_docs(docs)).collect()}
+    dims, signs = quality_model.index_vectors()
+    want = {}
+    for text in docs.values():
+        key, place, _ = quality_model.keyed(pa.array([text], pa.string()), slice(0, 1))
+        for i, k in enumerate(flat.signed(key).tolist()):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(key):
+                    np.add.at(want.setdefault(k, np.zeros(quality_model.DIM)), dims[place[j]], signs[place[j]])
+    assert len(want) > quality_model.PLACES * quality_model.SHAPES and set(got) == set(want)
+    assert all(np.array_equal(got[k], want[k]) for k in want)
+
+
+def test_sums_beyond_32_bits_are_packed_whole():
+    sums = np.array([[0] * 32, [127] * 32, [-128] + [0] * 31, [2**15] * 32, [-(2**31)] * 32, [2**40] * 32])
+    assert np.array_equal(quality_model._unpacked(pa.array(quality_model._packed(sums).tolist(), pa.binary())), sums)
+
+
+def test_long_text_of_different_words_does_not_look_repetitive(as_docs):
+    docs = as_docs({1: " ".join(f"a{chr(97 + i % 26)}{'bcdfg'[i % 5]}" + "xyzuvw"[i % 6] * (i // 40) for i in range(6000)), 2: "a a a a", 3: None})
+    words = quality_model.word_sums(docs)
+    sums, common = quality_model.summary(words)
+    found = quality_model.pooled(quality_model.hashed(docs), words, common, quality_model._centred(sums, common))
+    got = {r["doc_id"]: r["x"] for r in quality_model.hashed(docs).join(found, ["_h1", "_h2"]).collect()}
+    n = len(set(docs.filter("doc_id = 1").first()["text"].split()))
+    assert np.isclose(got[1][-2], n / 6000) and got[2][-2] == 0.25 and got[3][-2] == 0 and set(got) == {1, 2, 3}

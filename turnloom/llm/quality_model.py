@@ -1,4 +1,4 @@
-"""Quality classifier: random-indexing word vectors, pooled per document, into a two-layer network with calibrated scores."""
+"""Quality classifier: random-indexing vectors of all words, pooled per document, into a two-layer network with calibrated scores."""
 
 from __future__ import annotations
 
@@ -8,22 +8,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnloom.llm import flat
 from turnloom.llm.scratch import bounded, write
 from turnloom.llm.supervised import adam, fold, labelled_sample, sigmoid
 
-#: Words fall into six shapes (lower, Title, UPPER, mixed, digits, signs), each with this many places for its words.
+#: Words fall into six shapes (lower, Title, UPPER, mixed, digits, signs). Their index vectors are drawn from a place, of which
+#: each shape has this many; what a word learns is its own.
 PLACES = 2048
 SHAPES = 6
 DIM = 32
 NONZERO = 4
 #: Neighbours on either side that a word learns from.
 REACH = 2
+#: Words that one step counts together.
+SLICE = 1 << 21
+#: Up to so many neighbours are kept as their places, which takes less room than their sum.
+LISTED = 12
+#: The mean of unit vectors is taken over integers, so that it is the same whatever the order.
+UNIT = 1 << 24
+SUMS = [f"s{i}" for i in range(DIM)]
+UNITS = [f"u{i}" for i in range(DIM)]
 
 # Classes of bytes: 0 white space and control characters, 1 letters (everything beyond ASCII is one), 2 digits, 3 signs.
 _CLASS = np.full(256, 3, np.int8)
@@ -34,13 +43,15 @@ _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _UPPER = np.zeros(256, np.int64)
 _UPPER[0x41:0x5B] = 1
 
-SCORE = T.DoubleType()
-
 
 @dataclass
 class Model:
-    #: One vector for each place of a word, unit length; zero where no word was seen.
-    vectors: np.ndarray
+    #: (key, sums): what each word of the fitted documents learned, see `word_sums`.
+    words: DataFrame
+    #: What the unit vectors of all words have in common.
+    common: np.ndarray
+    #: One vector for each place, for words that the fitted documents don't hold.
+    places: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     #: Weights and biases of both layers.
@@ -48,8 +59,8 @@ class Model:
     temperature: float
 
 
-def places(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:
-    """The place of every word of the texts (runs of bytes of one class), and where each text's words begin."""
+def keyed(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key and place of every word of the texts (runs of bytes of one class), and where each text's words begin."""
     t = flat.texts(column, rows, lower=False)
     kind = _CLASS[t.data]
     edge = np.flatnonzero(np.diff(kind, prepend=0))
@@ -62,7 +73,28 @@ def places(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:
     shape = np.select([of == 2, of == 3, n_upper == 0, n_upper == ends - starts, (n_upper == 1) & (first_upper == 1)], [4, 5, 0, 2, 1], 3)
     lowered = flat.prefix_hash(flat.LOWER[t.data])
     h = flat.range_hash(lowered, starts, ends)
-    return shape * PLACES + (h % flat.U(PLACES)).astype(np.int64), np.searchsorted(starts, t.starts)
+    key = h << flat.U(3) | shape.astype(flat.U)
+    return key, place_of(key), np.searchsorted(starts, t.starts)
+
+
+def place_of(key: np.ndarray) -> np.ndarray:
+    """A key holds 61 bits of the word's hash and 3 of its shape."""
+    key = key.astype(flat.U)
+    return ((key & flat.U(7)) * flat.U(PLACES) + (key >> flat.U(3)) % flat.U(PLACES)).astype(np.int64)
+
+
+def places(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every word of the texts, and where each text's words begin."""
+    return keyed(column, rows)[1:]
+
+
+def batch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, place and text of every word of a batch."""
+    parts = [(np.zeros(0, flat.U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for rows in flat.blocks(column):
+        key, place, first = keyed(column, rows)
+        parts.append((key, place, rows.start + np.repeat(np.arange(len(first) - 1), np.diff(first))))
+    return tuple(np.concatenate(p) for p in zip(*parts))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -72,74 +104,219 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (h % flat.U(DIM)).astype(np.int64), np.where((h >> flat.U(40)) & flat.U(1), 1.0, -1.0)
 
 
-def context_sums(docs: DataFrame) -> np.ndarray:
-    """Sum, over all words of all documents, of the index vectors of their neighbours: [places, DIM].
+def word_sums(docs: DataFrame) -> DataFrame:
+    """(key, sums): for each word the sum, over all its places in all documents, of its neighbours' index vectors.
 
-    Every partition adds up its own table, whose size does not depend on the data, and tables are added in rounds: each
-    round streams about the square root of their number through a task.
+    Batches add up their own words, so that a hash meets once a batch, and sorted keys are added in 64 bits as they stream
+    through a task: nothing is bounded but by the number of words. `sums` are packed, see `_unpacked`.
     """
-    shape = (SHAPES * PLACES, DIM)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dims, signs = index_vectors()
-        total = np.zeros(shape[0] * DIM)
         for batch in batches:
-            for rows in flat.blocks(batch.column(0)):
-                place, first = places(batch.column(0), rows)
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for d in range(1, REACH + 1):
-                    same = np.flatnonzero(doc[d:] == doc[:-d])
-                    a, b = place[same], place[same + d]
-                    for k in range(NONZERO):
-                        for x, y in ((a, b), (b, a)):
-                            total += np.bincount(x * DIM + dims[y, k], signs[y, k], len(total))
-        yield _table(total)
+            key, place, doc = batch_words(batch.column(0))
+            for at in range(0, len(key), SLICE):
+                yield _sums_of(key, place, doc, np.arange(at, min(len(key), at + SLICE)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape[0] * DIM)
+        held = None
         for batch in batches:
-            for b in batch.column(1):
-                total += np.frombuffer(b.as_buffer(), np.int32)
-        yield _table(total)
+            if batch.num_rows:
+                key, sums = batch.column(0), batch.column(1)
+                if held is not None:
+                    key, sums = (pa.concat_arrays([h, c]) for h, c in zip(held, (key, sums)))
+                key, sums = _added(key.to_numpy(), sums)
+                held = key[-1:], sums[-1:]
+                yield pa.RecordBatch.from_arrays([key[:-1], sums[:-1]], ["key", "sums"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(list(held), ["key", "sums"])
+
+    schema = "key long, sums binary"
+    bounded(docs.sparkSession)
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(gather, schema)
+    return write(found.repartition("key").sortWithinPartitions("key").mapInArrow(add, schema), "word-sums")[0]
+
+
+def _sums_of(key: np.ndarray, place: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """(key, sums) of the words at `at`."""
+    near = np.full((len(at), 2 * REACH), -1)
+    for i, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
+        to = np.clip(at + d, 0, len(key) - 1)
+        near[:, i] = np.where((to == at + d) & (doc[to] == doc[at]), place[to], -1)
+    own, local, times = np.unique(key[at], return_inverse=True, return_counts=True)
+    few = times * 2 * REACH <= LISTED
+    often = np.flatnonzero(~few)
+    sums = np.empty(len(own), object)
+    token = np.flatnonzero(few[local])
+    token = token[np.argsort(local[token], kind="stable")]
+    there = near[token] >= 0
+    data = near[token][there].astype(np.uint16).tobytes()
+    ends = 2 * np.cumsum(np.bincount(local[token], there.sum(1), len(own)).astype(np.int64))[few]
+    sums[few] = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    row = np.zeros(len(own), np.int64)
+    row[often] = np.arange(len(often))
+    token = np.flatnonzero(~few[local])
+    row, near = np.repeat(row[local[token]], 2 * REACH), near[token].reshape(-1)
+    sums[often] = _packed(_index_sums(row[near >= 0], near[near >= 0], len(often)))
+    return pa.RecordBatch.from_arrays([pa.array(flat.signed(own)), pa.array(sums.tolist(), pa.binary())], ["key", "sums"])
+
+
+def _index_sums(row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the index vectors of places, by row."""
+    dims, signs = index_vectors()
+    out = np.zeros(n * DIM)
+    for k in range(NONZERO):
+        out += np.bincount(row * DIM + dims[place, k], signs[place, k], n * DIM)
+    return out.reshape(n, DIM).astype(np.int64)
+
+
+def _added(key: np.ndarray, sums: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """One row for each of the sorted keys."""
+    first = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
+    group = np.repeat(np.arange(len(first)), np.diff(first, append=len(key)))
+    rows, size = sums.to_pylist(), pc.binary_length(sums).to_numpy()
+    single = np.diff(first, append=len(key)) == 1
+    whole = np.add.reduceat(size, first)
+    listed = (np.maximum.reduceat(size, first) <= 2 * LISTED) & (whole <= 2 * LISTED)
+    data, ends = b"".join(rows), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    low, high = ends[first], ends[np.append(first[1:], len(key))]
+    out = np.empty(len(first), object)
+    same = single | listed
+    out[same] = [data[a:b] for a, b in zip(low[same].tolist(), high[same].tolist())]
+    at = np.flatnonzero(~same[group])
+    if len(at):
+        start = np.flatnonzero(np.diff(group[at], prepend=-1))
+        out[~same] = _packed(np.add.reduceat(_unpacked(sums.take(pa.array(at))), start))
+    return pa.array(key[first]), pa.array(out.tolist(), pa.binary())
+
+
+def _packed(sums: np.ndarray) -> np.ndarray:
+    """Each row as the narrowest integers that hold it; its length tells their width."""
+    high = np.abs(sums).max(1) if len(sums) else np.zeros(0, np.int64)
+    out = np.empty(len(sums), object)
+    for width, low in ((8, 2**31 - 1), (4, 2**15 - 1), (2, 127), (1, -1)):
+        at = np.flatnonzero((high > low) & (high <= 2 ** (8 * width - 1) - 1))
+        raw = sums[at].astype(f"i{width}").tobytes()
+        out[at] = [raw[i : i + width * DIM] for i in range(0, len(raw), width * DIM)]
+    return out
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Sums of each row, be they packed or listed as at most LISTED places of two bytes; a null is a row of zeros."""
+    rows, out = column.to_pylist(), np.zeros((len(column), DIM), np.int64)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for width in (1, 2, 4, 8):
+        at = np.flatnonzero(size == width * DIM)
+        out[at] = np.frombuffer(b"".join([rows[i] for i in at.tolist()]), f"i{width}").reshape(-1, DIM)
+    at = np.flatnonzero((size > 0) & (size <= 2 * LISTED))
+    place = np.frombuffer(b"".join([rows[i] for i in at.tolist()]), np.uint16).astype(np.int64)
+    out[at] = _index_sums(np.repeat(np.arange(len(at)), size[at] // 2), place, len(at))
+    return out
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
+
+
+def _centred(sums: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Vectors of unit length. Common words say little: what all vectors have in common is taken off. Zeros stay zeros."""
+    v = _unit(sums)
+    return _unit(np.where(np.abs(v).sum(1, keepdims=True) > 0, v - common, 0))
+
+
+def summary(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the words of each place, [places, DIM], and the mean of the words' unit vectors."""
+    names = [*SUMS, *UNITS, "n"]
 
-    schema = "k long, sums binary"
-    tables, _ = write(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(gather, schema), "context-sums")
-    n = tables.count()
-    while n > 8:
-        n = math.isqrt(n - 1) + 1
-        tables, _ = write(tables.repartition(n).mapInArrow(add, schema), "context-sums")
-    # At most eight tables of one fixed size.
-    return sum((np.frombuffer(r["sums"], np.int32).astype(float) for r in tables.collect()), np.zeros(shape[0] * DIM)).reshape(shape)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SHAPES * PLACES, 2 * DIM + 1), np.int64)
+        for batch in batches:
+            place, sums = place_of(batch.column(0).to_numpy()), _unpacked(batch.column(1))
+            units = np.rint(_unit(sums) * UNIT).astype(np.int64)
+            np.add.at(total, place, np.column_stack([sums, units, (sums != 0).any(1)]))
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c) for c in total[at].T.copy())], ["place", *names])
+
+    schema = ", ".join(["place int", *(f"{c} long" for c in names)])
+    rows = words.select("key", "sums").mapInArrow(gather, schema).groupBy("place").agg(*(F.sum(c).alias(c) for c in names)).collect()  # one for each place
+    total = np.zeros((SHAPES * PLACES, 2 * DIM + 1), np.int64)
+    for r in rows:
+        total[r[0]] = r[1:]
+    return total[:, :DIM].astype(float), total[:, DIM:-1].sum(0) / UNIT / max(1, total[:, -1].sum())
 
 
-def _table(total: np.ndarray) -> pa.RecordBatch:
-    context = TaskContext.get()
-    sums = np.clip(total, -(2**31) + 1, 2**31 - 1).astype(np.int32).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([context.partitionId() if context else 0]), pa.array([sums], pa.binary())], ["k", "sums"])
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """Sum, over all words of all documents, of the index vectors of their neighbours: [places, DIM]."""
+    return summary(word_sums(docs))[0]
 
 
-def pooled(column: pa.Array, vectors: np.ndarray) -> Iterator[np.ndarray]:
-    """Features of every text: mean and spread of its words' vectors, shares of the shapes, and how often it repeats words."""
-    for rows in flat.blocks(column):
-        place, first = places(column, rows)
-        sizes = np.diff(first)
-        n = np.maximum(1, sizes)[:, None]
-        out = np.zeros((len(sizes), 2 * DIM + SHAPES + 2))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            v = vectors[place]
-            at = first[:-1][full]
-            mean = np.add.reduceat(v, at) / n[full]
-            square = np.add.reduceat(v * v, at) / n[full]
-            out[full, :DIM] = mean
-            out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(0, square - mean * mean))
-            shape = place // PLACES
-            for s in range(SHAPES):
-                out[full, 2 * DIM + s] = np.add.reduceat((shape == s).astype(float), at) / n[full, 0]
-            for d in full.tolist():
-                out[d, -2] = len(np.unique(place[first[d] : first[d + 1]])) / sizes[d]
-            out[full, -1] = np.log1p(sizes[full])
-        yield out
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of each text, by which what is found of it comes back."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
+
+
+def pooled(texts: DataFrame, words: DataFrame, common: np.ndarray, backoff: np.ndarray) -> DataFrame:
+    """(_h1, _h2, x) for each text: mean and spread of the words' vectors, shares of the shapes, how often words repeat, length.
+
+    A batch asks once for each of its words, so that a hash meets once a batch; the answers meet by batch. A word that is
+    not among `words` has its place's vector in `backoff`.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((common, backoff))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        for k, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            ids, first = np.unique(np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1), axis=0, return_index=True)
+            n = len(ids)
+            key, _, doc = batch_words(batch.column(2).take(pa.array(first)))
+            own, local = np.unique(key, return_inverse=True)
+            pair, times = np.unique(local * n + doc, return_counts=True)
+            kind = np.uint16 if max(n, times.max(initial=0)) < 1 << 16 else np.uint32
+            data, size = np.stack([pair % n, times], axis=1).astype(kind).tobytes(), 2 * np.dtype(kind).itemsize
+            ends = (size * np.searchsorted(pair // n, np.arange(len(own) + 1))).tolist()
+            at = [data[a:b] for a, b in zip(ends, ends[1:])]
+            # One row tells the batch's texts and how wide the numbers in the others are.
+            name = (context.partitionId() if context else 0) << 32 | k
+            columns = [pa.array(np.full(len(own) + 1, name)), pa.array(np.append(name, flat.signed(own)))]
+            columns += [pa.array([bytes([size // 2]), *at], pa.binary()), pa.array([ids.tobytes(), *[None] * len(own)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["batch", "key", "at", "texts"])
+
+    def pool(table: pa.Table) -> pa.Table:
+        common, backoff = shared.value
+        head = table.filter(pc.is_valid(table.column("texts")))
+        ids = np.frombuffer(head.column("texts")[0].as_py(), np.int64).reshape(-1, 2)
+        kind = f"u{head.column('at')[0].as_py()[0]}"
+        table = table.filter(pc.is_null(table.column("texts"))).sort_by("key")
+        rows, sums = table.column("at").to_pylist(), pa.array(table.column("sums").to_pylist(), pa.binary())
+        place = place_of(table.column("key").to_numpy())
+        v = np.where(pc.is_null(sums).to_numpy(zero_copy_only=False)[:, None], backoff[place], _centred(_unpacked(sums), common))
+        pairs = np.frombuffer(b"".join(rows), kind).reshape(-1, 2).astype(np.int64)
+        doc, times = pairs[:, 0], pairs[:, 1].astype(float)
+        word = np.repeat(np.arange(len(place)), np.array([len(r) for r in rows], np.int64) // (2 * np.dtype(kind).itemsize))
+        n_docs = len(ids)
+        add = lambda w: np.bincount(doc, w, n_docs)
+        sizes = add(times)
+        n = np.maximum(1, sizes)
+        x = np.zeros((n_docs, 2 * DIM + SHAPES + 2))
+        for i in range(DIM):
+            of = v[:, i][word]
+            x[:, i] = add(times * of) / n
+            x[:, DIM + i] = np.sqrt(np.maximum(0, add(times * of * of) / n - x[:, i] ** 2))
+        shape = (place // PLACES)[word]
+        for i in range(SHAPES):
+            x[:, 2 * DIM + i] = add(times * (shape == i)) / n
+        x[:, -2] = np.bincount(doc, minlength=n_docs) / n
+        x[:, -1] = np.log1p(sizes)
+        return pa.table([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(list(x), pa.list_(pa.float64()))], ["_h1", "_h2", "x"])
+
+    bounded(texts.sparkSession)
+    own = texts.select("_h1", "_h2", F.col("text").cast("string").alias("text"))
+    asked = own.mapInArrow(ask, "batch long, key long, at binary, texts binary")
+    answers = asked.join(words, "key", "left")
+    found = answers.groupBy("batch").applyInArrow(pool, "_h1 long, _h2 long, x array<double>")
+    return found.dropDuplicates(["_h1", "_h2"])
 
 
 def _forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,57 +356,50 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
     Fold 1 sets the temperature, fold 0 is held out. Without labels of both classes every score is the share of good ones
     (0.5 if there is none).
     """
-    vectors = context_sums(docs)
-    vectors = vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    # Common words say little: what all vectors have in common is taken off.
-    seen = np.abs(vectors).sum(1) > 0
-    if seen.any():
-        vectors[seen] -= vectors[seen].mean(0)
-        vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    vectors = vectors.astype(np.float32)
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.concatenate([np.zeros((0, 2 * DIM + SHAPES + 2)), *pooled(batch.column(0), vectors)])
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "label", "fold"])
-
-    sample = labelled_sample(docs, labels, "quality", per_class).select("text", "label", "fold")
-    rows = sample.mapInArrow(featured, "x array<double>, label int, fold int").collect()  # 2 * per_class vectors at most
+    words = word_sums(docs)
+    sums, common = summary(words)
+    backoff = _centred(sums, common)
+    sample = hashed(labelled_sample(docs, labels, "quality", per_class).select("text", "label", "fold"))
+    found = pooled(sample, words, common, backoff)
+    rows = found.join(sample.drop("text"), ["_h1", "_h2"]).select("x", "label", "fold").collect()  # 2 * per_class vectors at most
     width = 2 * DIM + SHAPES + 2
     x = np.array([r["x"] for r in rows]).reshape(-1, width)
     y, of = np.array([r["label"] for r in rows], float), np.array([r["fold"] for r in rows])
-    order = np.lexsort((*x.T[:4], y))  # rows arrive in any order
+    order = np.lexsort((*x.T[::-1], of, y))  # rows arrive in any order
     x, y, of = x[order], y[order], of[order]
     counts = {r["quality"]: r["n"] for r in labels.filter(F.col("quality").isNotNull() & (fold() != 0)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
     learn = of > 1
     if not learn.any() or y[learn].min() == y[learn].max():
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         z = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
-        return Model(vectors, np.zeros(width), np.ones(width), [np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.array([z])], 1.0)
+        return Model(words, common, backoff, np.zeros(width), np.ones(width), [np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.array([z])], 1.0)
     mean, scale = x[learn].mean(0), x[learn].std(0) + 1e-6
     layers = fit_network((x[learn] - mean) / scale, y[learn])
     # The sample has the classes in other shares than the labels; the last bias takes them back.
     layers[3] = layers[3] + math.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))) - math.log(max(1, y[learn].sum()) / max(1, (1 - y[learn]).sum()))
     calibrate = of == 1
     z = _forward(layers, (x[calibrate] - mean) / scale)[1] if calibrate.any() else np.zeros(0)
-    return Model(vectors, mean, scale, layers, fit_temperature(z, y[calibrate]))
+    return Model(words, common, backoff, mean, scale, layers, fit_temperature(z, y[calibrate]))
 
 
 def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
     """docs with one more column: the calibrated probability that the document is good.
 
-    A null or empty text has no words and gets the score of zero vectors. Nothing is shuffled; the model's size is fixed by
-    its parameters. Rows that share a doc_id are scored each on its own.
+    A null or empty text has no words and gets the score of zero vectors. Words meet their vectors by their hash, texts are not
+    shuffled for it, and scores come back to the rows by two hashes of the text. Rows that share a
+    doc_id are scored each on its own.
     """
     bounded(docs.sparkSession)
-    at, names = docs.columns.index("text"), [*docs.columns, into]
-    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.mean, model.scale, model.layers, model.temperature))
+    rows = hashed(docs)
+    found = pooled(rows, model.words, model.common, model.places)
+    mean, scale, layers, temperature = model.mean, model.scale, model.layers, model.temperature
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
         for batch in batches:
-            x = np.concatenate([np.zeros((0, len(m.mean))), *pooled(batch.column(at), m.vectors)])
-            z = _forward(m.layers, (x - m.mean) / m.scale)[1] / m.temperature
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(z))], names)
+            x = np.array(batch.column(2).to_pylist()).reshape(-1, len(mean))
+            z = _forward(layers, (x - mean) / scale)[1] / temperature
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigmoid(z))], ["_h1", "_h2", "_score"])
 
-    return docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField(into, SCORE)]))
+    scores = found.mapInArrow(rate, "_h1 long, _h2 long, _score double")
+    named = rows.join(scores, ["_h1", "_h2"])
+    return named.select(*(F.col(c) for c in docs.columns), F.col("_score").alias(into))
