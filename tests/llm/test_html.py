@@ -42,6 +42,14 @@ CASES = {
     "comments": ("a<!-- <p>no --><!DOCTYPE x><![CDATA[b<c]]>", "ab<c"),
     "script text holds tags": ("<script>var t='</p>';</script>a", "a"),
     "attributes with angle brackets": ("<a title='x > y' href=\"a>b\">c</a>", "c"),
+    "rules for other media": ("<style>@media print { .article, nav {display:none} } @media (max-width: 9em) {p{display:none}}\n@supports (x:y) {@media screen {p{display:none}}} .z{display:none}</style><nav>a</nav><p class=article>b<p class=z>no", "a\n\nb"),
+    "rules for screens": ("<style><!-- @import 'a;{'; @media print, only screen{.x{display:none}} @layer l {.y{display:none}} b{content:'}'; /* } */ i:hover{x:y} display:none} --></style>a<i class=x>no</i><u class=y>no</u><b>no</b><s>b</s>", "ab"),
+    "rules cut off": ("<style>.x{display:none</style>a<b class=x>no</b>", "a"),
+    "options": ("<p>Pick <select><optgroup label=G><option>one<option>two</optgroup><option label=three>no</select> now", "Pick\nG\none\ntwo\nthree\nnow"),
+    "text area": ("a <textarea>\nx <b>\n  y</textarea>", "a x <b>\n  y"),
+    "formula": ("a <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math> b", "a x=1 b"),
+    "drawing": ("a<svg><title>no</title><defs><text>no</text></defs> no <g><text>b <tspan>c</tspan></text><path d=x /></g><foreignObject><p>d</p></foreignObject></svg>e", "a\nb c\n\nd\n\ne"),
+    "drawings left open": ("<svg/>a<svg><g><p>b</p><svg><path/></svg>c", "a\n\nb\n\nc"),
     "broken markup": ("</p></i>a < b <3 <", "a < b <3 <"),
     "cut off": ("<p>a<div class='x", "a"),
     "empty": ("", ""),
@@ -79,3 +87,11 @@ def test_extract(spark):
     assert got == [(0, None, "x", 1), (1, "t", "a\n\nb", 3), (1, "t", "a\n\nb", 3), (3, None, "", 0)]
     assert [r["n_lines"] for r in extract(pages.filter("page_id = 2")).collect()] == [None]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_title_of_a_drawing_is_not_the_page_title():
+    assert title(parse("<svg><title>no</title></svg><title>yes</title>")) == "yes"
+
+
+def test_deep_html_in_a_drawing():
+    assert text("<svg><foreignObject>" + "<div>" * 50_000 + "x") == "x"

@@ -17,14 +17,14 @@ from turnloom.llm.scratch import bounded
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
-HIDDEN = frozenset("head title meta link base script style template iframe noframes object audio video canvas svg math datalist select textarea area param".split())
+HIDDEN = frozenset("head title meta link base script style template iframe noframes object audio video canvas datalist area param".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table ul".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
 )
 #: Blocks that stand apart from their neighbours by an empty line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl pre blockquote table figure hr fieldset".split())
-CLOSES_P = BLOCK - frozenset("body html li dd dt legend optgroup summary".split()) | {"summary"}
+CLOSES_P = BLOCK - frozenset("body html li dd dt legend optgroup option summary".split()) | {"summary"}
 TABLE_PARTS = frozenset("caption colgroup thead tbody tfoot tr td th".split())
 CELLS = frozenset(("td", "th", "caption"))
 #: A start tag closes open elements of these kinds, looking up to the nearest element that bounds it.
@@ -39,10 +39,23 @@ ENDS = {
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([^\s/>]+)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[{};]|(?:[^{};\"'/\\<-]|\\.)+|.", re.S)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
+#: Elements of drawings and formulas that show nothing themselves, and those of drawings that hold HTML again.
+FOREIGN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter script style".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: A start tag of these ends a drawing or formula that is still open.
+LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
@@ -56,7 +69,11 @@ def parse(source: str) -> Node:
     open_ = [root]
     n_open: Counter[str] = Counter()  # by tag, so that deep nesting isn't searched for what is not there
 
+    edges: list[int] = []  # where drawings, formulas and HTML in them begin
+
     def pop_to(k: int) -> None:
+        while edges and edges[-1] >= k:
+            edges.pop()
         n_open.subtract(n.tag for n in open_[k:])
         del open_[k:]
 
@@ -71,7 +88,13 @@ def parse(source: str) -> Node:
                 return False
         return False
 
+    def foreign() -> int:
+        """The place of the drawing or formula whose content comes next, 0 if that is HTML."""
+        return edges[-1] if edges and open_[edges[-1]].tag in FOREIGN else 0
+
     def start(tag: str, attributes: dict[str, str]) -> None:
+        if tag in LEAVES and (k := foreign()):
+            pop_to(k)
         if tag in ENDS:
             kinds, bounds = ENDS[tag]
             while close(kinds, bounds):
@@ -86,6 +109,8 @@ def parse(source: str) -> Node:
         node = Node(tag, attributes)
         open_[-1].children.append(node)
         if tag not in VOID:
+            if tag in FOREIGN or tag in POINTS:
+                edges.append(len(open_))
             open_.append(node)
             n_open[tag] += 1
 
@@ -128,7 +153,9 @@ def parse(source: str) -> Node:
             for a in _ATTRIBUTE.finditer(body):
                 attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
             start(tag, attributes)
-            if tag in RAW:
+            if token.endswith("/>") and open_[-1].tag == tag and foreign():
+                pop_to(len(open_) - 1)
+            elif tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                 text(source[at : stop.start() if stop else size], decode=tag in ("title", "textarea"))
                 pop_to(len(open_) - 1)
@@ -143,13 +170,55 @@ def hiding_rules(root: Node) -> dict[str, str]:
     while todo:
         node = todo.pop()
         if node.tag == "style":
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)):
+            for selectors, body in style_rules("".join(c for c in node.children if isinstance(c, str))):
                 if found := _hides(body):
                     out |= {s.strip(): found for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
         todo += [c for c in node.children if isinstance(c, Node)]
     return out
 
 
+def style_rules(css: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on any screen; braces are matched.
+
+    Whether a block with conditions holds depends on the reader's device, so that its rules hide nothing.
+    """
+    out: list[tuple[str, str]] = []
+    head: list[str] = []
+    selectors, blocks = "", []  # the open braces: "always", "rule" or "never"
+    for m in _CSS.finditer(css):
+        token, inner = m.group(), blocks[-1] if blocks else "always"
+        if token.startswith("/*") or token in ("<!--", "-->"):
+            continue
+        if token == "{":
+            name = "".join(head).strip()
+            if inner == "always":
+                blocks.append("rule" if not name.startswith("@") else "always" if _always(name) else "never")
+                selectors, head = name, []
+            else:
+                blocks.append("never")
+                if inner == "rule":  # what stands before a nested rule is no declaration
+                    head = ["".join(head).rpartition(";")[0], ";"]
+        elif token == "}":
+            if inner == "rule":
+                out.append((selectors, "".join(head)))
+            if blocks:
+                blocks.pop()
+            if "rule" not in blocks:
+                head = []
+        elif token == ";" and inner == "always":
+            head = []
+        elif inner != "never":
+            head.append(token)
+    if "rule" in blocks:  # the end of a sheet closes what is open
+        out.append((selectors, "".join(head)))
+    return out
+
+
+def _always(name: str) -> bool:
+    kind, _, queries = re.sub(r"\s+", " ", name.lower()).partition(" ")
+    return kind == "@layer" or kind == "@media" and any(q.strip().removeprefix("only ").strip() in ("", "all", "screen") for q in queries.split(","))
+
+
 def _hides(style: str) -> str:
     style = re.sub(r"\s+", "", style.lower())
     if re.search(r"(^|;)display:none", style):
@@ -188,7 +257,8 @@ class Flow:
     def text(self, raw: str, pre: bool) -> None:
         if pre:
             first, *more = raw.replace("\r\n", "\n").split("\n")
-            self.word(first)
+            self.word((" " if self.space and self.line and first else "") + first)
+            self.space = False
             for x in more:
                 self.newline(force=True)
                 self.word(x)
@@ -271,33 +341,47 @@ def render(root: Node) -> str:
     """All visible text as lines. The tree is walked with a stack of its own, so nesting may be as deep as it likes."""
     rules = hiding_rules(root)
     flows, lists, tables = [Flow()], [], []
-    # (node or text, visible, preformatted, inside closed details); a node comes back as ("end", ...) when it is done.
-    todo: list[tuple] = [(c, True, False) for c in reversed(root.children)]
+    # (node or text, visible, preformatted, "svg" or "math" or "text" of a drawing); a node comes back as ("end", ...) when it is done.
+    todo: list[tuple] = [(c, True, False, "") for c in reversed(root.children)]
     while todo:
-        what, visible, pre = todo.pop()
+        what, visible, pre, inside = todo.pop()
         if isinstance(what, str):
-            if visible and not (tables and tables[-1][1] is None and not what.strip()):
+            if visible and inside != "svg" and not (tables and tables[-1][1] is None and not what.strip()):
                 flows[-1].text(what, pre)
             continue
         if isinstance(what, tuple):
-            _leave(what[1], flows, lists, tables)
+            if what[1].tag != "text" or inside == "text":
+                _leave(what[1], flows, lists, tables)
             continue
+        tag = what.tag
         shown = visibility(what, rules)
-        if shown == "none":
+        if shown == "none" or tag in FOREIGN["svg" if inside == "text" else inside or "svg"] and inside:
             continue
         visible = visible if not shown else shown == "visible"
-        tag = what.tag
+        if tag in FOREIGN:
+            inside = tag
+        elif tag == "foreignobject":
+            inside = ""
+        elif tag == "text" and inside == "svg":  # each text of a drawing has a place of its own
+            inside = "text"
+            flows[-1].block(1)
         if tag == "br":
             flows[-1].newline(force=True)
             continue
         if tag == "wbr":
             continue
         _enter(what, flows, lists, tables)
-        todo.append((("end", what), visible, pre))
+        todo.append((("end", what), visible, pre, inside))
         children = what.children
+        if tag == "option" and what.attributes.get("label"):
+            children = [what.attributes["label"]]
+        elif tag == "optgroup" and what.attributes.get("label"):
+            children = [what.attributes["label"], *children]
+        elif tag == "textarea":
+            children = [re.sub(r"\A\r?\n", "", "".join(children))]
         if tag == "details" and "open" not in what.attributes:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
-        todo += [(c, visible, pre or tag in ("pre", "listing")) for c in reversed(children)]
+        todo += [(c, visible, pre or tag in ("pre", "listing", "textarea"), inside) for c in reversed(children)]
     return "\n".join(flows[0].done())
 
 
@@ -328,7 +412,9 @@ def _enter(node: Node, flows: list[Flow], lists: list[list], tables: list[list])
 
 def _leave(node: Node, flows: list[Flow], lists: list[list], tables: list[list]) -> None:
     tag = node.tag
-    if tag == "table":
+    if tag == "text":
+        flows[-1].block(1)
+    elif tag == "table":
         loose, (rows, open_row) = flows.pop().done(), tables.pop()
         flows[-1].insert(loose, 2)
         flows[-1].insert(aligned(rows + ([open_row] if open_row else [])), 2)
@@ -370,7 +456,7 @@ def title(root: Node) -> str | None:
         node = todo.pop()
         if node.tag == "title":
             return _SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
-        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        todo += [c for c in reversed(node.children) if isinstance(c, Node) and c.tag not in FOREIGN]
     return None
 
 
@@ -379,8 +465,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text is what a reader sees: blocks on lines of their own, paragraphs, headings, lists and tables behind an empty line, list items
     behind "- " or their number and indented below, table cells padded to columns, preformatted text as it is. Hidden are
-    head, scripts, styles and the like, `hidden`, display:none (by style attribute, or by a rule for one tag, class or id),
-    visibility:hidden unless an inner element is visible, closed details and dialogs. A null page has a null text, an empty
+    head, scripts, styles and the like, `hidden`, display:none (by style attribute, or by a rule for one tag, class or id that holds
+    on any screen: blocks with conditions, as of @media print or (max-width: ...) or @supports, hide nothing),
+    visibility:hidden unless an inner element is visible, closed details and dialogs. Shown are all options of a list, each on a line, what a textarea
+    holds, formulas, and the texts of drawings, each on a line. A null page has a null text, an empty
     page an empty one; page_id and repeated rows are passed through; other columns are not looked at. Nothing is shuffled.
     """
 
