@@ -30,6 +30,29 @@ def test_jaccard_large_groups_are_cut_into_cells(as_docs, corpus):
     assert rows(jaccard_join.jaccard_classes(as_docs(corpus), common=4, block=3), "n_shingles", "component_id") == plain.jaccard_classes(corpus)
 
 
+@pytest.mark.parametrize("limits", [{}, {"common": 4, "block": 3}])
+def test_jaccard_links_are_all_links(as_docs, corpus, limits):
+    """Also those between texts that meet through a hub, each once, and those of equal sets."""
+    base = [f"q{i}" for i in range(200)]
+    docs = corpus | {1000 + k: " ".join(base[: 7 * k] + [f"r{k}"] + base[7 * k + 1 :]) for k in range(8)}
+    sets = {d: plain.shingles(t) for d, t in docs.items() if plain.shingles(t)}
+    want = {(a, b) for a in sets for b in sets if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= 80 * len(sets[a] | sets[b])}
+    links, members = jaccard_join.jaccard_links(as_docs(docs), **limits)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["rep"], []).append(r["doc_id"])
+    got = [(min(x, y), max(x, y)) for r in links.collect() for x in of[r["a"]] for y in of[r["b"]] if x < y or r["a"] != r["b"]]
+    assert sorted(got) == sorted(want) and sum(r["n_links"] for r in links.collect()) == len(want)
+    assert {(a, b) for a in range(1000, 1008) for b in range(a + 1, 1008)} <= want
+    assert sorted(d for ds in of.values() for d in ds) == sorted(sets)
+
+
+def test_jaccard_links_of_odd_tables(as_docs):
+    links, members = jaccard_join.jaccard_links(as_docs({1: None, 2: " ", 3: "one"}))
+    assert links.count() == 0 and [tuple(r) for r in members.collect()] == [(3, 3)]
+    assert all(x.count() == 0 for x in jaccard_join.jaccard_links(as_docs({1: "x"}).limit(0)))
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (303, 302), (302, 301), (301, 303)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
