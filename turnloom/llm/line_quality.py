@@ -1,6 +1,6 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Normalised lines are hashed and counted by distinct documents per host; lines above the limit are removed, and documents
+Normalised lines are hashed and counted by distinct texts per host; lines above the limit are removed, and documents
 that lose most of their text by that are rejected.
 """
 
@@ -54,8 +54,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int, share: float) -> DataFrame:
-    """(host, h): hashes of the lines in more than `min_docs` distinct documents of a host and more than `share` of its rows."""
-    # Documents are told apart by their text: copies of one document are one voter, and no line is frequent for them alone.
+    """(host, h): hashes of the lines in more than `min_docs` distinct texts of a host, and in more texts than `share` of its rows."""
+    # The method counts documents; as in the SQL, copies of one text are one voter here, so that no line is frequent for them
+    # alone, but all of them count among the rows.
     lines = docs.select("host", F.xxhash64("text").alias("content"), F.explode(F.array_distinct(_line_hashes(min_chars))).alias("h"))
     voters = lines.groupBy("host", "h", "content").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n"))
     sizes = docs.groupBy("host").agg(F.count("*").alias("rows"))
@@ -75,8 +76,8 @@ def line_quality(
     """One row per row of docs: doc_id, the base measures, base_failed, n_removed_lines, kept_chars, kept, text.
 
     Base: words `[^\\x20\\x09-\\x0D]+`; base_failed with under `min_words` words or over `most_repeated` percent of the words in
-    repeated 8-word windows. A line (stripped, A-Z lower-cased, at least `min_chars` code points) is removed if it stands in more than
-    `min_docs` distinct documents and more than `share` of the documents of its host. `kept` is false if base_failed, or
+    repeated 8-word windows. A line (stripped, A-Z lower-cased, at least `min_chars` code points) is removed if more than `min_docs`
+    distinct texts of its host hold it, and more of them than `share` of the host's rows (copies vote once, but are rows each). `kept` is false if base_failed, or
     if the lines that stay hold less than `least_kept` of the lines' characters. Null text: no words, failed. A null
     host is a host of its own; rows that share doc_id and text
     are judged alike; a null doc_id comes back null. `text` is the
