@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -152,3 +153,48 @@ def span_dedup(docs, least=3, min_words=12):
             text = text[: parts[i][1]] + text[parts[i][2] :]
         out[d] = (len(parts), sorted(gone), text)
     return out
+
+
+def merkle_leaf(row, text=None):
+    """row is (doc_id, text, lang, source, n_chars)."""
+    d, t, lang, source, n = row
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (d, source, lang, n, t if text is None else text)))
+
+
+def merkle_levels(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 16])) for i in range(0, len(levels[-1]), 16)])
+    return levels
+
+
+def merkle_path(levels, i):
+    out = []
+    for nodes in levels[:-1]:
+        a = i // 16 * 16
+        out.append(("".join(nodes[a:i]), "".join(nodes[i + 1 : a + 16])))
+        i //= 16
+    return out
+
+
+def merkle(rows):
+    """[(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)]"""
+    by = {}
+    for r in rows:
+        by.setdefault(r[3], []).append(r)
+    sources = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    for s in sources:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, merkle_leaf(r)))
+    trees = {s: merkle_levels([merkle_leaf(r) for r in by[s]]) for s in sources}
+    top = merkle_levels([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for i, r in enumerate(by[s]):
+            path = merkle_path(trees[s], i) + merkle_path(top, k)
+            leaf = merkle_leaf(r)
+            tampered = r[0] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            fold = merkle_leaf(r, r[1].translate(UPPER)) if tampered else leaf
+            for left, right in path:
+                fold = sha(left + fold + right)
+            out.append((r[0], leaf, trees[s][-1][0], top[-1][0], sha("".join(a + b for a, b in path)), fold, fold == top[-1][0]))
+    return out

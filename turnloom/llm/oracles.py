@@ -58,8 +58,63 @@ measures as (select q.doc_id, len(w)::bigint as n_words, length(array_to_string(
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
     not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and kept_chars >= 0.3 * line_chars as kept, n_removed_lines, kept_chars from measures"""
 
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar))::varchar || ':' || {value}::varchar, '-')"
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs {name}_0 … {name}_{levels} (tree, r, size, d) above {name}_0; a tree of one node stays as it is. {name}_root has each tree's root."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"{name}_{k + 1} as (select tree, r // 16 as r, (size + 15) // 16 as size, case when size = 1 then any_value(d) else sha256(string_agg(d, '' order by r)) end as d "
+            f"from {name}_{k} group by tree, r // 16, size)"
+        )
+    return ",\n".join([*out, f"{name}_root as (select tree, d from {name}_{levels})"])
+
+
+def _paths(name: str, levels: int) -> str:
+    """CTE {name}_path (tree, r, step, l, g): the siblings left and right of each leaf's ancestor at each level."""
+    steps = [
+        f"select a.tree, a.r, {k} as step, coalesce(string_agg(b.d, '' order by b.r) filter (b.r < a.r // {16**k}), '') as l, coalesce(string_agg(b.d, '' order by b.r) filter (b.r > a.r // {16**k}), '') as g "
+        f"from {name}_0 a join {name}_{k} b on b.tree = a.tree and b.r // 16 = a.r // {16 ** (k + 1)} where b.size > 1 group by a.tree, a.r"
+        for k in range(levels)
+    ]
+    return f"{name}_path as ({' union all '.join(steps)})"
+
+
+#: crc32 of a text, bit by bit.
+CRC32 = (
+    "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::ubigint), lambda crc, b: "
+    "list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384::ubigint * (x & 1))), 4294967295::ubigint), 4294967295::ubigint)"
+)
+#: Levels that suffice for 16**8 rows of a source, and as many sources.
+LEVELS = 8
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+MERKLE = f"""
+md as (select *, coalesce('s' || source, '') as tree, sha256({_LEAF} || {_field("text")}) as d,
+        sha256({_LEAF} || {_field(LOWER.format("text"))}) as lowered, {CRC32.format("doc_id::varchar")} % 5 = 0 as hit from documents),
+m_leaf as (select *, row_number() over (partition by tree order by doc_id nulls first, d) - 1 as r, count(*) over (partition by tree) as size from md),
+m_0 as (select tree, r, size, d from m_leaf),
+{_tree("m", LEVELS)},
+t_0 as (select '' as tree, row_number() over (order by encode(tree)) - 1 as r, count(*) over () as size, d, tree as of from m_root),
+{_tree("t", LEVELS)},
+{_paths("m", LEVELS)},
+{_paths("t", LEVELS)},
+m_way as (select l.tree, l.r, list({{'l': p.l, 'g': p.g}} order by p.step) filter (p.step is not null) as way from m_0 l left join m_path p on p.tree = l.tree and p.r = l.r group by l.tree, l.r),
+t_way as (select t.of as tree, list({{'l': p.l, 'g': p.g}} order by p.step) filter (p.step is not null) as way from t_0 t left join t_path p on p.r = t.r group by t.of),
+m_all as (select l.doc_id, l.d as leaf, s.d as subroot, t_root.d as root, list_concat(coalesce(m_way.way, []), coalesce(t_way.way, [])) as way,
+        case when l.hit and l.text is not null then l.lowered else l.d end as own
+        from m_leaf l join m_way on m_way.tree = l.tree and m_way.r = l.r join t_way on t_way.tree = l.tree join m_root s on s.tree = l.tree cross join t_root),
+m_out as (select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s.l || s.g), '')) as proof_sha256,
+        list_reduce(way, lambda acc, s: sha256(s.l || acc || s.g), own) as folded_root from m_all)
+select *, folded_root = root as verified from m_out"""
+
 SQL = {
     "op4_quality_rules": f"with {QUALITY}",
+    "op12_merkle_dataset_manifest": f"with {MERKLE}",
     "op2_ngram_jaccard_join": f"with recursive {JACCARD.format(docs='documents')} select * from jaccard",
     "op5_line_dedup": f"with {LINE_DEDUP.format(docs='documents')} select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from line_dedup",
     "op7_benchmark_decontamination": f"with {CONTAMINATION.format(docs='documents')} select * from contamination",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    decontaminate, html_text, jaccard_join, line_dedup, line_quality, packing, quality_model, span_dedup, suffix_dedup, supervised, toxic_spans,
+    decontaminate, html_text, jaccard_join, line_dedup, line_quality, merkle, packing, quality_model, span_dedup, suffix_dedup, supervised, toxic_spans,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,3 +89,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", supervised.held_out().alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@_query
+def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
