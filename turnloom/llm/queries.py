@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    decontaminate, html_text, jaccard_join, line_dedup, line_quality, merkle, packing, quality_model, span_dedup, suffix_dedup, supervised, toxic_spans,
+    decontaminate, html_text, jaccard_join, line_dedup, line_quality, merkle, packing, quality_model, span_dedup, suffix_dedup, supervised, toxic_spans, whitening,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +91,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 @_query
 def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
