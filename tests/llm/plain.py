@@ -1,6 +1,7 @@
 """The contracts in plain Python, for small inputs: every function takes {doc_id: text or None}."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -198,3 +199,53 @@ def merkle(rows):
                 fold = sha(left + fold + right)
             out.append((r[0], leaf, trees[s][-1][0], top[-1][0], sha("".join(a + b for a, b in path)), fold, fold == top[-1][0]))
     return out
+
+
+def lm_tokens(text):
+    return [*space_words(text), None]
+
+
+def lm_off(n):
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    off = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
+    return [min(max(x, 0.05), k) for k, x in enumerate(off, 1)]
+
+
+def lm_model(texts):
+    """Probability of a word after another (a text's first token stands after 0), counts and sizes, by plain counting."""
+    counts, pairs = Counter(), Counter()
+    for t in texts:
+        w = lm_tokens(t)
+        counts.update(w)
+        pairs.update(zip([0, *w], w))
+    follow, ends = {}, Counter()
+    for (a, b), c in pairs.items():
+        follow.setdefault(a, Counter())[min(c, 3)] += 1
+        ends[b] += 1
+    total = Counter()
+    for (a, _), c in pairs.items():
+        total[a] += c
+    d2 = lm_off([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    d1 = lm_off([sum(c == k for c in ends.values()) for k in (1, 2, 3, 4)])
+    less = lambda c, d: c - d[min(c, 3) - 1] if c else 0.0
+    spare = sum(d1[min(c, 3) - 1] for c in ends.values()) / len(pairs) if pairs else 1.0
+
+    def p(a, b):
+        word = (less(ends[b], d1) / len(pairs) if pairs else 0.0) + spare / (len(counts) + 1)
+        if not total[a]:
+            return word
+        return less(pairs[a, b], d2) / total[a] + sum(d2[k - 1] * n for k, n in follow[a].items()) / total[a] * word
+
+    return p, counts
+
+
+def lm_scores(docs, learn):
+    """{doc_id: (n_tokens, n_known, train_tokens, base_score, score)}"""
+    p, counts = lm_model([docs[d] for d in docs if learn(d)])
+    n, v = sum(counts.values()), len(counts)
+    out = {}
+    for d, t in docs.items():
+        w = lm_tokens(t)
+        base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)
+        out[d] = (len(w), sum(counts[x] > 0 for x in w), n, base, sum(math.log10(p(a, b)) for a, b in zip([0, *w], w)))
+    return out

@@ -114,8 +114,62 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
-def word_hashes(t: Texts, w: Words) -> np.ndarray:
-    return range_hash(prefix_hash(t.data), w.starts, w.ends)
+#: Words are hashed as polynomials modulo this prime at a point drawn once for each of two independent hashes.
+PRIME = U((1 << 61) - 1)
+POINTS = (0x0B5A3F1D97C24E61, 0x13C9D27A5E08F4B3)
+#: Longer stretches are summed piece by piece, so that no sum leaves 64 bits.
+PIECE = 1 << 22
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for values below it."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(U(2) * a1 * b1 + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _points(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the point, cut into their low 32 and high 29 bits, and powers of its inverse."""
+
+    def powers(base: int) -> np.ndarray:
+        p = np.ones(1, U)
+        while len(p) < size:
+            p = np.concatenate([p, times(p, np.full(len(p), pow(base, len(p), int(PRIME)), U))])
+        return p
+
+    def make() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        up = powers(POINTS[which])
+        return up & U(0xFFFFFFFF), up >> U(32), powers(pow(POINTS[which], -1, int(PRIME)))
+
+    return per_worker(("points", which, size), make) if size <= 4 * BLOCK_BYTES else make()
+
+
+def word_hashes(t: Texts, w: Words, which: int = 0) -> np.ndarray:
+    """64 bits for each word; `which` chooses one of two hashes whose collisions have nothing to do with each other."""
+    low, high, inverse = _points(which, 1 << max(16, int(len(t.data)).bit_length()))
+    data = t.data.astype(U) + U(1)
+    sums = []
+    for part in (low, high):
+        s = np.zeros(len(data) + 1, U)
+        np.cumsum(data * part[: len(data)], out=s[1:])
+        sums.append(s)
+
+    def total(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        lows, highs = (s[ends] - s[starts] for s in sums)
+        return _reduced(_reduced(lows) + (highs >> U(29)) + ((highs & U((1 << 29) - 1)) << U(32)))
+
+    out = total(w.starts, np.minimum(w.ends, w.starts + PIECE))
+    for i in np.flatnonzero(w.ends - w.starts > PIECE):
+        at = np.arange(w.starts[i] + PIECE, w.ends[i], PIECE)
+        for x in total(at, np.minimum(at + PIECE, w.ends[i])):
+            out[i : i + 1] = _reduced(out[i : i + 1] + x)
+    return mix(times(out, inverse[w.starts]))
 
 
 def run_hashes(h: np.ndarray, length: int) -> np.ndarray:

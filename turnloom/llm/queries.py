@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    decontaminate, html_text, jaccard_join, line_dedup, line_quality, merkle, packing, quality_model, span_dedup, suffix_dedup, supervised, toxic_spans, whitening,
+    decontaminate, html_text, jaccard_join, line_dedup, line_quality, merkle, ngram_model, packing, quality_model, span_dedup, suffix_dedup, supervised, toxic_spans, whitening,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,3 +100,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    model = ngram_model.fit(docs, ~held_out)
+    scored = ngram_model.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
