@@ -122,10 +122,11 @@ def quality(docs, hosts):
     return out
 
 
-def sentences(text):
+def sentences(text, ends=".!?;:,"):
     """(words, raw text) of each sentence; white space before the first is left to nobody."""
     words = list(re.finditer("[^\x20\x09-\x0d]+", text or ""))
-    cuts = [i for i, m in enumerate(words) if i == 0 or words[i - 1].group()[-1] in ".!?" or "\n" in text[words[i - 1].end() : m.start()]]
+    last = lambda word: (word[0] + word[1:].rstrip("\"')]}\u2019\u201d\u203a\u00bb"))[-1]
+    cuts = [i for i, m in enumerate(words) if i == 0 or last(words[i - 1].group()) in ends or "\n" in text[words[i - 1].end() : m.start()]]
     out = []
     for a, b in zip(cuts, [*cuts[1:], len(words)]):
         end = words[b].start() if b < len(words) else len(text)
@@ -133,18 +134,26 @@ def sentences(text):
     return out
 
 
-def span_dedup(docs, least=3, min_words=12):
+def span_dedup(docs, least=3, min_words=20):
     """{doc_id: (n_sentences, removed, text)}"""
     seen, out = set(), {}
     for d in sorted(docs):
         parts = sentences(docs[d])
         gone = set()
+        size = lambda i, j: sum(len(p[0]) for p in parts[i:j])
+        found = set()
         for i in range(len(parts)):
             j = i + least
-            while j <= len(parts) and sum(len(p[0]) for p in parts[i:j]) < min_words:
+            while j <= len(parts) and size(i, j) < min_words:
                 j += 1
-            if j > len(parts):
-                continue
+            if j <= len(parts):
+                found.add((i, j))
+        if size(0, len(parts)) >= min_words:
+            i = max(0, len(parts) - least)
+            while size(i, len(parts)) < min_words:
+                i -= 1
+            found.add((i, len(parts)))
+        for i, j in sorted(found):
             run = sum((p[0] for p in parts[i:j]), ())
             if run in seen:
                 gone |= set(range(i, j))

@@ -128,13 +128,46 @@ PASSAGES = {
 def test_span_dedup_removes_planted_passages_whole(as_docs, name):
     first = f"Begin here one.\n{PASSAGES[name]}\nEnd one."
     later = f'He said "two." Other words.\n{PASSAGES[name]}\nThen two ends.'
-    got = rows(span_dedup.span_dedup(as_docs({1: first, 2: later}), whole=True), "text")
+    got = rows(span_dedup.span_dedup(as_docs({1: first, 2: later}), min_words=12, ends=".!?", whole=True), "text")
     assert got == {1: (first,), 2: ('He said "two." Other words.\nThen two ends.',)}
 
 
+@pytest.mark.parametrize("name", list(PASSAGES))
+def test_span_dedup_catches_planted_passages(as_docs, name):
+    """Also where the passage is cut off inside a sentence: most of its words go, and only they."""
+    clauses = ", ".join(" ".join(PASSAGE[i : i + 9]) for i in range(0, 51, 9))
+    for passage in (PASSAGES[name].replace("p9 ", "p9, ").replace("p25 ", "p25; ").replace("p40 ", "p40: "), clauses):
+        first, later = f"Something of its own before {passage} and behind.", f"This one goes on {passage} quite another way."
+        ((_,), (kept,)) = rows(span_dedup.span_dedup(as_docs({1: first, 2: later})), "text").values()
+        assert len([x for x in kept.split() if x.strip(",;:.!?()\"\u00ab\u00bb") in PASSAGE]) <= 25
+        assert kept.startswith("This one goes on ") and kept.endswith(" quite another way.")
+
+
+def test_span_dedup_tells_swapped_letters_apart(as_docs):
+    """Long words that a hash modulo a power of two takes for equal, whatever its base."""
+    a, b = swapped_letters()
+    same = "One two three four five six seven, eight nine ten eleven twelve, thirteen fourteen fifteen sixteen."
+    docs = {1: f"{same} In {a}, a b c d e f g h, i j k l m n o p.", 2: f"{same} In {b}, a b c d e f g h, i j k l m n o p."}
+    got = rows(span_dedup.span_dedup(as_docs(docs), min_words=12), "text")
+    assert got == {d: (r[2],) for d, r in plain.span_dedup(docs, min_words=12).items()} and b in got[2][0]
+
+
+def test_jaccard_tells_swapped_letters_apart(as_docs):
+    a, b = swapped_letters()
+    docs = {1: a, 2: b, 3: a, 4: f"x {a} y z", 5: f"x {b} y z"}
+    assert rows(jaccard_join.jaccard_classes(as_docs(docs)), "n_shingles", "component_id") == plain.jaccard_classes(docs)
+
+
+def swapped_letters():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
 def test_span_dedup_removes_copies_of_short_texts_whole(as_docs):
     docs = {1: "Only few words.", 2: "only  FEW words.", 3: "Only few words. More.", 4: "a " * 40, 5: "a " * 40, 6: " ", 7: None}
-    assert rows(span_dedup.span_dedup(as_docs(docs), whole=True), "n_removed") == {1: (0,), 2: (1,), 3: (0,), 4: (0,), 5: (1,), 6: (0,), 7: (0,)}
+    assert rows(span_dedup.span_dedup(as_docs(docs), min_words=12, ends=".!?", whole=True), "n_removed") == {1: (0,), 2: (1,), 3: (0,), 4: (0,), 5: (1,), 6: (0,), 7: (0,)}
 
 
 def test_clashing_columns_null_ids_and_repeated_rows(spark, as_docs, corpus):

@@ -172,6 +172,18 @@ def word_hashes(t: Texts, w: Words, which: int = 0) -> np.ndarray:
     return mix(times(out, inverse[w.starts]))
 
 
+def stretch_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the ranges of a sequence of hashes, as polynomials modulo PRIME; equal ranges have equal ones."""
+    low, high, inverse = _points(which, 1 << max(16, int(len(h)).bit_length()))
+    terms = times(_reduced(h), _reduced(low[: len(h)] | high[: len(h)] << U(32)))
+    lows, highs = np.zeros(len(h) + 1, U), np.zeros(len(h) + 1, U)
+    np.cumsum(terms & U((1 << 31) - 1), out=lows[1:])
+    np.cumsum(terms >> U(31), out=highs[1:])
+    lows, highs = lows[ends] - lows[starts], highs[ends] - highs[starts]
+    total = _reduced((highs >> U(30)) + ((highs & U((1 << 30) - 1)) << U(31)) + _reduced(lows))
+    return mix(times(total, inverse[starts]))
+
+
 def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of `length` neighbours in h, in order."""
     n = len(h) - length + 1

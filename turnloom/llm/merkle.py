@@ -143,7 +143,8 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     if manifest.root is None:
         return requests.join(trees.select("tree", "subroot"), "tree").withColumns({"digest": F.col("subroot"), "path": F.expr(NO_PATH)})
     tops = trees.select(F.lit("").alias("tree"), F.col("top_rank").alias("rank"))
-    frontier = spark.range(1).select(F.lit("").alias("tree"), F.lit(0).cast("long").alias("rank"), F.lit(manifest.root).alias("digest"), F.expr(NO_PATH).alias("path"))
+    # A row, not literals: joins with literals would become joins without a key.
+    frontier = spark.createDataFrame([("", 0, manifest.root)], "tree string, rank long, digest string").withColumn("path", F.expr(NO_PATH))
     for level in reversed(range(len(manifest.top_records))):
         frontier = _step(frontier, manifest.top_records[level], tops.select("tree", F.shiftright("rank", BITS * level).alias("rank")).distinct())
     entered = frontier.select(F.col("rank").alias("top_rank"), "digest", "path").join(trees, "top_rank")

@@ -13,10 +13,10 @@ from turnloom.llm import flat
 from turnloom.llm.scratch import id_or_null, identified
 
 SENTENCES = 3
-MIN_WORDS = 12
+MIN_WORDS = 20
+#: What a sentence ends behind. Long sentences are cut at their clauses, or a passage that begins or ends inside one would stay.
+ENDS = ".!?;:,"
 RUNS = "h1 long, h2 long, doc_id long, variant long, first long, size long, settled boolean"
-_END = np.zeros(256, bool)
-_END[[0x21, 0x2E, 0x3F]] = True
 #: Closing quotes and brackets: of one byte, and in UTF-8 the right-hand quotes and guillemets.
 _CLOSES = np.zeros(256, bool)
 _CLOSES[[0x22, 0x27, 0x29, 0x5D, 0x7D]] = True
@@ -41,34 +41,35 @@ def _last_bytes(t: flat.Texts, w: flat.Words) -> np.ndarray:
     return last
 
 
-def sentence_starts(t: flat.Texts, w: flat.Words, closers: bool = False) -> np.ndarray:
-    """The words that begin a sentence: the first of a text, one behind a line feed, one behind a word that ends in . ! or ?
+def sentence_starts(t: flat.Texts, w: flat.Words, ends: str = ENDS) -> np.ndarray:
+    """The words that begin a sentence: the first of a text, one behind a line feed, one behind a word that ends in one of `ends`.
 
-    With `closers`, quotes and brackets may close behind these signs.
+    Quotes and brackets may close behind these signs.
     """
-    n = len(w.starts)
+    n, closing = len(w.starts), np.zeros(256, bool)
+    closing[list(ends.encode())] = True
     begins = np.zeros(n, bool)
     if n:
         feeds = np.concatenate([[0], np.cumsum(t.data == 0x0A)])
         begins[w.first[:-1][np.diff(w.first) > 0]] = True
-        last = _last_bytes(t, w) if closers else w.ends - 1
-        begins[1:] |= _END[t.data[last[:-1]]] | (feeds[w.starts[1:]] > feeds[w.ends[:-1]])
+        begins[1:] |= closing[t.data[_last_bytes(t, w)[:-1]]] | (feeds[w.starts[1:]] > feeds[w.ends[:-1]])
     return np.flatnonzero(begins)
 
 
-def runs(t: flat.Texts, sentences: int, min_words: int, whole: bool = False) -> tuple[np.ndarray, ...]:
+def runs(t: flat.Texts, sentences: int, min_words: int, ends: str = ENDS, whole: bool = False) -> tuple[np.ndarray, ...]:
     """(text, first sentence, sentences, hash, second hash) of the run that begins at each sentence.
 
-    A run has at least `sentences` sentences and at least `min_words` words; a text too short for that has none.
+    A run has at least `sentences` sentences and at least `min_words` words. The last one of a text ends with it, and is all of a
+    text of `min_words` words in fewer sentences; a text of fewer words has none.
     With `whole` there is the shortest run of `min_words` words from each sentence on and the shortest up to each sentence,
     which together cover every stretch of that many words, and a text of fewer words is one run.
     """
     w = flat.words(t, flat.NOT_SPACE)
-    starts = sentence_starts(t, w, whole)
+    starts = sentence_starts(t, w, ends)
     n_texts = len(t.starts) - 1
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, flat.U),) * 2
-    ends = np.append(starts[1:], len(w.starts))
+    ends = np.append(starts[1:], len(w.starts))  # the words behind each sentence
     text = np.searchsorted(w.first, starts, side="right") - 1
     bound = np.searchsorted(text, np.arange(n_texts + 1))  # a text's sentences are bound[i]:bound[i + 1]
     at = np.arange(len(starts))
@@ -83,18 +84,16 @@ def runs(t: flat.Texts, sentences: int, min_words: int, whole: bool = False) ->
     else:
         last = np.maximum(at + sentences - 1, enough)
         ok = last < bound[text + 1]
-        at, last = at[ok], last[ok]
-    h = flat.word_hashes(t, w)
-    out = []
-    for seed in (flat.U(0), flat.U(0xC2B2AE3D27D4EB4F)):
-        prefix, (power, inverse) = np.zeros(len(h) + 1, flat.U), flat._powers(1 << max(16, int(len(h)).bit_length()))
-        np.cumsum(flat.mix(h ^ seed) * power[: len(h)], out=prefix[1:])
-        a, b = starts[at], ends[last]
-        out.append(flat.mix((prefix[b] - prefix[a]) * inverse[a]))
-    return text[at], at - bound[text[at]], last - at + 1, out[0], out[1]
-
-
-def hashed_runs(docs: DataFrame, sentences: int, min_words: int, whole: bool = False) -> DataFrame:
+        long_ = np.flatnonzero(np.diff(np.append(starts, len(w.starts))[bound]) >= min_words)
+        final = bound[long_ + 1] - 1
+        back = np.minimum(np.searchsorted(starts, ends[final] - min_words, side="right") - 1, final - sentences + 1)
+        at, last = np.unique(np.stack([np.append(at[ok], np.maximum(back, bound[long_])), np.append(last[ok], final)]), axis=1)
+    # Two hashes of the words and of their sequence, which have nothing to do with each other: 122 bits.
+    h1, h2 = (flat.stretch_hashes(flat.word_hashes(t, w, k), starts[at], ends[last], k) for k in (0, 1))
+    return text[at], at - bound[text[at]], last - at + 1, h1, h2
+
+
+def hashed_runs(docs: DataFrame, sentences: int, min_words: int, ends: str = ENDS, whole: bool = False) -> DataFrame:
     """All runs. One that its batch shows to be a repeat is settled there and spread by a hash of its place, so that a hash
     meets once a batch, however often it stands in the corpus."""
 
@@ -103,7 +102,7 @@ def hashed_runs(docs: DataFrame, sentences: int, min_words: int, whole: bool = F
             ids, variants = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             parts = []
             for rows in flat.blocks(batch.column(2)):
-                owner, *rest = runs(flat.texts(batch.column(2), rows, lower=True), sentences, min_words, whole)
+                owner, *rest = runs(flat.texts(batch.column(2), rows, lower=True), sentences, min_words, ends, whole)
                 parts.append((ids[rows][owner], variants[rows][owner], *rest))
             if not parts:
                 continue
@@ -121,23 +120,23 @@ def hashed_runs(docs: DataFrame, sentences: int, min_words: int, whole: bool = F
     return docs.mapInArrow(cut, RUNS)
 
 
-def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS, ends: str = ENDS, whole: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_removed, text (without the repeated sentences), removed (their places).
 
-    A sentence ends behind . ! or ? at a word's end, and at a line feed; it takes the white space behind it along. A run
-    begins at every sentence: the next `sentences`, and more until it has `min_words` words. Two runs are equal if
-    their words are, A-Z lower-cased (128 bits of hash). All runs but the first, by doc_id and place, are repeats, and every
-    sentence of a repeat goes. Null and empty texts have no sentence; texts too short for a run keep all. A null doc_id
+    A sentence ends behind one of `ends` at a word's end (quotes and brackets may close behind it), and at a line feed; it takes
+    the white space behind it along. `ends` holds the signs between clauses too, so that a passage loses little where it is cut
+    off inside a long sentence. A run begins at every sentence: the next `sentences`, and more until it has `min_words`
+    words; the last run of a text ends with it. Two runs are equal if their words are, A-Z lower-cased (122 bits of hash). All runs but the first, by doc_id and place, are repeats, and every
+    sentence of a repeat goes. Null and empty texts have no sentence; texts of fewer than `min_words` words keep all. A null doc_id
     sorts last and comes back null; rows that share doc_id and text are one document, so one is no repeat of the other, and
     both lose the same sentences; other texts of a doc_id stand behind each other. Other columns are not looked at.
 
     With `whole`, `sentences` is not looked at: each repeated stretch of whole sentences goes that has `min_words` words
-    or more, be it a single sentence, and so does a repeated text of fewer words. Quotes and brackets may close behind
-    . ! or ?. What a repeated passage holds of a sentence that is cut off at its edge stays.
+    or more, be it a single sentence, and so does a repeated text of fewer words. What a repeated passage holds of a sentence that is cut off at its edge stays.
     """
     own = identified(docs).select("doc_id", "variant", F.coalesce("text", F.lit("")).alias("text"))
     place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "variant", "first"))
-    repeats = hashed_runs(own, sentences, min_words, whole).withColumn("place", place).filter("settled or place > 1")
+    repeats = hashed_runs(own, sentences, min_words, ends, whole).withColumn("place", place).filter("settled or place > 1")
     per_doc = repeats.groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(F.collect_set(F.struct("first", "size")).alias("runs"))
     same = (F.col("doc_id") == F.col("_doc")) & (F.col("variant") == F.col("_variant"))
     joined = own.join(per_doc, same, "left").select(id_or_null(), "text", "runs")
@@ -149,7 +148,7 @@ def span_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN
             for rows in flat.blocks(batch.column(1)):
                 t = flat.texts(batch.column(1), rows, lower=False)
                 w = flat.words(t, flat.NOT_SPACE)
-                starts = sentence_starts(t, w, whole)
+                starts = sentence_starts(t, w, ends)
                 bound = np.searchsorted(starts, w.first)
                 for d in range(len(t.starts) - 1):
                     raw = t.data[t.starts[d] : t.starts[d + 1] - 1]
