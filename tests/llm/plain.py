@@ -104,7 +104,7 @@ def quality(docs, hosts):
     voters, sizes, out = {}, Counter(hosts.values()), {}
     for d, t in docs.items():
         for line in (t or "").split("\n"):
-            voters.setdefault((hosts[d], line_key(line)), set()).add(t)
+            voters.setdefault((hosts[d], line_key(line)), set()).add(d)
     for d, t in docs.items():
         text, w = t or "", space_words(t, lower=False)
         lines = text.split("\n")

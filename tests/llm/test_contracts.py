@@ -107,6 +107,18 @@ def test_line_quality(as_docs, corpus):
     assert any(r[7] for r in want.values()) and len({r[6] for r in want.values() if not r[5]}) == 2
 
 
+def test_line_quality_counts_copies(as_docs):
+    """A line that only copies of one text hold is frequent: copies are documents."""
+    own = lambda d: " ".join(f"w{d}x{i}" for i in range(40))
+    docs = {d: "A line that only copies hold, forty of them.\n" + own(0) for d in range(40)} | {d: own(d) for d in range(100, 160)}
+    hosts = {d: "h" for d in docs}
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines")
+    got = rows(line_quality.line_quality(as_docs(docs, hosts)), *columns)
+    assert got == plain.quality(docs, hosts) and got[3][7] == 2
+    twice = as_docs(docs, hosts).unionByName(as_docs({d: docs[d] for d in range(5)}, hosts))
+    assert rows(line_quality.line_quality(twice), *columns) == got
+
+
 def test_span_dedup(as_docs, corpus):
     got = rows(span_dedup.span_dedup(as_docs(corpus)), "n_sentences", "removed", "text")
     assert got == plain.span_dedup(corpus)

@@ -163,10 +163,42 @@ def test_sums_beyond_32_bits_are_packed_whole():
 
 
 def test_long_text_of_different_words_does_not_look_repetitive(as_docs):
-    docs = as_docs({1: " ".join(f"a{chr(97 + i % 26)}{'bcdfg'[i % 5]}" + "xyzuvw"[i % 6] * (i // 40) for i in range(6000)), 2: "a a a a", 3: None})
-    words = quality_model.word_sums(docs)
-    sums, common = quality_model.summary(words)
-    found = quality_model.pooled(quality_model.hashed(docs), words, common, quality_model._centred(sums, common))
-    got = {r["doc_id"]: r["x"] for r in quality_model.hashed(docs).join(found, ["_h1", "_h2"]).collect()}
-    n = len(set(docs.filter("doc_id = 1").first()["text"].split()))
-    assert np.isclose(got[1][-2], n / 6000) and got[2][-2] == 0.25 and got[3][-2] == 0 and set(got) == {1, 2, 3}
+    texts = [" ".join(f"a{chr(97 + i % 26)}{'bcdfg'[i % 5]}" + "xyzuvw"[i % 6] * (i // 40) for i in range(6000)), "a a a a", None]
+    words = quality_model.word_vectors(as_docs(dict(enumerate(texts))))
+    got = quality_model.features(pa.array(texts), words)
+    n = len(set(texts[0].split()))
+    assert np.isclose(got[0][-2], n / 6000) and got[1][-2] == 0.25 and not got[2].any()
+
+
+def test_features_equal_a_loop(as_docs, corpus):
+    texts = [corpus[d] for d in (1, 2, 60, 100, 130, 132, 143)]
+    words = quality_model.word_vectors(as_docs(dict(enumerate(texts))))
+    assert 0 < len(words.keys) < len({w for t in texts for w in (t or "").split()})
+    got = quality_model.features(pa.array(texts), words)
+    for x, text in zip(got, texts):
+        key, place, _ = quality_model.keyed(pa.array([text], pa.string()), slice(0, 1))
+        if not len(key):
+            assert not x.any()
+            continue
+        v = np.array([words.vectors[np.searchsorted(words.keys, k)] if k in words.keys else words.places[p] for k, p in zip(key, place)], float)
+        shapes = [np.mean(place // quality_model.PLACES == i) for i in range(quality_model.SHAPES)]
+        assert np.allclose(x, [*v.mean(0), *v.std(0), *shapes, len(set(key.tolist())) / len(key), np.log1p(len(key))], atol=1e-6)
+
+
+def test_scores_do_not_touch_columns_of_any_name(spark, as_docs, corpus):
+    docs = as_docs({d: corpus[d] for d in range(30)})
+    for name in ("_h1", "_h2", "_score", "_toxicity", "score", "x", "key"):
+        docs = docs.withColumn(name, F.lit(name))
+    labels = spark.createDataFrame([(d, d % 2, d % 3 // 2) for d in range(30)], LABELS)
+    for scored in (quality_model.score(docs, quality_model.fit(docs, labels), "q"), toxic_spans.score(docs, toxic_spans.fit(docs, labels), "t")):
+        assert scored.columns[:-1] == docs.columns and scored.count() == 30
+        assert {r["_h1"] + r["_score"] + r["_toxicity"] for r in scored.collect()} == {"_h1_score_toxicity"}
+
+
+def test_sample_is_bounded_by_rows(spark, as_docs):
+    docs = as_docs({d: f"t{d}" for d in range(50)})
+    many = docs.unionByName(docs.filter("doc_id = 7").drop("text").crossJoin(spark.range(500).selectExpr("'u' || id as text")).select(docs.columns))
+    labels = spark.createDataFrame([(d, d % 2, d % 2) for d in range(50)], LABELS)
+    for per_class in (1, 3, 100):
+        got = supervised.labelled_sample(many, labels, "toxic", per_class).collect()
+        assert len(got) == len({r["doc_id"] for r in got}) <= 2 * per_class

@@ -19,7 +19,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def encoded(docs):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for d, x in docs.items()}
 
 
@@ -46,7 +45,7 @@ def check(docs, rows, size):
 
 @pytest.mark.parametrize("size", [64, 1024])
 def test_pack(as_docs, corpus, size):
-    docs = corpus | {700: "ends with <|endoftext|> inside", 701: "naïve  it's\t\n we'll 12 345!? 漢字  x", 702: "   ", 703: "\r\n'S"}
+    docs = corpus | {704: "<|endoftext|>", 705: "a  <|endoftext|> \n<|endoftext|><|endoftext|>b <|endoftext|", 700: "ends with <|endoftext|> inside", 701: "naïve  it's\t\n we'll 12 345!? 漢字  x", 702: "   ", 703: "\r\n'S"}
     sequences = check(docs, packing.pack(as_docs(docs), PATH, size).collect(), size)
     total = sum(n for parts in sequences.values() for _, n in parts)
     assert len(sequences) <= 1.05 * total / size + 2
@@ -70,6 +69,13 @@ def test_sequences_hold_the_ids(as_docs, corpus):
         assert len(r["ids"]) == 4 * (r["n_tokens"] if full else 128)
 
 
+def test_sequences_of_repeated_and_null_ids(as_docs):
+    df = as_docs({1: "a b c", 2: "a b d"})
+    df = df.unionByName(df.filter("doc_id = 1")).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = packing.sequences(df, PATH, 64).collect()
+    assert sum(r["n_tokens"] for r in rows) == packing.pack(df, PATH, 64).agg(F.sum("length")).first()[0] == sum(len(x) for x in encoded({1: "a b c"}).values()) * 4
+
+
 def test_ranks_are_dense_in_every_length(spark):
     rng = random.Random(2)
     rows = spark.createDataFrame([(d, 0, 7 if rng.random() < 0.5 else rng.randrange(1, 5)) for d in range(500)], "doc_id long, start long, length long")

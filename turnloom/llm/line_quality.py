@@ -1,6 +1,6 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Normalised lines are hashed and counted by distinct texts per host; lines above the limit are removed, and documents
+Normalised lines are hashed and counted by distinct documents per host; lines above the limit are removed, and documents
 that lose most of their text by that are rejected.
 """
 
@@ -54,19 +54,29 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int, share: float) -> DataFrame:
-    """(host, h): hashes of the lines in more than `min_docs` distinct texts of a host, and in more texts than `share` of its rows."""
-    # The method counts documents; as in the SQL, copies of one text are one voter here, so that no line is frequent for them
-    # alone, but all of them count among the rows.
-    lines = docs.select("host", F.xxhash64("text").alias("content"), F.explode(F.array_distinct(_line_hashes(min_chars))).alias("h"))
-    voters = lines.groupBy("host", "h", "content").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    sizes = docs.groupBy("host").agg(F.count("*").alias("rows"))
-    return voters.filter(F.col("n") > min_docs).join(sizes, "host").filter(F.col("n") > share * F.col("rows")).select("host", "h")
+    """(host, h1, h2): hashes of the lines in more than `min_docs` distinct documents of a host, and in more than `share` of its documents.
+
+    Where every id stands once, which one aggregate tells, a row is a document and is counted as it comes; else rows of one id
+    are counted once.
+    """
+    lines = docs.select("host", "doc_id", F.explode(F.array_distinct(_line_hashes(min_chars))).alias("line")).select("host", "doc_id", "line.*")
+    ids = docs.select("host", "doc_id")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        lines, ids = lines.groupBy("host", "h1", "h2", "doc_id").agg(F.lit(1).alias("one")), ids.distinct()
+    voters = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    sizes = ids.groupBy("host").agg(F.count("*").alias("documents"))
+    return voters.join(sizes, "host").filter(F.col("n") > share * F.col("documents")).select("host", "h1", "h2")
+
+
+def _line_hash(key: Column) -> Column:
+    """Two hashes make 128 bits, so different lines stay apart at any corpus size."""
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
 def _line_hashes(min_chars: int, text: str = "text") -> Column:
     """Hash of each line's key, of those with at least `min_chars` code points."""
     keys = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line_key)
-    return F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), lambda k: F.xxhash64(k))
+    return F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), _line_hash)
 
 
 def line_quality(
@@ -77,17 +87,17 @@ def line_quality(
 
     Base: words `[^\\x20\\x09-\\x0D]+`; base_failed with under `min_words` words or over `most_repeated` percent of the words in
     repeated 8-word windows. A line (stripped, A-Z lower-cased, at least `min_chars` code points) is removed if more than `min_docs`
-    distinct texts of its host hold it, and more of them than `share` of the host's rows (copies vote once, but are rows each). `kept` is false if base_failed, or
+    distinct documents of its host hold it, and more than `share` of the host's documents. `kept` is false if base_failed, or
     if the lines that stay hold less than `least_kept` of the lines' characters. Null text: no words, failed. A null
-    host is a host of its own; rows that share doc_id and text
-    are judged alike; a null doc_id comes back null. `text` is the
+    host is a host of its own; rows that share a doc_id are one document, those that share its text too
+    are judged alike; all rows without id are one document, whose id comes back null. `text` is the
     text without removed lines (null if it was null); it costs a shuffle of texts only where it is used.
     """
     own = identified(docs, host=F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
     key = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
     numbered = own.select("doc_id", "variant", "host", F.posexplode(key).alias("pos", "key")).filter(F.char_length("key") >= min_chars)
-    hashed = numbered.select("doc_id", "variant", "host", "pos", F.xxhash64("key").alias("h"), F.char_length("key").alias("chars"))
-    gone = hashed.join(frequent_lines(own, min_chars, min_docs, share), ["host", "h"]).groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(
+    hashed = numbered.select("doc_id", "variant", "host", "pos", _line_hash(F.col("key")).alias("line"), F.char_length("key").alias("chars")).select("*", "line.h1", "line.h2")
+    gone = hashed.join(frequent_lines(own, min_chars, min_docs, share), ["host", "h1", "h2"]).groupBy(F.col("doc_id").alias("_doc"), F.col("variant").alias("_variant")).agg(
         F.collect_set(F.struct("pos", "chars")).alias("gone")
     )
     base = measured(own).withColumn("line_chars", F.aggregate(F.transform("lines", lambda x: F.char_length(F.btrim(x, F.lit(SPACE)))), F.lit(0), lambda a, x: a + x).cast("long"))

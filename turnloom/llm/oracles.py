@@ -48,8 +48,8 @@ runs as (select doc_id, unnest(range(1, len(w) - 6)) as p0, unnest(list_transfor
 again as (select doc_id, p0 from runs qualify count(*) over (partition by doc_id, g) > 1),
 repeat_words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(p0, p0 + 8)) as p from again) group by doc_id),
 keyed as (select *, {LOWER.format("stripped")} as key from ql where length(stripped) >= 10),
-hosts as (select host, count(*) as rows from qw group by host),
-frequent as (select k.host, key from keyed k join hosts h on h.host = k.host group by k.host, key, h.rows having count(distinct text) > 10 and count(distinct text) > 0.01 * h.rows),
+hosts as (select host, count(distinct doc_id) as documents from qw group by host),
+frequent as (select k.host, key from keyed k join hosts h on h.host = k.host group by k.host, key, h.documents having count(distinct doc_id) > 10 and count(distinct doc_id) > 0.01 * h.documents),
 gone as (select doc_id, count(*) as n, sum(length(stripped)) as chars from keyed k join frequent f on f.host = k.host and f.key = k.key group by doc_id),
 measures as (select q.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
         (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols, s.n_dup_lines::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,

@@ -24,7 +24,8 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 class Encoder:
-    """Ids of a byte-level BPE file as little-endian unsigned 32-bit numbers; strings of special tokens are ordinary text.
+    """Ids of a byte-level BPE file as little-endian unsigned 32-bit numbers, as the file's own tokenizer gives them: a special
+    token's string in a text is that token.
 
     Where the file's merges are in order of their ids, an id is a rank, and a rank merger gives the ids of the file's own
     tokenizer several times as fast. Any other file is read by its tokenizer.
@@ -32,7 +33,6 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.ranked = self._ranked(json.loads(self.tokenizer.to_str()))
         if self.ranked:
             self.tokenizer = None  # a worker holds one copy of the vocabulary
@@ -49,11 +49,14 @@ class Encoder:
         # Printable bytes stand for themselves in the file, the others for the characters from 256 on.
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(byte[c] for c in w): i for w, i in vocabulary.items()}
-        return tiktoken.Encoding("from file", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
+        special = {a["content"]: a["id"] for a in file["added_tokens"]}
+        if any(a[f] for a in file["added_tokens"] for f in ("lstrip", "rstrip", "single_word", "normalized")) or any(a != b and a in b for a in special for b in special):
+            return None
+        ranks = {bytes(byte[c] for c in w): i for w, i in vocabulary.items() if w not in special}
+        return tiktoken.Encoding("from file", pat_str=CUTS, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
-        ids = self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.ranked.encode(text, allowed_special="all") if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
 
@@ -201,9 +204,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
 
 def sequences(docs: DataFrame, tokenizer: str, size: int = 1024, pad_id: int = 0) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens, ids (binary, padded to `size` unless full to a power of two)."""
-    table, _ = write(pieces(docs, tokenizer, size), "piece-ids")
-    placed = assign(table.select("doc_id", "start", "length"), size)
-    whole = table.join(placed, ["doc_id", "start", "length"]).groupBy("sequence_id").agg(
+    # Ids may be null or repeated: each piece gets a number of its own, which the written table keeps.
+    table, _ = write(pieces(docs, tokenizer, size).withColumn("piece", F.monotonically_increasing_id()), "piece-ids")
+    placed = assign(table.select("doc_id", "start", "length", "piece"), size)
+    whole = table.join(placed.select("piece", "sequence_id", "offset"), "piece").groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts")
     )
     ids = F.aggregate("parts", F.unhex(F.lit("")), lambda acc, p: F.concat(acc, p["ids"]))

@@ -9,9 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.llm import flat
 from turnloom.llm.scratch import bounded, write
@@ -46,12 +46,7 @@ _UPPER[0x41:0x5B] = 1
 
 @dataclass
 class Model:
-    #: (key, sums): what each word of the fitted documents learned, see `word_sums`.
-    words: DataFrame
-    #: What the unit vectors of all words have in common.
-    common: np.ndarray
-    #: One vector for each place, for words that the fitted documents don't hold.
-    places: np.ndarray
+    words: Words
     mean: np.ndarray
     scale: np.ndarray
     #: Weights and biases of both layers.
@@ -71,10 +66,10 @@ def keyed(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray, np.nda
     upper = np.concatenate([[0], np.cumsum(_UPPER[t.data])])
     n_upper, first_upper = upper[ends] - upper[starts], _UPPER[t.data[starts]]
     shape = np.select([of == 2, of == 3, n_upper == 0, n_upper == ends - starts, (n_upper == 1) & (first_upper == 1)], [4, 5, 0, 2, 1], 3)
-    lowered = flat.prefix_hash(flat.LOWER[t.data])
-    h = flat.range_hash(lowered, starts, ends)
+    first = np.searchsorted(starts, t.starts)
+    h = flat.word_hashes(flat.Texts(flat.LOWER[t.data], t.starts), flat.Words(starts, ends, first))
     key = h << flat.U(3) | shape.astype(flat.U)
-    return key, place_of(key), np.searchsorted(starts, t.starts)
+    return key, place_of(key), first
 
 
 def place_of(key: np.ndarray) -> np.ndarray:
@@ -249,74 +244,57 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     return summary(word_sums(docs))[0]
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """docs with two hashes of each text, by which what is found of it comes back."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
+@dataclass
+class Words:
+    """Vectors of the words of the fitted documents, by sorted key; any other word has its place's vector."""
 
+    keys: np.ndarray
+    vectors: np.ndarray
+    places: np.ndarray
 
-def pooled(texts: DataFrame, words: DataFrame, common: np.ndarray, backoff: np.ndarray) -> DataFrame:
-    """(_h1, _h2, x) for each text: mean and spread of the words' vectors, shares of the shapes, how often words repeat, length.
+    def of(self, key: np.ndarray) -> np.ndarray:
+        out = self.places[place_of(key)].astype(float)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            out[known] = self.vectors[at[known]]
+        return out
 
-    A batch asks once for each of its words, so that a hash meets once a batch; the answers meet by batch. A word that is
-    not among `words` has its place's vector in `backoff`.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast((common, backoff))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        for k, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
-            ids, first = np.unique(np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1), axis=0, return_index=True)
-            n = len(ids)
-            key, _, doc = batch_words(batch.column(2).take(pa.array(first)))
-            own, local = np.unique(key, return_inverse=True)
-            pair, times = np.unique(local * n + doc, return_counts=True)
-            kind = np.uint16 if max(n, times.max(initial=0)) < 1 << 16 else np.uint32
-            data, size = np.stack([pair % n, times], axis=1).astype(kind).tobytes(), 2 * np.dtype(kind).itemsize
-            ends = (size * np.searchsorted(pair // n, np.arange(len(own) + 1))).tolist()
-            at = [data[a:b] for a, b in zip(ends, ends[1:])]
-            # One row tells the batch's texts and how wide the numbers in the others are.
-            name = (context.partitionId() if context else 0) << 32 | k
-            columns = [pa.array(np.full(len(own) + 1, name)), pa.array(np.append(name, flat.signed(own)))]
-            columns += [pa.array([bytes([size // 2]), *at], pa.binary()), pa.array([ids.tobytes(), *[None] * len(own)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["batch", "key", "at", "texts"])
-
-    def pool(table: pa.Table) -> pa.Table:
-        common, backoff = shared.value
-        head = table.filter(pc.is_valid(table.column("texts")))
-        ids = np.frombuffer(head.column("texts")[0].as_py(), np.int64).reshape(-1, 2)
-        kind = f"u{head.column('at')[0].as_py()[0]}"
-        table = table.filter(pc.is_null(table.column("texts"))).sort_by("key")
-        rows, sums = table.column("at").to_pylist(), pa.array(table.column("sums").to_pylist(), pa.binary())
-        place = place_of(table.column("key").to_numpy())
-        v = np.where(pc.is_null(sums).to_numpy(zero_copy_only=False)[:, None], backoff[place], _centred(_unpacked(sums), common))
-        pairs = np.frombuffer(b"".join(rows), kind).reshape(-1, 2).astype(np.int64)
-        doc, times = pairs[:, 0], pairs[:, 1].astype(float)
-        word = np.repeat(np.arange(len(place)), np.array([len(r) for r in rows], np.int64) // (2 * np.dtype(kind).itemsize))
-        n_docs = len(ids)
-        add = lambda w: np.bincount(doc, w, n_docs)
-        sizes = add(times)
-        n = np.maximum(1, sizes)
+
+def word_vectors(docs: DataFrame) -> Words:
+    """Vectors of the words of docs, which must be a bounded sample: they go to the driver. A word that stands there once only has its place's vector."""
+    words = word_sums(docs)
+    sums, common = summary(words)
+    rows = words.filter(F.octet_length("sums") > 4 * REACH).select("key", "sums").collect()
+    keys = np.array([r["key"] for r in rows], np.int64).view(flat.U)
+    order = np.argsort(keys)
+    own = _centred(_unpacked(pa.array([rows[i]["sums"] for i in order], pa.binary())), common)
+    return Words(keys[order], own.astype(np.float16), _centred(sums, common).astype(np.float32))
+
+
+def features(column: pa.Array, words: Words) -> np.ndarray:
+    """For each text: mean and spread of the words' vectors, shares of the shapes, how often words repeat, length. All zero without words."""
+    parts = [np.zeros((0, 2 * DIM + SHAPES + 2))]
+    for rows in flat.blocks(column):
+        key, place, first = keyed(column, rows)
+        n_docs, sizes = len(first) - 1, np.diff(first)
+        doc = np.repeat(np.arange(n_docs), sizes)
         x = np.zeros((n_docs, 2 * DIM + SHAPES + 2))
-        for i in range(DIM):
-            of = v[:, i][word]
-            x[:, i] = add(times * of) / n
-            x[:, DIM + i] = np.sqrt(np.maximum(0, add(times * of * of) / n - x[:, i] ** 2))
-        shape = (place // PLACES)[word]
-        for i in range(SHAPES):
-            x[:, 2 * DIM + i] = add(times * (shape == i)) / n
-        x[:, -2] = np.bincount(doc, minlength=n_docs) / n
+        if len(key):
+            own, local = np.unique(key, return_inverse=True)
+            pair, times = np.unique(doc * len(own) + local, return_counts=True)
+            of, word = pair // len(own), pair % len(own)
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
+            to, n = of[begin], sizes[of[begin]][:, None]
+            weighed = words.of(own)[word]
+            mean = np.add.reduceat(weighed * times[:, None], begin) / n
+            x[to, :DIM] = mean
+            x[to, DIM : 2 * DIM] = np.sqrt(np.maximum(0, np.add.reduceat(weighed * weighed * times[:, None], begin) / n - mean**2))
+            x[:, 2 * DIM : -2] = np.bincount(doc * SHAPES + place // PLACES, minlength=n_docs * SHAPES).reshape(n_docs, SHAPES) / np.maximum(1, sizes)[:, None]
+            x[to, -2] = np.diff(begin, append=len(of)) / n[:, 0]
         x[:, -1] = np.log1p(sizes)
-        return pa.table([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(list(x), pa.list_(pa.float64()))], ["_h1", "_h2", "x"])
-
-    bounded(texts.sparkSession)
-    own = texts.select("_h1", "_h2", F.col("text").cast("string").alias("text"))
-    asked = own.mapInArrow(ask, "batch long, key long, at binary, texts binary")
-    answers = asked.join(words, "key", "left")
-    found = answers.groupBy("batch").applyInArrow(pool, "_h1 long, _h2 long, x array<double>")
-    return found.dropDuplicates(["_h1", "_h2"])
+        parts.append(x)
+    return np.concatenate(parts)
 
 
 def _forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,17 +329,22 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
-    """Word vectors from all documents; the network from at most `per_class` labelled ones of each class, folds 2 to 4.
+    """Word vectors from at most `per_class` labelled documents of each class, the network from those of folds 2 to 4.
 
-    Fold 1 sets the temperature, fold 0 is held out. Without labels of both classes every score is the share of good ones
-    (0.5 if there is none).
+    Fold 1 sets the temperature, fold 0 is held out. So the model's size is bounded by the sample, whatever the number of
+    documents. Without labels of both classes every score is the share of good ones (0.5 if there is none).
     """
-    words = word_sums(docs)
-    sums, common = summary(words)
-    backoff = _centred(sums, common)
-    sample = hashed(labelled_sample(docs, labels, "quality", per_class).select("text", "label", "fold"))
-    found = pooled(sample, words, common, backoff)
-    rows = found.join(sample.drop("text"), ["_h1", "_h2"]).select("x", "label", "fold").collect()  # 2 * per_class vectors at most
+    spark = docs.sparkSession
+    sample, _ = write(labelled_sample(docs, labels, "quality", per_class).select("text", "label", "fold"), "quality-sample")
+    words = word_vectors(sample)
+    shared = spark.sparkContext.broadcast(words)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array(list(features(batch.column(0), shared.value)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([x, batch.column(1), batch.column(2)], ["x", "label", "fold"])
+
+    rows = sample.mapInArrow(pool, "x array<double>, label int, fold int").collect()  # 2 * per_class vectors at most
     width = 2 * DIM + SHAPES + 2
     x = np.array([r["x"] for r in rows]).reshape(-1, width)
     y, of = np.array([r["label"] for r in rows], float), np.array([r["fold"] for r in rows])
@@ -372,34 +355,32 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
     if not learn.any() or y[learn].min() == y[learn].max():
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         z = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
-        return Model(words, common, backoff, np.zeros(width), np.ones(width), [np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.array([z])], 1.0)
+        return Model(words, np.zeros(width), np.ones(width), [np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.array([z])], 1.0)
     mean, scale = x[learn].mean(0), x[learn].std(0) + 1e-6
     layers = fit_network((x[learn] - mean) / scale, y[learn])
     # The sample has the classes in other shares than the labels; the last bias takes them back.
     layers[3] = layers[3] + math.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))) - math.log(max(1, y[learn].sum()) / max(1, (1 - y[learn]).sum()))
     calibrate = of == 1
     z = _forward(layers, (x[calibrate] - mean) / scale)[1] if calibrate.any() else np.zeros(0)
-    return Model(words, common, backoff, mean, scale, layers, fit_temperature(z, y[calibrate]))
+    return Model(words, mean, scale, layers, fit_temperature(z, y[calibrate]))
 
 
 def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
-    """docs with one more column: the calibrated probability that the document is good.
+    """docs with one more column: the calibrated probability that the document is good. A column of that name is replaced.
 
-    A null or empty text has no words and gets the score of zero vectors. Words meet their vectors by their hash, texts are not
-    shuffled for it, and scores come back to the rows by two hashes of the text. Rows that share a
-    doc_id are scored each on its own.
+    A null or empty text has no words and gets the score of zero vectors. Nothing is shuffled: the model, whose size the
+    sample bounds, goes to the tasks. Rows that share a doc_id are scored each on its own.
     """
     bounded(docs.sparkSession)
-    rows = hashed(docs)
-    found = pooled(rows, model.words, model.common, model.places)
-    mean, scale, layers, temperature = model.mean, model.scale, model.layers, model.temperature
+    docs = docs.drop(into)
+    at, names = docs.columns.index("text"), [*docs.columns, into]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist()).reshape(-1, len(mean))
-            z = _forward(layers, (x - mean) / scale)[1] / temperature
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigmoid(z))], ["_h1", "_h2", "_score"])
+            x = features(batch.column(at), model.words)
+            z = _forward(model.layers, (x - model.mean) / model.scale)[1] / model.temperature
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(z))], names)
 
-    scores = found.mapInArrow(rate, "_h1 long, _h2 long, _score double")
-    named = rows.join(scores, ["_h1", "_h2"])
-    return named.select(*(F.col(c) for c in docs.columns), F.col("_score").alias(into))
+    return docs.mapInArrow(rate, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))

@@ -22,8 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     The sample is that of the smallest hashes of doc_id, so it is the same on every run, and a document that is in
     it stays in it as a table grows until smaller hashes push it out. Rows without label or id are left out; of several
-    labels of one id the largest counts; of several rows of one id all are taken. The ids chosen number 2 * per_class at
-    most and are broadcast; texts are not shuffled.
+    labels of one id the largest counts; of several rows of one id the one whose text has the smallest hash is taken. So the
+    sample has 2 * per_class rows at most. The ids chosen are broadcast, and only their texts are shuffled.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.select(F.col("doc_id").alias("_doc"), "label", F.xxhash64("doc_id").alias("_at"))
@@ -32,7 +32,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = known.filter(F.col("label") == c).orderBy("_at", "_doc").limit(per_class).drop("_at")
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "label", fold().cast("int").alias("fold"))
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("at"), F.col("text").alias("text"))).alias("one"))
+    return one.select("doc_id", "one.text", "label", fold().cast("int").alias("fold"))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -65,9 +65,9 @@ def word_counts(sample: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
 
 
-def lexicon(sample: DataFrame, most: int = 2048) -> np.ndarray:
+def lexicon(sample: DataFrame) -> np.ndarray:
     """Hashes of the words that mark toxic documents: at least 3 of them, over 6 times as often as in clean ones, and
-    beyond chance by a likelihood ratio of 15. At most `most`, the surest first: a bound of the model, not of the data."""
+    beyond chance by a likelihood ratio of 15. All of them: the sample bounds their number."""
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -76,7 +76,7 @@ def lexicon(sample: DataFrame, most: int = 2048) -> np.ndarray:
     share = (a + b) / (n1 + n0)
     surprise = 2 * (a * F.log(a / (n1 * share)) + F.when(b > 0, b * F.log(b / (n0 * share))).otherwise(0.0))
     marked = word_counts(sample).filter((a >= 3) & (a / n1 > 6 * (b + 0.5) / n0)).withColumn("surprise", surprise).filter("surprise > 15")
-    rows = marked.orderBy(F.desc("surprise"), "word").limit(most).select("word").collect()
+    rows = marked.select("word").collect()
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(flat.U))
 
 
@@ -87,12 +87,12 @@ def _features(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, len(vocabulary))
 
 
-def training_sequences(sample: DataFrame, vocabulary: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_sequences(sample: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token features and labels, one window of 2 * REACH + 1 tokens a row (-1 beyond a text's ends), and how often it stands.
 
     Windows stand around marked words, and around every 200th token. A token is labelled toxic if it is marked and its
     document is toxic. Windows look alike wherever the same marked words stand among unmarked ones, so they are counted, and
-    only different ones go to the driver: the `most` most frequent, should there be more.
+    only different ones go to the driver. The sample bounds their number.
     """
     width = 2 * REACH + 1
 
@@ -112,7 +112,7 @@ def training_sequences(sample: DataFrame, vocabulary: np.ndarray, most: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in windows], pa.binary()), pa.array(n.astype(np.int64))], ["window", "n"])
 
     found = sample.select("text", "label").mapInArrow(cut, "window binary, n long").groupBy("window").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "window").limit(most).collect()
+    rows = found.orderBy("window").collect()
     both = np.frombuffer(b"".join(r["window"] for r in rows), "<i4").astype(np.int64).reshape(-1, 2 * width)
     return both[:, :width], both[:, width:], np.array([r["n"] for r in rows], float)
 
@@ -235,7 +235,7 @@ def _tagged(column: pa.Array, tagger: Tagger) -> Iterator[tuple[int, list[tuple[
             yield n, list(zip(chars[w.starts[mine] - begin].tolist(), chars[w.ends[mine] - begin].tolist(), p.tolist())), p
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_windows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
     """Learn from at most `per_class` toxic and as many clean labelled documents, none of fold 0.
 
     Labels are given per document, so a token counts as labelled toxic where a word that marks toxic documents stands in
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_windows:
         share = n.get(1, 0) / max(1, sum(n.values()))
         bias = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(vocabulary, np.zeros(1), np.zeros((2, 2)), np.zeros(2), np.array([0, 0, 0, 0, bias]))
-    emission, change, first = fit_chain(*training_sequences(sample, vocabulary, most_windows), len(vocabulary))
+    emission, change, first = fit_chain(*training_sequences(sample, vocabulary), len(vocabulary))
     model = Model(vocabulary, emission, change, first, np.zeros(5))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
