@@ -24,7 +24,7 @@ END = U(0xE5D1A6C39F8B7245)
 WORD_PART = 128 << 20
 PAIR_PART = 1 << 21
 #: Words or pairs that a task sums up before it hands them on.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Text bytes that are scored together: they ask each part once, in the order of its keys.
 BLOCK = 4 << 20
 
@@ -124,13 +124,18 @@ class Model:
 
 def tokens(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the texts' words, each text closed by END, and where each text begins (and the last one ends)."""
-    t = flat.texts(column, rows, lower=True)
-    w = flat.words(t, flat.NOT_SPACE)
-    n = len(w.first) - 1
-    out = np.full(len(w.starts) + n, END)
-    text = np.repeat(np.arange(n), np.diff(w.first))
-    out[np.arange(len(w.starts)) + text] = flat.word_hashes(t, w)
-    return out, w.first + np.arange(n + 1)
+    hashes, begins, at = [], [np.zeros(1, np.int64)], 0
+    part = column.slice(rows.start, rows.stop - rows.start)
+    for some in flat.blocks(part):  # arrays that fit a processor's cache
+        t = flat.texts(part, some, lower=True)
+        w = flat.words(t, flat.NOT_SPACE)
+        n = len(w.first) - 1
+        out = np.full(len(w.starts) + n, END)
+        out[np.arange(len(w.starts)) + np.repeat(np.arange(n), np.diff(w.first))] = flat.word_hashes(t, w)
+        hashes.append(out)
+        begins.append(at + w.first[1:] + np.arange(1, n + 1))
+        at += len(out)
+    return np.concatenate(hashes), np.concatenate(begins)
 
 
 def word_part(h: np.ndarray, parts: int) -> np.ndarray:
