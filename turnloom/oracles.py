@@ -274,6 +274,9 @@ SQL = {
            CASE WHEN model IS NOT NULL THEN 'model' END) AS wire_keys FROM e""",
     "dedup_first_writer": DOCS
     + " SELECT employee_id, content_hash, min(doc_id) AS doc_id FROM d GROUP BY employee_id, content_hash",
+    "dedup_incremental": DOCS
+    + """ SELECT employee_id, content_hash, doc_id, (doc_id % 3)::VARCHAR AS pass_id FROM d
+      QUALIFY row_number() OVER (PARTITION BY employee_id, content_hash ORDER BY doc_id % 3, doc_id) = 1""",
     "dedup_against_stored": DOCS
     + """ SELECT employee_id, content_hash, min(doc_id) AS doc_id FROM d WHERE NOT EXISTS (
             SELECT 1 FROM labels l JOIN d AS s ON s.doc_id = l.doc_id
@@ -329,4 +332,8 @@ SQL = {
       r AS (SELECT *, queue_slug[1] IN ('1', '3') AS broken FROM n)
       SELECT '1' AS run, queue_slug, pass, (CASE WHEN broken AND pass = '1' THEN least(n, 100) ELSE n END)::BIGINT AS n_events FROM r WHERE NOT broken OR pass < '2'
       UNION ALL SELECT '2', queue_slug, pass, n::BIGINT FROM r WHERE broken AND pass > '0'""",
+    "stream_deliver": r"""
+      SELECT CASE WHEN o_orderpriority[1] IN ('1', '3') AND o_orderkey % 3 > 0 THEN '2' ELSE '1' END AS run,
+             lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) AS queue_slug, (o_orderkey % 3)::VARCHAR AS pass, count(*) AS n_events
+      FROM orders GROUP BY ALL""",
 }

@@ -21,6 +21,7 @@ from turnloom.plans.chunks import CHUNK_BYTES, spans_chunks
 from turnloom.schemas import EVENT_COLUMNS
 from turnloom.sources import files as fl
 from turnloom.sources import tables
+from turnloom.sources.identities import IdentityStore, identity
 
 
 class LogFormat(Protocol):
@@ -43,12 +44,21 @@ FORMATS: list[LogFormat] = [block_log, rollout_log]
 
 @dataclass(frozen=True)
 class Job:
-    """Where a pass reads and keeps its tables. ``globs`` maps a format's name to file globs."""
+    """Where a pass reads and keeps its tables. ``globs`` maps a format's name to file globs.
+
+    With ``identity_buckets`` (about one for each 100 MB of identities, 32 bytes each) a pass spools only events that no
+    earlier pass has spooled; without, repeats are left to ``stored_events`` and to the receiver.
+    """
 
     globs: dict[str, list[str]]
     state: str
     client_version: str
     chunk_bytes: int = CHUNK_BYTES
+    identity_buckets: int | None = None
+
+    @property
+    def identities(self) -> IdentityStore:
+        return IdentityStore(self.table("identities"), self.identity_buckets or 1)
 
     def table(self, name: str) -> str:
         return f"{self.state}/{name}"
@@ -135,12 +145,32 @@ def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFra
         cursors = cur.new_cursors(files, rows, errors).join(known, "path").filter("cursor <> start_offset").drop("start_offset")
         moved = cursors if moved is None else moved.unionByName(cursors)
     hashed = to_wire(spooled.withColumn("content_hash", content_hash()))
+    if job.identity_buckets:
+        remember(spark, job, pass_id)
+        hashed = job.identities.fresh(hashed.withColumn("identity", identity()), ["path", "prompt_offset"], pass_id)
     tables.write_spool(
         hashed.select("event_json", "path", "prompt_offset", "content_hash", "queue_slug"), job.table("spool"), pass_id
     )
+    if job.identity_buckets:
+        job.identities.record(spooled_identities(spark, job, pass_id), pass_id)
     tables.write_cursors(moved, job.table("cursors"), pass_id, now)
 
 
+def spooled_identities(spark: SparkSession, job: Job, pass_id: str) -> DataFrame:
+    """Identities of what a pass spooled; only the two columns they are made of are read."""
+    spool = tables.read_spool(spark, job.table("spool"), pass_id).filter(F.col("pass_id") == pass_id)
+    return spool.select(identity().alias("identity"))
+
+
+def remember(spark: SparkSession, job: Job, before: str) -> None:
+    """Record the identities of earlier passes that ended between their spool and their identities."""
+    known = set(job.identities.passes(spark))
+    for folder in tables.subfolders(spark, job.table("spool")):
+        done = folder.removeprefix("pass_id=")
+        if folder.startswith("pass_id=") and done < before and done not in known and tables.complete(spark, f"{job.table('spool')}/{folder}"):
+            job.identities.record(spooled_identities(spark, job, done), done)
+
+
 def errors_of(spark: SparkSession, job: Job, pass_id: str) -> DataFrame:
     """Files, globs and registry entries a pass had to leave out."""
     parts = [staged(spark, job, pass_id, tool, "errors") for tool in (*(f.SOURCE_TOOL for f in FORMATS), "registry")]

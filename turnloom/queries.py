@@ -6,11 +6,11 @@ turn assembly; the matching SQL in ``turnloom.oracles`` works on the table direc
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +27,10 @@ from turnloom.plans import block_log, collect, rollout_log
 from turnloom.samples import render
 from turnloom.samples.log_writer import write_session_files
 from turnloom.session import checkpointed, configure, shared_dir
-from turnloom.sources.files import from_cursor, start_offset
+from turnloom.sources.files import _local_uri, from_cursor, start_offset
+from turnloom.sources.identities import IdentityStore, identity
 from turnloom.sources.tables import spooled_events, subfolders, write_spool
+from turnloom.streaming.delivery import deliver_stream
 from turnloom.streaming.jobs import collect_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,6 +497,23 @@ def dedup_against_stored(spark, sf_dir):
     return ev.dedup_events(docs, stored, ["doc_id"]).select("employee_id", "content_hash", "doc_id")
 
 
+@query
+def dedup_incremental(spark, sf_dir):
+    """Three passes of documents, the second one tried twice: each is compared with the stored identities of the passes before it, and the
+    store is rebuilt with more buckets in between. Together they emit what one de-duplication of all rows would."""
+    root = f"{shared_dir(spark)}/identities-{uuid.uuid4().hex}"
+    store = IdentityStore(f"{root}/store", 4)
+    docs = _doc_events(spark, sf_dir).withColumn("identity", identity("employee_id"))
+    for number in ("0", "1", "1", "2"):
+        new = store.fresh(docs.filter(F.col("doc_id") % 3 == int(number)), ["doc_id"], number)
+        new.select("employee_id", "content_hash", "doc_id", "identity").write.mode("overwrite").parquet(f"{root}/spool/pass_id={number}")
+        store.record(spark.read.parquet(f"{root}/spool/pass_id={number}"), number)
+        if number == "1":
+            store.rebuild(spark, number, 8)
+    emitted = spark.read.schema("employee_id string, content_hash string, doc_id bigint, pass_id string").parquet(f"{root}/spool")
+    return emitted.select("employee_id", "content_hash", "doc_id", "pass_id")
+
+
 @query
 def ingest_counts(spark, sf_dir):
     docs = _doc_events(spark, sf_dir).withColumn("batch", F.expr("doc_id div 100"))
@@ -679,23 +698,11 @@ def deliver_once(spark, sf_dir):
     does not; how often each batch was sent is counted where it was sent."""
     root = f"{shared_dir(spark)}/deliver-{uuid.uuid4().hex}"
     job = collect.Job({}, root, "1.0")
-    orders = table(spark, sf_dir, "orders").select(
-        F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "-")).alias("queue_slug"), F.col("o_orderkey").alias("prompt_offset"), F.lit("f").alias("path"),
-        F.lit("CODEX").alias("source_tool"), F.lit("cli").alias("surface"), F.lit(None).cast("string").alias("session_id"),
-        F.col("o_custkey").cast("string").alias("prompt_text"), F.lit(None).cast("string").alias("response_text"), F.col("o_orderdate").cast("timestamp").alias("prompt_ts"),
-        F.lit(None).cast("bigint").alias("token_count"), F.lit(None).cast("string").alias("project_context"), F.lit("1").alias("client_version"), F.lit(None).cast("string").alias("model"),
-    )
-    for k in range(3):  # three passes of orders, so each queue has several files in order
-        part = to_wire(orders.filter(F.col("prompt_offset") % 3 == k).withColumn("content_hash", content_hash()))
-        write_spool(part.select("event_json", "path", "prompt_offset", "content_hash", "queue_slug"), job.table("spool"), f"{k}")
+    _spool_orders(spark, sf_dir, job)
 
     def send(log: str, broken: bool):
         def one(queue: str, file: str, batch: int, body: str) -> bool:
-            # The receiver's own record of what it got: one file for each request.
-            where = re.sub("^file:/+", "/", log)
-            os.makedirs(where, exist_ok=True)
-            with open(f"{where}/{uuid.uuid4().hex}", "w") as f:
-                f.write(f"{queue}|{file[0]}|{batch}|{body.count('promptText')}")
+            receive(log, f"{queue}|{file[0]}|{batch}|{body.count('promptText')}")
             return not (broken and queue.startswith(("1", "3")) and file[0] == "1")
 
         return one
@@ -704,15 +711,61 @@ def deliver_once(spark, sf_dir):
     since = collect.deliver(spark, job, "1", send(logs[0], True))
     since = collect.deliver(spark, job, "2", send(logs[1], False), since)
     collect.deliver(spark, job, "3", send(logs[2], False), since)
+    return _received(spark, root)
+
+
+@query
+def stream_deliver(spark, sf_dir):
+    """The same orders as a stream of spool files, two a trigger. While the first run goes on, some queues refuse a file and all behind it,
+    again and again; the second run takes up what is held. Each batch that was taken is counted where it was taken."""
+    root = f"{shared_dir(spark)}/stream-deliver-{uuid.uuid4().hex}"
+    job = collect.Job({}, root, "1.0")
+    _spool_orders(spark, sf_dir, job)
+
+    def send(log: str, broken: bool):
+        def one(queue: str, file: str, batch: int, body: str) -> bool:
+            if broken and queue.startswith(("1", "3")) and file[0] == "1":
+                return False
+            receive(log, f"{queue}|{file[0]}|{batch}|{body.count('promptText')}")
+            return True
+
+        return one
+
+    for run, broken in (("1", True), ("2", False)):
+        deliver_stream(spark, job, send(f"{root}/received/{run}", broken), trigger={"availableNow": True}, files_per_trigger=2, clean=True).awaitTermination()
+    return _received(spark, root)
+
+
+def receive(log: str, line: str) -> None:
+    """A receiver's own record of what it got: one file for each request, in the store of the folder ``log``."""
+    fs, where = pafs.FileSystem.from_uri(_local_uri(log)) if ":/" in log else (pafs.LocalFileSystem(), log)
+    fs.create_dir(where, recursive=True)
+    with fs.open_output_stream(f"{where}/{uuid.uuid4().hex}") as out:
+        out.write(line.encode())
+
+
+def _received(spark: SparkSession, root: str) -> DataFrame:
     received = spark.createDataFrame([], "run string, value string")
-    for run, log in zip("123", logs):
-        if subfolders(spark, f"{root}/received") and run in subfolders(spark, f"{root}/received"):
-            received = received.unionByName(spark.read.text(log).select(F.lit(run).alias("run"), "value"))
+    for run in subfolders(spark, f"{root}/received"):
+        received = received.unionByName(spark.read.text(f"{root}/received/{run}").select(F.lit(run).alias("run"), "value"))
     part = F.split("value", r"\|")
     rows = received.select("run", part[0].alias("queue_slug"), part[1].alias("pass"), part[3].cast("bigint").alias("n"))
     return rows.groupBy("run", "queue_slug", "pass").agg(F.sum("n").alias("n_events"))
 
 
+def _spool_orders(spark: SparkSession, sf_dir: str, job: collect.Job) -> None:
+    """Orders as spooled events of their priorities' queues, in three passes, so each queue has several files in order."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "-")).alias("queue_slug"), F.col("o_orderkey").alias("prompt_offset"), F.lit("f").alias("path"),
+        F.lit("CODEX").alias("source_tool"), F.lit("cli").alias("surface"), F.lit(None).cast("string").alias("session_id"),
+        F.col("o_custkey").cast("string").alias("prompt_text"), F.lit(None).cast("string").alias("response_text"), F.col("o_orderdate").cast("timestamp").alias("prompt_ts"),
+        F.lit(None).cast("bigint").alias("token_count"), F.lit(None).cast("string").alias("project_context"), F.lit("1").alias("client_version"), F.lit(None).cast("string").alias("model"),
+    )
+    for k in range(3):
+        part = to_wire(orders.filter(F.col("prompt_offset") % 3 == k).withColumn("content_hash", content_hash()))
+        write_spool(part.select("event_json", "path", "prompt_offset", "content_hash", "queue_slug"), job.table("spool"), f"{k}")
+
+
 @query
 def streaming_turns(spark, sf_dir):
     """The same as a stream: files grow between two runs, each run stops when all is read."""
