@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.sources import files as fl
-from turnloom.streaming.source import ended_lines, list_glob, pack
+from turnloom.streaming.growth import LISTING, ended_lines, grown
 
 
 def random_file(path, seed, final_newline=True):
@@ -53,11 +53,11 @@ def test_lines_belong_to_the_batch_of_their_newline(tmp_path, seed):
     assert got == expected(data)
 
 
-def test_pack_cuts_and_fills():
-    tasks = pack([("a", 100, None, 0, 100), ("b", 5, None, 0, 5), ("c", 5, None, 2, 5)], 40)
-    assert [[(r[0], r[3], r[4]) for r in t.ranges] for t in tasks] == [
-        [("a", 0, 40)], [("a", 40, 80)], [("a", 80, 100), ("b", 0, 5), ("c", 2, 5)],
-    ]
+def test_growth_is_cut_into_ranges(spark):
+    old = spark.createDataFrame([("b", 2, None), ("c", 9, None), ("d", 5, None), ("gone", 1, None)], LISTING)
+    new = spark.createDataFrame([("a", 100, None), ("b", 85, None), ("c", 5, None), ("d", 5, None), ("empty", 0, None)], LISTING)
+    got = sorted((r.path, r.start, r.end) for r in grown(old, new, 40).collect())
+    assert got == [("a", 0, 40), ("a", 40, 80), ("a", 80, 100), ("b", 2, 40), ("b", 40, 80), ("b", 80, 85), ("c", 0, 5)]
 
 
 def test_read_lines(spark, tmp_path):
@@ -72,7 +72,6 @@ def test_read_lines(spark, tmp_path):
     ]
     resumed = fl.read_lines(files.withColumn("start_offset", F.lit(6).cast("bigint")), 3).orderBy("byte_offset").collect()
     assert [r.byte_offset for r in resumed] == [6, 7]
-    assert len(list_glob(f"{tmp_path}/*.jsonl")) == 2
 
 
 def test_unreadable_file_becomes_an_error_row(spark, tmp_path):

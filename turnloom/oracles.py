@@ -332,6 +332,12 @@ SQL = {
       r AS (SELECT *, queue_slug[1] IN ('1', '3') AS broken FROM n)
       SELECT '1' AS run, queue_slug, pass, (CASE WHEN broken AND pass = '1' THEN least(n, 100) ELSE n END)::BIGINT AS n_events FROM r WHERE NOT broken OR pass < '2'
       UNION ALL SELECT '2', queue_slug, pass, n::BIGINT FROM r WHERE broken AND pass > '0'""",
+    "stream_lines_growing": r"""
+      WITH l AS (SELECT source, doc_id, replace(text, chr(10), ' ') AS line FROM documents)
+      SELECT source, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(line)) - 1)::BIGINT AS byte_offset,
+             md5(line) AS line_md5, NULL::VARCHAR AS error FROM l""",
+    "stateful_turns": BLOCK.replace("WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 2 = 0 AND conv_id % 10 <> 4)", "WHERE next_user IS NOT NULL OR (n > 0 AND conv_id % 10 <> 4)")
+    + " SELECT path, session_id, prompt_text, response_text, prompt_ts, token_count, model FROM t",
     "stream_deliver": r"""
       SELECT CASE WHEN o_orderpriority[1] IN ('1', '3') AND o_orderkey % 3 > 0 THEN '2' ELSE '1' END AS run,
              lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) AS queue_slug, (o_orderkey % 3)::VARCHAR AS pass, count(*) AS n_events

@@ -31,7 +31,9 @@ from turnloom.sources.files import _local_uri, from_cursor, start_offset
 from turnloom.sources.identities import IdentityStore, identity
 from turnloom.sources.tables import spooled_events, subfolders, write_spool
 from turnloom.streaming.delivery import deliver_stream
-from turnloom.streaming.jobs import collect_stream
+from turnloom.streaming.growth import SCHEMA as GROWN
+from turnloom.streaming.growth import stream_grown_lines, take_listing
+from turnloom.streaming.jobs import collect_stream, settled_lines, turns_of_released, wait_until_settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -766,6 +768,52 @@ def _spool_orders(spark: SparkSession, sf_dir: str, job: collect.Job) -> None:
         write_spool(part.select("event_json", "path", "prompt_offset", "content_hash", "queue_slug"), job.table("spool"), f"{k}")
 
 
+@query
+def stream_lines_growing(spark, sf_dir):
+    """Documents as the lines of one file a source. The files grow in two steps, the first of which ends inside a line; listings are
+    versions of a table, and the stream's two runs bring every line once."""
+    root = f"{shared_dir(spark)}/growing-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d/"), "source", F.lit(".log")).alias("path"), "doc_id", F.regexp_replace("text", "\n", " ").alias("line"))
+    lines = docs.withColumn("seq", F.col("doc_id"))
+    cut = lines.filter("doc_id % 2 = 0 OR doc_id < 100").groupBy("path").agg(F.max("doc_id").alias("last"))
+    half = lines.join(cut, "path").filter("doc_id <= last div 2").drop("last")
+    for written, ended in ((half, False), (lines, True)):
+        write_session_files(written, f"{root}/logs", "/d", ended)
+        take_listing(spark, [f"{root}/logs/*.log"], f"{root}/state", 1 << 16)
+        stream = stream_grown_lines(spark, f"{root}/state")
+        sink = stream.writeStream.format("parquet").option("path", f"{root}/lines").option("checkpointLocation", f"{root}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(GROWN).parquet(f"{root}/lines")
+    return out.select(F.regexp_extract("path", r"([^/]*)\.log$", 1).alias("source"), "byte_offset", F.md5("line").alias("line_md5"), "error")
+
+
+@query
+def stateful_turns(spark, sf_dir):
+    """Turns of block logs from a stream that keeps only the lines of open turns. Files grow once; the last turns settle by timers
+    that stand at the files' last change plus the idle time."""
+    root = f"{shared_dir(spark)}/stateful-{uuid.uuid4().hex}"
+    globs, state, idle = [f"{root}/.claude/{block_log.FILE_GLOB}"], f"{root}/state", 30
+    rendered = render.block_log_lines(table(spark, sf_dir, "conversations"))
+    files = [rendered.filter(F.col("seq") < 3 * render.SEQ_PER_TURN), rendered]
+    write_session_files(files[0], root, "/logs")
+    take_listing(spark, globs, state)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        turns_of_released(batch).write.mode("overwrite").parquet(f"{root}/turns/batch_id={batch_id}")
+
+    query = settled_lines(stream_grown_lines(spark, state).filter("error IS NULL"), 1000 * idle).writeStream.foreachBatch(keep)
+    query = query.option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime="1 second").start()
+    try:
+        write_session_files(files[1], root, "/logs")
+        take_listing(spark, globs, state)
+        wait_until_settled(query, idle)
+    finally:
+        query.stop()
+    return turns(spark.read.parquet(f"{root}/turns"), "path", "session_id", "prompt_text", "response_text", "prompt_ts", "token_count", "model").withColumn(
+        "path", F.regexp_replace("path", r"^.*/\.claude/", "/logs/.claude/")
+    )
+
+
 @query
 def streaming_turns(spark, sf_dir):
     """The same as a stream: files grow between two runs, each run stops when all is read."""

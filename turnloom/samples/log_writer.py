@@ -18,8 +18,9 @@ def _filesystem(root: str):
     return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
 
 
-def write_session_files(rendered: DataFrame, root: str, logical_root: str) -> int:
-    """Write (path, seq, line) below ``root`` in place of ``logical_root``; returns the file count."""
+def write_session_files(rendered: DataFrame, root: str, logical_root: str, ended: bool = True) -> int:
+    """Write (path, seq, line) below ``root`` in place of ``logical_root``; returns the file count. Without ``ended`` the last line of
+    each file has no LF yet."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(root)
@@ -31,9 +32,10 @@ def write_session_files(rendered: DataFrame, root: str, logical_root: str) -> in
                         sink.close()
                     target = base + path[len(logical_root) :]
                     fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                    current, sink, count = path, fs.open_output_stream(target), count + 1
+                    current, sink, count, gap = path, fs.open_output_stream(target), count + 1, b""
                 if line is not None:  # a file whose only line is null stays empty
-                    sink.write(line.encode() + b"\n")
+                    sink.write(gap + line.encode() + (b"\n" if ended else b""))
+                    gap = b"" if ended else b"\n"
         if sink:
             sink.close()
         yield pa.RecordBatch.from_pydict({"files": [count]}, schema=pa.schema([("files", pa.int64())]))

@@ -153,6 +153,10 @@ def _local_uri(path: str) -> str:
     return "file:///" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
 
 
+class LineTooLong(OSError):
+    """A line beyond ``MAX_LINE_BYTES``, found out before it is held whole."""
+
+
 def read_range(path: str, lower: int, start: int, end: int, size: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Lines that start in ``[start, end)``, as blocks of (byte offsets, lines with their LF).
 
@@ -194,6 +198,8 @@ def read_range(path: str, lower: int, start: int, end: int, size: int) -> Iterat
             pos += len(data)
             if rest:
                 held.append(rest)
+                if pos - line_at > MAX_LINE_BYTES:
+                    raise LineTooLong("line too long")
             if line_at >= end:
                 return
             if pos >= size or at_end:
@@ -236,6 +242,8 @@ def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         break
                     for i in range(0, len(raws), _BATCH_ROWS):
                         yield emit(offsets[i : i + _BATCH_ROWS], raws[i : i + _BATCH_ROWS])
+            except LineTooLong as e:
+                yield emit([-1], [None], str(e))
             except OSError as e:
                 yield emit([-1], [None], f"{type(e).__name__}: {e}")
 

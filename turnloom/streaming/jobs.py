@@ -16,15 +16,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from turnloom.plans import block_log
 from turnloom.plans.collect import Job, run_once
 
 IDLE_MS = 10 * 60 * 1000
 
-STATE = "offsets array<bigint>, lines array<string>, opened boolean, terminal boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RELEASED = "path string, byte_offset bigint, line string, complete boolean"
 
 
@@ -49,51 +49,68 @@ def collect_stream(
     )
 
 
-def _hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the lines of the open turn; release it when the next prompt arrives or the file rests."""
-    offsets, lines, opened, terminal = state.get if state.exists else ([], [], False, False)
-    offsets, lines = list(offsets), list(lines)
-    out: list[tuple] = []
-
-    def release(complete: bool) -> None:
-        out.extend((key[0], o, text, complete) for o, text in zip(offsets, lines))
-        offsets.clear()
-        lines.clear()
-
-    if state.hasTimedOut:
-        if opened and terminal:
-            release(True)
-            opened = False
-        elif not opened:
-            offsets.clear()
-            lines.clear()
-    else:
-        rows = pd.concat(list(frames)).sort_values("byte_offset")
-        for offset, line, is_prompt, stop in zip(rows.byte_offset, rows.line, rows.is_prompt, rows.stop_reason):
+class OpenTurns(StatefulProcessor):
+    """State of one file: the lines of its open turn as a list, and what is known of the turn. Nothing is kept between turns.
+
+    A timer stands at the file's last change plus the idle time while the turn's last answer is terminal; lines that arrive
+    before set it anew. A turn is released by the next prompt or by the timer.
+    """
+
+    def __init__(self, idle_ms: int = IDLE_MS) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getListState("lines", "byte_offset bigint, line string")
+        self.turn = handle.getValueState("turn", "terminal boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("byte_offset")  # what one trigger brought of this file
+        opened = self.turn.exists()
+        terminal = self.turn.get()[0] if opened else False
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        held: list[tuple] = []
+        for offset, line, is_prompt, stop in zip(new.byte_offset, new.line, new.is_prompt, new.stop_reason):
             if is_prompt:
                 if opened:
-                    release(True)
-                offsets.clear()
-                lines.clear()
-                opened, terminal = True, False
+                    yield self._released(key, held)
+                held, opened, terminal = [], True, False
             elif isinstance(stop, str):
                 terminal = stop in block_log.TERMINAL_STOPS
             if opened:
-                offsets.append(int(offset))
-                lines.append(line)
-    if opened:
-        state.update((offsets, lines, opened, terminal))
-        if terminal and not state.hasTimedOut:
-            # The file rests from its last change on, not from the batch that read it.
-            rested = time.time() - rows.file_mtime.max().timestamp()
-            state.setTimeoutDuration(max(1, int(IDLE_MS - 1000 * rested)))
-    elif state.exists:
-        state.remove()  # nothing is held: the next prompt begins anew
-    yield pd.DataFrame(out, columns=["path", "byte_offset", "line", "complete"])
-
-
-def settled_lines(lines: DataFrame) -> DataFrame:
-    """Stream of the lines of settled block-log turns. ``lines`` comes from ``stream_lines``."""
+                held.append((int(offset), line))
+        if opened:
+            if held:
+                self.lines.appendList(held)
+            self.turn.update((bool(terminal),))
+            if terminal:
+                # The file rests from its last change on, not from the trigger that read it.
+                self.handle.registerTimer(int(new.file_mtime.max().timestamp() * 1000) + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.turn.exists():
+            yield self._released(key, [])
+            self.turn.clear()
+
+    def _released(self, key: tuple, more: list[tuple]) -> pd.DataFrame:
+        """The lines held and some more; the list is empty afterwards."""
+        rows = [*self.lines.get(), *more]
+        self.lines.clear()
+        return pd.DataFrame([(key[0], offset, line, True) for offset, line in rows], columns=["path", "byte_offset", "line", "complete"])
+
+    def close(self) -> None:
+        pass
+
+
+def settled_lines(lines: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Stream of the lines of settled block-log turns. ``lines`` has path, file_size, file_mtime, byte_offset and line, as from
+    ``growth.stream_grown_lines``.
+
+    Timers are checked at every trigger, so the stream always has another one to run: give it an interval and stop it
+    from outside. State lives in RocksDB, which this sets for the session.
+    """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     shaped = lines.select(
         "path",
         "file_size",
@@ -109,7 +126,7 @@ def settled_lines(lines: DataFrame) -> DataFrame:
     return (
         marks.select("path", "byte_offset", F.col("kept_line").alias("line"), "is_prompt", "stop_reason", "file_mtime")
         .groupBy("path")
-        .applyInPandasWithState(_hold, RELEASED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .transformWithStateInPandas(OpenTurns(idle_ms), RELEASED, "append", "processingTime")
     )
 
 
@@ -120,3 +137,23 @@ def turns_of_released(released: DataFrame) -> DataFrame:
         "true as terminated", "true as file_idle",
     )
     return block_log.scan_complete_turns(sized)
+
+
+def wait_until_settled(query: StreamingQuery, idle_seconds: float, most_seconds: float = 600) -> None:
+    """Return when a stream of ``settled_lines`` has read what there is and all its timers had time to fire: triggers without
+    new rows, for longer than the idle time."""
+    quiet_from, seen, end = None, -1, time.monotonic() + most_seconds
+    while time.monotonic() < end:
+        if query.exception():
+            raise query.exception()
+        last = query.lastProgress
+        if last and last["batchId"] != seen:
+            seen, rows = last["batchId"], last["numInputRows"]
+            if rows:
+                quiet_from = None
+            elif quiet_from is None:
+                quiet_from = time.monotonic()
+            elif time.monotonic() - quiet_from > idle_seconds + 1:
+                return
+        time.sleep(0.2)
+    raise TimeoutError("the stream did not settle")
