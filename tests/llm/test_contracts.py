@@ -1,5 +1,6 @@
 """Operators against plain Python, on a corpus of copies, shared passages, junk, nulls and empty texts."""
 
+import numpy as np
 import plain
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,28 @@ def test_jaccard_chain_links_without_hub(as_docs):
     assert rows(jaccard_join.jaccard_classes(as_docs(docs)), "n_shingles", "component_id") == want
 
 
+def test_spanning_pairs_join_what_all_pairs_join():
+    """In a tree of random sets, some of them near copies: fewer pairs than texts, the same components."""
+    rng = np.random.default_rng(4)
+    for n in (2, 17, 150, 400):
+        base = [rng.choice(3000, 60, replace=False) for _ in range(6)]
+        sets = [np.unique(np.where(rng.random(60) < 0.04, rng.integers(0, 3000, 60), base[rng.integers(0, 6)])).astype(np.uint64) for _ in range(n)]
+        bits = [np.frombuffer(jaccard_join.bitmap(s), np.uint8) for s in sets]
+        to = min(map(len, bits))
+        tree = jaccard_join.Tree(np.arange(n), np.array([len(s) for s in sets]), np.arange(n), bits, to)
+
+        def joined(pairs):
+            label, count = np.arange(n), 0
+            for x, y in pairs:
+                count += len(x)
+                for a, b in zip(x, y):
+                    label[label == label[b]] = label[a]
+            return {tuple(np.flatnonzero(label == k)) for k in set(label.tolist())}, count
+
+        (all_, _), (some, count) = joined(tree.pairs()), joined(tree.spanning())
+        assert all_ == some and count == n - len(some)
+
+
 def test_jaccard_large_groups_are_cut_into_cells(as_docs, corpus):
     assert rows(jaccard_join.jaccard_classes(as_docs(corpus), common=4, block=3), "n_shingles", "component_id") == plain.jaccard_classes(corpus)
 
