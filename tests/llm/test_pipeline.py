@@ -54,9 +54,21 @@ def test_stages_keep_the_columns_and_follow_each_other(spark):
     assert df.columns == docs.columns and set(texts(df)) == {d for d, r in plain.contamination(now, items).items() if not r[3]}
 
 
+def test_rows_without_id_and_namesakes_are_linked_on_their_own(spark):
+    """A unique text stays though its namesake goes, and of copies without id one stays, or none beside one with an id."""
+    copy, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    rows = [(1, copy), (1, "only here, under the same id"), (2, copy + " more"), (None, copy), (None, other), (None, other), (None, "unique"), (3, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    want = [(1, copy), (1, "only here, under the same id"), (None, other), (None, "unique"), (3, None), (None, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_odd_rows_pass_every_stage(spark):
     """Nulls in any column, empty texts, repeated rows, extra columns and an empty table."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).withColumn("h1", F.lit(1)).withColumn("row", F.lit("r")).withColumn("_doc", F.lit("d"))
+    for name in ("_toxicity", "_lines", "_found", "found_0", "FOUND_1", "node", "order", "component"):
+        docs = docs.withColumn(name, F.lit(name))
     nulls = docs.limit(2).select(*(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
     empty = docs.limit(1).withColumn("text", F.lit("")).withColumn("doc_id", F.lit(-5).cast("long"))
     odd = docs.unionByName(nulls).unionByName(empty).unionByName(docs.limit(1))
