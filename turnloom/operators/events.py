@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.wire import wire_struct
+from turnloom.operators import ordered
 
 BATCH_SIZE = 100
 IDENTITY = ["employee_id", "source_tool", "content_hash"]
@@ -119,6 +120,16 @@ def delivered_files(outcomes: DataFrame, queue: str = "queue_slug", file: str =
     )
 
 
-def in_scan_order(events: DataFrame, adapter_rank: Column) -> DataFrame:
-    """Final order: adapter, path, prompt. Only for presentation; nothing upstream needs it."""
-    return events.orderBy(adapter_rank, "path", "prompt_offset")
+def in_scan_order(events: DataFrame, adapters: list[str], out: str = "position") -> DataFrame:
+    """events with their place in the final order: adapter (as listed, others behind), path, prompt."""
+    listed = F.array_position(F.array(*map(F.lit, adapters)), F.col("source_tool"))
+    rank = F.when(listed > 0, listed).otherwise(F.lit(len(adapters) + 1))
+    return ordered.row_numbers(events.withColumn("_rank", rank), ["_rank", "path", "prompt_offset"], out).drop("_rank")
+
+
+def write_in_scan_order(events: DataFrame, adapters: list[str], folder: str, rows_per_file: int = 1_000_000) -> None:
+    """Write events as JSON lines, in files whose names sort as the events do. Only for presentation; nothing upstream needs it."""
+    placed = in_scan_order(events, adapters)
+    n = 1 + placed.count() // rows_per_file
+    # Each task writes one range of positions, and tasks number their files.
+    placed.repartitionByRange(n, "position").sortWithinPartitions("position").write.mode("overwrite").json(folder)

@@ -201,6 +201,22 @@ SQL = {
         SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (
           PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment
         FROM events""",
+    "hot_user_scan": """
+        WITH e AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id) FROM events)
+        SELECT event_id,
+          last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_signup_value,
+          lead(event_id) OVER w AS next_event_id,
+          sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment,
+          coalesce(sum(event_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ids_before,
+          sum(event_id) OVER (PARTITION BY user_id)::BIGINT AS ids_of_user
+        FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "events_in_scan_order": BLOCK
+    + ", r AS (SELECT * FROM ("
+    + ROLLOUT
+    + """ SELECT * FROM t))
+      SELECT row_number() OVER (ORDER BY a, path, prompt_ts) AS position, source_tool, path, session_id, prompt_text FROM (
+        SELECT 1 AS a, 'CLAUDE_CODE' AS source_tool, path, session_id, prompt_text, prompt_ts FROM t
+        UNION ALL SELECT 2, 'CODEX', path, session_id, prompt_text, prompt_ts FROM r)""",
     "idle_users": """
         SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_ts FROM events
         GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-29 23:50:00'""",

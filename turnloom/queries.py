@@ -291,6 +291,33 @@ def segment_events(spark, sf_dir):
     return out.select("event_id", "segment")
 
 
+@query
+def hot_user_scan(spark, sf_dir):
+    """All scans over events of which one user owns a third, in chunks cut by number of rows; summaries go up a tree of two levels."""
+    e = events_of(spark, sf_dir).withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    key, order = ["user_id"], ["ts", "event_id"]
+    rows = ordered.in_chunks(e, key, order, 256, 4)
+    chunk, block = F.col("chunk"), F.col("block")
+    value = F.when(F.col("event_type") == "signup", F.col("value"))
+    rows = ordered.carry_forward(rows, key, order, chunk, value, "last_signup_value", block)
+    rows = ordered.next_in_sequence(rows, key, order, chunk, ["event_id"], "next", block)
+    rows = ordered.segment(rows, key, order, chunk, F.col("event_type") == "signup", "segment", block)
+    rows = ordered.running_total(rows, key, order, chunk, F.col("event_id").cast("bigint"), "ids_before", "ids_of_user", block)
+    return rows.select("event_id", "last_signup_value", F.col("next.event_id").alias("next_event_id"), "segment", "ids_before", "ids_of_user")
+
+
+@query
+def events_in_scan_order(spark, sf_dir):
+    """Turns of both log formats in the order adapter, path, prompt, numbered through."""
+    names = ["source_tool", "path", "prompt_offset", "session_id", "prompt_text"]
+    parts = [
+        scan(lines(spark, sf_dir)).filter("row_kind = 'turn'").withColumn("source_tool", F.lit(fmt.SOURCE_TOOL)).select(names)
+        for fmt, scan, lines in ((rollout_log, rollout_log.scan, rollout_lines), (block_log, block_log.scan, block_lines))
+    ]
+    placed = ev.in_scan_order(parts[0].unionByName(parts[1]), [block_log.SOURCE_TOOL, rollout_log.SOURCE_TOOL])
+    return placed.select("position", "source_tool", "path", "session_id", "prompt_text")
+
+
 @query
 def idle_users(spark, sf_dir):
     idle = reports.idle_keys(events_of(spark, sf_dir), "user_id", "ts", "2024-01-30 00:00:00", "10 minutes")
