@@ -28,6 +28,19 @@ WITH u AS (
 )
 """
 
+STORE = f"""
+WITH u AS (
+  SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_user
+  FROM conversations WHERE role = 'user' AND trim(text) <> '' AND text[1] <> '/'
+), j AS (
+  SELECT u.conv_id, u.turn, any_value(u.text) AS prompt_text, any_value(u.next_user) AS next_user, count(a.turn) AS n,
+         nullif(string_agg(a.text, '' ORDER BY a.turn), '') AS response_text,
+         arg_min(CASE (a.conv_id + a.turn) % 3 WHEN 0 THEN 'model-a' WHEN 1 THEN 'model-b' ELSE '<synthetic>' END, a.turn) FILTER (a.turn IS NOT NULL) AS model
+  FROM u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn AND (u.next_user IS NULL OR a.turn < u.next_user)
+  GROUP BY ALL
+), t AS (SELECT *, 'g' || conv_id AS session_id, {TS} AS prompt_ts FROM j WHERE next_user IS NOT NULL OR n > 0)
+"""
+
 ROLLOUT_ALL = f"""
 WITH k AS (
   SELECT * FROM conversations
@@ -348,6 +361,16 @@ SQL = {
       r AS (SELECT *, queue_slug[1] IN ('1', '3') AS broken FROM n)
       SELECT '1' AS run, queue_slug, pass, (CASE WHEN broken AND pass = '1' THEN least(n, 100) ELSE n END)::BIGINT AS n_events FROM r WHERE NOT broken OR pass < '2'
       UNION ALL SELECT '2', queue_slug, pass, n::BIGINT FROM r WHERE broken AND pass > '0'""",
+    "third_format_turns": STORE
+    + " SELECT 'GEMINI' AS source_tool, 'cli' AS surface, session_id, prompt_text, response_text, prompt_ts, model FROM t",
+    "third_format_precedence": STORE
+    + " SELECT session_id, CASE WHEN conv_id % 4 = 0 THEN 'whole' ELSE 'nested' END AS layout, prompt_text, response_text FROM t",
+    "third_format_cwd": STORE
+    + """ SELECT session_id, CASE WHEN conv_id % 3 = 0 THEN '/work/g' || (conv_id % 5) WHEN conv_id % 4 = 0 THEN '/real/p0' ELSE 'p' || (conv_id % 4) END AS project_context,
+      count(*) AS n_turns FROM t GROUP BY ALL""",
+    "unchanged_files_skipped": """
+      WITH f AS (SELECT DISTINCT conv_id, unnest(CASE conv_id % 4 WHEN 0 THEN [2, 3] WHEN 1 THEN [1, 3] WHEN 2 THEN [1, 2] ELSE [1, 2, 3] END) AS layout FROM conversations)
+      SELECT layout, count(*) AS n_opened, p AS pass FROM f, (VALUES (0), (1), (2)) v(p) WHERE p <> 1 OR conv_id % 5 = 0 GROUP BY ALL""",
     "stream_lines_growing": r"""
       WITH l AS (SELECT source, doc_id, replace(text, chr(10), ' ') AS line FROM documents)
       SELECT source, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(line)) - 1)::BIGINT AS byte_offset,

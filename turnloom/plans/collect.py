@@ -25,7 +25,11 @@ from turnloom.sources.identities import IdentityStore, identity
 
 
 class LogFormat(Protocol):
-    """What a log format brings: a name, where its files lie and how lines become pass rows."""
+    """What a log format brings: a name, where its files lie and how lines become pass rows.
+
+    A format whose files are rewritten sets ``WHOLE_FILES`` and has ``read_files(files, known, now)`` in place of the two scans; its files
+    are opened when their listing changed, and what is new in them is told by identity.
+    """
 
     SOURCE_TOOL: str
     FILE_GLOB: str
@@ -39,7 +43,7 @@ class LogFormat(Protocol):
     def owner_dir(self, path: Column) -> Column: ...
 
 
-FORMATS: list[LogFormat] = [block_log, rollout_log]
+FORMATS: tuple[LogFormat, ...] = (block_log, rollout_log)
 
 
 @dataclass(frozen=True)
@@ -47,7 +51,8 @@ class Job:
     """Where a pass reads and keeps its tables. ``globs`` maps a format's name to file globs.
 
     With ``identity_buckets`` (about one for each 100 MB of identities, 32 bytes each) a pass spools only events that no
-    earlier pass has spooled; without, repeats are left to ``stored_events`` and to the receiver.
+    earlier pass has spooled; without, repeats are left to ``stored_events`` and to the receiver. ``formats`` are the log formats
+    to collect: a caller's own module or object stands beside the built-in ones.
     """
 
     globs: dict[str, list[str]]
@@ -55,6 +60,7 @@ class Job:
     client_version: str
     chunk_bytes: int = CHUNK_BYTES
     identity_buckets: int | None = None
+    formats: tuple = FORMATS
 
     @property
     def identities(self) -> IdentityStore:
@@ -105,10 +111,16 @@ def collect_format(
     fl.with_cursors(wanted, cursors).write.mode("overwrite").parquet(f"{stage}/listing")
     listing = spark.read.parquet(f"{stage}/listing")
     pinned = listing.filter("error IS NULL").drop("error")
-    rows = finish(assemble(pinned.drop("queue_slug"), fmt, now, job.chunk_bytes), job.client_version)
-    rows.write.mode("overwrite").parquet(f"{stage}/rows")
+    if getattr(fmt, "WHOLE_FILES", False):
+        seen = tables.read_seen(spark, f"{job.table('seen')}/format={fmt.SOURCE_TOOL}", before=pass_id)
+        fl.changed(pinned.select("path", "file_size", "file_mtime"), seen, now).write.mode("overwrite").parquet(f"{stage}/opened")
+        read_now = spark.read.parquet(f"{stage}/opened")
+        rows = fmt.read_files(read_now, seen, now)
+    else:
+        read_now = pinned.filter("file_size > start_offset OR file_size = 0")
+        rows = assemble(pinned.drop("queue_slug"), fmt, now, job.chunk_bytes)
+    finish(rows, job.client_version).write.mode("overwrite").parquet(f"{stage}/rows")
     staged = spark.read.parquet(f"{stage}/rows")
-    read_now = pinned.filter("file_size > start_offset OR file_size = 0")
     errors = cur.file_errors(read_now, staged, fmt.SOURCE_TOOL, fmt.NEEDS_HEADER)
     unlisted = listing.filter("error IS NOT NULL").select("path", F.lit(fmt.SOURCE_TOOL).alias("adapter"), F.lit("glob").alias("reason"))
     errors.unionByName(unlisted).write.mode("overwrite").parquet(f"{stage}/errors")
@@ -124,17 +136,19 @@ def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFra
     The order is what keeps events safe: spool first, cursors second. A crash in between reads the
     same lines again, which the content hash absorbs; it never skips any.
     """
+    if not job.identity_buckets and any(getattr(fmt, "WHOLE_FILES", False) for fmt in job.formats):
+        raise ValueError("formats whose files are read whole need Job.identity_buckets")
     entries, held = reg.unique_entries(registry), reg.held_tokens(tokens)
     clashes = entries.filter("conflict").select(
         F.col("config_dir").alias("path"), F.lit("registry").alias("adapter"), F.lit("several token keys").alias("reason")
     )
     clashes.write.mode("overwrite").parquet(f"{job.table('stage')}/pass_id={pass_id}/format=registry/errors")
-    with ThreadPoolExecutor(len(FORMATS)) as pool:
-        running = [pool.submit(collect_format, spark, job, fmt, entries, held, now, pass_id) for fmt in FORMATS]
+    with ThreadPoolExecutor(len(job.formats)) as pool:
+        running = [pool.submit(collect_format, spark, job, fmt, entries, held, now, pass_id) for fmt in job.formats]
         for one in running:
             one.result()
     spooled, moved = None, None
-    for fmt in FORMATS:
+    for fmt in job.formats:
         listing, rows, errors = (staged(spark, job, pass_id, fmt.SOURCE_TOOL, n) for n in ("listing", "rows", "errors"))
         files = listing.filter("error IS NULL")
         good = rows.filter("row_kind = 'turn'").join(errors.select("path"), "path", "left_anti")
@@ -154,6 +168,12 @@ def run_once(spark: SparkSession, job: Job, registry: DataFrame, tokens: DataFra
     if job.identity_buckets:
         job.identities.record(spooled_identities(spark, job, pass_id), pass_id)
     tables.write_cursors(moved, job.table("cursors"), pass_id, now)
+    for fmt in job.formats:
+        if getattr(fmt, "WHOLE_FILES", False):
+            opened, rows, errors = (staged(spark, job, pass_id, fmt.SOURCE_TOOL, n) for n in ("opened", "rows", "errors"))
+            sessions = rows.filter("row_kind = 'header'").select("path", "session_id")
+            noted = opened.join(errors.select("path"), "path", "left_anti").join(sessions, "path", "left")
+            tables.write_seen(noted, f"{job.table('seen')}/format={fmt.SOURCE_TOOL}", pass_id, now)
 
 
 def spooled_identities(spark: SparkSession, job: Job, pass_id: str) -> DataFrame:
@@ -173,7 +193,7 @@ def remember(spark: SparkSession, job: Job, before: str) -> None:
 
 def errors_of(spark: SparkSession, job: Job, pass_id: str) -> DataFrame:
     """Files, globs and registry entries a pass had to leave out."""
-    parts = [staged(spark, job, pass_id, tool, "errors") for tool in (*(f.SOURCE_TOOL for f in FORMATS), "registry")]
+    parts = [staged(spark, job, pass_id, tool, "errors") for tool in (*(f.SOURCE_TOOL for f in job.formats), "registry")]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,13 @@ from turnloom.operators import events as ev
 from turnloom.operators import ordered
 from turnloom.operators import registry as reg
 from turnloom.operators import reports
-from turnloom.plans import block_log, collect, rollout_log
+from turnloom.plans import block_log, chat_store, collect, rollout_log
 from turnloom.samples import render
 from turnloom.samples.log_writer import write_session_files
 from turnloom.session import checkpointed, configure, shared_dir
-from turnloom.sources.files import _local_uri, from_cursor, start_offset
+from turnloom.sources.files import _local_uri, changed, from_cursor, list_files, start_offset
 from turnloom.sources.identities import IdentityStore, identity
-from turnloom.sources.tables import spooled_events, subfolders, write_spool
+from turnloom.sources.tables import read_seen, spooled_events, subfolders, write_seen, write_spool
 from turnloom.streaming.delivery import deliver_stream
 from turnloom.streaming.growth import SCHEMA as GROWN
 from turnloom.streaming.growth import stream_grown_lines, take_listing
@@ -795,6 +796,69 @@ def _spool_orders(spark: SparkSession, sf_dir: str, job: collect.Job) -> None:
         write_spool(part.select("event_json", "path", "prompt_offset", "content_hash", "queue_slug"), job.table("spool"), f"{k}")
 
 
+# Each session in one layout; in two or three.
+ONE_LAYOUT = "array(element_at(array('nested', 'whole', 'journal'), int(conv_id % 3) + 1))"
+SOME_LAYOUTS = "case conv_id % 4 when 0 then array('whole', 'journal') when 1 then array('nested', 'journal') when 2 then array('nested', 'whole') else array('nested', 'whole', 'journal') end"
+# p0 has one directory, p1 has two, the others none.
+PROJECTS = '{"projects": {"/real/p0": "p0", "/real/p1": "p1", "/other/p1": "p1", "/real/else": "else"}}'
+
+
+def _store(spark: SparkSession, sf_dir: str, root: str, layouts: str, turns_so_far: int | None = None, some: str = "true") -> DataFrame:
+    """Write the conversations as files of a chat store; returns its listing."""
+    c = table(spark, sf_dir, "conversations").filter(some)
+    c = c if turns_so_far is None else c.filter(F.col("turn") < turns_so_far)
+    write_session_files(render.chat_store_files(c, F.expr(layouts)), root, render.ROOT)
+    write_session_files(spark.createDataFrame([(f"{render.STORE_ROOT}/projects.json", 0, PROJECTS)], "path string, seq int, line string"), root, render.ROOT)
+    return list_files(spark, [f"{root}/.gemini/{g}" for g in chat_store.FILE_GLOBS]).filter("error IS NULL").select("path", "file_size", "file_mtime")
+
+
+@query
+def third_format_turns(spark, sf_dir):
+    """A third format, added to a job by its caller: sessions as documents, journals and nested files, each in one of them, collected twice
+    while they grow. Documents are rewritten, so what is new in them is told by identity."""
+    job, root, registry, tokens = _job(spark, "store")
+    globs = {chat_store.SOURCE_TOOL: [f"{root}/.gemini/{g}" for g in chat_store.FILE_GLOBS]}
+    job = replace(job, globs=globs, identity_buckets=4, formats=(chat_store,))
+    for turns_so_far, now, number in ((3, "2000-01-01 00:00:00", "1"), (None, "2000-01-01 00:00:00", "2"), (None, "2999-01-01 00:00:00", "3")):
+        _store(spark, sf_dir, root, ONE_LAYOUT, turns_so_far)
+        collect.run_once(spark, job, registry, tokens, now, number)
+    spooled = spooled_events(spark, job.table("spool"))
+    return spooled.select("source_tool", "surface", "session_id", "prompt_text", "response_text", format_wire_ts(F.col("prompt_ts")).alias("prompt_ts"), "model")
+
+
+@query
+def third_format_precedence(spark, sf_dir):
+    """Each session in two or three layouts, whose texts differ: one of them speaks."""
+    root = f"{shared_dir(spark)}/precedence-{uuid.uuid4().hex}"
+    files = _store(spark, sf_dir, root, SOME_LAYOUTS)
+    rows = checkpointed(chat_store.read_files(files, spark.createDataFrame([], "path string, session_id string"), "2999-01-01 00:00:00"))
+    names = F.element_at(F.array(*map(F.lit, ("nested", "whole", "journal"))), chat_store.layout(F.col("path")))
+    return rows.filter("row_kind = 'turn'").select("session_id", names.alias("layout"), "prompt_text", "response_text")
+
+
+@query
+def third_format_cwd(spark, sf_dir):
+    """Working directories: named by the session, found by a name that one directory has, or the name where none or several have it."""
+    root = f"{shared_dir(spark)}/cwd-{uuid.uuid4().hex}"
+    files = _store(spark, sf_dir, root, ONE_LAYOUT)
+    rows = checkpointed(chat_store.read_files(files, spark.createDataFrame([], "path string, session_id string"), "2999-01-01 00:00:00"))
+    return rows.filter("row_kind = 'turn'").groupBy("session_id", "project_context").agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+@query
+def unchanged_files_skipped(spark, sf_dir):
+    """Files that three passes open, by layout: all; those of every fifth session, which were written anew; all again, which came to rest."""
+    root = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    seen, opened = f"{root}/seen", None
+    for number, (some, now) in enumerate((("true", "2000-01-01 00:00:00"), ("conv_id % 5 = 0", "2000-01-01 00:00:00"), (None, "2999-01-01 00:00:00"), (None, "2999-01-01 00:00:00"))):
+        listing = _store(spark, sf_dir, root, SOME_LAYOUTS, some=some) if some else list_files(spark, [f"{root}/.gemini/{g}" for g in chat_store.FILE_GLOBS])
+        news = checkpointed(changed(listing.select("path", "file_size", "file_mtime"), read_seen(spark, seen), now))
+        write_seen(news.withColumn("session_id", F.lit(None).cast("string")), seen, str(number), now)
+        counted = news.groupBy(chat_store.layout(F.col("path")).alias("layout")).agg(F.count(F.lit(1)).alias("n_opened")).withColumn("pass", F.lit(number))
+        opened = counted if opened is None else opened.unionByName(counted)
+    return opened
+
+
 @query
 def stream_lines_growing(spark, sf_dir):
     """Documents as the lines of one file a source. The files grow in two steps, the first of which ends inside a line; listings are

@@ -168,3 +168,50 @@ def as_file_lines(rendered: DataFrame, idle: Column, start: Column | None = None
         "conv_id",
         "seq",
     )
+
+
+STORE_ROOT = f"{ROOT}/.gemini"
+
+
+def chat_store_files(conversations: DataFrame, layouts: Column) -> DataFrame:
+    """(path, conv_id, seq, line): sessions as files of a chat store, one for each of ``layouts`` (array of 'nested', 'whole', 'journal').
+
+    A document is written over many lines. Prompts are arrays of two parts or strings; notices, patches, rows of type null, slash prompts and
+    empty ones stand between the messages. Texts of a layout that a richer one of the same session outdoes end with its name.
+    """
+    session = F.concat(F.lit("g"), F.col("conv_id"))
+    placed = conversations.withColumn("layouts", layouts).select("*", F.explode("layouts").alias("layout"))
+    folder = F.concat(F.lit(f"{STORE_ROOT}/tmp/p"), _mod("conv_id", 4), F.lit("/chats/"))
+    path = (
+        F.when(F.col("layout") == "nested", F.concat(folder, session, F.lit("/part.jsonl")))
+        .when(F.col("layout") == "whole", F.concat(folder, F.lit("session-"), session, F.lit(".json")))
+        .otherwise(F.concat(folder, F.lit("session-"), session, F.lit(".jsonl")))
+    )
+    outdone = ((F.col("layout") == "journal") & (F.size("layouts") > 1)) | ((F.col("layout") == "whole") & F.array_contains("layouts", "nested"))
+    text = F.when(outdone, F.concat("text", F.lit(" "), "layout")).otherwise(F.col("text"))
+    base = placed.select(path.alias("path"), "conv_id", "turn", "role", "layout", session.alias("sessionId"), text.alias("text"), _ts().alias("timestamp"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    part = lambda t: F.struct(t.alias("text"))
+    parts = F.array(part(F.substring("text", F.lit(1), half)), part(F.substring("text", half + 1, F.length("text"))))
+    typed = lambda kind, content, *more: F.to_json(F.struct(F.lit(kind).alias("type"), content.alias("content"), "timestamp", *more))
+    message = (
+        F.when(F.col("role") == "assistant", typed("gemini", F.col("text"), _model().alias("model")))
+        .when(F.col("role") == "system", typed("info", F.col("text")))
+        .when(_mod("turn", 4) == 0, typed("user", parts)).otherwise(typed("user", F.col("text")))
+    )
+    pick = _mod("conv_id + turn", 5)
+    noise = (
+        F.when(pick == 0, F.when(F.col("layout") != "whole", F.lit('{"$set":{"lastUpdated":"2026-01-01T00:00:00Z","type":"user"}}')))
+        .when(pick == 1, F.lit('{"type":null,"content":"nothing"}')).when(pick == 2, typed("user", F.concat(F.lit("/help "), F.col("text")))).when(pick == 3, typed("user", F.lit(" ")))
+    )
+    in_document = F.col("layout") == "whole"
+    directories = F.when(F.col("layout") == "nested", F.array(F.concat(F.lit("/work/g"), _mod("conv_id", 5))))
+    head = F.to_json(F.struct("sessionId", directories.alias("directories")))
+    opening = F.when(in_document, F.concat(F.lit('{"messages":[\n'), F.lit('{"type":"info"}'))).otherwise(head)
+    comma = lambda line: F.when(in_document, F.concat(F.lit(","), line)).otherwise(line)
+    lines = F.array(
+        F.struct(F.lit(0).alias("k"), F.when(F.col("turn") == 0, opening).alias("line")), F.struct(F.lit(1).alias("k"), comma(message).alias("line")), F.struct(F.lit(2).alias("k"), comma(noise).alias("line"))
+    )
+    rows = base.select("path", "conv_id", "turn", F.inline(F.filter(lines, lambda x: x.line.isNotNull())))
+    ends = base.filter(in_document).groupBy("path", "conv_id", "sessionId").agg(F.max("turn").alias("turn")).select("path", "conv_id", "turn", F.lit(3).alias("k"), F.concat(F.lit('],"sessionId":"'), "sessionId", F.lit('"}')).alias("line"))
+    return rows.unionByName(ends).select("path", "conv_id", (F.col("turn") * SEQ_PER_TURN + F.col("k")).alias("seq"), "line")

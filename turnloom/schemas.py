@@ -52,3 +52,4 @@ WIRE_DDL = (
 CURSORS = "path string, cursor string, legacy_offset bigint, updated_at timestamp"
 REGISTRY = "configDir string, tokenKey string"
 FILE_ERRORS = "path string, adapter string, reason string"
+SEEN = "path string, file_size bigint, file_mtime timestamp, seen_at timestamp, session_id string"

@@ -248,6 +248,54 @@ def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield emit([-1], [None], f"{type(e).__name__}: {e}")
 
 
+WHOLE = "path string, file_size bigint, file_mtime timestamp, raw binary, error string"
+_WHOLE_SCHEMA = pa.schema([("path", pa.string()), ("file_size", pa.int64()), ("file_mtime", pa.timestamp("us", tz="UTC")), ("raw", pa.binary()), ("error", pa.string())])
+
+
+def read_whole(files: DataFrame) -> DataFrame:
+    """(path, file_size, file_mtime, text, error): the whole content of each file as one row, whatever lines it has.
+
+    A file that cannot be read, or is beyond ``MAX_LINE_BYTES``, is a row with ``error``. The rows of a batch hold one large file at most.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+
+            def flush(out):
+                columns = list(zip(*out)) if out else [[]] * len(_WHOLE_SCHEMA)
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WHOLE_SCHEMA)], schema=_WHOLE_SCHEMA)
+
+            for path, size, mtime in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                raw, error = None, None
+                try:
+                    with _open(_local_uri(path)) as src:
+                        raw = src.read(MAX_LINE_BYTES + 1)
+                    if len(raw) > MAX_LINE_BYTES:
+                        raw, error = None, "file too long"
+                except OSError as e:
+                    error = f"{type(e).__name__}: {e}"
+                out.append((path, size, mtime, raw, error))
+                held += len(raw or b"")
+                if held > _BLOCK:
+                    yield flush(out)
+                    out, held = [], 0
+            yield flush(out)
+
+    spread = files.select("path", "file_size", "file_mtime").repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path")
+    return spread.mapInArrow(read, WHOLE).selectExpr("path", "file_size", "file_mtime", "cast(raw as string) as text", "error")
+
+
+def changed(listing: DataFrame, seen: DataFrame, now) -> DataFrame:
+    """Files worth opening: those whose size or change time is another than when they were last opened, those never opened, and
+    those that have come to rest since, because that settles their last turn. Decided by listings alone."""
+    before = seen.select("path", F.col("file_size").alias("_size"), F.col("file_mtime").alias("_mtime"), "seen_at")
+    rests = is_idle(now) & ~(F.col("file_mtime") < F.col("seen_at") - F.expr(f"INTERVAL {IDLE}"))
+    joined = listing.join(before, "path", "left")
+    news = F.col("_size").isNull() | (F.col("_size") != F.col("file_size")) | ~F.col("_mtime").eqNullSafe(F.col("file_mtime")) | rests
+    return joined.filter(news).drop("_size", "_mtime", "seen_at")
+
+
 def scan_tasks(spark: SparkSession, n_bytes: int) -> int:
     """How many tasks should read that many bytes."""
     return max(spark.sparkContext.defaultParallelism, -(-n_bytes // SCAN_BYTES_PER_TASK))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions.wire import from_wire
-from turnloom.schemas import CURSORS, REGISTRY
+from turnloom.schemas import CURSORS, REGISTRY, SEEN
 
 SPOOL_FILE_ROWS = 100_000  # a multiple of the batch size, so only a file's last batch is short
 
@@ -139,5 +139,19 @@ def spooled_events(spark: SparkSession, path: str, since: str = "") -> DataFrame
     return from_wire(read_spool(spark, path, since))
 
 
+def read_seen(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
+    """Each file as it was when it was last opened, see ``files.changed``."""
+    log = _read(spark, path, SEEN + ", pass_id string")
+    if before is not None:
+        log = log.filter(F.col("pass_id") < before)
+    return log.groupBy("path").agg(F.max_by(F.struct("file_size", "file_mtime", "seen_at", "session_id"), "pass_id").alias("s")).select("path", "s.*")
+
+
+def write_seen(opened: DataFrame, path: str, pass_id: str, now) -> None:
+    """Note opened files (path, file_size, file_mtime, session_id). Call only after the spool of the same pass has been written."""
+    stamped = opened.withColumn("seen_at", F.lit(now).cast("timestamp"))
+    stamped.select("path", "file_size", "file_mtime", "seen_at", "session_id").write.mode("overwrite").parquet(f"{path}/pass_id={pass_id}")
+
+
 def read_delivered(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, DELIVERED)
