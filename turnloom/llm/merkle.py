@@ -146,7 +146,8 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     # A row, not literals: joins with literals would become joins without a key.
     frontier = spark.createDataFrame([("", 0, manifest.root)], "tree string, rank long, digest string").withColumn("path", F.expr(NO_PATH))
     for level in reversed(range(len(manifest.top_records))):
-        frontier = _step(frontier, manifest.top_records[level], tops.select("tree", F.shiftright("rank", BITS * level).alias("rank")).distinct())
+        # Written level by level: a level is a small table, and one plan of all of them would fill the driver.
+        frontier, _ = write(_step(frontier, manifest.top_records[level], tops.select("tree", F.shiftright("rank", BITS * level).alias("rank")).distinct()), "frontier")
     entered = frontier.select(F.col("rank").alias("top_rank"), "digest", "path").join(trees, "top_rank")
     entered = entered.select("tree", F.lit(0).cast("long").alias("rank"), "digest", "path", "subroot", "levels")
     at = lambda k: entered.filter(F.col("levels") == k).drop("levels")
@@ -154,7 +155,7 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     frontier = at(height)
     for level in reversed(range(1, height)):
         wanted = requests.select("tree", F.shiftright("rank", BITS * level).alias("rank")).distinct()
-        frontier = _step(frontier, manifest.records[level], wanted).unionByName(at(level))
+        frontier, _ = write(_step(frontier, manifest.records[level], wanted).unionByName(at(level)), "frontier")
     lone = requests.join(at(0).drop("rank"), "tree").filter("rank = 0")
     found = _step(frontier, manifest.records[0], requests).unionByName(lone) if height else lone
     return found.withColumn("path", F.reverse("path"))
