@@ -125,7 +125,7 @@ def _step(frontier: DataFrame, records: DataFrame, wanted: DataFrame) -> DataFra
     left = F.array_join(F.slice("children", F.lit(1), digit), "")
     right = F.array_join(F.slice("children", digit + 2, F.lit(FAN)), "")
     path = F.concat("path", F.array(F.struct(left.alias("left"), right.alias("right"))))
-    return down.withColumns({"digest": F.get("children", digit), "path": path}).drop("children", "_parent")
+    return down.withColumns({"digest": F.get("children", digit), "path": path}).drop("children", "_parent").filter("digest IS NOT NULL")
 
 
 NO_PATH = "cast(array() as array<struct<left: string, right: string>>)"
