@@ -282,7 +282,8 @@ def read_whole(files: DataFrame) -> DataFrame:
                     out, held = [], 0
             yield flush(out)
 
-    spread = files.select("path", "file_size", "file_mtime").repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path")
+    tasks = scan_tasks(files.sparkSession, files.agg(F.sum("file_size")).first()[0] or 0)
+    spread = files.select("path", "file_size", "file_mtime").repartition(tasks, "path")
     return spread.mapInArrow(read, WHOLE).selectExpr("path", "file_size", "file_mtime", "cast(raw as string) as text", "error")
 
 
