@@ -145,9 +145,12 @@ def _points(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def make() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         up = powers(POINTS[which])
-        return up & U(0xFFFFFFFF), up >> U(32), powers(pow(POINTS[which], -1, int(PRIME)))
+        return (up & U(0xFFFFFFFF)).astype(np.uint32), (up >> U(32)).astype(np.uint32), powers(pow(POINTS[which], -1, int(PRIME)))
 
-    return per_worker(("points", which, size), make) if size <= 4 * BLOCK_BYTES else make()
+    if size > 2 * BLOCK_BYTES:
+        return make()
+    size = 2 * BLOCK_BYTES  # one table serves all smaller ones
+    return per_worker(("points", which), make)
 
 
 def word_hashes(t: Texts, w: Words, which: int = 0) -> np.ndarray:
@@ -157,7 +160,7 @@ def word_hashes(t: Texts, w: Words, which: int = 0) -> np.ndarray:
     sums = []
     for part in (low, high):
         s = np.zeros(len(data) + 1, U)
-        np.cumsum(data * part[: len(data)], out=s[1:])
+        np.cumsum(data * part[: len(data)].astype(U), out=s[1:])
         sums.append(s)
 
     def total(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -175,7 +178,7 @@ def word_hashes(t: Texts, w: Words, which: int = 0) -> np.ndarray:
 def stretch_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of the ranges of a sequence of hashes, as polynomials modulo PRIME; equal ranges have equal ones."""
     low, high, inverse = _points(which, 1 << max(16, int(len(h)).bit_length()))
-    terms = times(_reduced(h), _reduced(low[: len(h)] | high[: len(h)] << U(32)))
+    terms = times(_reduced(h), low[: len(h)].astype(U) | high[: len(h)].astype(U) << U(32))
     lows, highs = np.zeros(len(h) + 1, U), np.zeros(len(h) + 1, U)
     np.cumsum(terms & U((1 << 31) - 1), out=lows[1:])
     np.cumsum(terms >> U(31), out=highs[1:])
