@@ -137,6 +137,37 @@ def test_replayed_micro_batch_sends_nothing_again(spark, tmp_path):
     assert spark.read.parquet(job.table("outcomes")).count() == 1 and spark.read.schema(delivery.BODIES).parquet(job.table("held")).count() == 0
 
 
+def test_closed_queue_keeps_each_body_once_and_is_tried_at_one_place(spark, tmp_path):
+    job, sent = pl.Job({}, f"{tmp_path}/state", "1.0"), f"{tmp_path}/sent"
+
+    def give(number, accept, rows=None):
+        def one(queue, file, batch, body):
+            texts = "".join(e["promptText"][0] for e in json.loads(body)["events"][:1])
+            with open(sent, "a") as f:
+                f.write(f"{queue}{texts} ")
+            return queue == "good" or texts in accept
+
+        spool(spark, job, f"{number}", rows or [("bad", k, f"{'abcdef'[number]}{k}") for k in range(150)] + [("good", 1, "x")])
+        new = tables.read_spool(spark, job.table("spool")).filter(F.col("pass_id") == str(number))
+        delivery.hand_over(spark, job, "s", new, number, one)
+        delivery.hand_over(spark, job, "s", new, number, lambda *_: 1 / 0)  # a replay
+        out = open(sent).read().split()
+        open(sent, "w").close()
+        held = spark.read.schema(delivery.BODIES).parquet(f"{job.table('held')}/run_id=s-{number:012d}").count()
+        return sorted(x for x in out if x[0] == "g"), [x for x in out if x[0] == "b"], held
+
+    for number in range(4):
+        assert give(number, "") == (["goodx"], ["bada"], 1)
+    kept = spark.read.parquet(job.table("outcomes")).filter("kept AND arrival = taken_in").groupBy("arrival").count()
+    assert {r.arrival: r["count"] for r in kept.collect() if r.arrival} == {1: 2, 2: 2, 3: 2}
+    # It opens, and closes again inside what was kept; then for good.
+    assert give(4, "ab") == (["goodx"], ["bada", "bada", "badb", "badb", "badc"], 1)
+    assert give(5, "abcdef") == (["goodx"], ["badc", "badc", "badd", "badd", "bade", "bade", "badf", "badf"], 0)
+    assert not [f for f, _, _ in os.walk(job.table("outcomes")) if f.endswith("kept=true") and "-first" not in f and "000005" not in f]
+    done = tables.read_delivered(spark, job.table("delivered")).groupBy("queue_slug", "spool_file").count().collect()
+    assert len(done) == 12 and {r["count"] for r in done} == {1}
+
+
 # --- growing files -----------------------------------------------------------------------------------------------
 
 

@@ -69,6 +69,14 @@ def build_envelopes(batched: DataFrame, unit: list[str]) -> DataFrame:
     )
 
 
+def accepted(send: Callable[[str, str, int, str], bool], *request) -> bool:
+    """The sender took the request; one that breaks is a request that failed."""
+    try:
+        return bool(send(*request))
+    except Exception:  # noqa: BLE001
+        return False
+
+
 OUTCOMES = "queue_slug string, spool_file string, batch bigint, ok boolean"
 
 
@@ -86,10 +94,7 @@ def drained(bodies: DataFrame, send: Callable[[str, str, int, str], bool]) -> Da
             for queue, file, batch, payload in zip(*(c.to_pylist() for c in part.columns)):
                 if queue == failed:
                     continue
-                try:
-                    ok = bool(send(queue, file, batch, payload))
-                except Exception:  # noqa: BLE001  a sender that breaks is a request that failed
-                    ok = False
+                ok = accepted(send, queue, file, batch, payload)
                 out.append((queue, file, batch, ok))
                 failed = failed if ok else queue
             columns = list(zip(*out)) if out else [[]] * 4

@@ -767,19 +767,23 @@ def stream_deliver(spark, sf_dir):
 
 
 def receive(log: str, line: str) -> None:
-    """A receiver's own record of what it got: one file for each request, in the store of the folder ``log``."""
+    """A receiver's own record of what it got: one empty file for each request, whose place below ``log`` tells queue, pass, batch and number of events."""
+    queue, part, batch, n = line.split("|")
     fs, where = pafs.FileSystem.from_uri(_local_uri(log)) if ":/" in log else (pafs.LocalFileSystem(), log)
-    fs.create_dir(where, recursive=True)
-    with fs.open_output_stream(f"{where}/{uuid.uuid4().hex}") as out:
-        out.write(line.encode())
+    name = f"{where}/{queue}/{part}/{batch}-{n}-{uuid.uuid4().hex}"
+    try:
+        fs.open_output_stream(name).close()
+    except FileNotFoundError:  # its first request; stores without folders never say so
+        fs.create_dir(f"{where}/{queue}/{part}", recursive=True)
+        fs.open_output_stream(name).close()
 
 
 def _received(spark: SparkSession, root: str) -> DataFrame:
-    received = spark.createDataFrame([], "run string, value string")
-    for run in subfolders(spark, f"{root}/received"):
-        received = received.unionByName(spark.read.text(f"{root}/received/{run}").select(F.lit(run).alias("run"), "value"))
-    part = F.split("value", r"\|")
-    rows = received.select("run", part[0].alias("queue_slug"), part[1].alias("pass"), part[3].cast("bigint").alias("n"))
+    """What was received, told by names; they are listed inside tasks, folder by folder, and no file is opened."""
+    part = F.split(F.regexp_extract("path", "/received/(.*)", 1), "/")
+    rows = list_files(spark, f"{root}/received/*/*/*/*").filter("error IS NULL").select(
+        part[0].alias("run"), part[1].alias("queue_slug"), part[2].alias("pass"), F.split(part[3], "-")[1].cast("bigint").alias("n")
+    )
     return rows.groupBy("run", "queue_slug", "pass").agg(F.sum("n").alias("n_events"))
 
 
