@@ -72,6 +72,20 @@ def test_scans_in_chunks_of_rows(data, rows_a_chunk, chunks):
     assert got == want
 
 
+def test_ranges_follow_the_rows_not_the_chunks(data, monkeypatch):
+    rows, df = data
+    assert ordered.in_chunks(df, ["k"], ["o"], 2, 2).select(F.spark_partition_id()).distinct().count() == 1
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 40)
+    placed = ordered.in_chunks(df, ["k"], ["o"], 3, 4)
+    assert 1 < placed.select(F.spark_partition_id()).distinct().count() <= 1 + len(rows) // 40
+    sizes = placed.groupBy("chunk").agg(F.count("*").alias("n"), F.countDistinct("block").alias("b")).agg(F.max("n"), F.max("b")).first()
+    blocks = placed.groupBy("block").count().agg(F.max("count")).first()
+    assert tuple(sizes) == (3, 1) and blocks[0] <= 12
+    out = ordered.running_total(placed, ["k"], ["o"], F.col("chunk"), F.lit(1), "before", "all", F.col("block"))
+    want = {o: i for members in groups(rows).values() for i, (_, o, _, _) in enumerate(members)}
+    assert {r.o: r.before for r in out.collect()} == want
+
+
 def test_row_numbers(data):
     rows, df = data
     got = ordered.row_numbers(df, ["n", "o"], "place", 50).collect()

@@ -29,23 +29,25 @@ def _order_struct(order: list[str], *extra: Column) -> Column:
 
 
 CHUNK_ROWS, CHUNKS_A_BLOCK = 100_000, 100
+RANGE_ROWS = 500_000  # a range holds at least so many rows, however small the blocks are: each costs a task in every scan, and a sample when rows are dealt
 
 
 def in_chunks(df: DataFrame, key: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS, chunks: int = CHUNKS_A_BLOCK) -> DataFrame:
     """df with ``chunk`` (at most ``chunk_rows`` rows, all of one block) and ``block``, both growing along key and order.
 
-    Rows are sorted by ranges of (key, order), so a key that holds a third of them lies in as many blocks as its rows need, and
-    a block holds many small keys. The sorted rows are cut off from their lineage in the shared folder: a chunk stays what it
+    Rows are sorted by ranges of (key, order) and cut inside them, so a key that holds a third of them lies in as many blocks as its rows
+    need, and a block holds many small keys. How many ranges there are follows from the rows alone, not from the size of a chunk. The sorted rows are cut off from their lineage in the shared folder: a chunk stays what it
     is when a task runs again. Rows equal in key and order are put in some order, once.
     """
-    placed = _sorted(df, [*key, *order], chunk_rows * chunks)
-    return placed.withColumn("chunk", F.expr(f"(block << 33) + _at div {int(chunk_rows)}")).drop("_at")
+    placed = _sorted(df, [*key, *order], max(chunk_rows * chunks, RANGE_ROWS))
+    placed = placed.withColumn("chunk", F.expr(f"(block << 33) + _at div {int(chunk_rows)}"))
+    return placed.withColumn("block", F.expr(f"(block << 33) + _at div {int(chunk_rows) * int(chunks)}")).drop("_at")
 
 
-def _sorted(df: DataFrame, order: list[str], block_rows: int) -> DataFrame:
+def _sorted(df: DataFrame, order: list[str], range_rows: int) -> DataFrame:
     """df sorted by ranges, with the range's number ``block`` and the place ``_at`` in it, cut off from its lineage."""
-    blocks, tie = 1 + df.count() // block_rows, "_tie"
-    spread = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(blocks, *order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    ranges, tie = 1 + df.count() // range_rows, "_tie"
+    spread = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(ranges, *order, tie).sortWithinPartitions(*order, tie).drop(tie)
     at = spread.withColumn("_id", F.monotonically_increasing_id())
     return checkpointed(at.withColumn("block", F.shiftright("_id", 33)).withColumn("_at", F.expr(f"_id & {(1 << 33) - 1}")).drop("_id"))
 
