@@ -92,6 +92,23 @@ def test_broken_files_are_errors_and_do_no_harm(put, read):
     assert read(FUTURE) == ([("first", "ab", "m1", "p")], {"session-a.json", "session-e.json"})
 
 
+def test_texts_are_decoded_once_for_the_turns(spark, put, tmp_path, monkeypatch):
+    put(DOC, document(TALK_3))
+    put(LINES.replace("session-a", "session-b"), journal(TALK_3, sessionId="t"))
+    listing = fl.list_files(spark, [f"{tmp_path}/.gemini/{g}" for g in chat_store.FILE_GLOBS]).select("path", "file_size", "file_mtime")
+    files = spark.createDataFrame(listing.collect(), listing.schema)
+    known = spark.createDataFrame([], "path string, session_id string")
+    rows = chat_store.read_files(files, known, FUTURE)
+    # Documents, journals and the projects file.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 3
+    monkeypatch.setattr(chat_store, "CHUNK_BYTES", 600)  # the journal reaches over two chunks, the document lies beyond one
+    apart = chat_store.read_files(files, known, FUTURE)
+    monkeypatch.setattr(chat_store, "CHUNK_BYTES", min(r.file_size for r in files.collect()))  # one of each
+    mixed = chat_store.read_files(files, known, FUTURE)
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(rows) == told(apart) == told(mixed) and len(told(rows)) == 6
+
+
 def test_job_collects_what_is_new_in_rewritten_documents(spark, home, put):  # noqa: F811
     """Beside a built-in format; a document is opened when its size or its change time is another, and its old turns are not repeated."""
     globs = {**home.job.globs, "GEMINI": [f"{home.root}/.gemini/{g}" for g in chat_store.FILE_GLOBS]}

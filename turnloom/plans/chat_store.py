@@ -7,7 +7,9 @@ same session may lie in several layouts; only the richest of them speaks for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import paths as ph
@@ -104,41 +106,56 @@ def working_dirs(sessions: DataFrame, known: DataFrame) -> DataFrame:
     return found.select("path", F.coalesce("own", "found", "name").alias("cwd"))
 
 
-def turns(found: DataFrame, facts: DataFrame, speaking: DataFrame, dirs: DataFrame, now) -> DataFrame:
-    """Pass rows of messages: settled turns of the files that speak for their session, held prompts, headers and errors.
+def _numbered(talk: DataFrame, opens: Column, chunked: bool) -> DataFrame:
+    """talk with the number of its ``turn`` and of the ``last`` one of the file. Files inside one chunk take one exchange, on the path."""
+    one = opens.cast("bigint")
+    if chunked:
+        counted = ordered.running_total(talk.withColumn("_opens", one), ["path"], ["seq"], F.expr(f"seq div {CHUNK_BYTES}"), F.col("_opens"), "_seen", "last")
+        return counted.withColumn("turn", F.col("_seen") + F.col("_opens")).drop("_seen", "_opens")
+    whole = Window.partitionBy("path").orderBy("seq")
+    ever = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return talk.withColumn("turn", F.sum(one).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("last", F.sum(one).over(ever))
+
+
+def turns(found: DataFrame, facts: DataFrame, speaking: DataFrame, dirs: DataFrame, now, chunked: bool = True) -> DataFrame:
+    """Pass rows of messages: settled turns of the files that speak for their session, and held prompts.
 
     A turn opens at a prompt and runs to the next one. Prompts that are empty or begin with a slash, notices and rows
-    without a type are passed over. The last turn settles when it is answered and the file rests.
+    without a type are passed over. The last turn settles when it is answered and the file rests. Files beyond one chunk must be ``chunked``.
     """
     is_prompt = F.col("type") == PROMPT
     passed = is_prompt & ((F.trim(F.coalesce("text", F.lit(""))) == "") | F.col("text").startswith("/"))
     talk = found.filter(F.col("type").isin(PROMPT, REPLY) & ~passed).join(speaking.select("path"), "path", "left_semi")
-    cut = ordered.segment(talk, ["path"], ["seq"], F.expr(f"seq div {CHUNK_BYTES}"), is_prompt, "turn").filter("turn > 0")
+    cut = _numbered(talk, is_prompt, chunked).filter("turn > 0")
     reply = F.when(~is_prompt, F.struct("seq", "text", "model"))
     folded = cut.groupBy("path", "turn").agg(
         F.max("file_mtime").alias("file_mtime"), F.max(F.when(is_prompt, F.struct("seq", "text", "timestamp"))).alias("prompt"),
-        F.sort_array(F.collect_list(reply)).alias("replies"),
+        F.sort_array(F.collect_list(reply)).alias("replies"), F.max("last").alias("last"),
     )
-    last = folded.groupBy("path").agg(F.max("turn").alias("last"))
     settled = (F.col("turn") < F.col("last")) | ((F.size("replies") > 0) & fl.is_idle(now))
-    rows = folded.join(last, "path").join(facts.select("path", "session_id"), "path").join(dirs, "path", "left").select(
+    rows = folded.join(facts.select("path", "session_id"), "path").join(dirs, "path", "left").select(
         F.when(settled, "turn").otherwise("held").alias("row_kind"), "path", F.col("prompt.seq").alias("prompt_offset"), F.lit(SOURCE_TOOL).alias("source_tool"), F.lit(SURFACE).alias("surface"),
         "session_id", F.col("prompt.text").alias("prompt_text"), tx.empty_to_null(F.array_join("replies.text", "")).alias("response_text"), parse_rfc3339(F.col("prompt.timestamp")).alias("prompt_ts"),
         F.lit(None).cast("bigint").alias("token_count"), tx.project_context(F.col("cwd"), F.lit("")).alias("project_context"), F.get("replies", F.lit(0))["model"].alias("model"),
     )
-    kinds = facts.select(F.when(F.col("error").isNotNull(), "error").when(F.col("session_id").isNotNull(), "header").alias("row_kind"), "path", "session_id").filter("row_kind IS NOT NULL")
-    return rows.select(PASS_COLUMNS).unionByName(kinds, allowMissingColumns=True)
+    return rows.select(PASS_COLUMNS)
 
 
 def read_files(files: DataFrame, known: DataFrame, now) -> DataFrame:
     """Pass rows of the files of a pass. ``known`` has (path, session_id) of the files that are not read now but may speak for a session."""
-    found = messages(files)
+    # Files inside one chunk and larger ones are read apart; nearly always there is one plan only.
+    large = F.expr(f"coalesce(file_size > {CHUNK_BYTES}, false)")
+    sizes = sorted(r[0] for r in files.select(large).distinct().collect()) or [False]  # at most two rows
+    parts = [(chunked, messages(files.filter(large == F.lit(chunked)) if len(sizes) > 1 else files)) for chunked in sizes]
     # One row a file and no text, so it may be kept; texts are decoded once for it and once for the turns.
-    facts = checkpointed(file_facts(found))
+    facts = checkpointed(file_facts(reduce(DataFrame.unionByName, (found for _, found in parts))))
     others = known.select("path", "session_id").join(files.select("path"), "path", "left_anti")
     speaking = authoritative(facts.select("path", "session_id").unionByName(others))
     homes = files.select(_home(F.col("path")).alias("home")).filter("home IS NOT NULL").distinct()
-    return turns(found, facts, speaking, working_dirs(facts, projects_of(homes)), now)
+    dirs = working_dirs(facts, projects_of(homes))
+    kinds = facts.select(F.when(F.col("error").isNotNull(), "error").when(F.col("session_id").isNotNull(), "header").alias("row_kind"), "path", "session_id").filter("row_kind IS NOT NULL")
+    rows = [turns(found, facts, speaking, dirs, now, chunked) for chunked, found in parts]
+    return reduce(DataFrame.unionByName, rows).unionByName(kinds, allowMissingColumns=True)
 
 
 def projects_of(homes: DataFrame) -> DataFrame:
